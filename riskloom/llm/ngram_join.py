@@ -39,11 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, forget, fresh_path, small_slices, stored
+from .common import components, documents, small_slices, stored
 
 U = np.uint64
 BAND_RATIO = 1.6
-CROWD = 64  # heads of a signature from which spare units are used
+CROWD = 12  # heads of a signature from which spare units are used
+BITS = 1024  # of the parity sketch that bounds a symmetric difference from below
 
 
 class WordHash(dict):
@@ -84,6 +85,12 @@ def shingle_set(words: list[bytes], k: int) -> set[tuple]:
     return set(zip(*(words[j : len(words) - n + 1 + j] for j in range(n)), strict=True)) if n else set()
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of BITS cells: sets differ in as many shingles, at least, as bits."""
+    cells = np.bincount((mix(h ^ U(0x2545F4914F6CDD1D)) % U(BITS)).astype(np.int64), minlength=BITS)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
 class Scheme(NamedTuple):
     low: int  # sizes from low to below high
     high: int
@@ -109,40 +116,44 @@ def plan_schemes(sizes: list[tuple[int, int, float]], largest: int, t: int) -> l
     """Segments of each band: the cheapest of some allocations.
 
     sizes: (low end of a band, documents in it, their mean size). The cost of an allocation
-    counts the signatures of a document: one a unit from exact segments, half of one plus
-    the neighbours a unit from reserve segments, every shingle where it would run out, and
-    the segments that are likely to hold few shingles, which many documents may share.
+    counts the signatures of documents of the mean size and of both ends: one a unit from
+    exact segments, half of one plus the neighbours a unit from reserve segments, every
+    shingle with the chance of running out, and a charge for segments with few shingles,
+    which many documents may share.
     """
-    known = {low: (count, mean) for low, count, mean in sizes}
+    mean = {low: m for low, _, m in sizes}
     out = []
     for low, high in bands(largest, t):
-        count, mean = known.get(low, (0, 0.0))
-        mean = mean or (low + high) / 2
         top = high - 1
-        units = most_apart(top, top * 100 // t, t) + 1
-        wanted = units + spare(units - 1)
+        wanted = most_apart(top, top * 100 // t, t) + 1
         best = None
-        for share in (0.9, 1.0, 1.15, 1.3, 1.6):
-            exact = max(4, round(share * wanted))
-            for reserve in (1, 2, max(2, exact // 16), max(2, exact // 8)):
-                per = mean / (exact + reserve)
-                need = (most_apart(int(mean), int(mean) * 100 // t, t) + 1) * 1.15 + 2
-                got = exact * (1 - math.exp(-per))
-                more = max(0.0, need - got)
-                over = max(0.0, more - 2 * reserve * (1 - math.exp(-per) * (1 + per)))
-                cost = min(need, got) + more * (1 + per) / 2 + over * mean + 2 * need * math.exp(-per)
-                if best is None or cost * max(count, 1) < best[0]:
-                    best = (cost * max(count, 1), exact, reserve)
+        for share in (1.0, 1.08, 1.16, 1.24, 1.32, 1.5, 2.0):
+            exact = max(4, math.ceil(share * (wanted + spare(wanted))))
+            for reserve in sorted({1, 2, 4, exact // 16 + 1, exact // 8 + 1}):
+                cost = sum(_cost(x, exact, reserve, most_apart(x, x * 100 // t, t)) for x in (low, int(mean.get(low, top)), top))
+                if best is None or cost < best[0]:
+                    best = (cost, exact, reserve)
         out.append(Scheme(low, high, best[1], best[2]))
     return out
 
 
+def _cost(x: int, exact: int, reserve: int, apart: int) -> float:
+    need, per = apart + 1 + spare(apart), x / (exact + reserve)
+    empty = math.exp(-per)
+    got = exact * (1 - empty)
+    wide = math.sqrt(exact * empty * max(1e-9, 1 - (1 + per) * empty)) + 0.5
+    late = 2 * reserve * (1 - empty * (1 + per))
+    used = min(max(0.0, need + wide - got), late)
+    over = 1 / (1 + math.exp(min(50.0, 1.7 * (got + late - need) / wide)))
+    return need + used * (1 + per) / 2 + over * x + need * empty
+
+
 def spare(apart: int) -> int:
-    return 2 + apart // 8
+    return 2 + apart // 16
 
 
 def signatures(h: np.ndarray, schemes: list[Scheme], t: int) -> Iterator[tuple[np.ndarray, int]]:
-    """(signatures, units to spare or -1) of a set in its scheme and in the one below."""
+    """(signatures, droppable ones or a negative) of a set in its scheme and in the one below."""
     n = len(h)
     for at, s in enumerate(schemes):
         if s.low <= n < s.high:
@@ -176,10 +187,11 @@ def signatures(h: np.ndarray, schemes: list[Scheme], t: int) -> Iterator[tuple[n
             sigs.append(mix(whole[which] - token[inside] + salt[which]))
         if out:
             sigs.append(mix(token + U((at + 1) << 48)))
-        yield np.concatenate(sigs), -1 if out else int(total[stop - 1]) - apart - 1
+        lost = int((held[:stop] >= s.exact).sum())  # a dropped reserve segment costs two units
+        yield np.concatenate(sigs), -1 if out else int(total[stop - 1]) - apart - 1 - lost
 
 
-NODE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64())])
+NODE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 SIG = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("slack", pa.int8())])
 
 
@@ -191,9 +203,10 @@ def _nodes(k: int):
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(words_of(text), k, cache)
                 both = [int(x.sum(dtype=U).astype(np.int64)) for x in (mix(h), mix(h ^ U(0xA5A5A5A5A5A5A5A5)))]
-                rows.append((len(h), *both))
-            n, fa, fb = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(fa), pa.array(fb)], schema=NODE)
+                rows.append((len(h), *both, sketch(h)))
+            if rows:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(NODE)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=NODE)
 
     return run
 
@@ -267,15 +280,22 @@ def _compare(k: int):
     return run
 
 
-def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Exact intersection and union sizes of pairs (a, b); b is the side that repeats."""
+def compare(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, t: int, name: str) -> DataFrame:
+    """``a, b, d, linked`` of pairs: their exact Jaccard distance, or a lower bound of it that rules a link out.
+
+    b is the side that repeats. Sketches decide most pairs; texts are read for the others only.
+    """
+    one, two = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    size = F.col("na") + F.col("nb")
+    bound = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", size.alias("size"), bits.alias("bits"))
+    bound = stored(bound.withColumn("open", F.col("bits") <= F.col("size") - 2 * F.ceil(F.lit(t) * F.col("size") / F.lit(100.0 + t) - 1e-9)), name)
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(k), "a long, b long, inter long, uni long")
-
-
-def linked(t: int):
-    return (F.lit(100) * F.col("inter") >= F.lit(t) * F.col("uni")) & (F.col("uni") > 0)
+    exact = bound.where("open").select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(k), "a long, b long, inter long, uni long")
+    exact = exact.select("a", "b", (1 - F.col("inter") / F.col("uni")).alias("d"), (F.lit(100) * F.col("inter") >= F.lit(t) * F.col("uni")).alias("linked"))
+    ruled_out = bound.where("not open").select("a", "b", (2 * F.col("bits") / (F.col("size") + F.col("bits"))).alias("d"), F.lit(False).alias("linked"))
+    return stored(exact.unionByName(ruled_out), name)
 
 
 def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -286,7 +306,7 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     """
     spark, t = docs.sparkSession, threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = stored(docs.mapInArrow(_nodes(k), "doc_id long, n long, fa long, fb long"), "op1-nodes")
+    nodes = stored(docs.mapInArrow(_nodes(k), "doc_id long, n long, fa long, fb long, sketch array<long>"), "op1-nodes")
     known = nodes.where("doc_id is not null and n > 0")
     classes = stored(known.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep")), "op1-classes")
     twin = known.join(classes, ["n", "fa", "fb"]).select("doc_id", "rep").where("doc_id <> rep").distinct()
@@ -314,11 +334,14 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     star = star.select(F.coalesce("doc_id_rep", "doc_id").alias("a"), F.coalesce("pivot_rep", "pivot").alias("b"), "c").where("a <> b")
     star = stored(star.groupBy("a", "b").agg(F.sum("c").alias("c")), "op1-star")
     wanted = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = stored(wanted, "op1-wanted")
     texts = stored(docs.join(wanted, "doc_id", "left_semi"), "op1-texts")
+    sketches = stored(known.select("doc_id", "n", "sketch").join(wanted, "doc_id", "left_semi"), "op1-sketches")
+    measure = lambda pairs, name: compare(pairs, sketches, texts, k, t, name)
 
     best = star.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
-    links = stored(compare(best, texts, k), "op1-links")
-    part = components(links.where(linked(t)).select("a", "b"), "op1-parts")
+    links = measure(best, "op1-links")
+    part = components(links.where("linked").select("a", "b"), "op1-parts")
 
     def of(df: DataFrame, column: str, parts: DataFrame) -> DataFrame:
         named = parts.select(F.col("node").alias(column), F.col("component").alias(f"{column}_part"))
@@ -329,23 +352,22 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
 
     # the other pivots of sets that their best pivot did not bring together
     rest = apart(star.join(best, ["a", "b"], "left_anti"), part).select("a", "b")
-    links = links.unionByName(stored(compare(rest, texts, k), "op1-rest"))
-    found = links.where(linked(t))
+    links = links.unionByName(measure(rest, "op1-rest"))
+    found = links.where("linked")
     part = components(found.select("a", "b"), "op1-parts")
 
     # signatures that still hold several components
     member = buckets.join(rep("doc_id"), "doc_id", "left").join(rep("pivot"), "pivot", "left")
     member = member.select("sig", F.coalesce("doc_id_rep", "doc_id").alias("x"), F.coalesce("pivot_rep", "pivot").alias("p"), "slack")
     split = of(of(member, "x", part), "p", part).where("x_part <> p_part").select("sig").distinct()
-    distance = 1 - F.col("inter") / F.col("uni")
-    heads = found.groupBy("a").agg(F.min_by(F.struct("b", distance.alias("d")), F.struct(distance, F.col("b"))).alias("h")).select(F.col("a").alias("x"), F.col("h.b").alias("head"), F.col("h.d").alias("d"))
+    heads = found.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", "b")).alias("h")).select(F.col("a").alias("x"), F.col("h.b").alias("head"), F.col("h.d").alias("d"))
     member = member.join(split, "sig", "left_semi").groupBy("sig", "x").agg(F.min("slack").alias("slack"))
     member = of(member.join(heads, "x", "left"), "x", part).select("sig", "x", F.col("x_part").alias("part"), F.coalesce("head", "x").alias("head"), F.coalesce("d", F.lit(0.0)).alias("d"), "slack")
     member = stored(member, "op1-members")
 
     held = member.groupBy("sig", "head").agg(F.first("part").alias("part"))
     crowded = held.groupBy("sig").agg(F.count("*").alias("heads")).where(F.col("heads") > CROWD).select("sig")
-    loaded = member.join(crowded, "sig", "left_semi").groupBy("x").agg(F.count("*").alias("bad"), F.min("slack").alias("slack")).where("2 * bad > slack").select("x")
+    loaded = member.join(crowded, "sig", "left_semi").groupBy("x").agg(F.count("*").alias("bad"), F.min("slack").alias("slack")).where("bad > slack").select("x")
     kept = member.join(crowded, "sig", "left_anti").unionByName(member.join(crowded, "sig", "left_semi").join(loaded, "x", "left_semi"))
     kept = stored(kept, "op1-kept")
 
@@ -353,18 +375,18 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     left, right = (held.select("sig", F.col("head").alias(h), F.col("part").alias(f"{h}_in")) for h in "ab")
     met = left.join(right, "sig").where("a < b and a_in <> b_in").select("a", "b").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
     met = met.join(links.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    met = stored(compare(stored(met, "op1-heads"), texts, k), "op1-met")
+    met = measure(met, "op1-met")
     known_pairs = links.unionByName(met)
-    found = known_pairs.where(linked(t))
+    found = known_pairs.where("linked")
     part = components(found.select("a", "b"), "op1-parts")
 
     # members of unlinked heads, where distances to the heads leave a link possible
-    near = apart(known_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), distance.alias("dh")).where(F.col("dh") <= 0.6 * 1.0 + 1e-9 if t == 80 else F.col("dh") <= 3 * (1 - t / 100) + 1e-9).distinct(), part).select(F.col("a").alias("ha"), F.col("b").alias("hb"), "dh")
+    near = apart(known_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("d").alias("dh")).where(F.col("dh") <= 3 * (1 - t / 100) + 1e-9).distinct(), part).select(F.col("a").alias("ha"), F.col("b").alias("hb"), "dh")
     one, two = (kept.select("sig", F.col("x").alias(x), F.col("head").alias(f"h{x}"), F.col("d").alias(f"d{x}")) for x in "ab")
     last = one.join(near, "ha").join(two, ["sig", "hb"]).where(F.col("dh") - F.col("da") - F.col("db") <= 1 - t / 100 + 1e-9)
     last = last.where("not (a = ha and b = hb)").select("a", "b").distinct()
     last = apart(last, part).select("a", "b")
-    found = found.select("a", "b").unionByName(stored(compare(last, texts, k), "op1-last").where(linked(t)).select("a", "b"))
+    found = found.select("a", "b").unionByName(measure(last, "op1-last").where("linked").select("a", "b"))
     part = components(found.unionByName(twin.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "op1-parts")
 
     out = nodes.select("doc_id", F.col("n").alias("n_shingles"))
