@@ -1,8 +1,66 @@
-"""A corpus pipeline of the text operators."""
+"""A corpus pipeline: each stage takes what the one before kept, written as Parquet.
 
-STAGES: list = []
-ORACLE_SQL = None
+1. toxicity: texts that the model, trained on the labelled rows not held out, scores 0.5 or more go;
+2. near_duplicates: of each group of linked shingle sets the smallest id stays;
+3. decontamination: texts that hold a benchmark item go;
+4. mixture: texts are repeated or left out as the mix of sources takes their words;
+5. token_ids: what is left is encoded into ORC files, which are read back.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskloom.llm import decontaminate, mixing, ngram_join, token_orc, toxicity
+from riskloom.llm.common import documents, stored, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose id is not in gone; rows without an id stay."""
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(documents(spark, sf_dir), table("labels")(spark, sf_dir))
+    return toxicity.score(docs.select(*COLUMNS), model).where("toxic_score < 0.5").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, ngram_join.similarity_components(docs).where("doc_id <> component_id"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, decontaminate.leaks(docs, table("benchmark")(spark, sf_dir)))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A text comes as often as its words are taken, rounded to whole texts."""
+    taken = mixing.mix_sources(docs).where("size > 0")
+    uses = taken.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("uses"))
+    rows = docs.join(uses.where("uses > 0"), F.col("doc_id").eqNullSafe(F.col("id")))
+    return rows.withColumn("use", F.explode(F.sequence(F.lit(1), "uses"))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_orc.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixture", mix),
+    ("token_ids", encode),
+]
+
+ORACLE_SQL = None  # the toxicity model is trained
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,11 +1,23 @@
 """The registered queries of the text operators and their SQL."""
 
-from . import ngram_join
+from . import decontaminate, mixing, ngram_join, quality_rules, secrets, site_quality, token_orc, toxicity, warc_zip
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_warc_zip": warc_zip.op2_warc_zip,
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_token_orc": token_orc.op5_token_orc,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_quality_classifier": site_quality.op10_quality_classifier,
 }
 
 SQL = {
     "op1_ngram_jaccard_join": ngram_join.SQL,
+    "op2_warc_zip": warc_zip.SQL,
+    "op4_decontamination": decontaminate.SQL,
+    "op7_secret_scan": secrets.SQL,
+    "op8_mixing": mixing.SQL,
 }
