@@ -4,22 +4,23 @@ Sets are put into size bands. Each band has a scheme: a hash deals the universe
 shingles into segments, and two sets that differ in at most H shingles agree on all but
 H of them at most. A set walks the segments of its scheme in one fixed order and indexes
 
-* an exact segment by the hash of its shingles (worth one unit when it is not empty), and
+* an exact segment by the hash of its shingles (worth one unit), and
 * a reserve segment by that hash and those of its one-deletion neighbours (worth two units
   from two shingles on, as a match then fails only if the segment differs twice),
 
-until it holds H + 1 units and a few spare ones. Of two linked sets the one that stops
-first has more units than the pair has differences, so both hold a common signature.
-``plan_schemes`` sets the numbers of exact and reserve segments by a cost that it takes
-from the sizes of all documents. A set that runs out of segments indexes its single
-shingles besides; two such sets share one.
+until it holds H + 1 units. Of two linked sets the one that stops first has more units than
+the pair has differences, so both hold a common signature. ``plan_schemes`` sets the numbers
+of exact and reserve segments by a cost that it takes from the sizes of all documents.
+
+Units count shingles that are not hot only: shingles of popular lines and passages are found
+in the pass that sizes the documents, and segments of nothing else are passed over. A set
+that runs out of segments indexes the first shingles of its own, hot ones last, as many as a
+linked set cannot all miss.
 
 Candidates of a signature are never paired with each other outright. Each is compared
-with the signature's pivot, and only sets that are still in other components go on: their
-heads (the pivots that they are linked to) are compared, and members of two heads only
-where the triangle inequality of the Jaccard distance leaves a link possible. Signatures
-with many unlinked heads are dropped for sets whose spare units allow it, and kept for
-the rest. Every link is decided on the shingles themselves, not on hashes.
+with the signature's pivot, then with the member that has most links, and only sets that are
+still in other components go on: their heads (the pivots that they are linked to) are compared, and members of two heads only
+where the triangle inequality of the Jaccard distance leaves a link possible. Every link is decided on the shingles themselves, not on hashes.
 
 Defined cases: a null or blank text has no shingles and no links; fewer words than the
 shingle length make one shingle; rows with a null id are returned with a null component;
@@ -43,7 +44,9 @@ from .common import components, documents, small_slices, stored
 
 U = np.uint64
 BAND_RATIO = 1.6
-CROWD = 12  # heads of a signature from which spare units are used
+HOT_SHARE = 1e-3  # of all documents: shingles in more are hot; there are 1 / HOT_SHARE times the mean set size at most
+CHUNK = 1 << 20  # shingles that are counted at once
+ROUNDS = 3  # of new pivots at most; what they leave open is still compared
 BITS = 1024  # of the parity sketch that bounds a symmetric difference from below
 
 
@@ -75,9 +78,9 @@ def shingle_hashes(words: list[bytes], k: int, cache: WordHash) -> np.ndarray:
     w = np.fromiter(map(cache.__getitem__, words), U, len(words))
     span = min(k, len(w))
     h = np.full(len(w) - span + 1, span, U)
-    for j in range(span):
-        h = mix((h * U(0x9E3779B97F4A7C15)) ^ w[j : j + len(h)])
-    return np.unique(h)
+    for j in range(span):  # a sum of random words times odd numbers, one for each place
+        h += w[j : j + len(h)] * U(xxhash.xxh64_intdigest(bytes([j])) | 1)
+    return np.unique(mix(h))
 
 
 def shingle_set(words: list[bytes], k: int) -> set[tuple]:
@@ -128,7 +131,7 @@ def plan_schemes(sizes: list[tuple[int, int, float]], largest: int, t: int) -> l
         wanted = most_apart(top, top * 100 // t, t) + 1
         best = None
         for share in (1.0, 1.08, 1.16, 1.24, 1.32, 1.5, 2.0):
-            exact = max(4, math.ceil(share * (wanted + spare(wanted))))
+            exact = max(4, math.ceil(share * (wanted)))
             for reserve in sorted({1, 2, 4, exact // 16 + 1, exact // 8 + 1}):
                 cost = sum(_cost(x, exact, reserve, most_apart(x, x * 100 // t, t)) for x in (low, int(mean.get(low, top)), top))
                 if best is None or cost < best[0]:
@@ -138,7 +141,7 @@ def plan_schemes(sizes: list[tuple[int, int, float]], largest: int, t: int) -> l
 
 
 def _cost(x: int, exact: int, reserve: int, apart: int) -> float:
-    need, per = apart + 1 + spare(apart), x / (exact + reserve)
+    need, per = apart + 1, x / (exact + reserve)
     empty = math.exp(-per)
     got = exact * (1 - empty)
     wide = math.sqrt(exact * empty * max(1e-9, 1 - (1 + per) * empty)) + 0.5
@@ -148,12 +151,8 @@ def _cost(x: int, exact: int, reserve: int, apart: int) -> float:
     return need + used * (1 + per) / 2 + over * x + need * empty
 
 
-def spare(apart: int) -> int:
-    return 2 + apart // 16
-
-
-def signatures(h: np.ndarray, schemes: list[Scheme], t: int) -> Iterator[tuple[np.ndarray, int]]:
-    """(signatures, droppable ones or a negative) of a set in its scheme and in the one below."""
+def signatures(h: np.ndarray, cold: np.ndarray, schemes: list[Scheme], t: int) -> Iterator[np.ndarray]:
+    """Signatures of a set in its scheme and in the one below. cold: which shingles are not hot."""
     n = len(h)
     for at, s in enumerate(schemes):
         if s.low <= n < s.high:
@@ -170,94 +169,110 @@ def signatures(h: np.ndarray, schemes: list[Scheme], t: int) -> Iterator[tuple[n
         seg, token = seg[order], mix(place[order] + U(at))
         first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
         held, count = seg[first], np.diff(np.r_[first, n])
+        telling = np.add.reduceat(cold[order].astype(np.int64), first)
         whole = np.add.reduceat(token, first)
         salt = mix((held + (at << 40)).astype(U))
-        worth = np.where(held < s.exact, 1, np.minimum(count, 2))
-        total = np.cumsum(worth)
-        stop = int(np.searchsorted(total, apart + 1 + spare(apart)))
+        total = np.cumsum(np.minimum(telling, np.where(held < s.exact, 1, 2)))
+        stop = int(np.searchsorted(total, apart + 1))
         out = stop >= len(held)
-        stop = min(stop, len(held) - 1) + 1
-        sigs = [mix(whole[:stop] + salt[:stop])]
-        late = np.flatnonzero(held[:stop] >= s.exact)
-        if len(late):
+        use = (np.arange(len(held)) <= stop) & (telling > 0)
+        sigs = [mix(whole[use] + salt[use])]
+        if (use & (held >= s.exact)).any():
             inside = np.flatnonzero(seg >= s.exact)
             which = np.repeat(np.arange(len(held)), count)[inside]
-            keep = (which < stop) & (count[which] > 1)  # the neighbour of one shingle is empty
+            keep = (which <= stop) & (count[which] > 1)  # the neighbour of one shingle is empty
             inside, which = inside[keep], which[keep]
             sigs.append(mix(whole[which] - token[inside] + salt[which]))
         if out:
-            sigs.append(mix(token + U((at + 1) << 48)))
-        lost = int((held[:stop] >= s.exact).sum())  # a dropped reserve segment costs two units
-        yield np.concatenate(sigs), -1 if out else int(total[stop - 1]) - apart - 1 - lost
+            rank = np.lexsort((place, ~cold))[: n - -(-n * t // 100) + 1]
+            sigs.append(mix(place[rank] + U((at + 1) << 48)))
+        yield np.concatenate(sigs)
 
 
 NODE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("sketch", pa.list_(pa.int64()))])
-SIG = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("slack", pa.int8())])
+SIG = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
 
 
 def _nodes(k: int):
+    """A row for each document; rows with n = -1 hold a shingle (fa) that is hot in a chunk, and its count (fb)."""
+
+    def hot(chunk: list[np.ndarray]) -> pa.RecordBatch:
+        value, count = np.unique(np.concatenate(chunk), return_counts=True)
+        many = count >= max(3, HOT_SHARE * len(chunk) / 2)
+        n = int(many.sum())
+        columns = [pa.nulls(n, pa.int64()), pa.array(np.full(n, -1)), pa.array(value[many].view(np.int64)), pa.array(count[many].astype(np.int64)), pa.nulls(n, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, schema=NODE)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
+        cache, seen, chunk, held = WordHash(), set(), [], 0
         for batch in small_slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(words_of(text), k, cache)
                 both = [int(x.sum(dtype=U).astype(np.int64)) for x in (mix(h), mix(h ^ U(0xA5A5A5A5A5A5A5A5)))]
                 rows.append((len(h), *both, sketch(h)))
+                if len(h) and both[0] not in seen:  # equal sets count once
+                    seen.add(both[0])
+                    chunk.append(h)
+                    held += len(h)
             if rows:
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(NODE)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=NODE)
+            if held > CHUNK:
+                yield hot(chunk)
+                chunk, held = [], 0
+        if chunk:
+            yield hot(chunk)
 
     return run
 
 
-def _signatures(k: int, t: int, schemes: list[Scheme]):
+def _signatures(k: int, t: int, schemes: list[Scheme], hot):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHash(), set()
+        cache, seen, known = WordHash(), set(), hot.value
         for batch in small_slices(batches):
-            sigs, docs, slacks = [], [], []
+            sigs, docs = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h = shingle_hashes(words_of(text), k, cache) if doc is not None else ()
                 if not len(h) or (key := (len(h), xxhash.xxh128_digest(h.tobytes()))) in seen:
                     continue  # equal sets are linked by their fingerprints
                 seen.add(key)
-                for found, slack in signatures(h, schemes, t):
+                cold = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h if len(known) else np.ones(len(h), bool)
+                for found in signatures(h, cold, schemes, t):
                     sigs.append(found)
                     docs.append(np.full(len(found), doc, np.int64))
-                    slacks.append(np.full(len(found), min(slack, 127), np.int8))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(slacks))], schema=SIG)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(docs))], schema=SIG)
 
     return run
 
 
-BUCKET = pa.schema([("sig", pa.int64()), ("pivot", pa.int64()), ("doc_id", pa.int64()), ("slack", pa.int8())])
+BUCKET = pa.schema([("sig", pa.int64()), ("pivot", pa.int64()), ("doc_id", pa.int64())])
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by signature, those of signatures with two rows or more, with the first row's id."""
-    last: tuple | None = None  # the row before: signature, pivot, id, slack, whether it is out
+    last: tuple | None = None  # the row before: signature, pivot, id, whether it is out
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, doc, slack = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "doc_id", "slack"))
+        sig, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "doc_id"))
         if last:
-            sig, doc, slack = np.r_[last[0], sig], np.r_[last[2], doc], np.r_[last[3], slack].astype(np.int8)
+            sig, doc = np.r_[last[0], sig], np.r_[last[2], doc]
         new = np.r_[True, sig[1:] != sig[:-1]]
         run = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         pivot = doc[first][run]
-        if last:
-            pivot[run == 0] = last[1]
         many = (np.diff(np.r_[first, len(sig)]) > 1)[run]
-        done = last[4] if last else False
         out = many.copy()
-        if last and done:
-            many[run == 0] = True
-            out[run == 0] = True
-            out[0] = False
-        last = (sig[-1], pivot[-1], doc[-1], slack[-1], bool(many[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, pivot, doc, slack)], schema=BUCKET)
+        if last:
+            pivot[run == 0] = last[1]
+            if last[3]:
+                many[run == 0] = True
+                out[run == 0] = True
+                out[0] = False
+        last = (sig[-1], pivot[-1], doc[-1], bool(many[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, pivot, doc)], schema=BUCKET)
 
 
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()), ("uni", pa.int64())])
@@ -307,6 +322,7 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     spark, t = docs.sparkSession, threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nodes = stored(docs.mapInArrow(_nodes(k), "doc_id long, n long, fa long, fb long, sketch array<long>"), "op1-nodes")
+    hot_rows, nodes = nodes.where("n < 0"), nodes.where("n >= 0")
     known = nodes.where("doc_id is not null and n > 0")
     classes = stored(known.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep")), "op1-classes")
     twin = known.join(classes, ["n", "fa", "fb"]).select("doc_id", "rep").where("doc_id <> rep").distinct()
@@ -322,10 +338,13 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
             band = F.when(F.col("n") >= low, low).otherwise(band)
         sized = [(r["band"], r["c"], r["mean"]) for r in known.where(F.col("n") >= lows[0]).groupBy(band.alias("band")).agg(F.count("*").alias("c"), F.avg("n").alias("mean")).collect()]
     schemes = plan_schemes(sized, largest, t)
+    least = max(20, HOT_SHARE * (classes.count()))
+    hot = hot_rows.groupBy("fa").agg(F.sum("fb").alias("c")).where(F.col("c") >= least).select("fa").collect()
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot], np.int64).view(U)))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sigs = docs.mapInArrow(_signatures(k, t, schemes), "sig long, doc_id long, slack byte")
-    buckets = stored(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_shared, "sig long, pivot long, doc_id long, slack byte"), "op1-buckets")
+    sigs = docs.mapInArrow(_signatures(k, t, schemes, hot), "sig long, doc_id long")
+    buckets = stored(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_shared, "sig long, pivot long, doc_id long"), "op1-buckets")
 
     # star pairs between class representatives
     rep = lambda c: twin.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
@@ -356,20 +375,32 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     found = links.where("linked")
     part = components(found.select("a", "b"), "op1-parts")
 
-    # signatures that still hold several components
+    # signatures that still hold several components: new pivots, those with most links so far
     member = buckets.join(rep("doc_id"), "doc_id", "left").join(rep("pivot"), "pivot", "left")
-    member = member.select("sig", F.coalesce("doc_id_rep", "doc_id").alias("x"), F.coalesce("pivot_rep", "pivot").alias("p"), "slack")
+    member = member.select("sig", F.coalesce("doc_id_rep", "doc_id").alias("x"), F.coalesce("pivot_rep", "pivot").alias("p"))
     split = of(of(member, "x", part), "p", part).where("x_part <> p_part").select("sig").distinct()
-    heads = found.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", "b")).alias("h")).select(F.col("a").alias("x"), F.col("h.b").alias("head"), F.col("h.d").alias("d"))
-    member = member.join(split, "sig", "left_semi").groupBy("sig", "x").agg(F.min("slack").alias("slack"))
-    member = of(member.join(heads, "x", "left"), "x", part).select("sig", "x", F.col("x_part").alias("part"), F.coalesce("head", "x").alias("head"), F.coalesce("d", F.lit(0.0)).alias("d"), "slack")
-    member = stored(member, "op1-members")
-
-    held = member.groupBy("sig", "head").agg(F.first("part").alias("part"))
-    crowded = held.groupBy("sig").agg(F.count("*").alias("heads")).where(F.col("heads") > CROWD).select("sig")
-    loaded = member.join(crowded, "sig", "left_semi").groupBy("x").agg(F.count("*").alias("bad"), F.min("slack").alias("slack")).where("bad > slack").select("x")
-    kept = member.join(crowded, "sig", "left_anti").unionByName(member.join(crowded, "sig", "left_semi").join(loaded, "x", "left_semi"))
-    kept = stored(kept, "op1-kept")
+    member = stored(member.join(split, "sig", "left_semi").select("sig", "x").distinct(), "op1-members")
+    for _ in range(ROUNDS):
+        degree = found.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("degree"))
+        placed = of(member.join(degree, "x", "left"), "x", part).select("sig", "x", F.coalesce("degree", F.lit(0)).alias("degree"), F.col("x_part").alias("part"))
+        lead = placed.groupBy("sig").agg(F.max_by(F.struct(F.col("x").alias("b"), F.col("part").alias("b_in")), F.struct("degree", -F.col("x"))).alias("lead"), F.min("part").alias("low"), F.max("part").alias("high"))
+        lead = lead.where("low < high").select("sig", "lead.*")
+        placed = stored(placed.join(lead, "sig"), "op1-placed")
+        member = placed.select("sig", "x")
+        new = placed.where("part <> b_in").select(F.col("x").alias("a"), "b").distinct()
+        new = new.join(links.select("a", "b").union(links.select("b", "a")), ["a", "b"], "left_anti")
+        more = measure(new, "op1-more")
+        links = links.unionByName(more)
+        found = links.where("linked")
+        if more.where("linked").isEmpty():
+            break
+        part = components(found.select("a", "b"), "op1-parts")
+    both_ways = found.select("a", "b", "d").union(found.select("b", "a", "d"))
+    wide = both_ways.groupBy("b").agg(F.count("*").alias("degree"))
+    heads = both_ways.join(wide, "b").groupBy("a").agg(F.max_by(F.struct("b", "d"), F.struct("degree", "b")).alias("h")).select(F.col("a").alias("x"), F.col("h.b").alias("head"), F.col("h.d").alias("d"))
+    member = of(member.join(heads, "x", "left"), "x", part).select("sig", "x", F.col("x_part").alias("part"), F.coalesce("head", "x").alias("head"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    still = member.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
+    kept = stored(member.join(still, "sig", "left_semi"), "op1-open")
 
     held = kept.groupBy("sig", "head").agg(F.first("part").alias("part"))
     left, right = (held.select("sig", F.col("head").alias(h), F.col("part").alias(f"{h}_in")) for h in "ab")
