@@ -1,10 +1,11 @@
 """The registered queries of the text operators and their SQL."""
 
-from . import decontaminate, mixing, ngram_join, quality_rules, secrets, site_quality, token_orc, toxicity, warc_zip
+from . import decontaminate, mixing, ngram_join, quality_rules, repeats, secrets, site_quality, token_orc, toxicity, warc_zip
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_warc_zip": warc_zip.op2_warc_zip,
+    "op3_suffix_dedup": repeats.op3_suffix_dedup,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_token_orc": token_orc.op5_token_orc,
     "op6_toxicity": toxicity.op6_toxicity,
