@@ -43,8 +43,8 @@ def rule_sets(rows: DataFrame, rules: dict[str, Column], *keys: Column) -> DataF
     return with_bits(rows, rules).groupBy(*keys, "bits").agg(F.count("*").alias("n"))
 
 
-def _each(names, bits: Column = F.col("bits")) -> Column:
-    return F.explode(F.array(*(F.struct(F.lit(i + 1).alias("ordem"), F.lit(r).alias("regra"), (F.shiftright(bits, i) % 2).alias("hit")) for i, r in enumerate(names))))
+def _each(names) -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(i + 1).alias("ordem"), F.lit(r).alias("regra"), (F.shiftright("bits", i) % 2).alias("hit")) for i, r in enumerate(names))))
 
 
 def summary(sets: DataFrame, names=RULES) -> DataFrame:

@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from riskloom.plans import cohort, evaluation, learning
+
+QUERIES: dict = cohort.QUERIES | evaluation.QUERIES | learning.QUERIES
+SQL: dict = cohort.SQL | evaluation.SQL | learning.SQL
