@@ -40,7 +40,7 @@ def block_of(pos: Column, size: Column, blocks=BLOCKS) -> Column:
         if i == n - 1:
             return out.otherwise(name)
         cut = F.greatest(F.lit(i + 1), F.least(F.floor(size * F.lit(cum)), size - (n - 1 - i)))
-        out = (out or F).when(pos <= cut, name)
+        out = F.when(pos <= cut, name) if out is None else out.when(pos <= cut, name)
 
 
 def hash_blocks(groups: DataFrame, stratum: list[str], group: str = "grupo", salt: str = SALT, blocks=BLOCKS) -> DataFrame:

@@ -54,7 +54,7 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def crosstab_pct(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     """Shares of each row value within each column value."""
-    wide = df.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    wide = df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
     totals = wide.agg(*(F.sum(str(v)).alias(f"t_{v}") for v in values))
     return wide.crossJoin(F.broadcast(totals)).select(row, *(F.round(100 * F.try_divide(F.col(str(v)), F.col(f"t_{v}")), 6).alias(str(v)) for v in values))
 

@@ -153,7 +153,7 @@ def validate_published(spark, d):
     return io.published_checks(e, "id_registro", masks["evolucao"], ("1", "2"), "evolucao")
 
 
-@query(f"WITH {SQL_EPISODES} SELECT 'episodes' AS nome, count(*) AS linhas, 36 AS colunas FROM ep")
+@query(f"WITH {SQL_EPISODES} SELECT 'episodes' AS nome, count(*) AS linhas, 38 AS colunas FROM ep")
 def profile_manifest(spark, d):
     m = io.manifest(episodes(spark, d), "episodes", "1")
     return m.select("nome", "linhas", "colunas")
