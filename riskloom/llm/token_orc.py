@@ -14,6 +14,9 @@ with an equal id keep one fixed order (by text); an empty table gives an empty f
 from __future__ import annotations
 
 import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, fresh_path, small_slices
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, place long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
 
@@ -36,21 +39,38 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
+
+
+def parted(text: str | None) -> list[bytes]:
+    """Words whose ids join to those of the text. The vocabulary has lower case only and parts a closing mark from letters."""
+    raw = (text or "").encode()
+    return raw.split() if b"<|" in raw else CLOSING.sub(rb" \1", raw.lower()).split()  # special tokens keep their case
+
+
 def _encode(vocabulary_path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary_path)
-        known: dict[bytes, bytes] = {}
+        # a worker keeps the words of one vocabulary from task to task
+        known = sys.modules.setdefault(f"kept words of {vocabulary_path}", types.ModuleType("kept")).__dict__.setdefault("known", {})
         end, part, place = np.int32(end_id).tobytes(), TaskContext.get().partitionId(), 0
         for batch in small_slices(batches, 128):
-            texts = [t.encode().split() if t else [] for t in batch.column("text").to_pylist()]
+            texts = [parted(t) for t in batch.column("text").to_pylist()]
             if len(known) > KEPT_WORDS:
                 known.clear()
             new = list({w for t in texts for w in t if w not in known})
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<i4").tobytes()
+            for at in range(0, len(new), 1000):  # words in a row share the library's cost of a call
+                some = new[at : at + 1000]
+                one = tokenizer.encode(" ".join([w.decode() for w in some]), add_special_tokens=False)
+                ends = np.cumsum([len(w.decode()) + 1 for w in some])
+                spans = np.array(one.offsets, np.int64).reshape(-1, 2)
+                cuts = np.searchsorted(spans[:, 0], ends)
+                ids = np.array(one.ids, "<i4")
+                for w, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    known[w] = ids[a:b].tobytes()
             parts = [b"".join(map(known.__getitem__, t)) + end for t in texts]
             sizes = np.array([len(p) // 4 for p in parts], np.int64)
             ends = np.cumsum(sizes)
