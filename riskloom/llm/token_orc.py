@@ -39,38 +39,70 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
+LETTERS = re.compile("[a-zß-öø-ÿ]+")  # normal forms in lower case: the vocabulary's normalizer leaves them as they are
+MARKED = re.compile(rb"(?m)([a-z])([!-&(-/:-@\[-`{-~]+)$")  # the tokenizer parts letters from marks; an apostrophe may stand with letters
 
 
-def parted(text: str | None) -> list[bytes]:
-    """Words whose ids join to those of the text. The vocabulary has lower case only and parts a closing mark from letters."""
+def words_of(text: str | None) -> list[bytes]:
+    """Words in lower case, which the vocabulary has only; special tokens keep their case."""
     raw = (text or "").encode()
-    return raw.split() if b"<|" in raw else CLOSING.sub(rb" \1", raw.lower()).split()  # special tokens keep their case
+    return [w if b"<|" in w else w.lower() for w in raw.split()] if b"<|" in raw else raw.lower().split()
+
+
+def unseen(words: set[bytes], known: dict[bytes, bytes], whole, plain) -> None:
+    """Put the ids of words into known. plain: the tokenizer with its steps for words of letters only."""
+    mixed = [w for w in words if not w.isalpha()]
+    joined = b"\n".join(mixed)
+    parts = joined if b"<|" in joined else MARKED.sub(rb"\1 \2", joined)
+    marked = {w: p.split(b" ") for w, p in zip(mixed, parts.split(b"\n"), strict=False) if len(w) < len(p)}
+    new = [w.decode() for w in words.difference(marked).union(*marked.values()).difference(known)]
+    letters = [w for w in new if LETTERS.fullmatch(w)]
+    for some in chunks(letters):  # words in a row share the library's cost of a call
+        one = plain.encode(" ".join(some), add_special_tokens=False)
+        cut(some, np.array(one.ids, "<i4"), np.searchsorted(np.array(one.word_ids), np.arange(1, len(some) + 1)), known)
+    for some in chunks([w for w in new if not LETTERS.fullmatch(w)] if len(letters) < len(new) else []):
+        one = whole.encode(" ".join(some), add_special_tokens=False)
+        starts = np.array(one.offsets, np.int64).reshape(-1, 2)[:, 0]
+        cut(some, np.array(one.ids, "<i4"), np.searchsorted(starts, np.cumsum([len(w) + 1 for w in some])), known)
+    for word, (letters_of, marks) in marked.items():
+        known[word] = known[letters_of] + known[marks]
+
+
+def chunks(words: list[str], size: int = 1000) -> Iterator[list[str]]:
+    return (words[at : at + size] for at in range(0, len(words), size))
+
+
+def cut(words: list[str], ids: np.ndarray, ends: np.ndarray, out: dict[bytes, bytes]) -> None:
+    raw, at = ids.tobytes(), 0
+    for word, end in zip(words, (4 * ends).tolist(), strict=True):
+        out[word.encode()] = raw[at:end]
+        at = end
+
+
+def tokenizers_of(vocabulary_path: str):
+    """The tokenizer, and one that only parts words at white space before it maps bytes."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    whole, plain = Tokenizer.from_file(vocabulary_path), Tokenizer.from_file(vocabulary_path)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return whole, plain
 
 
 def _encode(vocabulary_path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary_path)
-        # a worker keeps the words of one vocabulary from task to task
-        known = sys.modules.setdefault(f"kept words of {vocabulary_path}", types.ModuleType("kept")).__dict__.setdefault("known", {})
+        # a worker keeps the tokenizers and words of one vocabulary from task to task
+        kept = sys.modules.setdefault(f"kept words of {vocabulary_path}", types.ModuleType("kept")).__dict__
+        if "known" not in kept:
+            kept["known"], kept["tokenizers"] = {}, tokenizers_of(vocabulary_path)
+        known, (whole, plain) = kept["known"], kept["tokenizers"]
         end, part, place = np.int32(end_id).tobytes(), TaskContext.get().partitionId(), 0
         for batch in small_slices(batches, 128):
-            texts = [parted(t) for t in batch.column("text").to_pylist()]
+            texts = [words_of(t) for t in batch.column("text").to_pylist()]
             if len(known) > KEPT_WORDS:
                 known.clear()
-            new = list({w for t in texts for w in t if w not in known})
-            for at in range(0, len(new), 1000):  # words in a row share the library's cost of a call
-                some = new[at : at + 1000]
-                one = tokenizer.encode(" ".join([w.decode() for w in some]), add_special_tokens=False)
-                ends = np.cumsum([len(w.decode()) + 1 for w in some])
-                spans = np.array(one.offsets, np.int64).reshape(-1, 2)
-                cuts = np.searchsorted(spans[:, 0], ends)
-                ids = np.array(one.ids, "<i4")
-                for w, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                    known[w] = ids[a:b].tobytes()
+            unseen(set().union(*texts).difference(known), known, whole, plain)
             parts = [b"".join(map(known.__getitem__, t)) + end for t in texts]
             sizes = np.array([len(p) // 4 for p in parts], np.int64)
             ends = np.cumsum(sizes)
