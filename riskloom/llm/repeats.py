@@ -120,12 +120,12 @@ def _phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes under the windows of each open phrase of a text."""
-    names = ["core", "key", "low", "bytes"]
+    names = ["core", "key", "low", "crowded", "bytes"]
     for batch in batches:
         for key, text, edges in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "edges")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            rows = [(e["core"], key, e["low"], raw[e["low"] : e["high"] + LENGTH]) for e in edges]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
+            rows = [(e["core"], key, e["low"], e["crowded"], raw[e["low"] : e["high"] + LENGTH]) for e in edges]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=names)
 
 
 def window_hashes(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,28 +208,36 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def counted(rows: DataFrame, counts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Join rows with counts of them by keys. Keys that hold over a thousandth of all rows, fewer than a thousand, are broadcast."""
+    limit = (counts.agg(F.sum(count)).first()[0] or 0) / 1000
+    hot = F.broadcast(counts.where(F.col(count) > limit))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counts.where(F.col(count) <= limit), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """``key, low, high``: first and last places of windows that occur elsewhere too. rows: ``key, text``."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.select("key", "text").mapInArrow(_phrases, PHRASE)
-    cores = found.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1")
-    shared = stored(found.join(cores, "core"), "op3-shared")
-    hulls = shared.groupBy("core", "hull").agg(F.count("*").alias("hulls"))
-    shared = stored(shared.join(hulls, ["core", "hull"]), "op3-phrases")
+    found = stored(rows.select("key", "text").mapInArrow(_phrases, PHRASE), "op3-found")
+    cores = stored(found.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1"), "op3-cores")
+    shared = stored(counted(found, cores, ["core"], "cores").drop("cores"), "op3-shared")
+    hulls = stored(shared.groupBy("core", "hull").agg(F.count("*").alias("hulls")), "op3-hulls")
+    shared = stored(counted(shared, hulls, ["core", "hull"], "hulls"), "op3-phrases")
     whole = shared.where("hulls > 1").select("key", "low", "high")
     # phrases with one core compare with all others of it, settled ones included: their hulls stand for them once
-    first = shared.where("hulls > 1").groupBy("core", "hull").agg(F.min_by(F.struct("key", "low", "high", "cores"), F.struct("key", "low")).alias("p")).select("core", "p.*")
-    open_cores = shared.where("hulls = 1").select("core").distinct()
-    edges = shared.where("hulls = 1").select("core", "key", "low", "high", "cores").unionByName(first.join(open_cores, "core", "left_semi").select("core", "key", "low", "high", "cores"))
-    grouped = edges.groupBy("key").agg(F.collect_list(F.struct("core", "low", "high")).alias("edges"))
-    contexts = rows.select("key", "text").dropDuplicates(["key"]).join(grouped, "key").mapInArrow(_contexts, "core long, key long, low int, bytes binary")
+    first = shared.where("hulls > 1").groupBy("core", "hull").agg(F.min_by(F.struct("key", "low", "high"), F.struct("key", "low")).alias("p")).select("core", "p.*")
+    edges = shared.where("hulls = 1").select("core", "key", "low", "high").withColumn("own", F.lit(True)).unionByName(first.withColumn("own", F.lit(False)))
+    loads = edges.groupBy("core").agg(F.count("*").alias("n"), F.max("own").alias("open")).where("open").select("core", "n")
+    edges = counted(edges, stored(loads, "op3-loads"), ["core"], "n").withColumn("crowded", F.col("n") > MANY)
+    grouped = edges.groupBy("key").agg(F.collect_list(F.struct("core", "low", "high", "crowded")).alias("edges"))
+    contexts = rows.select("key", "text").dropDuplicates(["key"]).join(grouped, "key").mapInArrow(_contexts, "core long, key long, low int, crowded boolean, bytes binary")
     contexts = stored(contexts, "op3-contexts")
-    many = edges.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("core")
-    few = contexts.join(many, "core", "left_anti").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(_settle, "key long, low int, high int")
-    rows_of = stored(contexts.join(many, "core", "left_semi").select("key", "low", "bytes").mapInArrow(_windows, "h long, key long, low int"), "op3-windows")
-    again = rows_of.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    single = rows_of.join(again, "h", "left_semi").select("key", "low", F.col("low").alias("high"))
+    few = contexts.where("not crowded").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(_settle, "key long, low int, high int")
+    rows_of = stored(contexts.where("crowded").select("key", "low", "bytes").mapInArrow(_windows, "h long, key long, low int"), "op3-windows")
+    again = stored(rows_of.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "op3-again")
+    single = counted(rows_of, again, ["h"], "n").select("key", "low", F.col("low").alias("high"))
     return whole.unionByName(few).unionByName(single)
 
 

@@ -48,7 +48,9 @@ def test_join_against_brute_force(spark):
     assert got == part
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize("many", [repeats.MANY, 2])
+def test_repeats_against_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(repeats, "MANY", many)
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(120).collect()]
     docs += [(1000, docs[0][1] + docs[1][1]), (1001, "a" * 700), (1002, None), (1003, "ä" * 150)]
     raw, n = [(i, (t or "").encode()) for i, t in docs], repeats.LENGTH
