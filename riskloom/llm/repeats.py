@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, forget, fresh_path, stored
 
 U = np.uint64
 LENGTH, GRAM = 200, 48
@@ -220,11 +220,14 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     """``key, low, high``: first and last places of windows that occur elsewhere too. rows: ``key, text``."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(rows.select("key", "text").mapInArrow(_phrases, PHRASE), "op3-found")
+    found_at, shared_at = fresh_path(spark, "op3-found"), fresh_path(spark, "op3-shared")
+    found = stored(rows.select("key", "text").mapInArrow(_phrases, PHRASE), "op3-found", found_at)
     cores = stored(found.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1"), "op3-cores")
-    shared = stored(counted(found, cores, ["core"], "cores").drop("cores"), "op3-shared")
+    shared = stored(counted(found, cores, ["core"], "cores").drop("cores"), "op3-shared", shared_at)
+    forget(spark, found_at)  # later steps read the written tables that follow
     hulls = stored(shared.groupBy("core", "hull").agg(F.count("*").alias("hulls")), "op3-hulls")
     shared = stored(counted(shared, hulls, ["core", "hull"], "hulls"), "op3-phrases")
+    forget(spark, shared_at)
     whole = shared.where("hulls > 1").select("key", "low", "high")
     # phrases with one core compare with all others of it, settled ones included: their hulls stand for them once
     first = shared.where("hulls > 1").groupBy("core", "hull").agg(F.min_by(F.struct("key", "low", "high"), F.struct("key", "low")).alias("p")).select("core", "p.*")
