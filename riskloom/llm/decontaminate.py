@@ -8,6 +8,13 @@ leak when it covers at least ``SHARE`` of the item's windows and its slots agree
 of the item always meets one value of the document. So a question with other numbers or
 names is caught, and one that only shares its wording with changed roles is not.
 
+An alignment is one shift of the places, or a band of shifts that reaches over half the
+item's length, at least over a window: words put in or left out move what follows. Bands
+also count windows that are equal when names are read as words in lower case, which finds
+texts in capitals or without any. SQL knows the one shift with most windows only: its rows
+come out alike, and the rest is added. A text that has words put in so closely that less
+than ``SHARE`` of the item's windows stay whole is not found.
+
 Windows that are placeholders only say nothing and are left out. Items with fewer tokens
 than a window are compared as one window of their own length.
 
@@ -23,7 +30,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, stored, table
@@ -82,46 +89,107 @@ def kinds_of(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: x["k"])
 
 
-def tokens_of(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(F.col(key).cast("long").alias(key), template(F.col("text")).alias("t"))
+def folded_of(tokens: Column) -> Column:
+    """The template without names: words in lower case, however they were written."""
+    return F.transform(tokens, lambda x: F.when(x["k"] == "#p", x["v"]).otherwise(x["k"]))
+
+
+def folded_places(kinds: Column, size: int) -> Column:
+    """First places (from 1) of the windows that hold a name, whose folded form is another one."""
+    at = F.filter(F.transform(kinds, lambda k, i: F.when(k == "#p", i + 1)), lambda i: i.isNotNull())
+    last = F.size(kinds) - size + 1
+    near = F.transform(at, lambda i: F.sequence(F.greatest(i - size + 1, F.lit(1)), F.least(i, last)))
+    return F.when(last >= 1, F.array_distinct(F.flatten(near))).otherwise(F.array().cast("array<int>"))
+
+
+def tokens_of(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, template(F.col("text")).alias("t"))
+
+
+def _words(kinds: Column, size: Column) -> Column:
+    """How many tokens of each window are no placeholders."""
+    w = F.transform(kinds, lambda k: (~k.startswith("#")).cast("int"))
+    return _with(w, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.aggregate(F.slice(w, i, size), F.lit(0), lambda a, b: a + b)))
+
+
+def _slots_agree(slots: Column) -> Column:
+    return F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["k"], x["a"]))))
+
+
+def _met(item: Column, doc: Column) -> Column:
+    """Pairs of tokens of two equally long runs: (kind in the item, its value, the document's value)."""
+    return F.zip_with(item, doc, lambda a, b: F.struct(a["v"].alias("a"), b["v"].alias("b"), a["k"].alias("k"), (a["k"] == b["k"]).alias("same")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``doc_id, item_id, n_windows, item_windows, n_slots`` of each leak."""
-    items = stored(tokens_of(benchmark.select("item_id", "text").groupBy("item_id").agg(F.min("text").alias("text")), "item_id"), "op4-items").where(F.size("t") > 0)
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").groupBy("item_id").agg(F.min("text").alias("text"))
+    items = stored(tokens_of(texts.withColumn("item", F.monotonically_increasing_id()), "item", "item_id"), "op4-items").where(F.size("t") > 0)
     own = F.least(F.size("t"), F.lit(window))
     sizes = sorted(r[0] for r in items.select(own).distinct().collect()) or [window]  # at most ``window`` numbers
-    held = reduce(DataFrame.unionByName, (windows(items.where(own == n), "item_id", kinds_of(F.col("t")), n) for n in sizes))
     # placeholders alone say nothing
-    words = items.select("item_id", own.alias("n"), F.transform("t", lambda x: (~x["k"].startswith("#")).cast("int")).alias("w"))
-    words = words.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.aggregate(F.slice("w", i, F.col("n")), F.lit(0), lambda a, b: a + b))).alias("place", "n_words"))
-    held = stored(held.join(words.where("n_words > 0").select("item_id", "place"), ["item_id", "place"]), "op4-windows")
-    totals = held.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    bench = held.select("window", "item_id", (F.col("place") + 1).alias("item_place"))
+    counted = items.select("item", F.posexplode(F.arrays_zip(_words(kinds_of(F.col("t")), own).alias("plain"), _words(folded_of(F.col("t")), own).alias("folded"))).alias("place", "words")).select("item", "place", "words.*")
+    both_forms = [windows(items.where(own == n), "item", form(F.col("t")), n).withColumn("folded", F.lit(f)) for n in sizes for f, form in ((False, kinds_of), (True, folded_of))]
+    held = reduce(DataFrame.unionByName, both_forms).join(counted.withColumnRenamed("folded", "folded_words"), ["item", "place"])
+    held = held.where(F.when(F.col("folded"), F.col("folded_words") > 0).otherwise(F.col("plain") > 0))
+    # a folded window that equals the plain one is the plain one
+    held = stored(held.groupBy("item", "place", "window").agg(F.min("folded").alias("item_folded")), "op4-windows")
+    span = 2 * F.greatest(F.lit(window), F.ceil(F.size("t") / 2).cast("int"))
+    facts = items.select("item", "item_id", own.alias("n"), span.alias("span")).join(
+        counted.groupBy("item").agg(F.count_if(F.col("plain") > 0).alias("item_windows"), F.count_if(F.col("folded") > 0).alias("all_windows")), "item")
+    bench = held.select("window", "item", "item_folded", (F.col("place") + 1).alias("item_place"))
     if bench.count() <= BROADCAST_ROWS:
         bench = F.broadcast(bench)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kinds = kinds_of(template(F.col("text")))
-    found = _with(kinds, lambda k: F.flatten(F.array(*(F.transform(hashes(k, n), lambda h, i: F.struct((i + 1).cast("int").alias("place"), h.alias("window"))) for n in sizes))))
-    hits = rows.select("doc_id", F.inline(found)).join(bench, "window").select("doc_id", "item_id", "place", "item_place")
-    hits = stored(hits.distinct(), "op4-hits")
-    lines = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count_distinct("item_place").alias("n_windows"))
-    best = lines.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("shift", "n_windows"), F.struct("n_windows", -F.col("shift"))).alias("b")).select("doc_id", "item_id", "b.*")
-    best = stored(best.join(totals, "item_id").where(F.col("n_windows") >= share * F.col("item_windows")), "op4-best")
-
-    # slots along the alignment: a value of the item meets one value of the document
-    wanted = best.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = stored(tokens_of(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi"), "doc_id"), "op4-near")
-    near = near.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"))
-    both = best.join(near, F.col("doc_id").eqNullSafe(F.col("d"))).join(items.select(F.col("item_id").alias("i"), F.col("t").alias("it")), F.col("item_id") == F.col("i"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+    def of(t: Column) -> Column:
+        """(place, whether it is folded, window) of a text, for all sizes."""
+        def both(s: Column) -> Column:
+            plain = (F.transform(hashes(s["k"], n), lambda h, i: F.struct((i + 1).cast("int").alias("place"), F.lit(False).alias("doc_folded"), h.alias("window"))) for n in sizes)
+            folded = (F.transform(folded_places(s["k"], n), lambda i: F.struct(i.alias("place"), F.lit(True).alias("doc_folded"), F.xxhash64(F.lit(n), F.slice(s["f"], i, n)).alias("window"))) for n in sizes)
+            return F.flatten(F.array(*plain, *folded))
+
+        return _with(F.struct(kinds_of(t).alias("k"), folded_of(t).alias("f")), both)
+
+    hits = rows.select("doc_id", "text_key", F.inline(_with(template(F.col("text")), of))).join(bench, "window")
+    plain = ~F.col("doc_folded") & ~F.col("item_folded")
+    hits = hits.groupBy("doc_id", "text_key", "item", "place", "item_place").agg(F.max(plain).alias("plain"))
+    hits = stored(hits.withColumn("shift", F.col("place") - F.col("item_place")), "op4-hits")
+    pair = ["doc_id", "text_key", "item"]
+
+    # one shift: the alignment with most windows
+    lines = hits.where("plain").groupBy(*pair, "shift").agg(F.count_distinct("item_place").alias("n_windows"))
+    best = lines.groupBy(*pair).agg(F.max_by(F.struct("shift", "n_windows"), F.struct("n_windows", -F.col("shift"))).alias("b")).select(*pair, "b.*")
+    best = best.join(facts.select("item", "item_windows"), "item").where(F.col("n_windows") >= share * F.col("item_windows"))
+
+    # shifts in a band, as words that come in or fall out move what follows: of each window of the item the place on the shift with most windows
+    weight = F.count("*").over(Window.partitionBy(*pair, "shift"))
+    floor = lambda x: F.floor(x / F.col("span"))
+    bands = F.array(*(F.struct(F.lit(i).alias("way"), b.cast("long").alias("band")) for i, b in enumerate((F.col("shift"), floor(F.col("shift")), floor(F.col("shift") + F.col("span") / 2)))))
+    spread = hits.withColumn("weight", weight).join(facts, "item").withColumn("b", F.explode(bands)).select("*", "b.*")
+    picks = spread.groupBy(*pair, "way", "band", "item_place").agg(F.max_by("place", F.struct("weight", -F.col("shift"))).alias("place"))
+    wide = picks.groupBy(*pair, "way", "band").agg(F.count("*").alias("n_windows"), F.collect_list(F.struct("item_place", "place")).alias("picks"))
+    wide = wide.join(facts.select("item", "n", "all_windows"), "item").where(F.col("n_windows") >= share * F.col("all_windows"))
+    wide = wide.groupBy(*pair).agg(F.max_by(F.struct("n_windows", "picks", "n", "all_windows"), F.struct("n_windows", -F.col("way"), -F.col("band"))).alias("w")).select(*pair, "w.*")
+    found = best.select(*pair, "n_windows", "item_windows", "shift", F.lit(None).cast("array<struct<item_place:int,place:int>>").alias("picks"), F.lit(None).cast("int").alias("n")).unionByName(
+        wide.select(*pair, "n_windows", F.col("all_windows").alias("item_windows"), F.lit(None).cast("int").alias("shift"), "picks", "n"))
+    found = stored(found, "op4-found")
+
+    # slots: a value of the item meets one value of the document, along the one shift or inside the windows of a band
+    wanted = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("dk")).distinct()
+    same_doc = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("dk"))
+    near = stored(tokens_of(rows.join(wanted, same_doc, "left_semi").dropDuplicates(["doc_id", "text_key"]), "doc_id", "text_key"), "op4-near")
+    near = near.select(F.col("doc_id").alias("d"), F.col("text_key").alias("dk"), F.col("t").alias("dt"))
+    both = found.join(near, same_doc).join(items.select("item", "item_id", F.col("t").alias("it")), "item")
     low = F.greatest(F.col("shift"), F.lit(0))
-    met = F.zip_with(F.slice("it", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("it")), F.slice("dt", low + 1, F.size("it")), lambda a, b: F.struct(a["v"].alias("a"), b["v"].alias("b"), a["k"].alias("k"), (a["k"] == b["k"]).alias("same")))
-    slots = F.array_distinct(F.filter(met, lambda x: x["same"] & x["k"].startswith("#")))
-    checked = both.select("doc_id", "item_id", "n_windows", "item_windows", slots.alias("slots"))
-    agree = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["k"], x["a"]))))
-    out = checked.where(agree).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.size("slots")).alias("n_slots"))
-    return out
+    along = F.filter(_met(F.slice("it", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("it")), F.slice("dt", low + 1, F.size("it"))), lambda x: x["same"])
+    inside = F.flatten(F.transform("picks", lambda p: _met(F.slice("it", p["item_place"], F.col("n")), F.slice("dt", p["place"], F.col("n")))))
+    met = F.when(F.col("picks").isNull(), along).otherwise(inside)
+    slots = F.array_distinct(F.transform(F.filter(met, lambda x: x["k"].startswith("#")), lambda x: F.struct(x["k"].alias("k"), x["a"].alias("a"), x["b"].alias("b"))))
+    checked = both.select("doc_id", "item_id", "n_windows", "item_windows", F.col("picks").isNull().alias("one"), slots.alias("slots")).where(_slots_agree(F.col("slots")))
+    # what one shift shows is told by its figures
+    row = F.struct("n_windows", "item_windows", F.size("slots").alias("n_slots"))
+    return checked.groupBy("doc_id", "item_id").agg(F.max_by(row, F.struct("one", "n_windows", F.size("slots"))).alias("r")).select("doc_id", "item_id", "r.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

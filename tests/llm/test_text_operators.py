@@ -159,3 +159,19 @@ def test_odd_rows_and_empty_tables(spark, odd):
         assert mixing.mix_sources(docs).count() == n
         assert quality_rules.judge(quality_rules.text_counts(docs), labels).count() == n
         assert site_quality.classify(docs, labels, F.col("source"), F.col("lang")).count() >= n
+
+
+ITEM = "while the old miller counts his sacks of flour beside the quiet river a young trader from the far hills brings nine carts of salt and asks whether the bridge will hold until the evening market closes its gates"
+
+
+def _leaks(spark, docs, bench):
+    rows = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(*rows).collect()}
+
+
+def test_leaks_with_a_word_put_in_or_left_out_and_in_capitals(spark):
+    w = ITEM.split()
+    mid = len(w) // 2
+    docs = [(1, " ".join([*w[:mid], "indeed", *w[mid:]])), (2, " ".join(w[:mid] + w[mid + 1 :])), (3, "before. " + ITEM.upper() + " AFTER."), (4, ITEM.title()), (5, " ".join(w[::-1])), (6, " ".join(w[:15]))]
+    assert _leaks(spark, docs, [(1, ITEM)]) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert _leaks(spark, [(1, ITEM), (2, "nothing of it")], [(7, ITEM.upper())]) == {(1, 7)}
