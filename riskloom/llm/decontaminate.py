@@ -3,7 +3,7 @@ r"""Benchmark decontamination by templates.
 Texts are cut into tokens, and numbers, units that follow numbers, and names (capitalised
 words that do not follow an opening or a sentence's end) become typed placeholders. Windows
 of ``WINDOW`` template tokens of the benchmark are hash-joined with those of all documents.
-For each document and item the alignment with most common windows is taken; it counts as a
+For each document and item every alignment of common windows is judged; one counts as a
 leak when it covers at least ``SHARE`` of the item's windows and its slots agree: one value
 of the item always meets one value of the document. So a question with other numbers or
 names is caught, and one that only shares its wording with changed roles is not.
@@ -23,7 +23,8 @@ beyond ``BROADCAST_ROWS`` the join shuffles.
 
 Defined cases: null or blank texts have no tokens and no leaks; null ids match as any id
 does; an item or document given twice counts once; an empty benchmark or table gives an
-empty result; other columns are ignored.
+empty result; an id that holds several texts matches by any of them; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def _met(item: Column, doc: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``doc_id, item_id, n_windows, item_windows, n_slots`` of each leak."""
-    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").groupBy("item_id").agg(F.min("text").alias("text"))
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     items = stored(tokens_of(texts.withColumn("item", F.monotonically_increasing_id()), "item", "item_id"), "op4-items").where(F.size("t") > 0)
     own = F.least(F.size("t"), F.lit(window))
     sizes = sorted(r[0] for r in items.select(own).distinct().collect()) or [window]  # at most ``window`` numbers
@@ -170,7 +171,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     picks = spread.groupBy(*pair, "way", "band", "item_place").agg(F.max_by("place", F.struct("weight", -F.col("shift"))).alias("place"))
     wide = picks.groupBy(*pair, "way", "band").agg(F.count("*").alias("n_windows"), F.collect_list(F.struct("item_place", "place")).alias("picks"))
     wide = wide.join(facts.select("item", "n", "all_windows"), "item").where(F.col("n_windows") >= share * F.col("all_windows"))
-    wide = wide.groupBy(*pair).agg(F.max_by(F.struct("n_windows", "picks", "n", "all_windows"), F.struct("n_windows", -F.col("way"), -F.col("band"))).alias("w")).select(*pair, "w.*")
     found = best.select(*pair, "n_windows", "item_windows", "shift", F.lit(None).cast("array<struct<item_place:int,place:int>>").alias("picks"), F.lit(None).cast("int").alias("n")).unionByName(
         wide.select(*pair, "n_windows", F.col("all_windows").alias("item_windows"), F.lit(None).cast("int").alias("shift"), "picks", "n"))
     found = stored(found, "op4-found")

@@ -175,3 +175,12 @@ def test_leaks_with_a_word_put_in_or_left_out_and_in_capitals(spark):
     docs = [(1, " ".join([*w[:mid], "indeed", *w[mid:]])), (2, " ".join(w[:mid] + w[mid + 1 :])), (3, "before. " + ITEM.upper() + " AFTER."), (4, ITEM.title()), (5, " ".join(w[::-1])), (6, " ".join(w[:15]))]
     assert _leaks(spark, docs, [(1, ITEM)]) == {(1, 1), (2, 1), (3, 1), (4, 1)}
     assert _leaks(spark, [(1, ITEM), (2, "nothing of it")], [(7, ITEM.upper())]) == {(1, 7)}
+
+
+def test_leaks_by_any_alignment_and_odd_items(spark):
+    item = "so a box holds 12 kg of rice and Anna gives 3 kg to Bob while Carl looks on and then asks how many kg does Anna keep from the lot"
+    changed = item.replace("does Anna keep", "does Bob keep")
+    half = "so a box holds 12 kg of rice and Anna gives 3 kg to Bob while Carl looks on and we went home"
+    docs = [(1, f"{changed}\n{item}"), (2, changed), (3, half + " with 12 of them then a note came in that said so many things of 5 kg for Zoe from the lot")]
+    found = _leaks(spark, docs, [(1, item), (None, item), (2, "a word"), (2, item)])
+    assert {(1, 1), (1, None), (1, 2)} <= found and not any(d == 2 for d, _ in found)
