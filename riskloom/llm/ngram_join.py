@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -106,6 +107,15 @@ def most_apart(x: int, y: int, t: int) -> int:
     return x + y - 2 * math.ceil(t * (x + y) / (100 + t))
 
 
+@lru_cache(maxsize=1 << 16)
+def most_apart_of(x: int, low: int, high: int, t: int) -> int:
+    """Largest symmetric difference of a set of x and a linked set of low to high shingles.
+
+    Not always that of the largest one: 15 and 13 may differ in 2, 15 and 12 in 3.
+    """
+    return max(most_apart(x, y, t) for y in range(max(low, -(-x * t // 100)), min(high, x * 100 // t) + 1))
+
+
 def bands(largest: int, t: int) -> list[tuple[int, int]]:
     low, out = max(1, t // (100 - t)), []  # smaller sets link with equal ones only
     while low <= largest:
@@ -156,12 +166,12 @@ def signatures(h: np.ndarray, cold: np.ndarray, schemes: list[Scheme], t: int) -
     n = len(h)
     for at, s in enumerate(schemes):
         if s.low <= n < s.high:
-            partner = n * 100 // t
+            ends = s.low, n * 100 // t
         elif at + 1 < len(schemes) and s.high <= n < schemes[at + 1].high and -(-n * t // 100) < s.high:
-            partner = s.high - 1
+            ends = s.low, s.high - 1
         else:
             continue
-        apart = most_apart(n, partner, t)
+        apart = most_apart_of(n, *ends, t)
         m = s.exact + s.reserve
         place = mix(h ^ U(0x51ED270B * (at + 1)))
         seg = ((place >> U(32)) * U(m) >> U(32)).astype(np.int64)

@@ -184,3 +184,16 @@ def test_leaks_by_any_alignment_and_odd_items(spark):
     docs = [(1, f"{changed}\n{item}"), (2, changed), (3, half + " with 12 of them then a note came in that said so many things of 5 kg for Zoe from the lot")]
     found = _leaks(spark, docs, [(1, item), (None, item), (2, "a word"), (2, item)])
     assert {(1, 1), (1, None), (1, 2)} <= found and not any(d == 2 for d, _ in found)
+
+
+@pytest.mark.parametrize("small, large", [(12, 15), (18, 22), (20, 25)])
+def test_linked_sets_over_a_band_edge_share_a_signature(small, large):
+    schemes = ngram_join.plan_schemes([(low, 100, float(low)) for low, _ in ngram_join.bands(60, 80)], 60, 80)
+    rng = np.random.default_rng(small)
+    missed = 0
+    for _ in range(3000):
+        h = np.unique(rng.integers(0, 1 << 63, large, np.uint64))
+        part = np.sort(rng.choice(h, small, replace=False))
+        a, b = (np.concatenate(list(ngram_join.signatures(x, np.ones(len(x), bool), schemes, 80))) for x in (h, part))
+        missed += not np.intersect1d(a, b).size
+    assert missed == 0
