@@ -29,6 +29,7 @@ CELLS = 1 << 20
 BEGINNINGS = (4, 5, 6)  # bytes
 FEATURES = 1024
 LEAST_Z = 5.0  # standard errors by which a word's share in P must part from that in U
+WEAKER_Z = (3.0, 2.0)  # where no word reaches it
 STEPS, RATE, LASSO, SEED = 1000, 0.03, 1.5e-3, 6
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -61,33 +62,37 @@ def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Cells()
     for batch in small_slices(batches):
         cells = [sorted({c for w in words(t) for c in known[w]}) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(cells, pa.list_(pa.int32()))], names=["positive", "cells"])
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("in_u"), pa.array(cells, pa.list_(pa.int32()))], names=["positive", "in_u", "cells"])
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """Cells and labels of the fitting rows, and the share of positive rows among all that may be read."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, float]:
+    """Cells and labels of the fitting rows, whether they stand for U, and the share of positive rows among all that may be read."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("positive"))
     counts = {r["positive"]: r["c"] for r in known.groupBy("positive").agg(F.count("*").alias("c")).collect()}
     prior = counts.get(True, 0) / max(1, sum(counts.values()))
     order = F.md5(F.concat(F.lit("pu"), F.col("doc_id").cast("string")))
-    picked = known.where("positive").orderBy(order, "doc_id").limit(MOST_P).unionByName(known.orderBy(order, "doc_id").limit(MOST_U)).distinct()
+    p = known.where("positive").orderBy(order, "doc_id").limit(MOST_P).withColumn("in_u", F.lit(False))
+    u = known.orderBy(order, "doc_id").limit(MOST_U).withColumn("in_u", F.lit(True))
+    picked = p.unionByName(u).groupBy("doc_id", "positive").agg(F.max("in_u").alias("in_u"))
     rows = docs.join(F.broadcast(picked), "doc_id")  # MOST_P + MOST_U ids at most
-    got = rows.select("positive", "text").mapInArrow(_cells, "positive boolean, cells array<int>").limit(2 * (MOST_P + MOST_U)).toPandas()
-    return [np.asarray(c) for c in got["cells"]], got["positive"].to_numpy(bool), prior
+    got = rows.select("positive", "in_u", "text").mapInArrow(_cells, "positive boolean, in_u boolean, cells array<int>").limit(2 * (MOST_P + MOST_U)).toPandas()
+    return [np.asarray(c) for c in got["cells"]], got["positive"].to_numpy(bool), got["in_u"].to_numpy(bool), prior
 
 
-def fit(cells: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(cells: list[np.ndarray], positive: np.ndarray, in_u: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(cells, weights, bias) of the model with the lowest non-negative risk."""
-    if not positive.any() or positive.all():
+    if not positive.any() or positive.all() or not in_u.any():
         return np.empty(0, np.int64), np.empty(0), -50.0
     flat = np.concatenate(cells).astype(np.int64)
     row = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
     p = np.bincount(flat[positive[row]], minlength=CELLS) / positive.sum()
-    u = np.bincount(flat, minlength=CELLS) / len(cells)
-    seen = np.bincount(flat, minlength=CELLS) >= max(3, len(cells) // 500)
+    u = np.bincount(flat[in_u[row]], minlength=CELLS) / in_u.sum()
+    # few positive rows cannot hold a word as often as many rows would ask for
+    seen = np.bincount(flat, minlength=CELLS) >= max(min(3, positive.sum()), min(len(cells) // 500, positive.sum() // 5))
     gain = np.where(seen, np.abs(p - u) / np.sqrt((u * (1 - u) + 1e-3) / positive.sum()), 0)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] > LEAST_Z]
+    # a weaker word is better than none
+    chosen = next((c for z in (LEAST_Z, *WEAKER_Z) if len(c := chosen[gain[chosen] > z])), chosen[:0])
     place = np.full(CELLS, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     keep = place[flat] >= 0
@@ -96,10 +101,10 @@ def fit(cells: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np
     rng = np.random.default_rng(SEED)
     w, b = np.zeros(len(chosen), np.float32), np.float32(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    all_p = np.flatnonzero(positive)
+    all_p, all_u = np.flatnonzero(positive), np.flatnonzero(in_u)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
-        xp, xu = x[rng.choice(all_p, 256)], x[rng.choice(len(x), 512)]
+        xp, xu = x[rng.choice(all_p, 256)], x[rng.choice(all_u, 512)]
         sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
         rest = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
         gu = xu.T @ su / len(su) - prior * (xp.T @ sp) / len(sp), su.mean() - prior * sp.mean()
@@ -112,11 +117,11 @@ def fit(cells: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np
         w = w - scale * (m / fix)
         w = np.sign(w) * np.maximum(0, np.abs(w) - scale * LASSO)  # words of a few copied texts do not pay for themselves
         b = b - RATE * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
-    # the cut at 0.5: midway of the gap that parts the fitting rows best
+    # the cut at 0.5: midway of the gap that parts the fitting rows best, with P weighing the prior and U one
     z = x @ w + b
     order = np.argsort(-z, kind="stable")
-    hit = np.cumsum(positive[order])
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + positive.sum())
+    hit = np.cumsum(positive[order]) * (prior / positive.sum())
+    f1 = 2 * hit / (np.cumsum(in_u[order]) / in_u.sum() + prior)
     f1[:-1][z[order][:-1] == z[order][1:]] = 0
     best = int(np.argmax(f1))
     after = z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1

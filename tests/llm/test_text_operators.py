@@ -197,3 +197,30 @@ def test_linked_sets_over_a_band_edge_share_a_signature(small, large):
         a, b = (np.concatenate(list(ngram_join.signatures(x, np.ones(len(x), bool), schemes, 80))) for x in (h, part))
         missed += not np.intersect1d(a, b).size
     assert missed == 0
+
+
+def test_toxicity_keeps_the_unlabelled_sample_apart(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_P", 40)
+    monkeypatch.setattr(toxicity, "MOST_U", 100)
+    docs = spark.range(1000).selectExpr("id AS doc_id", "'some text' AS text")
+    cells, positive, in_u, prior = toxicity.sample(docs, docs.selectExpr("doc_id", "int(doc_id % 10 = 0) AS toxic"))
+    assert in_u.sum() == 100 and positive.sum() >= 40 and len(cells) == len(positive)
+    assert abs(positive[in_u].mean() - prior) < 0.1 and positive.mean() > 1.5 * positive[in_u].mean()
+
+
+def test_toxicity_cut_and_words_do_not_depend_on_extra_positive_rows():
+    rng = np.random.default_rng(1)
+    y = np.arange(2000) % 20 == 0
+    seen = np.where(y, rng.random(2000) < 0.9, rng.random(2000) < 0.3)
+    rows = [np.array([7, 9] if s else [9]) for s in seen]
+    extra = [r for r, pos in zip(rows, y, strict=True) if pos] * 8
+    lone = toxicity.fit(rows, y, np.ones(2000, bool), 0.05)
+    more = toxicity.fit(rows + extra, np.r_[y, np.ones(len(extra), bool)], np.r_[np.ones(2000, bool), np.zeros(len(extra), bool)], 0.05)
+    decide = lambda m: [m[2] + sum(w for c, w in zip(m[0], m[1], strict=True) if c in r) >= 0 for r in ((9,), (7, 9))]
+    assert decide(lone) == decide(more)
+
+
+def test_toxicity_learns_from_few_positive_rows():
+    y = np.arange(3000) < 4
+    cells, weights, bias = toxicity.fit([np.array([5, 100 + i % 50]) if p else np.array([100 + i % 50]) for i, p in enumerate(y)], y, np.ones(3000, bool), 4 / 3000)
+    assert 5 in cells
