@@ -17,10 +17,12 @@ WORD_GAP = "\\x20\\x09-\\x0D"  # the six ASCII white-space characters that part
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent, as on a laptop or in tests, a temporary folder is
-    made once and stored in the session.
+    Where the setting is absent and the master is local, as on a laptop or in tests, a
+    temporary folder is made once and stored in the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         own = tempfile.TemporaryDirectory(prefix="riskloom-")
         atexit.register(own.cleanup)
@@ -46,21 +48,19 @@ def forget(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def rows_to_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    """Gather tuples into Arrow batches of bounded length."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield as_batch(held, schema)
-            held = []
-    if held:
-        yield as_batch(held, schema)
+class Scratch:
+    """Written tables of one run, by name; those that later steps no longer read are removed."""
 
+    def __init__(self, spark: SparkSession, prefix: str):
+        self.spark, self.prefix, self.paths = spark, prefix, {}
 
-def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = path = fresh_path(self.spark, f"{self.prefix}-{name}")
+        return stored(df, name, path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            forget(self.spark, self.paths.pop(name))
 
 
 def small_slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     is written to the shared folder. Rounds grow with the logarithm of a component's size.
     """
     spark = edges.sparkSession
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    path = fresh_path(spark, name)
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name, path)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -95,9 +96,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # small-star: each node's smaller neighbours, and the node itself, hang from the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        path = fresh_path(spark, name)
-        small.where("u <> v").distinct().write.parquet(path)
-        now = spark.read.schema(small.schema).parquet(path)
+        before, path = path, fresh_path(spark, name)
+        now = stored(small.where("u <> v").distinct(), name, path)
+        forget(spark, before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
