@@ -17,22 +17,26 @@ in the pass that sizes the documents, and segments of nothing else are passed ov
 that runs out of segments indexes the first shingles of its own, hot ones last, as many as a
 linked set cannot all miss.
 
-Candidates of a signature are never paired with each other outright. Each is compared
-with the signature's pivot, then with the member that has most links, and only sets that are
-still in other components go on: their heads (the pivots that they are linked to) are compared, and members of two heads only
-where the triangle inequality of the Jaccard distance leaves a link possible. Every link is decided on the shingles themselves, not on hashes.
+Candidates of a signature are never paired with each other outright. Each set is first
+compared with the pivot it meets most often; signatures whose members that brings together are
+done. Members of the others meet in tasks, a bounded block at a time, where their parity
+sketches and sizes bound how far they are apart: each set names its nearest one of
+another component, these are compared, and only pairs that are still apart and that no bound
+rules out follow. Every link between different sets is decided on the shingles themselves. Sets
+are equal when size and two 64-bit sums of shingle hashes are; one of the sums is a set's name, and names are
+counted, so that two sets never share one (a second seed replaces the first if they do).
 
 Defined cases: a null or blank text has no shingles and no links; fewer words than the
-shingle length make one shingle; rows with a null id are returned with a null component;
-rows with an equal id count as one document having the links of each; equal texts are
-linked; an empty table gives an empty result; other columns are ignored.
+shingle length make one shingle; rows with a null id are returned with a null component and
+link nothing; rows with an equal id count as one document having the links of each, and give a row each;
+equal texts are linked; ties take the smaller name; a long text gives all its shingles; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -41,16 +45,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, small_slices, stored
+from .common import Scratch, components, documents, small_slices
 
 U = np.uint64
 BAND_RATIO = 1.6
 HOT_SHARE = 1e-3  # of all documents: shingles in more are hot; there are 1 / HOT_SHARE times the mean set size at most
 CHUNK = 1 << 20  # shingles that are counted at once
-ROUNDS = 3  # of new pivots at most; what they leave open is still compared
+BLOCK = 2048  # members of a signature that are held at once
+BESIDE = 256  # sets that are compared with one in a task
 BITS = 1024  # of the parity sketch that bounds a symmetric difference from below
 
 
+APART: dict[tuple[int, int, int, int], int] = {}  # what most_apart_of has found
+
+
 class WordHash(dict):
     """64-bit hashes of words, kept while they are few."""
 
@@ -89,10 +97,10 @@ def shingle_set(words: list[bytes], k: int) -> set[tuple]:
     return set(zip(*(words[j : len(words) - n + 1 + j] for j in range(n)), strict=True)) if n else set()
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
+def sketch(h: np.ndarray) -> bytes:
     """Parity of the shingles in each of BITS cells: sets differ in as many shingles, at least, as bits."""
     cells = np.bincount((mix(h ^ U(0x2545F4914F6CDD1D)) % U(BITS)).astype(np.int64), minlength=BITS)
-    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+    return np.packbits((cells & 1).astype(np.uint8)).tobytes()
 
 
 class Scheme(NamedTuple):
@@ -107,13 +115,14 @@ def most_apart(x: int, y: int, t: int) -> int:
     return x + y - 2 * math.ceil(t * (x + y) / (100 + t))
 
 
-@lru_cache(maxsize=1 << 16)
 def most_apart_of(x: int, low: int, high: int, t: int) -> int:
     """Largest symmetric difference of a set of x and a linked set of low to high shingles.
 
     Not always that of the largest one: 15 and 13 may differ in 2, 15 and 12 in 3.
     """
-    return max(most_apart(x, y, t) for y in range(max(low, -(-x * t // 100)), min(high, x * 100 // t) + 1))
+    if (key := (x, low, high, t)) not in APART:
+        APART[key] = max(most_apart(x, y, t) for y in range(max(low, -(-x * t // 100)), min(high, x * 100 // t) + 1))
+    return APART[key]
 
 
 def bands(largest: int, t: int) -> list[tuple[int, int]]:
@@ -199,18 +208,23 @@ def signatures(h: np.ndarray, cold: np.ndarray, schemes: list[Scheme], t: int) -
         yield np.concatenate(sigs)
 
 
-NODE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("sketch", pa.list_(pa.int64()))])
-SIG = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
+NODE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("sketch", pa.binary())])
+NODES = "doc_id long, row long, n long, fa long, fb long, sketch binary"
+SIG = pa.schema([("sig", pa.int64()), ("s", pa.int64())])
+
 
+def name_of(h: np.ndarray, seed: int) -> int:
+    return int(mix(h ^ mix(np.array([seed], U))).sum(dtype=U).astype(np.int64))
 
-def _nodes(k: int):
+
+def _nodes(k: int, seed: int):
     """A row for each document; rows with n = -1 hold a shingle (fa) that is hot in a chunk, and its count (fb)."""
 
     def hot(chunk: list[np.ndarray]) -> pa.RecordBatch:
         value, count = np.unique(np.concatenate(chunk), return_counts=True)
         many = count >= max(3, HOT_SHARE * len(chunk) / 2)
         n = int(many.sum())
-        columns = [pa.nulls(n, pa.int64()), pa.array(np.full(n, -1)), pa.array(value[many].view(np.int64)), pa.array(count[many].astype(np.int64)), pa.nulls(n, pa.list_(pa.int64()))]
+        columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, -1)), pa.array(value[many].view(np.int64)), pa.array(count[many].astype(np.int64)), pa.nulls(n, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, schema=NODE)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,15 +233,15 @@ def _nodes(k: int):
             rows = []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(words_of(text), k, cache)
-                both = [int(x.sum(dtype=U).astype(np.int64)) for x in (mix(h), mix(h ^ U(0xA5A5A5A5A5A5A5A5)))]
-                rows.append((len(h), *both, sketch(h)))
-                if len(h) and both[0] not in seen:  # equal sets count once
-                    seen.add(both[0])
+                name = name_of(h, seed)
+                rows.append((len(h), name, name_of(h, ~seed & 0xFFFF), sketch(h)))
+                if len(h) and name not in seen:  # equal sets count once
+                    seen.add(name)
                     chunk.append(h)
                     held += len(h)
             if rows:
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(NODE)[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=NODE)
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(NODE)[2:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], schema=NODE)
             if held > CHUNK:
                 yield hot(chunk)
                 chunk, held = [], 0
@@ -237,42 +251,44 @@ def _nodes(k: int):
     return run
 
 
-def _signatures(k: int, t: int, schemes: list[Scheme], hot):
+def _signatures(k: int, t: int, schemes: list[Scheme], hot, seed: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen, known = WordHash(), set(), hot.value
         for batch in small_slices(batches):
-            sigs, docs = [], []
+            sigs, names = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h = shingle_hashes(words_of(text), k, cache) if doc is not None else ()
-                if not len(h) or (key := (len(h), xxhash.xxh128_digest(h.tobytes()))) in seen:
-                    continue  # equal sets are linked by their fingerprints
-                seen.add(key)
+                if not len(h) or (name := name_of(h, seed)) in seen:
+                    continue  # equal sets have the same signatures
+                seen.add(name)
                 cold = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h if len(known) else np.ones(len(h), bool)
                 for found in signatures(h, cold, schemes, t):
                     sigs.append(found)
-                    docs.append(np.full(len(found), doc, np.int64))
+                    names.append(np.full(len(found), name, np.int64))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(docs))], schema=SIG)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names))], schema=SIG)
 
     return run
 
 
-BUCKET = pa.schema([("sig", pa.int64()), ("pivot", pa.int64()), ("doc_id", pa.int64())])
+BUCKET = pa.schema([("sig", pa.int64()), ("pivot", pa.int64()), ("s", pa.int64())])
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature, those of signatures with two rows or more, with the first row's id."""
-    last: tuple | None = None  # the row before: signature, pivot, id, whether it is out
+    """Of rows sorted by signature and name, those of signatures with two sets or more, once each, with the least name."""
+    last: tuple | None = None  # the row before: signature, pivot, name, whether it is out
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "doc_id"))
+        sig, name = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "s"))
         if last:
-            sig, doc = np.r_[last[0], sig], np.r_[last[2], doc]
+            sig, name = np.r_[last[0], sig], np.r_[last[2], name]
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])]
+        sig, name = sig[fresh], name[fresh]
         new = np.r_[True, sig[1:] != sig[:-1]]
         run = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        pivot = doc[first][run]
+        pivot = name[first][run]
         many = (np.diff(np.r_[first, len(sig)]) > 1)[run]
         out = many.copy()
         if last:
@@ -281,46 +297,140 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 many[run == 0] = True
                 out[run == 0] = True
                 out[0] = False
-        last = (sig[-1], pivot[-1], doc[-1], bool(many[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, pivot, doc)], schema=BUCKET)
+        last = (sig[-1], pivot[-1], name[-1], bool(many[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, pivot, name)], schema=BUCKET)
+
 
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
-LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()), ("uni", pa.int64())])
 
+def _compare(k: int, t: int):
+    """Of rows sorted by b and part, the set that b names first: whether each other one is linked with it."""
 
-def _compare(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set] = {}
+        at, beside = None, set()
         for batch in small_slices(batches, 128):
             rows = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                if b not in held:
-                    held = {b: shingle_set(words_of(y), k)}
-                one, two = shingle_set(words_of(x), k), held[b]
-                inter = len(one & two)
-                rows.append((a, b, inter, len(one) + len(two) - inter))
+            for b, part, s, text in zip(*(batch.column(c).to_pylist() for c in ("b", "part", "s", "text")), strict=True):
+                own = shingle_set(words_of(text), k)
+                if (b, part) != at:
+                    at, beside = (b, part), own
+                    continue
+                both = len(own & beside)
+                rows.append((s, b, 100 * both >= t * (len(own) + len(beside) - both)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], schema=LINK)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), LINK, strict=True)], schema=LINK)
+
+    return run
+
+
+def compare(pairs: DataFrame, texts: DataFrame, k: int, t: int) -> DataFrame:
+    """``a, b, linked`` of pairs of names: each text travels to the name that its pairs repeat, in parts of bounded size."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = pairs.groupBy("b").agg(F.count("*").alias("c"))
+    dealt = pairs.join(wide, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / BESIDE)).cast("int").alias("part"))
+    rows = dealt.select("b", "part", F.col("a").alias("s"), F.lit(1).alias("turn")).unionByName(dealt.select("b", "part").distinct().select("b", "part", F.col("b").alias("s"), F.lit(0).alias("turn")))
+    rows = rows.join(texts, "s").repartition(parts, "b", "part").sortWithinPartitions("b", "part", "turn")
+    return rows.select("b", "part", "s", "text").mapInArrow(_compare(k, t), "a long, b long, linked boolean")
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of each pair of sketches."""
+    return np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(2, dtype=np.int32)
+
+
+def _near(t: int, nearest: bool):
+    """Pairs of a block's members that lie in different components and that size and sketch allow to be linked.
+
+    Rows are sorted by signature and block; ``left`` rows meet each other and the rest of their block.
+    nearest: of each left member only the pair with the fewest differing bits.
+    """
+
+    def pairs(rows: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        name, part, n, left, raw = rows
+        bits = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
+        lefts, out = np.flatnonzero(left), []
+        for at in range(0, len(lefts), 256):
+            own = lefts[at : at + 256]
+            far = bits_apart(bits[own], bits)
+            both = n[own][:, None] + n[None, :]
+            room = both - 2 * -(-t * both // (100 + t))
+            ok = (far <= room) & (part[own][:, None] != part[None, :]) & (~left[None, :] | (name[own][:, None] < name[None, :]) | nearest)
+            if nearest:
+                best = np.where(ok, far, 1 << 30).argmin(1)
+                keep = ok[np.arange(len(own)), best]
+                out.append(np.column_stack([name[own[keep]], name[best[keep]]]))
+            else:
+                i, j = np.nonzero(ok)
+                out.append(np.column_stack([name[own[i]], name[j]]))
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            key = [rows[c].to_numpy() for c in ("sig", "x", "y")]
+            cols = [rows[c].to_numpy() for c in ("s", "part", "n")]
+            left, raw = rows["left"].to_numpy(), np.array(rows["sketch"].to_pylist(), object)
+            new = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in key], 0)])
+            found = [p for a, z in zip(new, [*new[1:], len(left)], strict=True) for p in pairs((*(c[a:z] for c in cols), left[a:z], raw[a:z]))]
+            if found and len(both := np.unique(np.sort(np.concatenate(found), 1), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            # whole blocks are settled: rows up to the last change of key
+            if not batch.num_rows:
+                continue
+            key = [batch.column(c).to_numpy() for c in ("sig", "x", "y")]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], 0)) + 1
+            if held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(("sig", "x", "y"), key, strict=True)):
+                yield from settle()
+                held = []
+            if len(change):
+                held.append(batch.slice(0, change[-1]))
+                yield from settle()
+                held = []
+                batch = batch.slice(change[-1])
+            held.append(batch)
+        if held:
+            yield from settle()
 
     return run
 
 
-def compare(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, t: int, name: str) -> DataFrame:
-    """``a, b, d, linked`` of pairs: their exact Jaccard distance, or a lower bound of it that rules a link out.
+def near_pairs(open_: DataFrame, t: int, nearest: bool) -> DataFrame:
+    """Distinct candidate pairs ``a < b`` of members of open signatures. open_: ``sig, s, part, n, sketch``.
 
-    b is the side that repeats. Sketches decide most pairs; texts are read for the others only.
+    Of each signature the members outside its largest component (left) meet all members, in blocks.
     """
-    one, two = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    size = F.col("na") + F.col("nb")
-    bound = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", size.alias("size"), bits.alias("bits"))
-    bound = stored(bound.withColumn("open", F.col("bits") <= F.col("size") - 2 * F.ceil(F.lit(t) * F.col("size") / F.lit(100.0 + t) - 1e-9)), name)
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    exact = bound.where("open").select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(k), "a long, b long, inter long, uni long")
-    exact = exact.select("a", "b", (1 - F.col("inter") / F.col("uni")).alias("d"), (F.lit(100) * F.col("inter") >= F.lit(t) * F.col("uni")).alias("linked"))
-    ruled_out = bound.where("not open").select("a", "b", (2 * F.col("bits") / (F.col("size") + F.col("bits"))).alias("d"), F.lit(False).alias("linked"))
-    return stored(exact.unionByName(ruled_out), name)
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = open_.groupBy("sig", "part").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("sig").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("few"))
+    rows = open_.join(most, "sig").withColumn("left", F.col("part") != F.col("main"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    place = lambda c: F.pmod(F.xxhash64("s", F.lit(7)), F.greatest(blocks(c), F.lit(1))).cast("int")
+    # block x of the left members meets block y of all members
+    own = F.when(F.col("left"), F.transform(F.sequence(F.lit(0), blocks("all") - 1), lambda y: F.struct(place("few").alias("x"), y.alias("y"))))
+    met = F.transform(F.sequence(F.lit(0), F.greatest(blocks("few"), F.lit(1)) - 1), lambda x: F.struct(x.alias("x"), place("all").alias("y")))
+    lefts = rows.where("left").select("sig", "s", "part", "n", "sketch", F.lit(True).alias("left"), F.inline(own))
+    rest = rows.select("sig", "s", "part", "n", "sketch", "left", place("few").alias("own"), place("all").alias("y0"), F.inline(met)).where("not left or x <> own").drop("own", "y0").withColumn("left", F.lit(False))
+    blocked = lefts.unionByName(rest).repartition(parts, "sig", "x", "y").sortWithinPartitions("sig", "x", "y", "s")
+    return blocked.select("sig", "x", "y", "s", "part", "n", "left", "sketch").mapInArrow(_near(t, nearest), "a long, b long").distinct()
+
+
+def named_sets(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Nodes, shingles that are hot in a chunk, classes of equal sets, and the seed of their names."""
+    seed = 0
+    while True:
+        both = scratch.put("nodes", docs.mapInArrow(_nodes(k, seed), NODES))
+        nodes = both.where("n >= 0")
+        known = nodes.where("doc_id is not null and n > 0")
+        classes = scratch.put("classes", known.groupBy("fa", "n", "fb").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.min("sketch").alias("sketch")).select(F.col("fa").alias("s"), "n", "fb", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("row"), "sketch"))
+        if classes.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+            return nodes, both.where("n < 0"), classes, seed
+        scratch.drop("nodes", "classes")
+        seed += 1
 
 
 def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -330,110 +440,62 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     links reach. threshold: percent of the union that the intersection must reach.
     """
     spark, t = docs.sparkSession, threshold
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = stored(docs.mapInArrow(_nodes(k), "doc_id long, n long, fa long, fb long, sketch array<long>"), "op1-nodes")
-    hot_rows, nodes = nodes.where("n < 0"), nodes.where("n >= 0")
-    known = nodes.where("doc_id is not null and n > 0")
-    classes = stored(known.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep")), "op1-classes")
-    twin = known.join(classes, ["n", "fa", "fb"]).select("doc_id", "rep").where("doc_id <> rep").distinct()
-    twin = stored(twin, "op1-twins")
-
-    largest = nodes.agg(F.max("n")).first()[0] or 0
+    scratch = Scratch(spark, "op1")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    nodes, hot_rows, classes, seed = named_sets(docs, k, scratch)
+
+    largest = classes.agg(F.max("n")).first()[0] or 0
     lows = [low for low, _ in bands(largest, t)]
-    if not lows:
-        sized: list = []
-    else:
-        band = F.lit(lows[0])
-        for low in lows[1:]:
-            band = F.when(F.col("n") >= low, low).otherwise(band)
-        sized = [(r["band"], r["c"], r["mean"]) for r in known.where(F.col("n") >= lows[0]).groupBy(band.alias("band")).agg(F.count("*").alias("c"), F.avg("n").alias("mean")).collect()]
+    sized: list = []
+    if lows:
+        band = F.element_at(F.filter(F.array(*map(F.lit, lows)), lambda low: low <= F.col("n")), -1)
+        sized = [(r["band"], r["c"], r["mean"]) for r in classes.where(F.col("n") >= lows[0]).groupBy(band.alias("band")).agg(F.count("*").alias("c"), F.avg("n").alias("mean")).collect()]
     schemes = plan_schemes(sized, largest, t)
-    least = max(20, HOT_SHARE * (classes.count()))
+    least = max(20, HOT_SHARE * classes.count())
     hot = hot_rows.groupBy("fa").agg(F.sum("fb").alias("c")).where(F.col("c") >= least).select("fa").collect()
     hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot], np.int64).view(U)))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sigs = docs.mapInArrow(_signatures(k, t, schemes, hot), "sig long, doc_id long")
-    buckets = stored(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_shared, "sig long, pivot long, doc_id long"), "op1-buckets")
-
-    # star pairs between class representatives
-    rep = lambda c: twin.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
-    star = buckets.where("pivot <> doc_id").groupBy("pivot", "doc_id").agg(F.count("*").alias("c"))
-    star = star.join(rep("pivot"), "pivot", "left").join(rep("doc_id"), "doc_id", "left")
-    star = star.select(F.coalesce("doc_id_rep", "doc_id").alias("a"), F.coalesce("pivot_rep", "pivot").alias("b"), "c").where("a <> b")
-    star = stored(star.groupBy("a", "b").agg(F.sum("c").alias("c")), "op1-star")
-    wanted = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = stored(wanted, "op1-wanted")
-    texts = stored(docs.join(wanted, "doc_id", "left_semi"), "op1-texts")
-    sketches = stored(known.select("doc_id", "n", "sketch").join(wanted, "doc_id", "left_semi"), "op1-sketches")
-    measure = lambda pairs, name: compare(pairs, sketches, texts, k, t, name)
-
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
-    links = measure(best, "op1-links")
-    part = components(links.where("linked").select("a", "b"), "op1-parts")
-
-    def of(df: DataFrame, column: str, parts: DataFrame) -> DataFrame:
-        named = parts.select(F.col("node").alias(column), F.col("component").alias(f"{column}_part"))
-        return df.join(named, column, "left").withColumn(f"{column}_part", F.coalesce(f"{column}_part", column))
-
-    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        return of(of(pairs, "a", parts), "b", parts).where("a_part <> b_part")
-
-    # the other pivots of sets that their best pivot did not bring together
-    rest = apart(star.join(best, ["a", "b"], "left_anti"), part).select("a", "b")
-    links = links.unionByName(measure(rest, "op1-rest"))
-    found = links.where("linked")
-    part = components(found.select("a", "b"), "op1-parts")
-
-    # signatures that still hold several components: new pivots, those with most links so far
-    member = buckets.join(rep("doc_id"), "doc_id", "left").join(rep("pivot"), "pivot", "left")
-    member = member.select("sig", F.coalesce("doc_id_rep", "doc_id").alias("x"), F.coalesce("pivot_rep", "pivot").alias("p"))
-    split = of(of(member, "x", part), "p", part).where("x_part <> p_part").select("sig").distinct()
-    member = stored(member.join(split, "sig", "left_semi").select("sig", "x").distinct(), "op1-members")
-    for _ in range(ROUNDS):
-        degree = found.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("degree"))
-        placed = of(member.join(degree, "x", "left"), "x", part).select("sig", "x", F.coalesce("degree", F.lit(0)).alias("degree"), F.col("x_part").alias("part"))
-        lead = placed.groupBy("sig").agg(F.max_by(F.struct(F.col("x").alias("b"), F.col("part").alias("b_in")), F.struct("degree", -F.col("x"))).alias("lead"), F.min("part").alias("low"), F.max("part").alias("high"))
-        lead = lead.where("low < high").select("sig", "lead.*")
-        placed = stored(placed.join(lead, "sig"), "op1-placed")
-        member = placed.select("sig", "x")
-        new = placed.where("part <> b_in").select(F.col("x").alias("a"), "b").distinct()
-        new = new.join(links.select("a", "b").union(links.select("b", "a")), ["a", "b"], "left_anti")
-        more = measure(new, "op1-more")
-        links = links.unionByName(more)
-        found = links.where("linked")
-        if more.where("linked").isEmpty():
-            break
-        part = components(found.select("a", "b"), "op1-parts")
-    both_ways = found.select("a", "b", "d").union(found.select("b", "a", "d"))
-    wide = both_ways.groupBy("b").agg(F.count("*").alias("degree"))
-    heads = both_ways.join(wide, "b").groupBy("a").agg(F.max_by(F.struct("b", "d"), F.struct("degree", "b")).alias("h")).select(F.col("a").alias("x"), F.col("h.b").alias("head"), F.col("h.d").alias("d"))
-    member = of(member.join(heads, "x", "left"), "x", part).select("sig", "x", F.col("x_part").alias("part"), F.coalesce("head", "x").alias("head"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    still = member.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
-    kept = stored(member.join(still, "sig", "left_semi"), "op1-open")
-
-    held = kept.groupBy("sig", "head").agg(F.first("part").alias("part"))
-    left, right = (held.select("sig", F.col("head").alias(h), F.col("part").alias(f"{h}_in")) for h in "ab")
-    met = left.join(right, "sig").where("a < b and a_in <> b_in").select("a", "b").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-    met = met.join(links.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    met = measure(met, "op1-met")
-    known_pairs = links.unionByName(met)
-    found = known_pairs.where("linked")
-    part = components(found.select("a", "b"), "op1-parts")
-
-    # members of unlinked heads, where distances to the heads leave a link possible
-    near = apart(known_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("d").alias("dh")).where(F.col("dh") <= 3 * (1 - t / 100) + 1e-9).distinct(), part).select(F.col("a").alias("ha"), F.col("b").alias("hb"), "dh")
-    one, two = (kept.select("sig", F.col("x").alias(x), F.col("head").alias(f"h{x}"), F.col("d").alias(f"d{x}")) for x in "ab")
-    last = one.join(near, "ha").join(two, ["sig", "hb"]).where(F.col("dh") - F.col("da") - F.col("db") <= 1 - t / 100 + 1e-9)
-    last = last.where("not (a = ha and b = hb)").select("a", "b").distinct()
-    last = apart(last, part).select("a", "b")
-    found = found.select("a", "b").unionByName(measure(last, "op1-last").where("linked").select("a", "b"))
-    part = components(found.unionByName(twin.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "op1-parts")
-
-    out = nodes.select("doc_id", F.col("n").alias("n_shingles"))
-    out = out.join(twin.select("doc_id", F.col("rep").alias("class_id")), "doc_id", "left")
-    out = out.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    sigs = docs.mapInArrow(_signatures(k, t, schemes, hot, seed), "sig long, s long")
+    buckets = scratch.put("buckets", sigs.repartition(parts, "sig").sortWithinPartitions("sig", "s").mapInArrow(_shared, "sig long, pivot long, s long"))
+    star = buckets.where("pivot <> s").groupBy("pivot", "s").agg(F.count("*").alias("c"))
+    best = scratch.put("best", star.groupBy(F.col("s").alias("a")).agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("b")))
+
+    wanted = scratch.put("wanted", buckets.select("s").distinct())
+    facts = classes.join(wanted, "s", "left_semi")
+    texts = facts.select("s", F.col("rep").alias("doc_id"), "row").join(docs, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("s", "text")
+    texts = scratch.put("texts", texts)
+    links = scratch.put("star-links", compare(best, texts, k, t).where("linked").select("a", "b"))
+
+    def opened(links: DataFrame, name: str) -> DataFrame:
+        """Members of signatures that hold several components, with their components."""
+        part = components(links, f"op1-{name}").select(F.col("node").alias("s"), F.col("component").alias("part"))
+        rows = buckets.select("sig", "s").join(part, "s", "left").withColumn("part", F.coalesce("part", "s"))
+        split = rows.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
+        return scratch.put(name, rows.join(split, "sig", "left_semi").join(facts.select("s", "n", "sketch"), "s"))
+
+    first = opened(links, "open")
+    nearest = scratch.put("nearest", near_pairs(first, t, True).join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = scratch.put("more-links", compare(nearest, texts, k, t).where("linked").select("a", "b"))
+    scratch.drop("open")
+    links = links.unionByName(more)
+    rest = near_pairs(opened(links, "left"), t, False)
+    seen = nearest.unionByName(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    rest = scratch.put("rest", rest.join(seen, ["a", "b"], "left_anti"))
+    links = links.unionByName(compare(rest, texts, k, t).where("linked").select("a", "b"))
+
+    # from names to ids: the least id of a set stands for it; an id with several sets joins them
+    rep = lambda c: classes.select(F.col("s").alias(c), F.col("rep").alias(f"{c}_rep"))
+    between = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    many = nodes.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("fa").alias("low"), F.max("fa").alias("high")).where("low < high").select("doc_id")
+    several = nodes.where("n > 0").join(many, "doc_id").select("doc_id", F.col("fa").alias("s")).distinct().join(classes.select("s", "rep"), "s").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    part = components(between.unionByName(several), "op1-parts")
+    of_class = classes.select(F.col("s").alias("fa"), "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "rep", F.coalesce("component", "rep").alias("component"))
+    out = nodes.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("fa")).alias("fa")).join(of_class, "fa", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = scratch.put("result", out)
+    scratch.drop(*(name for name in list(scratch.paths) if name != "result"))
+    return out
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
