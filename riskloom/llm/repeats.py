@@ -1,18 +1,26 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
-A rolling hash of short grams sets triggers: each window of ``LENGTH`` bytes belongs to the
-trigger with the least hash inside it, so equal windows have triggers at equal places. The
-windows of one trigger make a phrase, kept as two hashes: of its core, the trigger's gram,
-which all its windows hold, and of its hull, the bytes that any of them covers. Phrases are the
-dictionary, their places the parse. A hull that occurs twice marks all its windows; a core
-that occurs once rules them all out. What is left, at the edges of repeated passages, is
-brought into order by core, and its windows are told apart by their own hashes: in one pass
-over sorted phrases where few share a core, as rows of a grouped count where many do.
-
-Hashes have 64 bits and stand for the strings. No step sends a text twice or pairs texts.
+A rolling hash of grams of ``GRAM`` bytes sets triggers: each window of ``LENGTH`` bytes belongs to the
+trigger with the least hash inside it, so equal windows have triggers at equal places, and no window is without
+one. A phrase is the run of windows of one trigger: its left part, the bytes before the trigger, and its right
+part, the bytes from the trigger on. Distinct phrases are the dictionary, their places the parse.
+
+1. Parse. Phrases are kept as hashes: of the core, the trigger's gram, and of the hull, all bytes
+   that its windows cover. A core that occurs once rules its windows out; a hull that occurs twice
+   marks all of them, and stands once for all its places in what follows.
+2. Order. Phrases with one core are sorted by their right parts (the suffix array of the parse, with the lengths of common
+   prefixes) and by their left parts read backwards (the suffix array of the dictionary). A window that reaches ``a`` bytes to the
+   left of its trigger is told by the class of left parts that agree on ``a`` bytes and the class of right parts that agree on
+   ``LENGTH - a``: windows are equal if both classes are. This compares bytes, in numpy, for all phrases of some cores at once.
+3. Cores that more than ``MANY`` open phrases share are first cut into strips: windows that reach about equally far to the left.
+   A strip has a longer core and a shorter hull, goes through step 1 again, and then to step 2 or into
+   narrower strips; strips of one window are settled by step 1. So no task gets an unbounded group.
+
+Step 1 tells strings apart by 64 bits of the core and 128 bits of the hull, step 2 by their bytes. No step sends a text twice or pairs texts.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` keep all; equal rows are
-copies of each other; ids may be null or repeat (rows are told apart by id and text); an
+copies of each other; ids may be null or repeat (rows are told apart by id and text); long texts are parsed in pieces that overlap, so memory does not
+grow with them beyond the text itself; periodic texts give one phrase for each byte of a period, not of the text; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -20,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,68 +36,56 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, fresh_path, stored
+from .common import Scratch, documents, stored
 
 U = np.uint64
 LENGTH, GRAM = 200, 48
-BYTES = 1 << 20  # of texts that are parsed at once
-MANY = 2000  # phrases with one core from which windows are counted as rows
-STEP = 0x9E3779B97F4A7C15
-BACK = pow(STEP, -1, 2**64)
-LETTERS = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], U)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.cumprod(out)
+REACH = LENGTH - GRAM  # bytes that a window has before its trigger, at most
+PIECE = 1 << 20  # bytes that are parsed at once
+MANY = 4000  # open phrases of one core that a task sorts; more are cut into strips
+STRIPS = (51, 17, 6, 2, 1)  # windows of a strip
+TOGETHER = 4000  # phrases that are sorted at once
 
 
 class Hashes:
     """64-bit hashes of any byte ranges of a buffer, from prefix sums."""
 
-    up = powers(STEP, 1 << 16)
-    down = powers(BACK, 1 << 16)
-
-    def __init__(self, data: np.ndarray):
-        n = len(data) + 1
-        if len(Hashes.up) < n:
-            Hashes.up, Hashes.down = powers(STEP, 2 * n), powers(BACK, 2 * n)
-        self.sums = np.zeros(n, U)
-        np.cumsum(LETTERS[data] * Hashes.up[: n - 1], out=self.sums[1:])
+    def __init__(self, data: np.ndarray, seed: int):
+        step = xxhash.xxh64_intdigest(b"step", seed) | 5
+        letters = np.array([xxhash.xxh64_intdigest(bytes([b]), seed) for b in range(256)], U)
+        up, self.down = (np.cumprod(np.r_[U(1), np.full(len(data), x, U)]) for x in (step, pow(step, -1, 2**64)))
+        self.sums = np.zeros(len(data) + 1, U)
+        np.cumsum(letters[data] * up[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        x = (self.sums[end] - self.sums[start]) * Hashes.down[start]
+        x = (self.sums[end] - self.sums[start]) * self.down[start]
         x = (x ^ (x >> U(31))) * U(0xFF51AFD7ED558CCD)
         return x ^ (x >> U(29)) ^ (end - start).astype(U)
 
 
-def gathered(batches: Iterable[pa.RecordBatch], limit: int = BYTES) -> Iterator[pa.Table]:
-    """Rows in groups of about ``limit`` bytes; a longer text stands alone."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = np.cumsum(np.array([len(t or "") for t in batch.column("text").to_pylist()]))
-        start = 0
-        while start < batch.num_rows:
-            base = sizes[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(sizes, base + limit)))
-            yield batch.slice(start, stop - start)
-            start = stop
-
-
-def buffer_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+def pieces(texts: list[str | None], limit: int | None = None) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(row, place, bytes) of pieces, in groups of about ``limit`` bytes; each window lies in one piece."""
+    limit, held, size = limit or PIECE, [], 0
+    for row, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        for at in range(0, max(1, len(raw) - LENGTH + 1), limit):
+            piece = raw[at : at + limit + LENGTH - 1]
+            if held and size + len(piece) > limit:
+                yield held
+                held, size = [], 0
+            held.append((row, at, piece))
+            size += len(piece)
+    if held:
+        yield held
 
 
 def phrases(data: np.ndarray, ends: np.ndarray, h: Hashes) -> tuple[np.ndarray, ...]:
-    """(text, trigger, first window, last window) of each phrase, as places in the buffer."""
-    n, width = len(data), LENGTH - GRAM + 1
+    """(piece, trigger, first window, last window) of each phrase, as places in the buffer."""
+    n, width = len(data), REACH + 1
     if n < LENGTH:
         return (np.empty(0, np.int64),) * 4
     at = np.arange(n - GRAM + 1)
-    low = h.of(at, at + GRAM) & ~U((1 << 28) - 1) | (at & ((1 << 28) - 1)).astype(U)
+    low = h.of(at, at + GRAM) & ~U((1 << 28) - 1) | at.astype(U)  # a buffer is shorter than 2 ** 28
     span = 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -96,75 +93,116 @@ def phrases(data: np.ndarray, ends: np.ndarray, h: Hashes) -> tuple[np.ndarray,
     low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
     windows = np.arange(len(low))
     trigger = (low & U((1 << 28) - 1)).astype(np.int64)
-    text = np.searchsorted(ends, windows, side="right") - 1
-    fits = windows + LENGTH <= ends[text + 1]
-    new = np.r_[True, (trigger[1:] != trigger[:-1]) | (text[1:] != text[:-1]) | (fits[1:] != fits[:-1])]
+    piece = np.searchsorted(ends, windows, side="right") - 1
+    fits = windows + LENGTH <= ends[piece + 1]
+    new = np.r_[True, (trigger[1:] != trigger[:-1]) | (piece[1:] != piece[:-1]) | (fits[1:] != fits[:-1])]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(low)] - 1
     keep = fits[first]
-    return text[first[keep]], trigger[first[keep]], first[keep], last[keep]
+    return piece[first[keep]], trigger[first[keep]], first[keep], last[keep]
 
 
-PHRASE = "core long, hull long, key long, low int, high int"
+def as_batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
+
+
+PLACE = "doc long, key long, low int, high int"
+PHRASE = f"core long, hull long, hull2 long, w int, at int, {PLACE}"
 
 
 def _phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in gathered(batches):
-        data, ends = buffer_of(part.column("text").to_pylist())
-        h = Hashes(data)
-        text, at, low, high = phrases(data, ends, h)
-        core, hull = h.of(at, at + GRAM), h.of(low, high + LENGTH)
-        key = part.column("key").to_numpy()[text]
-        yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(key), pa.array((low - ends[text]).astype(np.int32)), pa.array((high - ends[text]).astype(np.int32))], names=["core", "hull", "key", "low", "high"])
+    """Phrases with the count w that they stand for; rows without a core (w = 0) are windows known to repeat."""
+    for batch in batches:
+        doc, key = (batch.column(c).to_numpy() for c in ("doc", "key"))
+        for part in pieces(batch.column("text").to_pylist()):
+            data, ends = np.frombuffer(b"".join(p[2] for p in part), np.uint8), np.cumsum([0, *(len(p[2]) for p in part)])
+            one, two = Hashes(data, 1), Hashes(data, 2)
+            piece, at, low, high = phrases(data, ends, one)
+            if not len(piece):
+                continue
+            core, hull, hull2 = one.of(at, at + GRAM), one.of(low, high + LENGTH), two.of(low, high + LENGTH)
+            row = np.array([p[0] for p in part])[piece]
+            shift = np.array([p[1] for p in part])[piece] - ends[piece]
+            # equal phrases of one buffer: one stands for all, the windows of all repeat
+            order = np.lexsort((np.arange(len(core)), hull2, hull, core))
+            same = np.r_[False, (core[order][1:] == core[order][:-1]) & (hull[order][1:] == hull[order][:-1]) & (hull2[order][1:] == hull2[order][:-1])]
+            again = np.zeros(len(core), bool)
+            again[order[same]] = True
+            twice = again.copy()
+            twice[order[:-1][same[1:]]] = True
+            keep = np.flatnonzero(~again)
+            low, high, at = low + shift, high + shift, at + shift
+            yield as_batch("core hull hull2 w at doc key low high", *(x[keep].view(np.int64) for x in (core, hull, hull2)), np.where(twice[keep], 2, 1).astype(np.int32), at[keep].astype(np.int32), doc[row][keep], key[row][keep], low[keep].astype(np.int32), high[keep].astype(np.int32))
+            back = np.flatnonzero(twice)
+            if len(back):
+                new = np.flatnonzero(np.r_[True, (np.diff(back) > 1) | (low[back][1:] != high[back][:-1] + 1) | (row[back][1:] != row[back][:-1])])
+                end = np.r_[new[1:], len(back)] - 1
+                none = np.zeros(len(new), np.int64)
+                yield as_batch("core hull hull2 w at doc key low high", none, none, none, none.astype(np.int32), none.astype(np.int32), doc[row[back[new]]], key[row[back[new]]], low[back[new]].astype(np.int32), high[back[end]].astype(np.int32))
+
+
+OPEN = "core long, doc long, key long, low int, at int, crowded boolean, bytes binary"
 
 
 def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes under the windows of each open phrase of a text."""
-    names = ["core", "key", "low", "crowded", "bytes"]
+    names = [x.split()[0] for x in OPEN.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
     for batch in batches:
-        for key, text, edges in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "edges")), strict=True):
+        for doc, key, text, edges in zip(*(batch.column(c).to_pylist() for c in ("doc", "key", "text", "edges")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            rows = [(e["core"], key, e["low"], e["crowded"], raw[e["low"] : e["high"] + LENGTH]) for e in edges]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=names)
+            rows = [(e["core"], doc, key, e["low"], e["at"], e["crowded"], raw[e["low"] : e["high"] + LENGTH]) for e in edges]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def window_hashes(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chunk, offset, hash) of each window of some byte strings."""
-    data, sizes = np.frombuffer(b"".join(chunks), np.uint8), np.array([len(c) for c in chunks])
-    starts, count = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
-    which = np.repeat(np.arange(len(chunks)), count)
-    offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    at = starts[which] + offset
-    return which, offset, Hashes(data).of(at, at + LENGTH)
+def matrix(strings: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in strings), np.uint8).reshape(len(strings), width)
 
 
-def runs(which: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chunk, first, last) of runs of consecutive offsets."""
-    if not len(which):
-        return which, offset, offset
-    new = np.r_[True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)]
-    first = np.flatnonzero(new)
-    return which[first], offset[first], offset[np.r_[first[1:], len(which)] - 1]
+def ordered(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of the rows of a byte matrix, and the length of each one's prefix that it shares with the one before."""
+    order = np.argsort(np.ascontiguousarray(strings).view(f"S{strings.shape[1]}").reshape(-1), kind="stable")
+    apart = strings[order][1:] != strings[order][:-1]
+    return order, np.r_[-1, np.where(apart.any(1), apart.argmax(1), strings.shape[1])]
 
 
-SPAN = ["key", "low", "high"]
+def repeated(low: np.ndarray, at: np.ndarray, hulls: list[bytes]) -> np.ndarray:
+    """Of phrases (hull bytes from low on, trigger at), whether the window ``a`` bytes left of the trigger occurs again."""
+    n, left = len(hulls), at - low
+    least = left - (np.array([len(x) for x in hulls]) - LENGTH)  # the last window's a
+    right_order, right_lcp = ordered(matrix([x[k : k + LENGTH] for x, k in zip(hulls, left.tolist(), strict=True)], LENGTH))
+    left_order, left_lcp = ordered(matrix([x[:k][::-1] for x, k in zip(hulls, left.tolist(), strict=True)], REACH))
+    found, of_left, of_right = np.zeros((n, REACH + 1), bool), np.empty(n, np.int64), np.empty(n, np.int64)
+    for a in range(REACH + 1):
+        rows = np.flatnonzero((least <= a) & (a <= left))
+        if len(rows) < 2:
+            continue
+        of_left[left_order] = np.cumsum(left_lcp < a)
+        of_right[right_order] = np.cumsum(right_lcp < LENGTH - a)
+        name = of_left[rows] * (n + 1) + of_right[rows]
+        order = np.argsort(name, kind="stable")
+        same = name[order][1:] == name[order][:-1]
+        found[rows[order[1:][same]], a] = found[rows[order[:-1][same]], a] = True
+    return found
 
 
 def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated windows of phrases sorted by core; a core's phrases are looked at together."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        which, offset, h = window_hashes([r[3] for r in rows])
-        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        again = count[back] > 1
-        which, low, high = runs(which[again], offset[again])
-        key, base = np.array([r[1] for r in rows], np.int64)[which], np.array([r[2] for r in rows], np.int64)[which]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array((base + low).astype(np.int32)), pa.array((base + high).astype(np.int32))], names=SPAN)
+        _, doc, key, low, at, hulls = zip(*rows, strict=True)
+        low, at = np.array(low, np.int64), np.array(at, np.int64)
+        found = repeated(low, at, list(hulls))[:, ::-1]  # from the leftmost window on
+        step = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, first = np.nonzero(step == 1)
+        last = np.nonzero(step == -1)[1] - 1
+        start = at[row] - REACH
+        return as_batch("doc key low high", np.array(doc, np.int64)[row], np.array(key, np.int64)[row], (start + first).astype(np.int32), (start + last).astype(np.int32))
 
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("core", "key", "low", "bytes")), strict=True):
-            if len(held) >= MANY and held[-1][0] != row[0]:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("core", "doc", "key", "low", "at", "bytes")), strict=True):
+            if len(held) >= TOGETHER and held[-1][0] != row[0]:
                 yield settle(held)
                 held = []
             held.append(row)
@@ -172,14 +210,25 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(held)
 
 
-def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "bytes")), strict=True))
-        for at in range(0, len(rows), 500):
-            part = rows[at : at + 500]
-            which, offset, h = window_hashes([r[2] for r in part])
-            key, base = np.array([r[0] for r in part], np.int64)[which], np.array([r[1] for r in part], np.int64)[which]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array((base + offset).astype(np.int32))], names=["h", "key", "low"])
+def _strips(width: int):
+    """Cut phrases into strips of windows that reach ``width * s`` to ``width * (s + 1) - 1`` bytes to the left."""
+    kinds = (*[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.int64()] * 2, *[pa.int32()] * 2, pa.binary())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for core, doc, key, low, at, raw in zip(*(batch.column(c).to_pylist() for c in ("core", "doc", "key", "low", "at", "bytes")), strict=True):
+                left, least = at - low, at - low - (len(raw) - LENGTH)
+                for s in range(least // width, left // width + 1):
+                    inner = raw[left - s * width : left + LENGTH - ((s + 1) * width - 1)]
+                    start, stop = left - min(left, (s + 1) * width - 1), left - max(least, s * width)
+                    hull = raw[start : stop + LENGTH]
+                    one, two = np.frombuffer(xxhash.xxh3_128_digest(hull, seed=stop - start), "<i8").tolist()
+                    rows.append((int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(inner, seed=s) ^ (core & (2**64 - 1))))), one, two, 1, at, doc, key, low + start, low + stop, hull))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*"core hull hull2 w at doc key low high bytes".split()])
+
+    return run
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -216,43 +265,61 @@ def counted(rows: DataFrame, counts: DataFrame, keys: list[str], count: str) ->
     return rows.join(hot, keys).unionByName(rest)
 
 
-def repeated_windows(rows: DataFrame) -> DataFrame:
-    """``key, low, high``: first and last places of windows that occur elsewhere too. rows: ``key, text``."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found_at, shared_at = fresh_path(spark, "op3-found"), fresh_path(spark, "op3-shared")
-    found = stored(rows.select("key", "text").mapInArrow(_phrases, PHRASE), "op3-found", found_at)
-    cores = stored(found.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1"), "op3-cores")
-    shared = stored(counted(found, cores, ["core"], "cores").drop("cores"), "op3-shared", shared_at)
-    forget(spark, found_at)  # later steps read the written tables that follow
-    hulls = stored(shared.groupBy("core", "hull").agg(F.count("*").alias("hulls")), "op3-hulls")
-    shared = stored(counted(shared, hulls, ["core", "hull"], "hulls"), "op3-phrases")
-    forget(spark, shared_at)
-    whole = shared.where("hulls > 1").select("key", "low", "high")
-    # phrases with one core compare with all others of it, settled ones included: their hulls stand for them once
-    first = shared.where("hulls > 1").groupBy("core", "hull").agg(F.min_by(F.struct("key", "low", "high"), F.struct("key", "low")).alias("p")).select("core", "p.*")
-    edges = shared.where("hulls = 1").select("core", "key", "low", "high").withColumn("own", F.lit(True)).unionByName(first.withColumn("own", F.lit(False)))
+def known_by_hash(found: DataFrame, scratch: Scratch, name: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Windows of phrases whose hull occurs twice, and the phrases that stay open, each hull that occurs twice once.
+
+    found: a written table of that name, which is removed; open phrases carry ``n``, how many share their core.
+    """
+    hull, place = ["core", "hull", "hull2"], ["at", "doc", "key", "low", "high", *more]
+    cores = scratch.put(f"{name}-cores", found.where("w > 0").groupBy("core").agg(F.sum("w").alias("cores")).where("cores > 1"))
+    shared = scratch.put(f"{name}-shared", counted(found.where("w > 0"), cores, ["core"], "cores").drop("cores"))
+    sure = scratch.put(f"{name}-sure", found.where("w = 0").select("doc", "key", "low", "high"))
+    scratch.drop(name, f"{name}-cores")
+    hulls = scratch.put(f"{name}-hulls", shared.groupBy(*hull).agg(F.sum("w").alias("hulls")))
+    phrases_ = scratch.put(f"{name}-phrases", counted(shared, hulls, hull, "hulls"))
+    scratch.drop(f"{name}-shared", f"{name}-hulls")
+    again = sure.unionByName(phrases_.where("hulls > 1").select("doc", "key", "low", "high"))
+    # open phrases compare with all others of their core, settled ones included: their hulls stand for them once
+    first = phrases_.where("hulls > 1").groupBy(*hull).agg(F.min(F.struct("doc", "key", "low", "high", "at", *more)).alias("p")).select("core", "p.*")
+    edges = phrases_.where("hulls = 1").select("core", *place).withColumn("own", F.lit(True)).unionByName(first.withColumn("own", F.lit(False)))
     loads = edges.groupBy("core").agg(F.count("*").alias("n"), F.max("own").alias("open")).where("open").select("core", "n")
-    edges = counted(edges, stored(loads, "op3-loads"), ["core"], "n").withColumn("crowded", F.col("n") > MANY)
-    grouped = edges.groupBy("key").agg(F.collect_list(F.struct("core", "low", "high", "crowded")).alias("edges"))
-    contexts = rows.select("key", "text").dropDuplicates(["key"]).join(grouped, "key").mapInArrow(_contexts, "core long, key long, low int, crowded boolean, bytes binary")
-    contexts = stored(contexts, "op3-contexts")
-    few = contexts.where("not crowded").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(_settle, "key long, low int, high int")
-    rows_of = stored(contexts.where("crowded").select("key", "low", "bytes").mapInArrow(_windows, "h long, key long, low int"), "op3-windows")
-    again = stored(rows_of.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "op3-again")
-    single = counted(rows_of, again, ["h"], "n").select("key", "low", F.col("low").alias("high"))
-    return whole.unionByName(few).unionByName(single)
+    return again, counted(edges, scratch.put(f"{name}-loads", loads), ["core"], "n")
+
+
+def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc, key, low, high``: first and last places of windows that occur elsewhere too. rows: ``doc, key, text``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = scratch.put("found", rows.select("doc", "key", "text").mapInArrow(_phrases, PHRASE))
+    again, edges = known_by_hash(found, scratch, "found")
+    grouped = edges.groupBy("doc", "key").agg(F.collect_list(F.struct("core", "low", "high", "at", (F.col("n") > MANY).alias("crowded"))).alias("edges"))
+    open_ = scratch.put("contexts", rows.join(grouped, ["doc", "key"]).select("doc", "key", "text", "edges").mapInArrow(_contexts, OPEN))
+    settle = lambda few: few.select("core", "doc", "key", "low", "at", "bytes").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(_settle, PLACE)
+    spans = [again, settle(open_.where("not crowded"))]
+    open_ = open_.where("crowded")
+    for width in STRIPS:
+        if open_.isEmpty():
+            break
+        name = f"strips-{width}"
+        strips = scratch.put(name, open_.select("core", "doc", "key", "low", "at", "bytes").mapInArrow(_strips(width), f"{PHRASE}, bytes binary"))
+        again, edges = known_by_hash(strips, scratch, name, "bytes")
+        edges = scratch.put(f"open-{width}", edges)
+        spans += [again, settle(edges.where(F.col("n") <= MANY))]
+        open_ = edges.where(F.col("n") > MANY)
+    return reduce(DataFrame.unionByName, spans)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: its bytes, those removed, the removed runs, and the digest of the rest."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
+    scratch = Scratch(docs.sparkSession, "op3")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), "text", F.coalesce(doc_id, F.lit(0)).alias("doc"), F.xxhash64(F.coalesce(doc_id, F.lit(-1)), "text").alias("key"))
     # equal rows share a key; each is a copy of the other, so all their windows are repeated
-    twins = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where(f"n > 1 and size >= {LENGTH}")
-    both = twins.select("key", F.lit(0).alias("low"), (F.col("size") - LENGTH).cast("int").alias("high"))
-    spans = repeated_windows(rows).unionByName(both).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    twins = rows.groupBy("doc", "key").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where(f"n > 1 and size >= {LENGTH}")
+    both = twins.select("doc", "key", F.lit(0).alias("low"), (F.col("size") - LENGTH).cast("int").alias("high"))
+    spans = repeated_windows(rows, scratch).unionByName(both).groupBy("doc", "key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     spans = stored(spans, "op3-spans")
-    return rows.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_cut, RESULT)
+    scratch.drop(*list(scratch.paths))
+    return rows.join(spans, ["doc", "key"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, RESULT)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
