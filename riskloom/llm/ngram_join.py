@@ -36,6 +36,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -51,24 +52,14 @@ U = np.uint64
 BAND_RATIO = 1.6
 HOT_SHARE = 1e-3  # of all documents: shingles in more are hot; there are 1 / HOT_SHARE times the mean set size at most
 CHUNK = 1 << 20  # shingles that are counted at once
+GROUP = 1 << 20  # bytes of texts that are hashed at once
+LONG = 50_000  # members up to which a signature is told by them
 BLOCK = 2048  # members of a signature that are held at once
+BROADCAST_ROWS = 200_000  # of four numbers; beyond it the join shuffles
 BESIDE = 256  # sets that are compared with one in a task
 BITS = 1024  # of the parity sketch that bounds a symmetric difference from below
 
 
-APART: dict[tuple[int, int, int, int], int] = {}  # what most_apart_of has found
-
-
-class WordHash(dict):
-    """64-bit hashes of words, kept while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -80,16 +71,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def shingle_hashes(words: list[bytes], k: int, cache: WordHash) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[U(1), np.full(n, base, U)])
+
+
+STEP = 0x9E3779B97F4A7C15
+LETTERS = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], U)
+GAPS = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+PLACES = [U(xxhash.xxh64_intdigest(bytes([j])) | 1) for j in range(64)]
+
+
+class WordHashes:
+    """64-bit hashes of the words of byte strings, from prefix sums."""
+
+    def __init__(self):
+        self.up, self.down = powers(STEP, GROUP), powers(pow(STEP, -1, 2**64), GROUP)
+
+    def of(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hash) of each word."""
+        if len(raw) >= len(self.up):
+            self.up, self.down = powers(STEP, 2 * len(raw)), powers(pow(STEP, -1, 2**64), 2 * len(raw))
+        data = np.frombuffer(raw, np.uint8)
+        edge = np.flatnonzero(np.diff(np.r_[True, GAPS[data], True]))
+        sums = np.zeros(len(data) + 1, U)
+        np.cumsum(LETTERS[data] * self.up[: len(data)], out=sums[1:])
+        start, end = edge[::2], edge[1::2]
+        return start, mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(U))
+
+    def of_texts(self, texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first text, word hashes of each text) of some texts in a row; long texts are read in parts."""
+        held, first, size = [], 0, 0
+        for i, text in enumerate(texts):
+            raw = (text or "").encode("utf-8", "surrogatepass").lower()
+            if held and size + len(raw) > GROUP:
+                yield first, self._each(held)
+                held, first, size = [], i, 0
+            held.append(raw)
+            size += len(raw)
+        if held:
+            yield first, self._each(held)
+
+    def _each(self, held: list[bytes]) -> list[np.ndarray]:
+        if len(held) == 1:
+            raw, at, parts = held[0], 0, []
+            while at < len(raw):
+                gap = GAP.search(raw, at + GROUP)
+                stop = gap.start() if gap else len(raw)
+                parts.append(self.of(raw[at:stop])[1])
+                at = stop
+            return [np.concatenate(parts) if parts else np.empty(0, U)]
+        place, h = self.of(b"\n".join(held))
+        ends = np.cumsum([len(r) + 1 for r in held])
+        return np.split(h, np.searchsorted(place, ends[:-1]))
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles."""
-    if not words:
+    if not len(words):
         return np.empty(0, U)
-    w = np.fromiter(map(cache.__getitem__, words), U, len(words))
-    span = min(k, len(w))
-    h = np.full(len(w) - span + 1, span, U)
+    span = min(k, len(words))
+    h = np.full(len(words) - span + 1, span, U)
     for j in range(span):  # a sum of random words times odd numbers, one for each place
-        h += w[j : j + len(h)] * U(xxhash.xxh64_intdigest(bytes([j])) | 1)
-    return np.unique(mix(h))
+        h += words[j : j + len(h)] * PLACES[j]
+    h = np.sort(mix(h))
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def shingle_set(words: list[bytes], k: int) -> set[tuple]:
@@ -97,10 +143,12 @@ def shingle_set(words: list[bytes], k: int) -> set[tuple]:
     return set(zip(*(words[j : len(words) - n + 1 + j] for j in range(n)), strict=True)) if n else set()
 
 
-def sketch(h: np.ndarray) -> bytes:
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
     """Parity of the shingles in each of BITS cells: sets differ in as many shingles, at least, as bits."""
-    cells = np.bincount((mix(h ^ U(0x2545F4914F6CDD1D)) % U(BITS)).astype(np.int64), minlength=BITS)
-    return np.packbits((cells & 1).astype(np.uint8)).tobytes()
+    cells = (mix(np.concatenate(sets) ^ U(0x2545F4914F6CDD1D)) % U(BITS)).astype(np.int64)
+    cells += np.repeat(np.arange(len(sets)) * BITS, [len(h) for h in sets])
+    bits = np.packbits((np.bincount(cells, minlength=len(sets) * BITS) & 1).astype(np.uint8).reshape(len(sets), BITS), axis=1)
+    return [row.tobytes() for row in bits]
 
 
 class Scheme(NamedTuple):
@@ -120,9 +168,8 @@ def most_apart_of(x: int, low: int, high: int, t: int) -> int:
 
     Not always that of the largest one: 15 and 13 may differ in 2, 15 and 12 in 3.
     """
-    if (key := (x, low, high, t)) not in APART:
-        APART[key] = max(most_apart(x, y, t) for y in range(max(low, -(-x * t // 100)), min(high, x * 100 // t) + 1))
-    return APART[key]
+    y = np.arange(max(low, -(-x * t // 100)), min(high, x * 100 // t) + 1)
+    return int((x + y - 2 * -(-t * (x + y) // (100 + t))).max())
 
 
 def bands(largest: int, t: int) -> list[tuple[int, int]]:
@@ -170,42 +217,48 @@ def _cost(x: int, exact: int, reserve: int, apart: int) -> float:
     return need + used * (1 + per) / 2 + over * x + need * empty
 
 
-def signatures(h: np.ndarray, cold: np.ndarray, schemes: list[Scheme], t: int) -> Iterator[np.ndarray]:
-    """Signatures of a set in its scheme and in the one below. cold: which shingles are not hot."""
-    n = len(h)
+def signatures(sets: list[np.ndarray], cold: list[np.ndarray], schemes: list[Scheme], t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(set, signature) of sets in their schemes and in those below. cold: which shingles are not hot."""
+    size = np.array([len(h) for h in sets], np.int64)
     for at, s in enumerate(schemes):
-        if s.low <= n < s.high:
-            ends = s.low, n * 100 // t
-        elif at + 1 < len(schemes) and s.high <= n < schemes[at + 1].high and -(-n * t // 100) < s.high:
-            ends = s.low, s.high - 1
-        else:
+        own = (s.low <= size) & (size < s.high)
+        high = schemes[at + 1].high if at + 1 < len(schemes) else s.high
+        above = (s.high <= size) & (size < high) & (-(-size * t // 100) < s.high)
+        which = np.flatnonzero(own | above)
+        if not len(which):
             continue
-        apart = most_apart_of(n, *ends, t)
+        n = size[which]
+        ends = {x: (s.low, x * 100 // t if x < s.high else s.high - 1) for x in set(n.tolist())}
+        far = {x: most_apart_of(x, *e, t) for x, e in ends.items()}
+        apart = np.array([far[x] for x in n.tolist()], np.int64)
+        doc = np.repeat(np.arange(len(which)), n)
+        is_cold = np.concatenate([cold[i] for i in which])
+        place = mix(np.concatenate([sets[i] for i in which]) ^ U(0x51ED270B * (at + 1)))
         m = s.exact + s.reserve
-        place = mix(h ^ U(0x51ED270B * (at + 1)))
         seg = ((place >> U(32)) * U(m) >> U(32)).astype(np.int64)
-        order = np.argsort(seg, kind="stable")
-        seg, token = seg[order], mix(place[order] + U(at))
-        first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        held, count = seg[first], np.diff(np.r_[first, n])
-        telling = np.add.reduceat(cold[order].astype(np.int64), first)
-        whole = np.add.reduceat(token, first)
-        salt = mix((held + (at << 40)).astype(U))
-        total = np.cumsum(np.minimum(telling, np.where(held < s.exact, 1, 2)))
-        stop = int(np.searchsorted(total, apart + 1))
-        out = stop >= len(held)
-        use = (np.arange(len(held)) <= stop) & (telling > 0)
-        sigs = [mix(whole[use] + salt[use])]
-        if (use & (held >= s.exact)).any():
-            inside = np.flatnonzero(seg >= s.exact)
-            which = np.repeat(np.arange(len(held)), count)[inside]
-            keep = (which <= stop) & (count[which] > 1)  # the neighbour of one shingle is empty
-            inside, which = inside[keep], which[keep]
-            sigs.append(mix(whole[which] - token[inside] + salt[which]))
-        if out:
-            rank = np.lexsort((place, ~cold))[: n - -(-n * t // 100) + 1]
-            sigs.append(mix(place[rank] + U((at + 1) << 48)))
-        yield np.concatenate(sigs)
+        order = np.argsort(doc * m + seg, kind="stable")
+        token, key = mix(place[order] + U(at)), (doc * m + seg)[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        held, of, count = key[first] % m, key[first] // m, np.diff(np.r_[first, len(key)])
+        telling = np.add.reduceat(is_cold[order].astype(np.int64), first)
+        whole, salt = np.add.reduceat(token, first), mix((held + (at << 40)).astype(U))
+        units = np.minimum(telling, np.where(held < s.exact, 1, 2))
+        before = np.cumsum(units) - units
+        before -= before[np.searchsorted(of, of)]  # units of the segments before in this set's walk
+        on = before <= apart[of]
+        use = on & (telling > 0)
+        yield which[of[use]], mix(whole[use] + salt[use])
+        near = np.repeat(on & (held >= s.exact) & (count > 1), count)  # the neighbour of one shingle is empty
+        if near.any():
+            run = np.repeat(np.arange(len(held)), count)[near]
+            yield which[of[run]], mix(whole[run] - token[near] + salt[run])
+        out = np.bincount(of, units, len(which)) <= apart  # ran out of segments
+        if out.any():
+            pick = np.flatnonzero(out[doc])
+            rank = pick[np.lexsort((place[pick], ~is_cold[pick], doc[pick]))]
+            inside = np.arange(len(rank)) - np.searchsorted(doc[rank], doc[rank])
+            rank = rank[inside <= (n + (-n * t // 100))[doc[rank]]]
+            yield which[doc[rank]], mix(place[rank] + U((at + 1) << 48))
 
 
 NODE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("sketch", pa.binary())])
@@ -213,8 +266,17 @@ NODES = "doc_id long, row long, n long, fa long, fb long, sketch binary"
 SIG = pa.schema([("sig", pa.int64()), ("s", pa.int64())])
 
 
-def name_of(h: np.ndarray, seed: int) -> int:
-    return int(mix(h ^ mix(np.array([seed], U))).sum(dtype=U).astype(np.int64))
+def names(sets: list[np.ndarray], seed: int) -> np.ndarray:
+    """A 64-bit sum of the mixed shingles of each set; 0 of an empty one."""
+    sums = np.r_[U(0), np.cumsum(mix(np.concatenate(sets) ^ mix(np.array([seed], U))))]
+    ends = np.cumsum([0, *(len(h) for h in sets)])
+    return (sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)
+
+
+def grouped_sets(batch: pa.RecordBatch, k: int, hashes: WordHashes) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Some rows at a time with their shingle sets."""
+    for first, words in hashes.of_texts(batch.column("text").to_pylist()):
+        yield batch.slice(first, len(words)), [shingle_hashes(w, k) for w in words]
 
 
 def _nodes(k: int, seed: int):
@@ -228,20 +290,17 @@ def _nodes(k: int, seed: int):
         return pa.RecordBatch.from_arrays(columns, schema=NODE)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, chunk, held = WordHash(), set(), [], 0
+        hashes, seen, chunk, held = WordHashes(), set(), [], 0
         for batch in small_slices(batches):
-            rows = []
-            for text in batch.column("text").to_pylist():
-                h = shingle_hashes(words_of(text), k, cache)
-                name = name_of(h, seed)
-                rows.append((len(h), name, name_of(h, ~seed & 0xFFFF), sketch(h)))
-                if len(h) and name not in seen:  # equal sets count once
-                    seen.add(name)
-                    chunk.append(h)
-                    held += len(h)
-            if rows:
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(NODE)[2:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], schema=NODE)
+            for rows, sets in grouped_sets(batch, k, hashes):
+                one, two = names(sets, seed), names(sets, ~seed & 0xFFFF)
+                for h, name in zip(sets, one.tolist(), strict=True):
+                    if len(h) and name not in seen:  # equal sets count once
+                        seen.add(name)
+                        chunk.append(h)
+                        held += len(h)
+                sizes = pa.array([len(h) for h in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), sizes, pa.array(one), pa.array(two), pa.array(sketches(sets), pa.binary())], schema=NODE)
             if held > CHUNK:
                 yield hot(chunk)
                 chunk, held = [], 0
@@ -253,52 +312,72 @@ def _nodes(k: int, seed: int):
 
 def _signatures(k: int, t: int, schemes: list[Scheme], hot, seed: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, known = WordHash(), set(), hot.value
+        hashes, seen, known = WordHashes(), set(), hot.value
         for batch in small_slices(batches):
-            sigs, names = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = shingle_hashes(words_of(text), k, cache) if doc is not None else ()
-                if not len(h) or (name := name_of(h, seed)) in seen:
-                    continue  # equal sets have the same signatures
-                seen.add(name)
-                cold = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h if len(known) else np.ones(len(h), bool)
-                for found in signatures(h, cold, schemes, t):
-                    sigs.append(found)
-                    names.append(np.full(len(found), name, np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names))], schema=SIG)
+            for rows, sets in grouped_sets(batch, k, hashes):
+                new = []  # equal sets have the same signatures
+                for doc, h, name in zip(rows.column("doc_id").to_pylist(), sets, names(sets, seed).tolist(), strict=True):
+                    if doc is not None and len(h) and name not in seen:
+                        seen.add(name)
+                        new.append((h, name))
+                if not new:
+                    continue
+                sets, name = [x[0] for x in new], np.array([x[1] for x in new], np.int64)
+                flat = np.concatenate(sets)
+                cold = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] != flat if len(known) else np.ones(len(flat), bool)
+                found = list(signatures(sets, np.split(cold, np.cumsum([len(h) for h in sets])[:-1]), schemes, t))
+                if found:
+                    which, sig = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(name[which])], schema=SIG)
 
     return run
 
 
-BUCKET = pa.schema([("sig", pa.int64()), ("pivot", pa.int64()), ("s", pa.int64())])
+BUCKET = pa.schema([("bucket", pa.int64()), ("pivot", pa.int64()), ("s", pa.int64())])
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature and name, those of signatures with two sets or more, once each, with the least name."""
-    last: tuple | None = None  # the row before: signature, pivot, name, whether it is out
+    """Of rows sorted by signature and name, those of signatures with two sets or more, once each, with the least name.
+
+    A signature is told by its members, so that those with the same members become one bucket; one with
+    more than LONG by itself. Members of two signatures that are told alike by chance only meet besides.
+    """
+    long: tuple | None = None  # the signature that is being passed on: itself, its least name
+    sig, name = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def passed(name: np.ndarray) -> pa.RecordBatch:
+        both = [np.full(len(name), x, np.int64) for x in (mix(np.array([long[0]]).view(U)).view(np.int64)[0], long[1])]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*both, name)], schema=BUCKET)
+
+    def told(sig: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        count = np.diff(np.r_[first, len(sig)])
+        bucket = np.add.reduceat(mix(name.view(U)), first).view(np.int64)
+        keep = np.repeat(count > 1, count)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(x, count)[keep]) for x in (bucket, name[first])] + [pa.array(name[keep])], schema=BUCKET)
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, name = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "s"))
-        if last:
-            sig, name = np.r_[last[0], sig], np.r_[last[2], name]
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])]
+        sig, name = np.r_[sig, batch.column("sig").to_numpy()], np.r_[name, batch.column("s").to_numpy()]
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])][: len(sig)]
         sig, name = sig[fresh], name[fresh]
-        new = np.r_[True, sig[1:] != sig[:-1]]
-        run = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        pivot = name[first][run]
-        many = (np.diff(np.r_[first, len(sig)]) > 1)[run]
-        out = many.copy()
+        if long and len(sig):
+            own = int(np.searchsorted(sig != long[0], True))
+            if own:
+                yield passed(name[:own])
+                sig, name = sig[own:], name[own:]
+        if not len(sig):
+            continue
+        long = None if sig[0] != (long or [None])[0] else long
+        last = int(np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])[-1])
         if last:
-            pivot[run == 0] = last[1]
-            if last[3]:
-                many[run == 0] = True
-                out[run == 0] = True
-                out[0] = False
-        last = (sig[-1], pivot[-1], name[-1], bool(many[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, pivot, name)], schema=BUCKET)
+            yield told(sig[:last], name[:last])
+        sig, name = sig[last:], name[last:]
+        if len(sig) > LONG:
+            long = (sig[0], name[0])
+            yield passed(name)
+            sig, name = sig[:0], name[:0]
+    if len(sig):
+        yield told(sig, name)
 
 
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
@@ -330,6 +409,7 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int, t: int) -> DataFrame:
     wide = pairs.groupBy("b").agg(F.count("*").alias("c"))
     dealt = pairs.join(wide, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / BESIDE)).cast("int").alias("part"))
     rows = dealt.select("b", "part", F.col("a").alias("s"), F.lit(1).alias("turn")).unionByName(dealt.select("b", "part").distinct().select("b", "part", F.col("b").alias("s"), F.lit(0).alias("turn")))
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
     rows = rows.join(texts, "s").repartition(parts, "b", "part").sortWithinPartitions("b", "part", "turn")
     return rows.select("b", "part", "s", "text").mapInArrow(_compare(k, t), "a long, b long, linked boolean")
 
@@ -342,7 +422,7 @@ def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _near(t: int, nearest: bool):
     """Pairs of a block's members that lie in different components and that size and sketch allow to be linked.
 
-    Rows are sorted by signature and block; ``left`` rows meet each other and the rest of their block.
+    Rows are sorted by bucket and block; ``left`` rows meet each other and the rest of their block.
     nearest: of each left member only the pair with the fewest differing bits.
     """
 
@@ -370,7 +450,7 @@ def _near(t: int, nearest: bool):
 
         def settle() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
-            key = [rows[c].to_numpy() for c in ("sig", "x", "y")]
+            key = [rows[c].to_numpy() for c in ("bucket", "x", "y")]
             cols = [rows[c].to_numpy() for c in ("s", "part", "n")]
             left, raw = rows["left"].to_numpy(), np.array(rows["sketch"].to_pylist(), object)
             new = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in key], 0)])
@@ -382,9 +462,9 @@ def _near(t: int, nearest: bool):
             # whole blocks are settled: rows up to the last change of key
             if not batch.num_rows:
                 continue
-            key = [batch.column(c).to_numpy() for c in ("sig", "x", "y")]
+            key = [batch.column(c).to_numpy() for c in ("bucket", "x", "y")]
             change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], 0)) + 1
-            if held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(("sig", "x", "y"), key, strict=True)):
+            if held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(("bucket", "x", "y"), key, strict=True)):
                 yield from settle()
                 held = []
             if len(change):
@@ -400,23 +480,23 @@ def _near(t: int, nearest: bool):
 
 
 def near_pairs(open_: DataFrame, t: int, nearest: bool) -> DataFrame:
-    """Distinct candidate pairs ``a < b`` of members of open signatures. open_: ``sig, s, part, n, sketch``.
+    """Distinct candidate pairs ``a < b`` of members of open buckets. open_: ``bucket, s, part, n, sketch``.
 
-    Of each signature the members outside its largest component (left) meet all members, in blocks.
+    Of each bucket the members outside its largest component (left) meet all members, in blocks.
     """
     parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = open_.groupBy("sig", "part").agg(F.count("*").alias("c"))
-    most = sizes.groupBy("sig").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("few"))
-    rows = open_.join(most, "sig").withColumn("left", F.col("part") != F.col("main"))
+    sizes = open_.groupBy("bucket", "part").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("few"))
+    rows = open_.join(most, "bucket").withColumn("left", F.col("part") != F.col("main"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     place = lambda c: F.pmod(F.xxhash64("s", F.lit(7)), F.greatest(blocks(c), F.lit(1))).cast("int")
     # block x of the left members meets block y of all members
     own = F.when(F.col("left"), F.transform(F.sequence(F.lit(0), blocks("all") - 1), lambda y: F.struct(place("few").alias("x"), y.alias("y"))))
     met = F.transform(F.sequence(F.lit(0), F.greatest(blocks("few"), F.lit(1)) - 1), lambda x: F.struct(x.alias("x"), place("all").alias("y")))
-    lefts = rows.where("left").select("sig", "s", "part", "n", "sketch", F.lit(True).alias("left"), F.inline(own))
-    rest = rows.select("sig", "s", "part", "n", "sketch", "left", place("few").alias("own"), place("all").alias("y0"), F.inline(met)).where("not left or x <> own").drop("own", "y0").withColumn("left", F.lit(False))
-    blocked = lefts.unionByName(rest).repartition(parts, "sig", "x", "y").sortWithinPartitions("sig", "x", "y", "s")
-    return blocked.select("sig", "x", "y", "s", "part", "n", "left", "sketch").mapInArrow(_near(t, nearest), "a long, b long").distinct()
+    lefts = rows.where("left").select("bucket", "s", "part", "n", "sketch", F.lit(True).alias("left"), F.inline(own))
+    rest = rows.select("bucket", "s", "part", "n", "sketch", "left", place("few").alias("own"), place("all").alias("y0"), F.inline(met)).where("not left or x <> own").drop("own", "y0").withColumn("left", F.lit(False))
+    blocked = lefts.unionByName(rest).repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "s")
+    return blocked.select("bucket", "x", "y", "s", "part", "n", "left", "sketch").mapInArrow(_near(t, nearest), "a long, b long").distinct()
 
 
 def named_sets(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -457,22 +537,23 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot], np.int64).view(U)))
 
     sigs = docs.mapInArrow(_signatures(k, t, schemes, hot, seed), "sig long, s long")
-    buckets = scratch.put("buckets", sigs.repartition(parts, "sig").sortWithinPartitions("sig", "s").mapInArrow(_shared, "sig long, pivot long, s long"))
-    star = buckets.where("pivot <> s").groupBy("pivot", "s").agg(F.count("*").alias("c"))
+    buckets = scratch.put("buckets", sigs.repartition(parts, "sig").sortWithinPartitions("sig", "s").mapInArrow(_shared, "bucket long, pivot long, s long").groupBy("bucket", "pivot", "s").agg(F.count("*").alias("c")))
+    star = buckets.where("pivot <> s").groupBy("pivot", "s").agg(F.sum("c").alias("c"))
     best = scratch.put("best", star.groupBy(F.col("s").alias("a")).agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("b")))
 
     wanted = scratch.put("wanted", buckets.select("s").distinct())
     facts = classes.join(wanted, "s", "left_semi")
-    texts = facts.select("s", F.col("rep").alias("doc_id"), "row").join(docs, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("s", "text")
+    keys = facts.select("s", F.col("rep").alias("doc_id"), "row")
+    texts = (F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys).join(docs, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("s", "text")
     texts = scratch.put("texts", texts)
     links = scratch.put("star-links", compare(best, texts, k, t).where("linked").select("a", "b"))
 
     def opened(links: DataFrame, name: str) -> DataFrame:
-        """Members of signatures that hold several components, with their components."""
+        """Members of buckets that hold several components, with their components."""
         part = components(links, f"op1-{name}").select(F.col("node").alias("s"), F.col("component").alias("part"))
-        rows = buckets.select("sig", "s").join(part, "s", "left").withColumn("part", F.coalesce("part", "s"))
-        split = rows.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
-        return scratch.put(name, rows.join(split, "sig", "left_semi").join(facts.select("s", "n", "sketch"), "s"))
+        rows = buckets.select("bucket", "s").join(part, "s", "left").withColumn("part", F.coalesce("part", "s"))
+        split = rows.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
+        return scratch.put(name, rows.join(split, "bucket", "left_semi").join(facts.select("s", "n", "sketch"), "s"))
 
     first = opened(links, "open")
     nearest = scratch.put("nearest", near_pairs(first, t, True).join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
