@@ -1,18 +1,18 @@
 r"""Secret scan with Boolean trigram queries.
 
 ``trigram_query`` derives from a regular expression the trigrams that any match must hold,
-as an AND of ORs. ``scan`` keeps, for each text, which of the needed trigrams occur in it (a
-row of the inverted index, for all rules at once), intersects them by each rule's query and
-runs the expression on the candidates only; rules without mandatory trigrams are run on all
-texts. Everything is built-in functions; no text is shuffled, as each must be read once
-anyway for the rules that scan fully. ``postings`` writes the same index the other way round,
-as (trigram, document ids), and ``candidates`` intersects stored postings.
+as an AND of ORs. ``scan`` writes an inverted index of the trigrams that the rules need, ``(trigram, folded, text)``, a
+text named by a 64-bit hash, intersects its postings by each rule's query, and runs the rule's expression on the
+candidates only; rules without mandatory trigrams are run on all
+texts. Two texts with one hash share their postings, which adds candidates and loses none. The list of candidates
+goes to the texts by broadcast up to ``BROADCAST_ROWS``; beyond it the join shuffles. Everything is built-in functions.
 
 Positions come from splitting a text at its matches: pieces and matches alternate, so their
 lengths add up to starts. They count code points, the end exclusive.
 
-Defined cases: a null text is empty and has no spans; ids may be null or repeat; an empty
-table gives an empty result; other columns are ignored.
+Defined cases: a null text is empty and has no spans; ids may be null or repeat, and each row is answered for itself; spans of
+different rules may overlap and tie, they go by start, then by the order of the rules; long texts are read whole; an empty
+table gives an empty result; ``scan`` returns all columns of its input, of these only ones named ``spans_<kind>`` are replaced.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import Scratch, documents
 
 MOST_TEXTS = 32  # alternatives of a part of an expression that are followed
+BROADCAST_ROWS = 1_000_000  # candidates of 16 bytes
 
 
 class Rule(NamedTuple):
@@ -140,13 +141,6 @@ def trigram_query(pattern: str, fold: bool = False) -> list[list[str]]:
     return sorted(sorted({t.lower() for t in c} if fold else c) for c in clauses)
 
 
-def _holds(text: Column, lower: Column, rule: Rule) -> Column:
-    clauses = trigram_query(rule.pattern, rule.fold)
-    where = lower if rule.fold else text
-    hits = [reduce(Column.__or__, [F.contains(where, F.lit(t)) for t in c]) for c in clauses]
-    return reduce(Column.__and__, hits) if hits else F.lit(True)
-
-
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, rule's place, end) of the rule's matches in a text."""
     kind = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -165,33 +159,41 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
 
+def postings(docs: DataFrame, key: Column, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``(trigram, folded, key)`` for each trigram that some rule needs and each text that holds it."""
+    need = sorted({(t, r.fold) for r in rules for c in trigram_query(r.pattern, r.fold) for t in c})
+    rows = docs.where("text is not null").select(key.alias("key"), "text", F.lower("text").alias("lower"))
+    held = F.array_compact(F.array(*(F.when(F.contains("lower" if fold else "text", F.lit(t)), F.struct(F.lit(t).alias("trigram"), F.lit(fold).alias("folded"))) for t, fold in need)))
+    return rows.select("key", F.explode(held if need else F.array().cast("array<struct<trigram:string,folded:boolean>>")).alias("p")).select("p.trigram", "p.folded", "key")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``(key, met)``: keys whose postings hold a trigram of each clause of a rule's query, and a bit for each such rule."""
+    spark = index.sparkSession
+    queries = [trigram_query(r.pattern, r.fold) for r in rules]
+    wanted = [(t, rules[i].fold, i, j) for i, q in enumerate(queries) for j, c in enumerate(q) for t in c]
+    wanted = F.broadcast(spark.createDataFrame(wanted, "trigram string, folded boolean, rule int, clause int"))  # a row for each trigram of a rule
+    whole = F.broadcast(spark.createDataFrame([(i, (1 << len(q)) - 1) for i, q in enumerate(queries) if q], "rule int, clauses long"))
+    met = index.join(wanted, ["trigram", "folded"]).groupBy("key", "rule").agg(F.bit_or(F.expr("shiftleft(1L, clause)")).alias("clause_bits"))
+    met = met.join(whole, "rule").where("clause_bits = clauses")
+    return met.groupBy("key").agg(F.sum(F.expr("shiftleft(1L, rule)")).alias("met"))
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add an array column of spans for each rule, named ``spans_<kind>``."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("text", text).withColumn("_lower", F.lower("text"))
+    scratch, key = Scratch(docs.sparkSession, "op7"), F.xxhash64("text")
+    index = scratch.put("postings", postings(docs, key, rules))
+    found = scratch.put("candidates", candidates(index, rules).withColumnsRenamed({"key": "_op7_key", "met": "_op7_met"}))
+    scratch.drop("postings")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    rows = docs.drop(*(f"spans_{r.kind}" for r in rules)).join(found, key == F.col("_op7_key"), "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    for i, rule in enumerate(rules):
-        found = F.when(_holds(F.col("text"), F.col("_lower"), rule) & F.col("text").rlike(rule.pattern), spans(F.col("text"), rule, i)).otherwise(none)
-        rows = rows.withColumn(f"spans_{rule.kind}", found)
-    return rows.drop("_lower")
-
-
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``(trigram, folded, doc_id)`` for each trigram that some rule needs and each text that holds it."""
-    need = sorted({(t, r.fold) for r in rules for c in trigram_query(r.pattern, r.fold) for t in c})
     text = F.coalesce("text", F.lit(""))
-    hits = F.array(*(F.when(F.contains(F.lower(text) if fold else text, F.lit(t)), F.struct(F.lit(t).alias("trigram"), F.lit(fold).alias("folded"))) for t, fold in need))
-    return docs.select("doc_id", F.explode(F.array_compact(hits)).alias("p")).select("p.trigram", "p.folded", "doc_id").distinct()
-
-
-def candidates(index: DataFrame, rule: Rule) -> DataFrame | None:
-    """Ids that hold a trigram of each clause of the rule's query; None where the rule has no clause."""
-    clauses = trigram_query(rule.pattern, rule.fold)
-    if not clauses:
-        return None
-    index = index.where((F.col("folded") == rule.fold) & F.col("trigram").isin(sorted({t for c in clauses for t in c})))
-    in_clause = F.explode(F.array_compact(F.array(*(F.when(F.col("trigram").isin(c), i) for i, c in enumerate(clauses)))))
-    return index.select("doc_id", in_clause.alias("clause")).groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, clause)")).alias("met")).where(F.col("met") == (1 << len(clauses)) - 1).select("doc_id")
+    for i, rule in enumerate(rules):
+        named = F.coalesce(F.getbit("_op7_met", F.lit(i)) == 1, F.lit(False)) if trigram_query(rule.pattern, rule.fold) else F.lit(True)
+        rows = rows.withColumn(f"spans_{rule.kind}", F.when(named & text.rlike(rule.pattern), spans(text, rule, i)).otherwise(none))
+    return rows.drop("_op7_key", "_op7_met")
 
 
 def told(found: Column, rules: tuple[Rule, ...]) -> Column:
