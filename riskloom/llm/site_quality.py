@@ -6,11 +6,12 @@ mean with a strength fitted to the spread between hosts, a path's to its host's
 fitted to the spread between paths. A document's own probability is left out of the
 posteriors that it meets. All pooling is grouped aggregation; only a few sums reach the driver.
 
-The model is fitted on at most ``SAMPLE`` labelled rows in a seeded order.
+The model is fitted on at most ``SAMPLE`` labelled rows in a seeded order, sorted by id and counts.
 
-Defined cases: a null text counts as empty; a null host or path is a site of its own; one
-document alone at its site gets the parent's posterior; without labelled rows of both kinds
-the evidence is 0.5; an empty table gives an empty result.
+Defined cases: a null text counts as empty; long texts are counted whole; a null host or path is a site of its own; one
+document alone at its site gets the parent's posterior; rows with an equal id are judged each, equal rows alike; null ids
+are rows as any other; a score equal to ``LIMIT`` is kept; without labelled rows of both kinds
+the evidence is 0.5; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,20 +67,19 @@ def strength(groups: DataFrame, n: str, total: str, mean: Column | float) -> flo
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """``doc_id, evidence, host_posterior, path_posterior, score, kept``."""
-    # the sites travel with the ids; only counts leave the text scan
-    counted = stored(text_counts(docs), "op10-counts")
-    sample = labelled_sample(counted, labels, "quality").select("n_words", *SHAPES, "quality").limit(SAMPLE).toPandas()
+    sites = docs.select("doc_id", host.alias("host"), path.alias("path"), "text")
+    counted = stored(text_counts(sites, "host", "path"), "op10-counts")
+    sample = labelled_sample(counted, labels, "quality").toPandas()
     w = fit_evidence(design(sample[list(SHAPES)].to_numpy(float).reshape(-1, len(SHAPES)), sample["n_words"].to_numpy(float)), (sample["quality"] == 1).to_numpy(float)) if len(sample) else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = design(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in SHAPES]), batch.column("n_words").to_numpy())
             z = np.zeros(len(x)) if w is None or not w.any() else np.clip(x @ w, -12, 12)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "p"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "host", "path", "p"])
 
-    sites = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), path.alias("path"))
-    scored = counted.mapInArrow(run, "doc_id long, p double").groupBy("doc_id").agg(F.avg("p").alias("p"))
-    rows = stored(sites.join(scored, sites.doc_id.eqNullSafe(scored.doc_id)).select(sites.doc_id, "host", "path", "p"), "op10-scored")
+    kinds = dict(counted.dtypes)
+    rows = stored(counted.mapInArrow(run, f"doc_id long, host {kinds['host']}, path {kinds['path']}, p double"), "op10-scored")
 
     paths = stored(rows.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum("p").alias("path_sum")), "op10-paths")
     hosts = paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_sum").alias("host_sum"))
