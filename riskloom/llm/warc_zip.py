@@ -13,8 +13,10 @@ Spark reads go through the ``binaryFile`` source.
 ``revisits`` decides which record of equal payloads is the response.
 
 Defined cases: a null payload is empty; rows with an equal id are records each, and the
-digest gives one row for each; a null id is written as such and comes back null; archives
-without records are empty; an empty table writes none.
+digest gives one row for each; of equal payloads under one id all are responses or all refer to the same other one; a null id is
+written as such, comes back null and refers to nothing; a null address is empty; a record longer than ``MEMBER_BYTES`` is a member of its own;
+archives without records are empty; an empty table writes none; other columns are ignored. The ``binaryFile`` source reads a whole
+archive, of 2 GB at most, so on file systems that Arrow does not open there are no range reads: write more, smaller archives there.
 """
 
 from __future__ import annotations
@@ -45,8 +47,9 @@ def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     keys = rows.select("page_id", "digest", "size").where(F.col("size") >= least)
     last = keys.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(last, ["digest", "size"], "left")
-    return rows.withColumn("refers_to", F.when(F.col("page_id") < F.col("last"), F.col("last"))).drop("last")
+    later = keys.join(last, ["digest", "size"]).where("page_id < last").select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
+    # payloads are dealt by page, never by digest: many copies of one payload do not meet in a task
+    return rows.join(later, ["page_id", "digest"], "left")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
