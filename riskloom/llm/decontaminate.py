@@ -5,7 +5,7 @@ words that do not follow an opening or a sentence's end) become typed placeholde
 of ``WINDOW`` template tokens of the benchmark are hash-joined with those of all documents.
 For each document and item every alignment of common windows is judged; one counts as a
 leak when it covers at least ``SHARE`` of the item's windows and its slots agree: one value
-of the item always meets one value of the document. So a question with other numbers or
+of the item always meets one value of the document, and two names of the item never meet one (two numbers may). So a question with other numbers or
 names is caught, and one that only shares its wording with changed roles is not.
 
 An alignment is one shift of the places, or a band of shifts that reaches over half the
@@ -23,8 +23,8 @@ beyond ``BROADCAST_ROWS`` the join shuffles.
 
 Defined cases: null or blank texts have no tokens and no leaks; null ids match as any id
 does; an item or document given twice counts once; an empty benchmark or table gives an
-empty result; an id that holds several texts matches by any of them; other columns are
-ignored.
+empty result; an id that holds several texts matches by any of them; long texts are read whole; of alignments that tie
+the smallest shift is told; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +114,9 @@ def _words(kinds: Column, size: Column) -> Column:
 
 
 def _slots_agree(slots: Column) -> Column:
-    return F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["k"], x["a"]))))
+    names = F.filter(slots, lambda x: x["k"] == "#p")
+    one_to_one = F.size(names) == F.size(F.array_distinct(F.transform(names, lambda x: x["b"])))
+    return (F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["k"], x["a"]))))) & one_to_one
 
 
 def _met(item: Column, doc: Column) -> Column:
@@ -232,4 +234,5 @@ slots AS (
     list_distinct(list_transform(places, lambda i: {{'k': bk[i], 'a': bv[i], 'b': dv[i + shift]}})) AS s FROM met)
 SELECT doc_id, item_id, n_windows, item_windows, len(s)::INTEGER AS n_slots
 FROM slots WHERE len(s) = len(list_distinct(list_transform(s, lambda x: {{'k': x.k, 'a': x.a}})))
+  AND len(list_filter(s, lambda x: x.k = '#p')) = len(list_distinct(list_transform(list_filter(s, lambda x: x.k = '#p'), lambda x: x.b)))
 """
