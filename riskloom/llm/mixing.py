@@ -8,9 +8,10 @@ the last document giving only the words that are still wanted.
 
 Only sums by pattern reach the driver: a few rows, as many as there are different patterns.
 
-Defined cases: a null text has no words; a null source is a source of its own, the last;
-sources without words have target 0; repeated rows each count; an empty table gives an empty
-result; other columns pass through ``mix`` unchanged.
+Defined cases: a null or empty text has no words and gives none; a null source is a source of its own, the last;
+sources without words have target 0; null ids are documents as any other; repeated rows each count, and rows that tie in the seeded
+order share one place in it by size; long texts are counted whole; an empty table gives an empty
+result; other columns pass through ``mix`` unchanged, but for names that begin with ``_mix_`` and a column ``taken``, which is replaced.
 """
 
 from __future__ import annotations
@@ -106,33 +107,33 @@ def mix(sized: DataFrame, pattern: str, quotas: dict, seed: str = SEED) -> DataF
     flow = route(members, [int(quotas[m]) for m in names])
     kind = dict(sized.dtypes)[pattern]
     plan = [(r[pattern], f // r["words"] if r["words"] else 0, f % r["words"] if r["words"] else 0) for r, f in zip(sums, flow, strict=True)]
-    plan = F.broadcast(spark.createDataFrame(plan, f"p {kind}, uses long, rest long"))  # a row for each pattern
+    plan = F.broadcast(spark.createDataFrame(plan, f"_mix_p {kind}, _mix_uses long, _mix_rest long"))  # a row for each pattern
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sized.join(plan, F.col(pattern).eqNullSafe(F.col("p"))).withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
+    rows = sized.drop("taken").join(plan, F.col(pattern).eqNullSafe(F.col("_mix_p"))).withColumn("_mix_key", key).withColumn("_mix_bucket", F.substring("_mix_key", 1, 3))
     # whole buckets of the seeded order are in or out; only the one at the edge is ordered
-    sums = rows.groupBy("p", "bucket", "rest").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(W.partitionBy("p").orderBy("bucket")) - F.col("words")
-    cut = sums.select("p", "bucket", before.alias("before"), "words")
-    rows = rows.join(cut, ["p", "bucket"])
-    edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
-    order = W.partitionBy("p", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    used = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0))))
-    inner = rows.where(~edge).withColumn("extra", F.when(F.col("before") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(0))
-    rows = inner.unionByName(rows.where(edge).withColumn("extra", used))
-    return rows.withColumn("taken", F.col("uses") * F.col("size") + F.col("extra")).drop("p", "key", "bucket", "rest", "uses", "before", "words", "extra")
-
-
-def mix_sources(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` under the fixed weights of the sources."""
+    sums = rows.groupBy("_mix_p", "_mix_bucket").agg(F.sum("size").alias("_mix_words"))
+    before = F.sum("_mix_words").over(W.partitionBy("_mix_p").orderBy("_mix_bucket")) - F.col("_mix_words")
+    rows = rows.join(sums.withColumn("_mix_before", before), ["_mix_p", "_mix_bucket"])
+    before, after, rest = F.col("_mix_before"), F.col("_mix_before") + F.col("_mix_words"), F.col("_mix_rest")
+    edge = (before < rest) & (after > rest)
+    order = W.partitionBy("_mix_p", "_mix_bucket").orderBy("_mix_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    used = F.greatest(F.lit(0), F.least("size", rest - before - F.coalesce(F.sum("size").over(order), F.lit(0))))
+    inner = rows.where(~edge).withColumn("_mix_extra", F.when(after <= rest, F.col("size")).otherwise(0))
+    rows = inner.unionByName(rows.where(edge).withColumn("_mix_extra", used)).withColumn("taken", F.col("_mix_uses") * F.col("size") + F.col("_mix_extra"))
+    return rows.drop(*(c for c in rows.columns if c.startswith("_mix_")))
+
+
+def mix_sources(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` and the columns named, under the fixed weights of the sources."""
     spark = docs.sparkSession
-    sized = stored(docs.select("doc_id", F.array("source").alias("sources"), word_count().alias("size")), "op8-sizes")
+    sized = stored(docs.select("doc_id", *keep, F.array("source").alias("sources"), word_count().alias("size")), "op8-sizes")
     sums = sized.groupBy("sources").agg(F.sum("size").alias("words")).collect()
     sums = sorted(((r["sources"][0], r["words"]) for r in sums), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [w for _, w in sums]
     aims = targets(sizes, [WEIGHTS[i % 3] for i in range(len(sums))], TOTAL * sum(sizes))
     out = mix(sized, "sources", {name: int(a) for (name, _), a in zip(sums, aims, strict=True)})
     facts = F.broadcast(spark.createDataFrame([([n], w, a) for (n, w), a in zip(sums, aims, strict=True)], "sources array<string>, source_size long, target double"))
-    return out.join(facts, "sources").select("doc_id", "size", "source_size", "target", "taken")
+    return out.join(facts, "sources").select("doc_id", *keep, "size", "source_size", "target", "taken")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
