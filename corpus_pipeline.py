@@ -5,6 +5,10 @@
 3. decontamination: texts that hold a benchmark item go;
 4. mixture: texts are repeated or left out as the mix of sources takes their words;
 5. token_ids: what is left is encoded into ORC files, which are read back.
+
+Defined cases: rows without an id stay in stages 2 and 3, which decide by id; rows of one id go
+together there and are told apart by all their columns in stages 1 and 4; texts that are null or have no words
+stay, once; empty tables give empty results; columns other than those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -37,11 +41,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A text comes as often as its words are taken, rounded to whole texts."""
-    taken = mixing.mix_sources(docs).where("size > 0")
-    uses = taken.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("uses"))
-    rows = docs.join(uses.where("uses > 0"), F.col("doc_id").eqNullSafe(F.col("id")))
-    return rows.withColumn("use", F.explode(F.sequence(F.lit(1), "uses"))).select(*COLUMNS)
+    """A text comes as often as its words are taken, rounded to whole texts; one without words stays once."""
+    keyed = docs.select(*COLUMNS, F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS)).alias("row"))
+    uses = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    uses = mixing.mix_sources(keyed, "row").groupBy("row", F.coalesce("doc_id", F.lit(-1)).alias("id")).agg(F.sum(uses).alias("uses")).where("uses > 0")
+    rows = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(uses, ["row", "id"]).dropDuplicates(["row", "id"])  # equal rows are one row with the uses of all
+    return rows.withColumn("use", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
