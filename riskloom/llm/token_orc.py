@@ -5,10 +5,12 @@ and stripes prune by id. Each row keeps its place within its part; the places of
 come from one row per part, so starts need no pass over the ids.
 
 The tokenizer parts words at white space whatever stands around them, so a word's ids are
-taken from the library once and kept; ids of a text are its words' ids joined.
+taken from the library once and kept; ids of a text are its words' ids joined. A word of letters only is
+one piece for the tokenizer's model, which is asked for it directly.
 
 Defined cases: a null text is empty and holds the end id only; null ids come first; rows
-with an equal id keep one fixed order (by text); an empty table gives an empty file set.
+with an equal id keep one fixed order (by text), equal rows any; a long text is one row of ids, as long as 2 ** 31 of them at
+most; other columns are ignored; an empty table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,7 +43,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 LETTERS = re.compile("[a-zß-öø-ÿ]+")  # normal forms in lower case: the vocabulary's normalizer leaves them as they are
-MARKED = re.compile(rb"(?m)([a-z])([!-&(-/:-@\[-`{-~]+)$")  # the tokenizer parts letters from marks; an apostrophe may stand with letters
+MARKS = re.compile(rb"(?<=[a-z])[!-&(-/:-@\[-`{-~]+$")  # the tokenizer parts letters from marks; an apostrophe may stand with letters
+# the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
+PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+ALPHABET = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,23 +55,30 @@ def words_of(text: str | None) -> list[bytes]:
     return [w if b"<|" in w else w.lower() for w in raw.split()] if b"<|" in raw else raw.lower().split()
 
 
-def unseen(words: set[bytes], known: dict[bytes, bytes], whole, plain) -> None:
-    """Put the ids of words into known. plain: the tokenizer with its steps for words of letters only."""
-    mixed = [w for w in words if not w.isalpha()]
-    joined = b"\n".join(mixed)
-    parts = joined if b"<|" in joined else MARKED.sub(rb"\1 \2", joined)
-    marked = {w: p.split(b" ") for w, p in zip(mixed, parts.split(b"\n"), strict=False) if len(w) < len(p)}
-    new = [w.decode() for w in words.difference(marked).union(*marked.values()).difference(known)]
-    letters = [w for w in new if LETTERS.fullmatch(w)]
-    for some in chunks(letters):  # words in a row share the library's cost of a call
-        one = plain.encode(" ".join(some), add_special_tokens=False)
-        cut(some, np.array(one.ids, "<i4"), np.searchsorted(np.array(one.word_ids), np.arange(1, len(some) + 1)), known)
-    for some in chunks([w for w in new if not LETTERS.fullmatch(w)] if len(letters) < len(new) else []):
+def unseen(words: set[bytes], known: dict[bytes, bytes], whole) -> None:
+    """Put the ids of words into known."""
+    tokenize, marked, mixed, todo = whole.model.tokenize, [], [], list(words)
+    for word in todo:  # grows by the parts of words with marks
+        if word in known:
+            continue
+        if word.isalpha():
+            text = word.decode("ascii")
+        elif b"<|" not in word and (found := MARKS.search(word)):
+            marked.append((word, word[: found.start()], found[0]))
+            todo += marked[-1][1:]
+            continue
+        elif word[0] > 96 and LETTERS.fullmatch(word.decode()):
+            text = word.decode("latin-1").translate(ALPHABET)
+        else:
+            mixed.append(word.decode())
+            continue
+        known[word] = array("i", [t.id for t in tokenize(text)]).tobytes()
+    for some in chunks(mixed):  # words in a row share the library's cost of a call
         one = whole.encode(" ".join(some), add_special_tokens=False)
         starts = np.array(one.offsets, np.int64).reshape(-1, 2)[:, 0]
         cut(some, np.array(one.ids, "<i4"), np.searchsorted(starts, np.cumsum([len(w) + 1 for w in some])), known)
-    for word, (letters_of, marks) in marked.items():
-        known[word] = known[letters_of] + known[marks]
+    for word, letters, marks in marked:
+        known[word] = known[letters] + known[marks]
 
 
 def chunks(words: list[str], size: int = 1000) -> Iterator[list[str]]:
@@ -79,31 +92,32 @@ def cut(words: list[str], ids: np.ndarray, ends: np.ndarray, out: dict[bytes, by
         at = end
 
 
-def tokenizers_of(vocabulary_path: str):
-    """The tokenizer, and one that only parts words at white space before it maps bytes."""
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-    whole, plain = Tokenizer.from_file(vocabulary_path), Tokenizer.from_file(vocabulary_path)
-    plain.normalizer = normalizers.Sequence([])
-    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return whole, plain
+def ids_of(texts: list[list[bytes]], known: dict[bytes, bytes], whole) -> list[bytes]:
+    """The ids of each text's words as 32-bit integers."""
+    held = [list(map(known.get, words)) for words in texts]
+    lacking = [[i for i, ids in enumerate(h) if ids is None] for h in held]
+    unseen({words[i] for words, gaps in zip(texts, lacking, strict=True) for i in gaps}, known, whole)
+    for words, h, gaps in zip(texts, held, lacking, strict=True):
+        for i in gaps:
+            h[i] = known[words[i]]
+    return [b"".join(h) for h in held]
 
 
 def _encode(vocabulary_path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        # a worker keeps the tokenizers and words of one vocabulary from task to task
+        # a worker keeps the tokenizer and words of one vocabulary from task to task
         kept = sys.modules.setdefault(f"kept words of {vocabulary_path}", types.ModuleType("kept")).__dict__
         if "known" not in kept:
-            kept["known"], kept["tokenizers"] = {}, tokenizers_of(vocabulary_path)
-        known, (whole, plain) = kept["known"], kept["tokenizers"]
+            from tokenizers import Tokenizer
+
+            kept["known"], kept["tokenizer"] = {}, Tokenizer.from_file(vocabulary_path)
+        known, whole = kept["known"], kept["tokenizer"]
         end, part, place = np.int32(end_id).tobytes(), TaskContext.get().partitionId(), 0
         for batch in small_slices(batches, 128):
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
             if len(known) > KEPT_WORDS:
                 known.clear()
-            unseen(set().union(*texts).difference(known), known, whole, plain)
-            parts = [b"".join(map(known.__getitem__, t)) + end for t in texts]
+            parts = [ids + end for ids in ids_of([words_of(t) for t in batch.column("text").to_pylist()], known, whole)]
             sizes = np.array([len(p) // 4 for p in parts], np.int64)
             ends = np.cumsum(sizes)
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
