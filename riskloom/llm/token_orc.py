@@ -43,7 +43,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 LETTERS = re.compile("[a-zß-öø-ÿ]+")  # normal forms in lower case: the vocabulary's normalizer leaves them as they are
-MARKS = re.compile(rb"(?<=[a-z])[!-&(-/:-@\[-`{-~]+$")  # the tokenizer parts letters from marks; an apostrophe may stand with letters
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)  # the tokenizer parts letters from marks; an apostrophe may stand with letters
 # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
 PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 ALPHABET = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
@@ -55,52 +55,29 @@ def words_of(text: str | None) -> list[bytes]:
     return [w if b"<|" in w else w.lower() for w in raw.split()] if b"<|" in raw else raw.lower().split()
 
 
-def unseen(words: set[bytes], known: dict[bytes, bytes], whole) -> None:
-    """Put the ids of words into known."""
-    tokenize, marked, mixed, todo = whole.model.tokenize, [], [], list(words)
-    for word in todo:  # grows by the parts of words with marks
-        if word in known:
-            continue
-        if word.isalpha():
-            text = word.decode("ascii")
-        elif b"<|" not in word and (found := MARKS.search(word)):
-            marked.append((word, word[: found.start()], found[0]))
-            todo += marked[-1][1:]
-            continue
-        elif word[0] > 96 and LETTERS.fullmatch(word.decode()):
-            text = word.decode("latin-1").translate(ALPHABET)
-        else:
-            mixed.append(word.decode())
-            continue
-        known[word] = array("i", [t.id for t in tokenize(text)]).tobytes()
-    for some in chunks(mixed):  # words in a row share the library's cost of a call
-        one = whole.encode(" ".join(some), add_special_tokens=False)
-        starts = np.array(one.offsets, np.int64).reshape(-1, 2)[:, 0]
-        cut(some, np.array(one.ids, "<i4"), np.searchsorted(starts, np.cumsum([len(w) + 1 for w in some])), known)
-    for word, letters, marks in marked:
-        known[word] = known[letters] + known[marks]
-
-
-def chunks(words: list[str], size: int = 1000) -> Iterator[list[str]]:
-    return (words[at : at + size] for at in range(0, len(words), size))
+class WordIds(dict):
+    """The ids of words as 32-bit integers, taken from the library when they are first asked for."""
 
+    def __init__(self, vocabulary_path: str):
+        from tokenizers import Tokenizer
 
-def cut(words: list[str], ids: np.ndarray, ends: np.ndarray, out: dict[bytes, bytes]) -> None:
-    raw, at = ids.tobytes(), 0
-    for word, end in zip(words, (4 * ends).tolist(), strict=True):
-        out[word.encode()] = raw[at:end]
-        at = end
+        super().__init__()
+        self.whole = Tokenizer.from_file(vocabulary_path)
+        self.tokenize = self.whole.model.tokenize
 
-
-def ids_of(texts: list[list[bytes]], known: dict[bytes, bytes], whole) -> list[bytes]:
-    """The ids of each text's words as 32-bit integers."""
-    held = [list(map(known.get, words)) for words in texts]
-    lacking = [[i for i, ids in enumerate(h) if ids is None] for h in held]
-    unseen({words[i] for words, gaps in zip(texts, lacking, strict=True) for i in gaps}, known, whole)
-    for words, h, gaps in zip(texts, held, lacking, strict=True):
-        for i in gaps:
-            h[i] = known[words[i]]
-    return [b"".join(h) for h in held]
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():
+            found = self.tokenize(word.decode("ascii"))
+        elif b"<|" not in word and len(bare := word.rstrip(MARKS)) < len(word) and bare[-1:].isalpha():
+            ids = self[word] = self[bare] + self[word[len(bare) :]]
+            return ids
+        elif LETTERS.fullmatch(text := word.decode()):
+            found = self.tokenize(word.decode("latin-1").translate(ALPHABET))
+        else:
+            ids = self[word] = array("i", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return ids
+        ids = self[word] = array("i", [t.id for t in found]).tobytes()
+        return ids
 
 
 def _encode(vocabulary_path: str, end_id: int):
@@ -109,15 +86,13 @@ def _encode(vocabulary_path: str, end_id: int):
         # a worker keeps the tokenizer and words of one vocabulary from task to task
         kept = sys.modules.setdefault(f"kept words of {vocabulary_path}", types.ModuleType("kept")).__dict__
         if "known" not in kept:
-            from tokenizers import Tokenizer
-
-            kept["known"], kept["tokenizer"] = {}, Tokenizer.from_file(vocabulary_path)
-        known, whole = kept["known"], kept["tokenizer"]
+            kept["known"] = WordIds(vocabulary_path)
+        known = kept["known"]
         end, part, place = np.int32(end_id).tobytes(), TaskContext.get().partitionId(), 0
         for batch in small_slices(batches, 128):
             if len(known) > KEPT_WORDS:
                 known.clear()
-            parts = [ids + end for ids in ids_of([words_of(t) for t in batch.column("text").to_pylist()], known, whole)]
+            parts = [b"".join(map(known.__getitem__, words_of(t))) + end for t in batch.column("text").to_pylist()]
             sizes = np.array([len(p) // 4 for p in parts], np.int64)
             ends = np.cumsum(sizes)
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
