@@ -9,18 +9,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MISSING = "AUSENTE"
-# Lower ends of the age bands and their names
-BANDS = ((0, "00-01"), (2, "02-11"), (12, "12-17"), (18, "18-39"), (40, "40-59"), (60, "60-79"), (80, "80+"))
+# Lower ends of the age bands and their names; coarse bands; fill patterns and the limit of blank answers; white space; words for nothing
+BANDS = ((0, "<1"), (1, "1-4"), (5, "5-11"), (12, "12-17"), (18, "18-39"), (40, "40-59"), (60, "60-79"), (80, "80+"))
+COARSE = {"menos de 5 anos": ("<1", "1-4"), "5 a 17 anos": ("5-11", "12-17"), "18 a 59 anos": ("18-39", "40-59"), "60 anos ou mais": ("60-79", "80+")}
+BLANK_LIMIT = 6
+PATTERNS = ("comorbidades_sem_nao", "sim_e_nao", "sintomas_em_branco")
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NULL_WORDS = ("", "nan", "none", "null", "<na>", "nat")
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def code(c: Column) -> Column:
     """Text without margins and a trailing ``.0``; words for nothing become null."""
-    bare = F.regexp_replace(stripped(c), r"\.0+$", "")
+    bare = F.regexp_replace(stripped(c), r"\.0$", "")
     return F.when(~F.lower(bare).isin(*NULL_WORDS), bare)
 
 
@@ -77,10 +81,10 @@ def fill_when_parent_denies(c: Column, parent: Column) -> Column:
 
 
 def group_id(number_: Column, record: Column) -> Column:
-    """The notification number without white space, else the record's own id; null when both are missing."""
-    bare = F.regexp_replace(number_, r"(?U)\s+", "")
-    own = F.when(code(record).isNotNull(), F.concat(F.lit("sem_notific:"), record))
-    return F.when(F.coalesce(bare, F.lit("")) != "", bare).otherwise(own)
+    """The notification number without white space, else the record's own id; an error when both say nothing."""
+    bare, own = F.regexp_replace(number_, r"(?U)\s+", ""), stripped(record)
+    says = lambda c: F.coalesce(~F.lower(c).isin(*NULL_WORDS), F.lit(False))
+    return F.when(says(bare), bare).when(says(own), F.concat(F.lit("sem_notific:"), own)).otherwise(F.raise_error(F.lit("neither notification number nor record id")).cast("string"))
 
 
 def target(c: Column, positive: tuple[str, ...], negative: tuple[str, ...]) -> Column:
@@ -93,7 +97,11 @@ def period(year: Column, sealed: tuple[int, ...], shared: tuple[int, ...]) -> Co
 
 
 def answered(c: Column) -> Column:
-    return F.coalesce(c.isin("1", "2"), F.lit(False)).cast("int")
+    return F.coalesce(stripped(c).isin("1", "2"), F.lit(False)).cast("int")
+
+
+def _blank(c: Column) -> Column:
+    return (F.coalesce(stripped(c), F.lit("")) == "").cast("int")
 
 
 def completeness(columns: list[Column]) -> Column:
@@ -101,6 +109,36 @@ def completeness(columns: list[Column]) -> Column:
     return F.round(F.lit(100.0) * reduce(Column.__add__, map(answered, columns)) / len(columns), 6)
 
 
-def fill_pattern(columns: list[Column]) -> Column:
-    given = reduce(Column.__add__, map(answered, columns))
-    return F.when(given == 0, "vazio").when(given == len(columns), "completo").otherwise("parcial")
+def any_answer(columns: list[Column]) -> Column:
+    return reduce(Column.__add__, map(answered, columns)) > 0
+
+
+def fill_pattern(secondary: list[Column], conditions: list[Column]) -> Column:
+    """How a record was filled: secondary symptoms left blank, conditions without a single no, or both answers."""
+    denied = reduce(Column.__or__, (F.coalesce(stripped(c) == "2", F.lit(False)) for c in conditions))
+    blank = reduce(Column.__add__, map(_blank, secondary))
+    return F.when(blank >= BLANK_LIMIT, PATTERNS[2]).when(~denied, PATTERNS[0]).otherwise(PATTERNS[1])
+
+
+def coarse_band(band: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, bands in COARSE.items():
+        out = F.when(band.isin(*bands), name).otherwise(out)
+    return out
+
+
+def label(*parts: Column) -> Column:
+    """A composite stratum, its parts separated by bars; null where a part is."""
+    whole = reduce(Column.__and__, (p.isNotNull() for p in parts))
+    return F.when(whole, F.concat_ws("|", *parts))
+
+
+def label_part(c: Column, i: int) -> Column:
+    return F.get(F.split(c, r"\|"), F.lit(i))
+
+
+def kept_interval(days: Column, most: int, policy: str = "sinalizar") -> Column:
+    """Which rows an interval lets stay: all of them (``sinalizar``), or those with a valid one (``descartar``)."""
+    if policy not in ("sinalizar", "descartar"):
+        raise ValueError(f"unknown policy: {policy}")
+    return F.lit(True) if policy == "sinalizar" else interval_flags(days, most)[0] == 0

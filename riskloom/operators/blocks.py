@@ -6,6 +6,7 @@ A stratum's ranks come from counts of hash buckets, so one large stratum is not
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,18 @@ def quarantine(rows: DataFrame, group: str, keys: list[str]) -> tuple[DataFrame,
     return rows.join(bad, group, "left_anti"), rows.join(bad, group, "left_semi")
 
 
+def check_strata(rows: DataFrame, group: str, stratum: list[str], least: int = MIN_GROUPS, blocks: int = len(BLOCKS)) -> DataFrame:
+    """``(verificacao, observado, ok)``: no null group or stratum, one stratum a group, and enough groups in each."""
+    if least < blocks:
+        raise ValueError(f"a stratum needs {blocks} groups at least, not {least}")
+    null = reduce(Column.__or__, (F.col(c).isNull() for c in stratum))
+    one = rows.agg(F.count_if(F.col(group).isNull()).alias("grupo_nulo"), F.count_if(null).alias("estrato_nulo"))
+    many = spanning(rows.where(F.col(group).isNotNull()), group, stratum).agg(F.count("*").alias("grupo_em_estratos"))
+    small = stratum_check(rows, group, stratum, least).where("not ok").agg(F.count("*").alias("estrato_pequeno"))
+    wide = one.crossJoin(F.broadcast(many)).crossJoin(F.broadcast(small))  # one row each
+    return wide.unpivot([], wide.columns, "verificacao", "observado").withColumn("ok", F.col("observado") == 0)
+
+
 def stratum_check(rows: DataFrame, group: str, stratum: list[str], least: int = MIN_GROUPS) -> DataFrame:
     per = rows.groupBy(*stratum).agg(F.count_distinct(group).alias("grupos"))
     return per.withColumn("ok", F.col("grupos") >= least)
@@ -70,9 +83,11 @@ def master_partition(rows: DataFrame, group: str, shared: tuple[int, ...], seale
     If any stratum of year, target and region has fewer than MIN_GROUPS groups, all use year and target.
     """
     common = rows.where(F.col(year).isin(*shared))
-    small = common.groupBy(year, y, region).agg(F.count_distinct(group).alias("g")).where(F.col("g") < MIN_GROUPS)
-    stratum = [year, y] if not small.isEmpty() else [year, y, region]
-    groups = common.select(group, *stratum).distinct()
+    sizes = common.groupBy(year, y, region).agg(F.count_distinct(group).alias("g"))
+    small = sizes.agg(F.coalesce(F.min("g") < MIN_GROUPS, F.lit(False)).alias("_small"))
+    groups = common.select(group, year, y, region).distinct().crossJoin(F.broadcast(small))  # one row
+    stratum, region_ = [year, y, "_region"], F.when(~F.col("_small"), F.col(region))
+    groups = groups.select(group, year, y, region_.alias("_region")).distinct()
     blocks = hash_blocks(groups, stratum, group).select(group, "bloco")
     label = F.when(F.col(year).isin(*sealed), "test_pandemic").when(F.col(year).isin(*shared), F.col("bloco")).otherwise("exploracao")
     return rows.join(blocks, group, "left").withColumn("particao", label).drop("bloco")
@@ -89,13 +104,28 @@ def crossing(rows: DataFrame, block: str = "particao", group: str = "grupo") ->
     return rows.groupBy(group).agg(F.count_distinct(block).alias("blocos")).where("blocos > 1")
 
 
-def ratio_check(rows: DataFrame, block: str, expected: tuple = BLOCKS, tolerance: float = 0.005) -> DataFrame:
-    seen = rows.where(F.col(block).isin(*(b for b, _ in expected))).groupBy(block).agg(F.count("*").alias("n"))
-    total = seen.agg(F.sum("n").alias("t"))
+def ratio_check(rows: DataFrame, block: str, expected: tuple = BLOCKS, among: tuple | None = None, tolerance: float = 0.005) -> DataFrame:
+    """Observed and expected shares of blocks, those that only one side has included."""
+    seen = rows.where(F.col(block).isin(*among)) if among else rows
+    seen = seen.groupBy(block).agg(F.count("*").alias("n"))
     aim = rows.sparkSession.createDataFrame(list(expected), f"{block} string, esperado double")
-    both = aim.join(seen, block, "left").crossJoin(F.broadcast(total))
+    both = aim.join(seen, block, "full_outer").crossJoin(F.broadcast(seen.agg(F.sum("n").alias("t"))))
     share = F.coalesce(F.col("n") / F.col("t"), F.lit(0.0))
-    return both.select(block, "esperado", F.coalesce("n", F.lit(0)).alias("n"), F.round(share, 9).alias("observado"), (F.abs(share - F.col("esperado")) <= tolerance).alias("ok"))
+    ok = F.coalesce(F.abs(share - F.col("esperado")) <= tolerance, F.lit(False))
+    return both.select(block, "esperado", F.coalesce("n", F.lit(0)).alias("n"), F.round(share, 9).alias("observado"), ok.alias("ok"))
+
+
+def same_blocks(rows: DataFrame, expected: tuple[str, ...], block: str = "particao") -> DataFrame:
+    """Blocks that only one side has: ``(bloco, lado)``; none if the sets are equal."""
+    seen = rows.select(F.col(block).alias("bloco")).distinct()
+    aim = rows.sparkSession.createDataFrame([(b,) for b in expected], "bloco string")
+    return aim.subtract(seen).withColumn("lado", F.lit("esperado")).unionByName(seen.subtract(aim).withColumn("lado", F.lit("observado")))
+
+
+def shared_groups(rows: DataFrame, one: str, two: str, block: str = "particao", group: str = "grupo") -> DataFrame:
+    """Groups that two blocks have in common."""
+    of = lambda b: rows.where(F.col(block) == b).select(group)
+    return of(one).intersect(of(two))
 
 
 def halves(rows: DataFrame, stratum: list[str], item: str, salt: str = "metades-1") -> DataFrame:
@@ -121,7 +151,7 @@ def quota_sample(rows: DataFrame, stratum: list[str], item: str, total: int, sal
 
 
 def random_subsample(rows: DataFrame, item: str, n: int, salt: str = "amostra-1") -> DataFrame:
-    return rows.orderBy(salted(salt, F.col(item)), item).limit(n)
+    return rows.orderBy(salted(salt, F.col(item).cast("string")), item).limit(n)
 
 
 def drift(rows: DataFrame, sample: DataFrame, y: str = "y", tolerance: float = 0.002) -> DataFrame:

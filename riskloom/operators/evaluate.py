@@ -1,7 +1,7 @@
 """Classifier evaluation as aggregates over (y, p), for all rows or for each key.
 
-Rows are first summed to levels: one row for each key and score. Running sums over levels go
-in two steps, by score bucket and then inside it, so that no single task holds all levels.
+Rows are first summed to levels: one row for each key and score, and all that follows reads levels. Running sums over levels go
+in two steps, by bucket of the score's logit and then inside it, so that no single task holds all levels.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 512
+FINE = 32  # buckets a unit of the logit: rare outcomes crowd near 0, where equal widths would not part them
 ALL = "todos"
 
 
@@ -20,9 +20,10 @@ def levels(df: DataFrame, keys: list[str] = (), y: str = "y", p: str = "p") -> D
 
 def running(lv: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Add ``tp, fp``: positives and negatives at this score or above; and the totals ``np, nn``."""
-    lv = lv.withColumn("_b", F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor(F.col("p") * BUCKETS))))
+    q = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("p")))
+    lv = lv.withColumn("_b", F.floor(F.log(q / (1 - q)) * FINE))
     per = lv.groupBy(*keys, "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = W.partitionBy(*keys).orderBy(F.desc("_b"))  # BUCKETS rows a key at most
+    above = W.partitionBy(*keys).orderBy(F.desc("_b"))  # 1,330 buckets a key at most
     whole = W.partitionBy(*keys)
     per = per.select(*keys, "_b", (F.sum("_p").over(above) - F.col("_p")).alias("_pa"), (F.sum("_n").over(above) - F.col("_n")).alias("_na"), F.sum("_p").over(whole).alias("np"), F.sum("_n").over(whole).alias("nn"))
     inner = W.partitionBy(*keys, "_b").orderBy(F.desc("p"))
@@ -63,18 +64,33 @@ def log_loss(p="p", y="y", eps: float = 1e-15) -> Column:
     return F.round(F.avg(-(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))), 6)
 
 
-def metrics(df: DataFrame, threshold: float, keys: list[str] = (), least: int = 0) -> DataFrame:
-    """The full row of metrics; keys with fewer than ``least`` rows keep n and prevalence only."""
-    facts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("positivos"), F.round(F.avg("y"), 6).alias("prevalencia"), *confusion_counts(threshold), brier().alias("brier"), log_loss().alias("log_loss"), F.round(F.try_divide(F.sum("y").cast("double"), F.sum("p")), 6).alias("oe"))
-    facts = rates(facts)
-    both = facts.join(discrimination(levels(df, keys), keys), list(keys)) if keys else facts.crossJoin(discrimination(levels(df)))  # one row each
+def per_level(lv: DataFrame, keys: list[str] = (), threshold: float = 0.5) -> DataFrame:
+    """Counts, confusion counts, Brier score, log loss and O/E of levels."""
+    n, p = F.col("pos") + F.col("neg"), F.col("p")
+    q = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
+    sums = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    hit = p >= threshold
+    counts = [sums(F.when(cond, F.col(c)).otherwise(0)).alias(name) for name, cond, c in (("vp", hit, "pos"), ("fp", hit, "neg"), ("fn", ~hit, "pos"), ("vn", ~hit, "neg"))]
+    return lv.groupBy(*keys).agg(
+        sums(n).alias("n"), sums("pos").alias("positivos"), F.round(F.sum("pos") / F.sum(n), 6).alias("prevalencia"), *counts,
+        F.round(F.sum(F.col("pos") * (1 - p) ** 2 + F.col("neg") * p**2) / F.sum(n), 6).alias("brier"),
+        F.round(F.sum(-(F.col("pos") * F.log(q) + F.col("neg") * F.log(1 - q))) / F.sum(n), 6).alias("log_loss"),
+        F.round(F.try_divide(F.sum("pos").cast("double"), F.sum(n * p)), 6).alias("oe"))
+
+
+def metrics(df: DataFrame, threshold: float, keys: list[str] = (), least: int = 0, least_class: int = 0) -> DataFrame:
+    """The full row of metrics; keys with fewer than ``least`` rows, or ``least_class`` of a class, keep n and prevalence only."""
+    lv = levels(df, keys)
+    facts = rates(per_level(lv, keys, threshold))
+    both = facts.join(discrimination(lv, keys), list(keys)) if keys else facts.crossJoin(discrimination(lv))  # one row each
     both = both.withColumn("pr_relativa", F.round(F.try_divide(F.col("pr_auc"), F.col("prevalencia")), 4))
     one_class = (F.col("positivos") == 0) | (F.col("positivos") == F.col("n"))
+    enough = (F.col("n") >= least) & (F.col("positivos") >= least_class) & (F.col("n") - F.col("positivos") >= least_class)
     for c in both.columns:
         if c in ("roc_auc", "pr_auc", "brier", "oe", "pr_relativa"):
             both = both.withColumn(c, F.when(~one_class, F.col(c)))
-        if least and c not in (*keys, "n", "positivos", "prevalencia"):
-            both = both.withColumn(c, F.when(F.col("n") >= least, F.col(c)))
+        if (least or least_class) and c not in (*keys, "n", "positivos", "prevalencia"):
+            both = both.withColumn(c, F.when(enough, F.col(c)))
     return both
 
 
@@ -85,7 +101,7 @@ def grid(low: float, high: float, n: int) -> list[float]:
 def cut_counts(df: DataFrame, cuts: list[float], keys: list[str] = ()) -> DataFrame:
     """Confusion counts at each cut from one histogram of cut places; no row is repeated."""
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("p")))
-    binned = df.groupBy(*keys, place.alias("bin")).agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    binned = levels(df, keys).groupBy(*keys, place.alias("bin")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     totals = binned.groupBy(*keys).agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"), F.collect_list(F.struct("bin", "pos", "neg")).alias("bins"))
     each = totals.select(*keys, "np", "nn", "bins", F.posexplode(F.array(*map(F.lit, cuts))).alias("i", "limiar"))
     above = lambda f: F.aggregate(F.filter("bins", lambda b: b["bin"] > F.col("i")), F.lit(0).cast("long"), lambda a, b: a + b[f])
@@ -99,8 +115,10 @@ def sweep(df: DataFrame, cuts: list[float]) -> DataFrame:
 
 
 def choose(swept: DataFrame, metric: str, least_precision: float = 0.0, least_recall: float = 0.0) -> DataFrame:
-    """The cut with the best metric under the constraints, the lowest on ties."""
-    return swept.where((F.col("precisao") >= least_precision) & (F.col("recall") >= least_recall)).orderBy(F.desc(metric), "limiar").limit(1)
+    """The cut with the best metric under the constraints, the lowest on ties; an error if none meets them."""
+    met = (F.col("precisao") >= least_precision) & (F.col("recall") >= least_recall)
+    best = swept.withColumn("_met", met).orderBy(F.desc("_met"), F.desc(metric), "limiar").limit(1)
+    return best.where(F.col("_met") | F.raise_error(F.lit("no cut meets the constraints")).cast("boolean")).drop("_met")
 
 
 def decision_curve(df: DataFrame, cuts: list[float]) -> DataFrame:
@@ -117,74 +135,178 @@ def curve_points(df: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 # --- calibration
 
-def in_bins(df: DataFrame, inner: list[float]) -> DataFrame:
-    """Right-closed bins: the number of inner edges below the score."""
-    return df.withColumn("faixa_p", F.size(F.filter(F.array(*map(F.lit, inner)), lambda e: F.col("p") > e)) if inner else F.lit(0))
+def with_edges(lv: DataFrame, edges: DataFrame | list[float], keys: list[str] = ()) -> DataFrame:
+    """Add ``faixa_p``, the right-closed bin of each level: the number of inner edges below the score."""
+    if isinstance(edges, list):
+        inner = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>")
+        return lv.withColumn("faixa_p", F.size(F.filter(inner, lambda e: F.col("p") > e)))
+    lv = lv.join(F.broadcast(edges), list(keys)) if keys else lv.crossJoin(F.broadcast(edges))  # a row for each key
+    return lv.withColumn("faixa_p", F.size(F.filter("inner", lambda e: F.col("p") > e))).drop("inner")
 
 
-def reliability(df: DataFrame, inner: list[float], keys: list[str] = ()) -> DataFrame:
-    per = in_bins(df, inner).groupBy(*keys, "faixa_p").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("media_p"), F.round(F.avg("y"), 6).alias("observado"))
-    if keys:
+def quantile_edges(lv: DataFrame, bins: int, keys: list[str] = ()) -> DataFrame:
+    """``inner`` edges of each key at exact quantiles of the score, equal ones once; ranks come from running sums."""
+    r = running(lv, keys)
+    n = F.col("np") + F.col("nn")
+    first = n - F.col("tp") - F.col("fp")  # rows below the level
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), ((n - 1) * (i / bins)).alias("h")) for i in range(bins + 1))))
+    held = r.select(*keys, "p", first.alias("first"), (first + F.col("pos") + F.col("neg")).alias("stop"), at.alias("q")).select(*keys, "p", "first", "stop", "q.*")
+    inside = lambda rank: (F.col("first") <= rank) & (rank < F.col("stop"))
+    ends = held.where(inside(F.floor("h")) | inside(F.ceil("h"))).groupBy(*keys, "i", "h").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    edge = F.col("low") + (F.col("high") - F.col("low")) * (F.col("h") - F.floor("h"))
+    edges = ends.groupBy(*keys).agg(F.array_sort(F.collect_set(edge)).alias("e"))
+    return edges.select(*keys, F.when(F.size("e") > 2, F.slice("e", 2, F.size("e") - 2)).otherwise(F.array().cast("array<double>")).alias("inner"))
+
+
+def reliability(df: DataFrame, edges: DataFrame | list[float], keys: list[str] = ()) -> DataFrame:
+    n = F.sum(F.col("pos") + F.col("neg"))
+    per = with_edges(levels(df, keys), edges, keys).groupBy(*keys, "faixa_p").agg(n.alias("n"), F.round(F.sum(F.col("p") * (F.col("pos") + F.col("neg"))) / n + 1e-9, 6).alias("media_p"), F.round(F.sum("pos") / n, 6).alias("observado"))
+    if keys or not isinstance(edges, list):
         return per
-    every = df.sparkSession.range(len(inner) + 1).select(F.col("id").cast("int").alias("faixa_p"))
+    every = df.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("faixa_p"))
     return every.join(per, "faixa_p", "left").na.fill(0, ["n"])
 
 
-def quantile_edges(df: DataFrame, bins: int) -> list[float]:
-    """Inner edges at exact quantiles of the score, from its levels; equal ones once."""
-    lv = levels(df)
-    r = lv.agg(F.expr(f"percentile(p, array({', '.join(str(i / bins) for i in range(bins + 1))}), pos + neg)").alias("q")).first()[0] or []
-    edges = sorted(set(r))
-    return edges[1:-1]
-
-
 def calibration_errors(curve: DataFrame, keys: list[str] = ()) -> DataFrame:
     gap = F.abs(F.col("media_p") - F.col("observado"))
     filled = curve.where("n > 0")
     return filled.groupBy(*keys).agg(F.round(F.sum(F.col("n") * gap) / F.sum("n"), 5).alias("ece"), F.round(F.max(gap), 5).alias("mce"))
 
 
-def brier_parts(df: DataFrame, inner: list[float], keys: list[str] = ()) -> DataFrame:
-    per = in_bins(df, inner).groupBy(*keys, "faixa_p").agg(F.count("*").alias("n"), F.avg("p").alias("mp"), F.avg("y").alias("my"))
-    base = df.groupBy(*keys).agg(F.avg("y").alias("base"))
+def brier_parts(df: DataFrame, edges: DataFrame | list[float], keys: list[str] = ()) -> DataFrame:
+    n = F.sum(F.col("pos") + F.col("neg"))
+    lv = levels(df, keys)
+    per = with_edges(lv, edges, keys).groupBy(*keys, "faixa_p").agg(n.alias("n"), (F.sum(F.col("p") * (F.col("pos") + F.col("neg"))) / n).alias("mp"), (F.sum("pos") / n).alias("my"))
+    base = lv.groupBy(*keys).agg((F.sum("pos") / n).alias("base"))
     both = per.join(base, list(keys)) if keys else per.crossJoin(F.broadcast(base))  # one row
     return both.groupBy(*keys).agg(F.round(F.sum(F.col("n") * (F.col("mp") - F.col("my")) ** 2) / F.sum("n"), 6).alias("confiabilidade"), F.round(F.sum(F.col("n") * (F.col("my") - F.col("base")) ** 2) / F.sum("n"), 6).alias("resolucao"), F.round(F.max(F.col("base") * (1 - F.col("base"))), 6).alias("incerteza"))
 
 
-# --- bootstrap
-
-def draws(units: DataFrame, unit: str, replicates: int, seed: str) -> DataFrame:
-    """``rep, unit, w``: how often each unit is drawn in each replicate; as many draws as units.
+def slopes(lv: DataFrame, keys: list[str] = (), steps: int = 12, eps: float = 1e-6) -> DataFrame:
+    """``inclinacao``: slope of an unpenalised logistic model of the outcome on the logit of the score, for each key; null for one class.
 
-    Units get dense places from counts of hash buckets; a draw is a hash of (seed, replicate, i).
+    Newton steps on sums over levels: each reads one row a key.
     """
-    from riskloom.operators.blocks import ranked
+    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("p")))
+    rows = lv.select(*keys, F.log(q / (1 - q)).alias("x"), "pos", (F.col("pos") + F.col("neg")).alias("n"))
+    now = {tuple(r[k] for k in keys): (0.0, 1.0) for r in lv.groupBy(*keys).agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where("a > 0 and b > 0").collect()}
+    types = dict(lv.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "a double, b double"])
+    for _ in range(steps):
+        state = lv.sparkSession.createDataFrame([(*k, *v) for k, v in now.items()], schema)
+        both = rows.join(F.broadcast(state), list(keys)) if keys else rows.crossJoin(F.broadcast(state))  # a row for each key
+        m = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
+        w, gap = F.col("n") * m * (1 - m), F.col("pos") - F.col("n") * m
+        sums = both.groupBy(*keys).agg(F.sum(gap).alias("g0"), F.sum(gap * F.col("x")).alias("g1"), F.sum(w).alias("h0"), F.sum(w * F.col("x")).alias("h1"), F.sum(w * F.col("x") ** 2).alias("h2")).collect()
+        move = 0.0
+        for r in sums:
+            det = r["h0"] * r["h2"] - r["h1"] ** 2
+            if det <= 0:
+                continue
+            da, db = (r["h2"] * r["g0"] - r["h1"] * r["g1"]) / det, (r["h0"] * r["g1"] - r["h1"] * r["g0"]) / det
+            k = tuple(r[x] for x in keys)
+            now[k] = (now[k][0] + da, now[k][1] + db)
+            move = max(move, abs(da), abs(db))
+        if move < 1e-10:
+            break
+    out = [(*k, round(v[1], 5)) for k, v in now.items()]
+    return lv.sparkSession.createDataFrame(out, ", ".join([*(f"{k} {types[k]}" for k in keys), "inclinacao double"]))
+
+
+def calibration_summary(df: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+    """n, prevalence, O/E, slope, ECE and MCE on quantile bins and Brier score of each key."""
+    lv = levels(df, keys)
+    errors = calibration_errors(reliability(df, quantile_edges(lv, bins, keys), keys), keys)
+    facts = per_level(lv, keys).select(*keys, "n", "positivos", "prevalencia", "oe", "brier")
+    return facts.join(errors, keys).join(slopes(lv, keys), keys, "left")
 
-    placed = ranked(units.select(unit).distinct().withColumn("_all", F.lit(1)), ["_all"], unit, seed).select(unit, (F.col("pos") - 1).alias("_i"), F.col("tam").alias("_n"))
-    n = placed.count()
-    drawn = units.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).cast("int").alias("rep"), (F.col("id") % n).alias("i"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("long")
-    w = drawn.groupBy("rep", (h % max(n, 1)).alias("_i")).agg(F.count("*").alias("w"))
-    return w.join(placed, "_i").select("rep", unit, "w")
+
+# --- bootstrap
+
+# The distribution of Poisson(1) up to 0, 1, ... 6, in units of 2 ** -16, as four hexadecimal digits
+POISSON = ("5e2d", "bc5b", "eb71", "fb23", "ff10", "ffd9", "fffb")
 
 
-def weighted(df: DataFrame, drawn: DataFrame, unit: str, keys: list[str] = ()) -> DataFrame:
-    """Metrics of each replicate: weights by join, rows never repeated."""
-    per = df.groupBy(*keys, unit, "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
-    both = per.join(drawn, unit)
-    lv = both.groupBy(*keys, "rep", "p").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
-    k = [*keys, "rep"]
-    b = lv.groupBy(*k).agg(F.round(F.sum(F.col("pos") * (1 - F.col("p")) ** 2 + F.col("neg") * F.col("p") ** 2) / F.sum(F.col("pos") + F.col("neg")), 6).alias("brier"), F.round(F.try_divide(F.sum("pos").cast("double"), F.sum((F.col("pos") + F.col("neg")) * F.col("p"))), 6).alias("oe"))
-    return discrimination(lv, k).join(b, k).where("roc_auc is not null and pr_auc is not null")
+def draw_weights(unit: Column, seed: str, replicates: int) -> Column:
+    """How often a unit is drawn in each replicate: Poisson(1) from hashes of unit and replicate, so no draws are shuffled."""
+    blocks = F.sequence(F.lit(0), F.lit((replicates + 7) // 8 - 1))
+    of = lambda h, j: sum(((F.substring(h, 4 * j + 1, 4) >= t).cast("int") for t in POISSON), F.lit(0))
+    eight = F.flatten(F.transform(F.transform(blocks, lambda b: F.md5(F.concat_ws("|", F.lit(seed), b.cast("string"), unit))), lambda h: F.array(*(of(h, j) for j in range(8)))))
+    return F.slice(eight, 1, replicates)
 
 
-def interval(reps: DataFrame, metrics_: list[str], keys: list[str] = (), alpha: float = 0.05) -> DataFrame:
+def drawn_levels(df: DataFrame, unit: str, replicates: int, seed: str, keys: list[str] = (), weights: str | None = None) -> DataFrame:
+    """``keys, rep, p, pos, neg`` of each replicate; rows of one unit, key and score are summed before they are weighted.
+
+    weights: a column with the unit's weights, where rows have been multiplied since they were worked out.
+    """
+    if weights:
+        rows = df.select(*keys, "p", F.col("y").alias("pos"), (1 - F.col("y")).alias("neg"), F.col(weights).alias("_w"))
+    else:
+        rows = df.groupBy(*keys, unit, "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg")).select(*keys, "p", "pos", "neg", draw_weights(F.col(unit), seed, replicates).alias("_w"))
+    each = rows.select(*keys, "p", "pos", "neg", F.posexplode("_w").alias("rep", "w")).where("w > 0")
+    return each.groupBy(*keys, "rep", "p").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
+
+
+def replicate_metrics(lv: DataFrame, keys: list[str]) -> DataFrame:
+    """The metrics of each key of weighted levels; those of one class only are left out."""
+    b = per_level(lv, keys).select(*keys, "n", "positivos", "brier", "oe")
+    out = discrimination(lv, keys).join(b, keys).where("roc_auc is not null and pr_auc is not null")
+    return out.withColumn("pr_relativa", F.round(F.col("pr_auc") * F.col("n") / F.col("positivos"), 6)).drop("n", "positivos")
+
+
+def bootstrap(df: DataFrame, unit: str, metrics_: list[str], replicates: int, seed: str, keys: list[str] = (), alpha: float = 0.05, weights: str | None = None) -> DataFrame:
+    """``metrica, estimativa, replicas, baixo, alto`` by key: the estimate on all rows, and percentiles of the valid replicates."""
+    reps = replicate_metrics(drawn_levels(df, unit, replicates, seed, keys, weights), [*keys, "rep"])
+    whole = replicate_metrics(levels(df, keys), list(keys)) if keys else replicate_metrics(levels(df.withColumn("_all", F.lit(1)), ["_all"]), ["_all"]).drop("_all")
+    est = whole.unpivot(list(keys), metrics_, "metrica", "estimativa")
     long = reps.unpivot([*keys, "rep"], metrics_, "metrica", "v")
-    return long.groupBy(*keys, "metrica").agg(F.count("*").alias("replicas"), F.round(F.percentile("v", alpha / 2), 5).alias("baixo"), F.round(F.percentile("v", 1 - alpha / 2), 5).alias("alto"))
+    ends = long.groupBy(*keys, "metrica").agg(F.count("v").alias("replicas"), F.round(F.percentile("v", alpha / 2), 5).alias("baixo"), F.round(F.percentile("v", 1 - alpha / 2), 5).alias("alto"))
+    return est.join(ends, [*keys, "metrica"], "left")
 
 
-def paired(reps_a: DataFrame, reps_b: DataFrame, metric: str, alpha: float = 0.05) -> DataFrame:
-    """Interval and two-sided p of the difference of two models over the same draws."""
-    d = reps_a.select("rep", F.col(metric).alias("a")).join(reps_b.select("rep", F.col(metric).alias("b")), "rep").select((F.col("a") - F.col("b")).alias("d"))
+def bootstrap_difference(df: DataFrame, unit: str, p_b: Column, metrics_: list[str], replicates: int, seed: str, keys: list[str] = (), alpha: float = 0.05) -> DataFrame:
+    """Estimate, interval and two-sided p of the difference between p and another score over the same draws."""
+    def of(d: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        d = d.withColumn("_all", F.lit(1))
+        reps = replicate_metrics(drawn_levels(d, unit, replicates, seed, ["_all", *keys]), ["_all", *keys, "rep"])
+        return (x.unpivot(k, metrics_, "metrica", name) for x, k in ((replicate_metrics(levels(d, ["_all", *keys]), ["_all", *keys]), ["_all", *keys]), (reps, ["_all", *keys, "rep"])))
+
+    (one, reps_a), (two, reps_b) = of(df, "a"), of(df.withColumn("p", p_b), "b")
+    k = [*keys, "metrica"]
+    d = reps_a.join(reps_b, ["_all", *keys, "rep", "metrica"]).select(*k, F.round(F.col("a") - F.col("b"), 9).alias("d"))
     low, high = F.avg((F.col("d") <= 0).cast("int")), F.avg((F.col("d") >= 0).cast("int"))
-    return d.agg(F.lit(metric).alias("metrica"), F.round(F.percentile("d", alpha / 2), 5).alias("baixo"), F.round(F.percentile("d", 1 - alpha / 2), 5).alias("alto"), F.round(F.least(F.lit(1.0), 2 * F.least(low, high)), 5).alias("p_valor"))
+    ends = d.groupBy(*k).agg(F.count("d").alias("replicas"), F.round(F.percentile("d", alpha / 2), 5).alias("baixo"), F.round(F.percentile("d", 1 - alpha / 2), 5).alias("alto"), F.round(F.least(F.lit(1.0), 2 * F.least(low, high)), 5).alias("p_valor"))
+    est = one.join(two, ["_all", *k]).select(*k, F.round(F.col("a") - F.col("b"), 6).alias("diferenca"))
+    return est.join(ends, k, "left")
+
+
+def mean_difference(df: DataFrame, unit: str, value: str, replicates: int, seed: str, alpha: float = 0.05) -> DataFrame:
+    """Mean of a value among positives less that among negatives, with its interval over draws of units."""
+    per = df.groupBy(unit, "y").agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+    each = per.select("y", "n", "s", F.posexplode(draw_weights(F.col(unit), seed, replicates)).alias("rep", "w"))
+
+    def gap(w: Column) -> Column:
+        mean = lambda v: F.try_divide(F.sum(F.when(F.col("y") == v, w * F.col("s"))), F.sum(F.when(F.col("y") == v, w * F.col("n"))))
+        return mean(1) - mean(0)
+
+    reps = each.groupBy("rep").agg(gap(F.col("w")).alias("d"))
+    ends = reps.agg(F.count("d").alias("replicas"), F.round(F.percentile("d", alpha / 2), 5).alias("baixo"), F.round(F.percentile("d", 1 - alpha / 2), 5).alias("alto"))
+    return per.agg(F.round(gap(F.lit(1)), 5).alias("diferenca")).crossJoin(ends)  # one row each
+
+
+def stratum_table(df: DataFrame, unit: str, metrics_: list[str], replicates: int, seed: str, least: int, least_class: int, weights: str | None = None) -> DataFrame:
+    """Metrics of each model in each stratum (columns ``estrato, modelo``), with intervals and O/E relative to all.
+
+    Strata with few rows, or few of a class, keep their counts only.
+    """
+    keys = ["estrato", "modelo"]
+    facts = per_level(levels(df, keys), keys).select(*keys, "n", "positivos", "prevalencia")
+    few = (F.col("n") < least) | (F.col("positivos") < least_class) | (F.col("n") - F.col("positivos") < least_class)
+    facts = facts.withColumn("suprimido", few)
+    told = df.join(F.broadcast(facts.where("not suprimido").select(*keys)), keys)  # a row for each stratum and model
+    boot = bootstrap(told, unit, metrics_, replicates, seed, keys, weights=weights)
+    out = facts.withColumn("metrica", F.explode(F.array(*map(F.lit, metrics_)))).join(boot, [*keys, "metrica"], "left")
+    total = boot.where("estrato = 'todos' and metrica = 'oe'").select("modelo", F.col("estimativa").alias("_t"))
+    ratio = F.when(F.col("metrica") == "oe", F.round(F.try_divide(F.col("estimativa"), F.col("_t")), 5))
+    return out.join(F.broadcast(total), "modelo", "left").withColumn("relativo_ao_total", ratio).drop("_t")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -18,6 +19,13 @@ from riskloom.operators import evaluate
 SEED = 7
 
 
+def usable(df: DataFrame, columns: list[str], strict: bool = True) -> list[str]:
+    """The columns that the table has; strict: an error if it lacks any."""
+    if strict and (lacking := [c for c in columns if c not in df.columns]):
+        raise ValueError(f"missing columns: {lacking}")
+    return [c for c in columns if c in df.columns]
+
+
 def preprocessor(numeric: list[str], categorical: list[str], one_hot: bool = True) -> list:
     """Median imputation, scaling without centring, and encoded categories; unseen ones are kept apart."""
     n, stages = [f"{c}_n" for c in numeric], []
@@ -32,18 +40,19 @@ def preprocessor(numeric: list[str], categorical: list[str], one_hot: bool = Tru
     return [*stages, VectorAssembler(inputCols=[*(["_scaled"] if numeric else []), *last], outputCol="features")]
 
 
-def estimator(name: str, rows: int, c: float = 1.0, l1: float = 0.0, weight: str | None = None):
+def estimator(name: str, rows: int, c: float = 1.0, l1: float = 0.0, weight: str | None = None, rate: float = 0.05, depth: int = 6):
     common = {"labelCol": "y", "featuresCol": "features", **({"weightCol": weight} if weight else {})}
     if name == "lr":
         return LogisticRegression(regParam=1 / (c * max(rows, 1)), elasticNetParam=l1, standardization=False, maxIter=50, **common)
     if name == "gbt":
-        return GBTClassifier(maxDepth=4, maxIter=10, stepSize=0.1, minInstancesPerNode=20, validationIndicatorCol="valida", seed=SEED, **common)
+        return GBTClassifier(maxDepth=depth, maxIter=500, stepSize=rate, validationTol=1e-3, minInstancesPerNode=20, validationIndicatorCol="valida", seed=SEED, **common)  # rounds end by the validation rows
     if name == "tree":
         return DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=20, seed=SEED, **common)
     return RandomForestClassifier(numTrees=20, maxDepth=6, minInstancesPerNode=10, seed=SEED, **common)
 
 
-def fit(df: DataFrame, name: str, numeric: list[str], categorical: list[str], **options) -> PipelineModel:
+def fit(df: DataFrame, name: str, numeric: list[str], categorical: list[str], strict: bool = True, **options) -> PipelineModel:
+    numeric, categorical = usable(df, numeric, strict), usable(df, categorical, strict)
     rows = df.na.fill(MISSING, categorical)
     stages = preprocessor(numeric, categorical, one_hot=name == "lr")
     return Pipeline(stages=[*stages, estimator(name, df.count(), **options)]).fit(rows)
@@ -65,13 +74,13 @@ def sigmoid_calibration(held: DataFrame, df: DataFrame, p: str = "p") -> DataFra
     margin = lambda d: VectorAssembler(inputCols=["m"], outputCol="f").transform(d.withColumn("m", logit(p)))
     soft = margin(held).select("f", F.explode(F.array(F.struct(F.lit(1.0).alias("l"), t.alias("w")), F.struct(F.lit(0.0).alias("l"), (1 - t).alias("w")))).alias("s")).select("f", "s.*")
     model = LogisticRegression(featuresCol="f", labelCol="l", weightCol="w", standardization=False).fit(soft)
-    return model.transform(margin(df)).withColumn("p_cal", vector_to_array("probability")[1])
+    return model.transform(margin(df)).withColumn("p_cal", vector_to_array("probability")[1]).drop("m", "f", "rawPrediction", "probability", "prediction")
 
 
 def isotonic_calibration(held: DataFrame, df: DataFrame, p: str = "p") -> DataFrame:
     vec = lambda d: VectorAssembler(inputCols=[p], outputCol="f").transform(d)
     model = IsotonicRegression(featuresCol="f", labelCol="y", predictionCol="p_cal").fit(vec(held))
-    return model.transform(vec(df))
+    return model.transform(vec(df)).drop("f")
 
 
 def logit(p: str, eps: float = 1e-6):
@@ -79,37 +88,67 @@ def logit(p: str, eps: float = 1e-6):
     return F.log(q / (1 - q))
 
 
-def calibration_slope(df: DataFrame, p: str = "p") -> float:
-    """Slope of an unpenalised logistic model of the outcome on the logit of the score."""
-    rows = VectorAssembler(inputCols=["m"], outputCol="f").transform(df.withColumn("m", logit(p)))
-    return float(LogisticRegression(featuresCol="f", labelCol="y", regParam=0.0, standardization=False).fit(rows).coefficients[0])
-
-
-def search(train: DataFrame, valid: DataFrame, candidates: list[dict], numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Metrics of each candidate on the validation rows, best first."""
+def scored_sets(train: DataFrame, valid: DataFrame, candidates: dict[str, dict], numeric: list[str], categorical: list[str]) -> DataFrame:
+    """Validation rows with the score of each candidate: ``candidato`` and ``p`` added."""
     out = None
-    for i, options in enumerate(candidates):
+    for name, options in candidates.items():
         o = dict(options)
-        s = score(fit(train, o.pop("name"), o.pop("numeric", numeric), o.pop("categorical", categorical), **o), valid, categorical)
-        row = evaluate.metrics(s, 0.5).select(F.lit(i).alias("candidato"), F.lit(str(options)).alias("opcoes"), "roc_auc", "pr_auc", "brier")
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.desc("pr_auc"), "brier", "candidato")
+        n, c = o.pop("numeric", numeric), o.pop("categorical", categorical)
+        rows = score(fit(train, o.pop("name"), n, c, **o), valid, c).select(F.lit(name).alias("candidato"), *valid.columns, "p")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def search(scored: DataFrame) -> DataFrame:
+    """Metrics of each candidate, best first."""
+    row = evaluate.metrics(scored, 0.5, ["candidato"]).select("candidato", "n", "roc_auc", "pr_auc", "brier")
+    return row.orderBy(F.desc("pr_auc"), "brier", "candidato")
+
 
+def against(table: DataFrame, reference: str, metrics_: list[str]) -> DataFrame:
+    """Add the difference of each metric from the reference candidate's."""
+    ref = F.broadcast(table.where(F.col("candidato") == reference).select(*(F.col(m).alias(f"_{m}") for m in metrics_)))  # one row
+    both = table.crossJoin(ref)
+    return both.select(*table.columns, *(F.round(F.col(m) - F.col(f"_{m}"), 6).alias(f"dif_{m}") for m in metrics_))
 
-def cluster_features(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """One-hot blocks weighted by 1 / sqrt(number of columns); numbers by the root mean variance of the rest."""
-    rows = Pipeline(stages=preprocessor(numeric, categorical)).fit(df.na.fill(MISSING, categorical)).transform(df.na.fill(MISSING, categorical))
-    width = rows.select("features").first()[0].size
-    k = max(1, len(categorical))
-    n = len(numeric)
-    w = Vectors.dense([0.5] * n + [k**-0.5] * (width - n))
-    return ElementwiseProduct(scalingVec=w, inputCol="features", outputCol="weighted").transform(rows)
+
+def balanced(df: DataFrame, y: str = "y") -> DataFrame:
+    """Add ``peso``: weights by which both classes count alike."""
+    n = df.agg(F.count("*").alias("_n"), F.sum(y).alias("_p"))
+    weight = F.when(F.col(y) == 1, F.try_divide(F.col("_n"), 2 * F.col("_p"))).otherwise(F.try_divide(F.col("_n"), 2 * (F.col("_n") - F.col("_p"))))
+    return df.crossJoin(F.broadcast(n)).withColumn("peso", weight.cast("double")).drop("_n", "_p")  # one row
+
+
+def cluster_features(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, dict[str, float]]:
+    """Rows with ``weighted`` features, and the weights by column.
+
+    The one-hot block of a column weighs 1 / sqrt(its categories); numbers, centred and scaled, weigh
+    the square root of the mean variance of the weighted blocks.
+    """
+    filled = df.na.fill(MISSING, categorical)
+    long = filled.select(*categorical).unpivot([], categorical, "c", "v").groupBy("c", "v").agg(F.count("*").alias("n"))
+    sums = {r["c"]: (r["k"], 1 - r["q"] / max(1, r["t"]) ** 2) for r in long.groupBy("c").agg(F.count("*").alias("k"), F.sum("n").alias("t"), F.sum(F.col("n").cast("double") ** 2).alias("q")).collect()}
+    weights = {c: sums[c][0] ** -0.5 for c in categorical if c in sums}
+    spread = sum(v / k for k, v in sums.values()) / max(1, len(categorical))
+    weights |= {c: spread**0.5 if spread > 0 else 1.0 for c in numeric}
+    n, i, h = ([f"{c}_{x}" for c in cs] for cs, x in ((numeric, "n"), (categorical, "i"), (categorical, "h")))
+    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=n), VectorAssembler(inputCols=n, outputCol="_num"), StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True),
+              StringIndexer(inputCols=categorical, outputCols=i, handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=i, outputCols=h, dropLast=False), VectorAssembler(inputCols=["_scaled", *h], outputCol="features")]
+    fitted = Pipeline(stages=stages).fit(filled)
+    w = [weights[c] for c in numeric] + [weights[c] for c, size in zip(categorical, fitted.stages[4].categorySizes, strict=True) for _ in range(size)]
+    return ElementwiseProduct(scalingVec=Vectors.dense(w), inputCol="features", outputCol="weighted").transform(fitted.transform(filled)), weights
 
 
 def kmeans(df: DataFrame, k: int, column: str) -> DataFrame:
     return KMeans(k=k, seed=SEED, featuresCol=column, predictionCol="cluster", maxIter=15).fit(df).transform(df)
 
 
+def silhouettes(df: DataFrame, ks: tuple[int, ...], column: str) -> DataFrame:
+    """Silhouette of each number of clusters."""
+    rows = [(k, float(ClusteringEvaluator(featuresCol=column, predictionCol="cluster").evaluate(kmeans(df, k, column)))) for k in ks]
+    return df.sparkSession.createDataFrame(rows, "k int, silhueta double")
+
+
 def cramers_v(df: DataFrame, cluster: str, categorical: list[str]) -> DataFrame:
     """Chi-square and Cramer's V of each categorical column against the clusters."""
     long = df.select(cluster, *categorical).unpivot([cluster], categorical, "variavel", "valor")

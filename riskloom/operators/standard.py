@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.evaluate import quantile_edges
+from riskloom.operators.evaluate import levels, quantile_edges
 
 
 def age_standardised(df: DataFrame, stratum: str, band: str = "faixa", y: str = "y", old=("60-79", "80+")) -> DataFrame:
@@ -24,9 +24,9 @@ def means_by_outcome(df: DataFrame, value: str, band: str = "faixa", y: str = "y
 
 def terciles(df: DataFrame, value: str) -> DataFrame:
     """Least and largest value and size of each tercile; equal edges are one, ties stay together."""
-    edges = quantile_edges(df.select(F.col(value).cast("double").alias("p"), F.lit(0).alias("y")), 3)
-    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: F.col(value) > e)) if edges else F.lit(0)
-    return df.where(F.col(value).isNotNull()).groupBy((place + 1).cast("int").alias("tercil")).agg(F.min(value).alias("minimo"), F.max(value).alias("maximo"), F.count("*").alias("n"))
+    edges = quantile_edges(levels(df.select(F.col(value).cast("double").alias("p"), F.lit(0).alias("y"))), 3)
+    place = F.size(F.filter("inner", lambda e: F.col(value) > e))
+    return df.select(value).crossJoin(F.broadcast(edges)).where(F.col(value).isNotNull()).groupBy((place + 1).cast("int").alias("tercil")).agg(F.min(value).alias("minimo"), F.max(value).alias("maximo"), F.count("*").alias("n"))
 
 
 def error_classes(df: DataFrame, threshold: float) -> DataFrame:

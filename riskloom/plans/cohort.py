@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import codes
 from riskloom.operators import blocks, profile, rules
-from riskloom.sources.episodes import CONDITIONS, SQL_AGE, SQL_DATE, SQL_EPISODES, SQL_SCORED, SYMPTOMS, episodes, read, scored
+from riskloom.sources.episodes import ANSWERS, CONDITIONS, SECONDARY, SQL_AGE, SQL_COMPLETE, SQL_DATE, SQL_EPISODES, SQL_PATTERN, SQL_SCORED, SYMPTOMS, episodes, read, scored
 
 QUERIES: dict = {}
 SQL: dict = {}
+SQL_COARSE = "CASE " + " ".join(f"WHEN faixa IN ({', '.join(repr(b) for b in bands)}) THEN '{name}'" for name, bands in codes.COARSE.items()) + " END"
 YEARS_SHARED, YEARS_SEALED = (1995, 1998, 1999, 2000), (1996, 1997)
 
 
@@ -30,7 +31,7 @@ def _sets(spark, d, *keys):
 R = rules.RULES
 DAYS = "date_diff('day', onset, dia)"
 SQL_MASKS = f"""WITH {SQL_EPISODES},
-m0 AS (SELECT *, {SQL_DATE.format('dt_interna')} AS dia, {SQL_DATE.format('dt_sin_pri')} AS onset, nullif(regexp_replace(trim(hospital), '\\.0+$', ''), '') AS h FROM ep),
+m0 AS (SELECT *, {SQL_DATE.format('dt_interna')} AS dia, {SQL_DATE.format('dt_sin_pri')} AS onset, nullif(regexp_replace(trim(hospital), '\\.0$', ''), '') AS h FROM ep),
 m AS (SELECT *, coalesce(h <> '1', true)::INTEGER AS hospital_, (dia IS NULL)::INTEGER AS data_invalida_, (evolucao NOT IN ('1', '2'))::INTEGER AS evolucao_,
   coalesce(dia < DATE '{rules.START}', false)::INTEGER AS antes_, coalesce(dia > DATE '{rules.END}', false)::INTEGER AS depois_,
   coalesce({DAYS} < 0, false)::INTEGER AS negativo_, coalesce({DAYS} > {rules.MOST_DAYS}, false)::INTEGER AS longo_ FROM m0)"""
@@ -90,7 +91,7 @@ def cohort_rows(spark, d):
     return e.select("id_registro", codes.target(F.col("evolucao"), ("2",), ("1",)).cast("int").alias("alvo"))
 
 
-@query(f"WITH {SQL_EPISODES} SELECT id_registro, nullif(regexp_replace(trim(hospital), '\\.0+$', ''), '') AS codigo FROM ep")
+@query(f"WITH {SQL_EPISODES} SELECT id_registro, nullif(regexp_replace(trim(hospital), '\\.0$', ''), '') AS codigo FROM ep")
 def code_normalise(spark, d):
     return episodes(spark, d).select("id_registro", codes.code(F.col("hospital")).alias("codigo"))
 
@@ -203,10 +204,27 @@ def block_manifest(spark, d):
 
 
 @query(f"""{MASTER}, e(particao, esperado) AS (VALUES ('train_ref', 0.7::DOUBLE), ('val_ref', 0.15::DOUBLE), ('test_ref', 0.15::DOUBLE)),
-n AS (SELECT particao, count(*) AS n FROM mp WHERE particao IN (SELECT particao FROM e) GROUP BY particao), t AS (SELECT sum(n) AS t FROM n)
-SELECT particao, esperado, coalesce(n, 0) AS n, round(coalesce(n / t, 0), 9) AS observado, abs(coalesce(n / t, 0) - esperado) <= 0.005 AS ok FROM e LEFT JOIN n USING (particao), t""")
+n AS (SELECT particao, count(*) AS n FROM mp WHERE particao <> 'exploracao' AND particao <> 'test_pandemic' GROUP BY particao), t AS (SELECT sum(n) AS t FROM n)
+SELECT particao, esperado, coalesce(n, 0) AS n, round(coalesce(n / t, 0), 9) AS observado, coalesce(abs(coalesce(n / t, 0) - esperado) <= 0.005, false) AS ok FROM e FULL JOIN n USING (particao), t""")
 def block_ratio_check(spark, d):
-    return blocks.ratio_check(master(spark, d), "particao")
+    return blocks.ratio_check(master(spark, d), "particao", among=("train_ref", "val_ref", "test_ref"))
+
+
+@query(f"{MASTER}, s AS (SELECT DISTINCT particao AS bloco FROM mp), e(bloco) AS (VALUES ('train_ref'), ('val_ref'), ('test_ref'), ('calibracao')) SELECT bloco, 'esperado' AS lado FROM e WHERE bloco NOT IN (SELECT bloco FROM s) UNION ALL SELECT bloco, 'observado' FROM s WHERE bloco NOT IN (SELECT bloco FROM e)")
+def block_set_difference(spark, d):
+    return blocks.same_blocks(master(spark, d), ("train_ref", "val_ref", "test_ref", "calibracao"))
+
+
+@query(f"{GROUPS} SELECT DISTINCT a.grupo FROM sc a JOIN sc b USING (grupo) WHERE a.ano = 1995 AND b.ano = 1996")
+def groups_in_both_years(spark, d):
+    return blocks.shared_groups(scored(spark, d), 1995, 1996, "ano")
+
+
+@query(f"""{GROUPS}, sz AS (SELECT count(DISTINCT grupo) AS g FROM sc GROUP BY ano, y, regiao) SELECT 'grupo_nulo' AS verificacao, count(*) FILTER (grupo IS NULL) AS observado, count(*) FILTER (grupo IS NULL) = 0 AS ok FROM sc
+UNION ALL SELECT 'estrato_nulo', count(*) FILTER (ano IS NULL OR y IS NULL OR regiao IS NULL), count(*) FILTER (ano IS NULL OR y IS NULL OR regiao IS NULL) = 0 FROM sc
+UNION ALL SELECT 'grupo_em_estratos', count(*), count(*) = 0 FROM bad UNION ALL SELECT 'estrato_pequeno', count(*) FILTER (g < 5), count(*) FILTER (g < 5) = 0 FROM sz""")
+def stratum_validation(spark, d):
+    return blocks.check_strata(scored(spark, d), "grupo", ["ano", "y", "regiao"])
 
 
 @query(f"{MASTER} SELECT grupo, count(DISTINCT particao) AS blocos FROM mp GROUP BY grupo HAVING count(DISTINCT particao) > 1")
@@ -313,10 +331,19 @@ def crosstab_pct(spark, d):
     return profile.crosstab_pct(master(spark, d), "regiao", "particao", NAMES)
 
 
-GIVEN = " + ".join(f"coalesce({s} IN ('1', '2'), false)::INTEGER" for s in SYMPTOMS)
+@query(f"WITH {SQL_EPISODES} SELECT id_registro, {SQL_COMPLETE} AS completude, ({' + '.join(f'coalesce({c} IN ({chr(39)}1{chr(39)}, {chr(39)}2{chr(39)}), false)::INTEGER' for c in CONDITIONS)}) > 0 AS alguma_resposta, {SQL_PATTERN} AS padrao FROM ep")
+def completeness_pattern(spark, d):
+    of = lambda names: [F.col(c) for c in names]
+    return episodes(spark, d).select("id_registro", codes.completeness(of(ANSWERS)).alias("completude"), codes.any_answer(of(CONDITIONS)).alias("alguma_resposta"), codes.fill_pattern(of(SECONDARY), of(CONDITIONS)).alias("padrao"))
 
 
-@query(f"WITH {SQL_EPISODES} SELECT id_registro, round(100.0::DOUBLE * ({GIVEN}) / {len(SYMPTOMS)}, 6) AS completude, CASE {GIVEN} WHEN 0 THEN 'vazio' WHEN {len(SYMPTOMS)} THEN 'completo' ELSE 'parcial' END AS padrao FROM ep")
-def completeness_pattern(spark, d):
-    s = [F.col(c) for c in SYMPTOMS]
-    return episodes(spark, d).select("id_registro", codes.completeness(s).alias("completude"), codes.fill_pattern(s).alias("padrao"))
+@query(f"WITH {SQL_SCORED} SELECT padrao || '|' || {SQL_COARSE} AS rotulo, padrao, {SQL_COARSE} AS ampla, count(*) AS n FROM sc GROUP BY ALL")
+def composite_labels(spark, d):
+    rows = scored(spark, d).select(codes.label(F.col("padrao"), codes.coarse_band(F.col("faixa"))).alias("rotulo"))
+    return rows.groupBy("rotulo").agg(F.count("*").alias("n")).select("rotulo", codes.label_part(F.col("rotulo"), 0).alias("padrao"), codes.label_part(F.col("rotulo"), 1).alias("ampla"), "n")
+
+
+@query(f"{SQL_MASKS} SELECT id_registro, {DAYS}::INTEGER AS dias FROM m WHERE {DAYS} BETWEEN 0 AND {rules.MOST_DAYS}")
+def interval_kept(spark, d):
+    days = codes.days_between(codes.iso_date(F.col("dt_sin_pri")), codes.iso_date(F.col("dt_interna")))
+    return episodes(spark, d).where(codes.kept_interval(days, rules.MOST_DAYS, "descartar")).select("id_registro", days.alias("dias"))

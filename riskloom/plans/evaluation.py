@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from riskloom.functions import codes
 from riskloom.operators import evaluate, profile, standard
+from riskloom.plans.cohort import SQL_COARSE
+from riskloom.sources import io
 from riskloom.sources.episodes import SQL_SCORED, scored
 
 QUERIES: dict = {}
 SQL: dict = {}
 T = 0.5
-CUTS = [0.01, *(round(0.02 + 0.97 * i / 98, 4) for i in range(99)), 0.995]
+CUTS = np.linspace(0.01, 0.99, 101).tolist()
 NET = evaluate.grid(0.02, 0.40, 20)
 EDGES = [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]
 NUMERIC = ["idade", "completude"]
-REPLICATES = 20
+REPLICATES, STRATUM_REPLICATES, LEAST_ROWS, LEAST_CLASS = 1000, 500, 100, 30
 SC = f"WITH {SQL_SCORED}"
 
 
@@ -95,12 +99,12 @@ def average_precision(spark, d):
 
 @query(f"{SC} SELECT round(avg((y - p) * (y - p)), 6) AS brier FROM sc")
 def brier(spark, d):
-    return scored(spark, d).agg(evaluate.brier().alias("brier"))
+    return evaluate.per_level(evaluate.levels(scored(spark, d))).select("brier")
 
 
 @query(f"{SC} SELECT round(avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p))))), 6) AS log_loss FROM sc")
 def log_loss(spark, d):
-    return scored(spark, d).agg(evaluate.log_loss().alias("log_loss"))
+    return evaluate.per_level(evaluate.levels(scored(spark, d))).select("log_loss")
 
 
 def _at(cuts) -> str:
@@ -152,7 +156,7 @@ def fn_tp_means(spark, d):
 
 BIN = f"len(list_filter({_literals(EDGES)}, lambda e: p > e))::INTEGER"
 QEDGE = "qe AS (SELECT list_sort(list_distinct(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM sc), qb AS (SELECT len(list_filter(e[2:len(e) - 1], lambda x: p > x))::INTEGER AS faixa_p, p, y FROM sc, qe)"
-CURVE = "count(*) AS n, round(avg(p), 6) AS media_p, round(avg(y), 6) AS observado"
+CURVE = "count(*) AS n, round(avg(p) + 1e-9, 6) AS media_p, round(avg(y), 6) AS observado"
 
 
 @query(f"{SC}, b AS (SELECT {BIN} AS faixa_p, {CURVE} FROM sc GROUP BY 1) SELECT i::INTEGER AS faixa_p, coalesce(n, 0) AS n, media_p, observado FROM range(10) t(i) LEFT JOIN b ON b.faixa_p = i")
@@ -163,7 +167,7 @@ def reliability_width(spark, d):
 @query(f"{SC}, {QEDGE} SELECT faixa_p, {CURVE} FROM qb GROUP BY faixa_p")
 def reliability_quantile(spark, d):
     df = scored(spark, d)
-    return evaluate.reliability(df, evaluate.quantile_edges(df, 10)).where("n > 0")
+    return evaluate.reliability(df, evaluate.quantile_edges(evaluate.levels(df), 10))
 
 
 ERRORS = "round(sum(n * abs(media_p - observado)) / sum(n), 5) AS ece, round(max(abs(media_p - observado)), 5) AS mce"
@@ -172,7 +176,7 @@ ERRORS = "round(sum(n * abs(media_p - observado)) / sum(n), 5) AS ece, round(max
 @query(f"{SC}, {QEDGE}, w AS (SELECT {BIN} AS faixa_p, {CURVE} FROM sc GROUP BY 1), q AS (SELECT faixa_p, {CURVE} FROM qb GROUP BY 1) SELECT 'largura' AS faixas, {ERRORS} FROM w UNION ALL SELECT 'quantil', {ERRORS} FROM q")
 def calibration_error(spark, d):
     df = scored(spark, d)
-    curves = (("largura", EDGES), ("quantil", evaluate.quantile_edges(df, 10)))
+    curves = (("largura", EDGES), ("quantil", evaluate.quantile_edges(evaluate.levels(df), 10)))
     parts = [evaluate.calibration_errors(evaluate.reliability(df, e)).select(F.lit(n).alias("faixas"), "ece", "mce") for n, e in curves]
     return parts[0].unionByName(parts[1])
 
@@ -207,21 +211,74 @@ def metrics_by_window(spark, d):
     return evaluate.metrics(scored(spark, d).join(bridge, "ano"), T, ["janela"])
 
 
-@query(f"{SC}, s2 AS (SELECT ano, y, p FROM sc), {_running('s2', 'ano')}, a AS (SELECT ano, {AUC} AS roc_auc FROM rn GROUP BY ano) SELECT min(roc_auc) AS minimo, max(roc_auc) AS maximo, round(avg(roc_auc), 5) AS media, round(max(roc_auc) - min(roc_auc), 6) AS amplitude FROM a")
-def metric_stability(spark, d):
-    per = evaluate.discrimination(evaluate.levels(scored(spark, d), ["ano"]), ["ano"])
-    return per.agg(F.min("roc_auc").alias("minimo"), F.max("roc_auc").alias("maximo"), F.round(F.avg("roc_auc"), 5).alias("media"), F.round(F.max("roc_auc") - F.min("roc_auc"), 6).alias("amplitude"))
+def _curve_by(src: str, key: str) -> str:
+    """Bins of equal width and at quantiles of each key."""
+    qs = ", ".join(str(i / 10) for i in range(11))
+    return f"""qe AS (SELECT {key}, list_sort(list_distinct(quantile_cont(p, [{qs}]))) AS e FROM {src} GROUP BY {key}),
+qb AS (SELECT {key}, len(list_filter(e[2:len(e) - 1], lambda x: p > x))::INTEGER AS faixa_p, p, y FROM {src} JOIN qe USING ({key})),
+qc AS (SELECT {key}, faixa_p, {CURVE} FROM qb GROUP BY ALL), wc AS (SELECT {key}, {BIN} AS faixa_p, {CURVE} FROM {src} GROUP BY ALL)"""
+
+
+YEARS = f"{SC}, s2 AS (SELECT ano::INTEGER AS ano, y, p FROM sc)"
+
+
+@query(f"{YEARS}, {_curve_by('s2', 'ano')} SELECT * FROM wc")
+def reliability_by_year(spark, d):
+    return evaluate.reliability(scored(spark, d), EDGES, ["ano"])
+
+
+@query(f"{YEARS}, {_curve_by('s2', 'ano')} SELECT * FROM qc")
+def reliability_quantile_by_year(spark, d):
+    df = scored(spark, d)
+    return evaluate.reliability(df, evaluate.quantile_edges(evaluate.levels(df, ["ano"]), 10, ["ano"]), ["ano"])
+
+
+@query(f"""{YEARS}, {_curve_by('s2', 'ano')}, m AS (SELECT ano, {ERRORS} FROM wc GROUP BY ano), b AS (SELECT ano, {BIN} AS faixa_p, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM s2 GROUP BY ALL), o AS (SELECT ano, avg(y) AS base FROM s2 GROUP BY ano),
+q AS (SELECT ano, round(sum(n * (mp - my) * (mp - my)) / sum(n), 6) AS confiabilidade, round(sum(n * (my - base) * (my - base)) / sum(n), 6) AS resolucao, round(max(base * (1 - base)), 6) AS incerteza FROM b JOIN o USING (ano) GROUP BY ano)
+SELECT * FROM m JOIN q USING (ano)""")
+def calibration_by_year(spark, d):
+    df = scored(spark, d)
+    return evaluate.calibration_errors(evaluate.reliability(df, EDGES, ["ano"]), ["ano"]).join(evaluate.brier_parts(df, EDGES, ["ano"]), "ano")
+
+
+def _summary(src: str, key: str) -> str:
+    """n, prevalence, O/E, Brier score and errors on quantile bins by key; the slope by twelve Newton steps."""
+    steps = "".join(f""",
+n{i} AS (SELECT {key}, a, b, sum(pos - n * m) AS g0, sum((pos - n * m) * x) AS g1, sum(n * m * (1 - m)) AS h0, sum(n * m * (1 - m) * x) AS h1, sum(n * m * (1 - m) * x * x) AS h2
+  FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS m FROM lx JOIN t{i} USING ({key})) GROUP BY {key}, a, b),
+t{i + 1} AS (SELECT {key}, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM n{i})""" for i in range(12))
+    return f"""{_curve_by(src, key)}, er AS (SELECT {key}, {ERRORS} FROM qc GROUP BY {key}),
+lx AS (SELECT {key}, ln(q / (1 - q)) AS x, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM (SELECT {key}, y, greatest(1e-6, least(1 - 1e-6, p)) AS q FROM {src}) GROUP BY ALL),
+t0 AS (SELECT {key}, 0::DOUBLE AS a, 1::DOUBLE AS b FROM lx GROUP BY {key} HAVING sum(pos) BETWEEN 1 AND sum(n) - 1){steps},
+fa AS (SELECT {key}, count(*) AS n, sum(y)::BIGINT AS positivos, round(avg(y), 6) AS prevalencia, round(sum(y) / nullif(sum(p), 0), 6) AS oe, round(avg((y - p) * (y - p)), 6) AS brier FROM {src} GROUP BY {key})
+SELECT fa.*, ece, mce, round(b, 5) AS inclinacao FROM fa JOIN er USING ({key}) LEFT JOIN t12 USING ({key})"""
+
+
+@query(f"{YEARS}, {_summary('s2', 'ano')}")
+def calibration_summary_by_year(spark, d):
+    return evaluate.calibration_summary(scored(spark, d), ["ano"])
+
+
+@query(f"{SC}, jw(janela, ano) AS (VALUES {SQL_WINDOWS}), s2 AS (SELECT janela, y, p FROM sc JOIN jw USING (ano)), {_summary('s2', 'janela')}")
+def calibration_summary_by_window(spark, d):
+    bridge = spark.createDataFrame([(w, y) for w, ys in WINDOWS for y in ys], "janela string, ano int")
+    return evaluate.calibration_summary(scored(spark, d).join(F.broadcast(bridge), "ano"), ["janela"])
+
+
+@query(f"{SC} SELECT id, CASE WHEN ano IN (1996, 1997) THEN 'pandemico' WHEN ano IN (1995, 1998, 1999, 2000) THEN 'compartilhado' ELSE 'exploracao' END AS periodo FROM sc")
+def period_labels(spark, d):
+    return scored(spark, d).select("id", codes.period(F.col("ano"), (1996, 1997), (1995, 1998, 1999, 2000)).alias("periodo"))
 
 
 MODELS = ["base", "idade", "quadrado"]
 SQL_MODELS = "mo AS (SELECT 'base' AS modelo, id, y, p FROM sc UNION ALL SELECT 'idade', id, y, coalesce(least(1, greatest(0, idade / 120)), 0) FROM sc UNION ALL SELECT 'quadrado', id, y, p * p FROM sc)"
 
 
-def models(spark, d):
+def models(spark, d, *more):
     s = scored(spark, d)
     age = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("idade") / 120)), F.lit(0.0))
-    parts = [s.select(F.lit(m).alias("modelo"), "id", "y", c.alias("p")) for m, c in (("base", F.col("p")), ("idade", age), ("quadrado", F.col("p") * F.col("p")))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("modelo"), c.alias("p")) for m, c in (("base", F.col("p")), ("idade", age), ("quadrado", F.col("p") * F.col("p"))))))
+    return s.select("id", "y", *more, each.alias("m")).select("m.modelo", "id", "y", *more, "m.p")  # one scan for all models
 
 
 @query(f"{SC}, {SQL_MODELS}, {_running('mo', 'modelo')}, a AS (SELECT modelo, {AUC} AS roc_auc, {AP} AS pr_auc FROM rn GROUP BY modelo) SELECT a.modelo, a.roc_auc, a.pr_auc, round(a.pr_auc - b.pr_auc, 6) AS delta_pr FROM a, a b WHERE b.modelo = 'base'")
@@ -231,6 +288,59 @@ def model_comparison(spark, d):
     return per.crossJoin(F.broadcast(base)).select("modelo", "roc_auc", "pr_auc", F.round(F.col("pr_auc") - F.col("b"), 6).alias("delta_pr"))  # one row
 
 
+MY = f"{SC}, {SQL_MODELS}, my AS (SELECT modelo, ano, mo.y, mo.p FROM mo JOIN (SELECT id, ano::INTEGER AS ano FROM sc) USING (id)), {_running('my', 'modelo, ano')}, a AS (SELECT modelo, ano, {AUC} AS roc_auc, {AP} AS pr_auc FROM rn GROUP BY modelo, ano)"
+
+
+@query(MY + " " + " UNION ALL ".join(f"SELECT modelo, '{m}' AS metrica, min({m}) AS minimo, max({m}) AS maximo, round(avg({m}), 5) AS media, round(max({m}) - min({m}), 6) AS amplitude, count({m}) AS anos FROM a GROUP BY modelo" for m in ("roc_auc", "pr_auc")))
+def metric_stability(spark, d):
+    rows = models(spark, d, "ano")
+    per = evaluate.discrimination(evaluate.levels(rows, ["modelo", "ano"]), ["modelo", "ano"]).unpivot(["modelo", "ano"], ["roc_auc", "pr_auc"], "metrica", "v")
+    return per.groupBy("modelo", "metrica").agg(F.min("v").alias("minimo"), F.max("v").alias("maximo"), F.round(F.avg("v"), 5).alias("media"), F.round(F.max("v") - F.min("v"), 6).alias("amplitude"), F.count("v").alias("anos"))
+
+
+@query(f"{SC}, {SQL_MODELS}, {_running('mo', 'modelo')}, a AS (SELECT modelo, {AUC} AS roc_auc, {AP} AS pr_auc FROM rn GROUP BY modelo), b AS (SELECT modelo, round(avg((y - p) * (y - p)), 6) AS brier FROM mo GROUP BY modelo) SELECT modelo, pr_auc, brier FROM a JOIN b USING (modelo) ORDER BY pr_auc DESC, brier, modelo LIMIT 2")
+def model_shortlist(spark, d):
+    per = evaluate.metrics(models(spark, d), T, ["modelo"]).select("modelo", "pr_auc", "brier")
+    return profile.top(per, 2, F.desc("pr_auc"), F.col("brier"), F.col("modelo"))
+
+
+@query(f"{MY} SELECT ano, modelo, roc_auc, pr_auc FROM a QUALIFY row_number() OVER (PARTITION BY ano ORDER BY pr_auc DESC, modelo) = 1")
+def best_model_by_year(spark, d):
+    per = evaluate.discrimination(evaluate.levels(models(spark, d, "ano"), ["modelo", "ano"]), ["modelo", "ano"])
+    return profile.best_per(per, ["ano"], F.desc("pr_auc"), F.col("modelo")).select("ano", "modelo", "roc_auc", "pr_auc")
+
+
+@query(f"{SC}, {SQL_MODELS}, {_running('mo', 'modelo')} SELECT modelo, p, {_ratio('tp', 'tp + fp')} AS precisao, {_ratio('tp', 'np')} AS recall, {_ratio('fp', 'nn')} AS fpr FROM rn")
+def curves_by_model(spark, d):
+    return evaluate.curve_points(models(spark, d), ["modelo"])
+
+
+@query(f"{SC}, {SQL_MODELS}, {_curve_by('mo', 'modelo')} SELECT * FROM qc")
+def calibration_points_by_model(spark, d):
+    rows = models(spark, d)
+    return evaluate.reliability(rows, evaluate.quantile_edges(evaluate.levels(rows, ["modelo"]), 10, ["modelo"]), ["modelo"])
+
+
+@query(f"{SC} SELECT id, y, p, ano::INTEGER AS ano, regiao, faixa, sexo FROM sc")
+def predictions_with_audit(spark, d):
+    """Predictions and audit columns, one to one by record."""
+    s = scored(spark, d)
+    return io.one_to_one(s.select("id", "y", "p"), s.select("id", "ano", "regiao", "faixa", "sexo"), ["id"])
+
+
+@query("SELECT o_orderkey, o_custkey, c_name, c_nationkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def orders_with_customer(spark, d):
+    orders, customer = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "customer"))
+    named = customer.select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
+    return io.many_to_one(orders.select("o_orderkey", "o_custkey"), named.unionByName(named), ["o_custkey"], "c_name", needed=["c_name"]).select("o_orderkey", "o_custkey", "c_name", "c_nationkey")
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey) = 1")
+def first_line_of_order(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity")
+    return io.first_rows(lines, ["l_orderkey"], -F.col("l_quantity"), F.col("l_partkey"))
+
+
 @query(f"{SC}, {SQL_MODELS} SELECT id, " + ", ".join(f"round(max(p) FILTER (modelo = '{m}'), 6) AS {m}" for m in MODELS) + " FROM mo GROUP BY id")
 def scores_wide(spark, d):
     return models(spark, d).groupBy("id").pivot("modelo", MODELS).agg(F.round(F.first("p"), 6))
@@ -251,57 +361,93 @@ def completeness_terciles(spark, d):
     return standard.terciles(scored(spark, d), "completude")
 
 
-def _draws(unit: str, seed: str, table: str = "sc") -> str:
-    return f"""un AS (SELECT u, row_number() OVER (ORDER BY md5('{seed}|' || u), u) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {unit} AS u FROM {table})),
-dr AS (SELECT r AS rep, ('0x' || md5('{seed}|' || r || '|' || i)[1:12])::BIGINT % n AS i, count(*) AS w FROM un, range({REPLICATES}) t(r) GROUP BY ALL),
-dw AS (SELECT rep, u, w FROM dr JOIN un USING (i))"""
-
-
-def _weighted(unit: str, keys: str = "") -> str:
-    by = f"{keys}, " if keys else ""
-    return f"""bl AS (SELECT {by}rep, p, sum(y * w)::BIGINT AS pos, sum((1 - y) * w)::BIGINT AS neg FROM sc JOIN dw ON {unit} = u GROUP BY {by}rep, p),
-br AS (SELECT *, sum(pos) OVER (PARTITION BY {by}rep ORDER BY p DESC) AS tp, sum(neg) OVER (PARTITION BY {by}rep ORDER BY p DESC) AS fp, sum(pos) OVER (PARTITION BY {by}rep) AS np, sum(neg) OVER (PARTITION BY {by}rep) AS nn FROM bl),
-bm AS (SELECT {by}rep, {AUC} AS roc_auc, {AP} AS pr_auc, round(sum(pos * (1 - p) * (1 - p) + neg * p * p) / sum(pos + neg), 6) AS brier, round(sum(pos) / nullif(sum((pos + neg) * p), 0), 6) AS oe FROM br GROUP BY {by}rep HAVING max(np) > 0 AND max(nn) > 0)"""
+THREE = ["roc_auc", "pr_auc", "brier"]
+FIVE = [*THREE, "oe", "pr_relativa"]
+
+
+def _drawn(unit: str, seed: str, src: str = "sc", keys: str = "", replicates: int = REPLICATES) -> str:
+    """Metrics of all rows (em) and of replicates (bm) of a table, by keys: weights are Poisson(1) from hashes."""
+    by, on = (f"{keys}, ", keys) if keys else ("", "")
+    digits = " + ".join(f"(h >= '{t}')::INTEGER" for t in evaluate.POISSON)
+    level = lambda lv, k: f"""SELECT *, sum(pos) OVER (PARTITION BY {k} ORDER BY p DESC) AS tp, sum(neg) OVER (PARTITION BY {k} ORDER BY p DESC) AS fp, sum(pos) OVER (PARTITION BY {k}) AS np, sum(neg) OVER (PARTITION BY {k}) AS nn FROM {lv}"""
+    facts = lambda k: f"""{k}, {AUC} AS roc_auc, {AP} AS pr_auc, round(round({AP}, 6) * sum(pos + neg) / sum(pos), 6) AS pr_relativa, round(sum(pos * (1 - p) * (1 - p) + neg * p * p) / sum(pos + neg), 6) AS brier, round(sum(pos) / nullif(sum((pos + neg) * p), 0), 6) AS oe"""
+    return f"""un AS (SELECT DISTINCT {unit} AS u FROM {src}),
+mh AS (SELECT u, b, md5('{seed}|' || b || '|' || u) AS m FROM un, range({(replicates + 7) // 8}) t(b)),
+dh AS (SELECT u, 8 * b + j AS rep, m[4 * j + 1 : 4 * j + 4] AS h FROM mh, range(8) t(j)),
+dw AS (SELECT u, rep, {digits} AS w FROM dh WHERE h >= '{evaluate.POISSON[0]}' AND rep < {replicates}),
+bl AS (SELECT {by}rep, p, sum(y * w)::BIGINT AS pos, sum((1 - y) * w)::BIGINT AS neg FROM {src} JOIN dw ON {unit} = u GROUP BY {by}rep, p),
+br AS ({level('bl', by + 'rep')}),
+bm AS (SELECT {facts(by + 'rep')} FROM br GROUP BY {by}rep HAVING max(np) > 0 AND max(nn) > 0),
+el AS (SELECT {by}1 AS whole, p, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM {src} GROUP BY {by}p),
+er AS ({level('el', by + 'whole')}),
+em AS (SELECT {facts(by + 'whole')} FROM er GROUP BY {by}whole HAVING max(np) > 0 AND max(nn) > 0)"""
 
 
 def _interval(metrics, keys: str = "") -> str:
-    by = f"{keys}, " if keys else ""
-    return " UNION ALL ".join(f"SELECT {by}'{m}' AS metrica, count({m}) AS replicas, round(quantile_cont({m}, 0.025), 5) AS baixo, round(quantile_cont({m}, 0.975), 5) AS alto FROM bm" + (f" GROUP BY {keys}" if keys else "") for m in metrics)
-
-
-THREE = ["roc_auc", "pr_auc", "brier"]
+    by, on = (f"{keys}, ", f"USING ({keys})") if keys else ("", "ON true")
+    group = f" GROUP BY {keys}" if keys else ""
+    return " UNION ALL ".join(f"SELECT {by}'{m}' AS metrica, {m} AS estimativa, replicas, baixo, alto FROM em LEFT JOIN (SELECT {by}count({m}) AS replicas, round(quantile_cont({m}, 0.025), 5) AS baixo, round(quantile_cont({m}, 0.975), 5) AS alto FROM bm{group}) {on}" for m in metrics)
 
 
-@query(f"{SC}, {_draws('id', 'linhas')}, {_weighted('id')} {_interval(THREE)}")
+@query(f"{SC}, {_drawn('id', 'linhas')} {_interval(THREE)}")
 def bootstrap_rows(spark, d):
-    s = scored(spark, d)
-    return evaluate.interval(evaluate.weighted(s, evaluate.draws(s, "id", REPLICATES, "linhas"), "id"), THREE)
+    return evaluate.bootstrap(scored(spark, d), "id", THREE, REPLICATES, "linhas")
 
 
-@query(f"{SC}, {_draws('grupo', 'grupos')}, {_weighted('grupo')} {_interval(THREE)}")
+@query(f"{SC}, {_drawn('grupo', 'grupos')} {_interval(THREE)}")
 def bootstrap_groups(spark, d):
-    s = scored(spark, d)
-    return evaluate.interval(evaluate.weighted(s, evaluate.draws(s, "grupo", REPLICATES, "grupos"), "grupo"), THREE)
+    return evaluate.bootstrap(scored(spark, d), "grupo", THREE, REPLICATES, "grupos")
+
 
+PAIR = f"{SC}, s2 AS (SELECT grupo, y, p, 'a' AS m FROM sc UNION ALL SELECT grupo, y, p * p, 'b' FROM sc), {_drawn('grupo', 'pares', 's2', 'm')}, df AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metrica, round(a.{m} - b.{m}, 9) AS d FROM bm a JOIN bm b USING (rep) WHERE a.m = 'a' AND b.m = 'b'" for m in THREE) + "), de AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metrica, round(a.{m} - b.{m}, 6) AS diferenca FROM em a, em b WHERE a.m = 'a' AND b.m = 'b'" for m in THREE) + ")"
 
-@query()
+
+@query(f"{PAIR} SELECT metrica, any_value(diferenca) AS diferenca, count(d) AS replicas, round(quantile_cont(d, 0.025), 5) AS baixo, round(quantile_cont(d, 0.975), 5) AS alto, round(least(1, 2 * least(avg((d <= 0)::INTEGER), avg((d >= 0)::INTEGER))), 5) AS p_valor FROM df JOIN de USING (metrica) GROUP BY metrica")
 def bootstrap_paired(spark, d):
-    s = scored(spark, d)
-    drawn = evaluate.draws(s, "grupo", REPLICATES, "grupos")
-    age = F.coalesce(F.least(F.lit(1.0), F.col("idade") / 120), F.lit(0.0))
-    return evaluate.paired(evaluate.weighted(s, drawn, "grupo"), evaluate.weighted(s.withColumn("p", age), drawn, "grupo"), "pr_auc")
+    return evaluate.bootstrap_difference(scored(spark, d), "grupo", F.col("p") * F.col("p"), THREE, REPLICATES, "pares")
+
+
+MEAN = "sum(CASE WHEN y = 1 THEN {w} * completude END) / sum(CASE WHEN y = 1 THEN {w} END) - sum(CASE WHEN y = 0 THEN {w} * completude END) / sum(CASE WHEN y = 0 THEN {w} END)"
 
 
-@query(f"{SC}, {_draws('grupo', 'medias')}, m AS (SELECT rep, sum(CASE WHEN y = 1 THEN w * completude END) / sum(CASE WHEN y = 1 THEN w END) - sum(CASE WHEN y = 0 THEN w * completude END) / sum(CASE WHEN y = 0 THEN w END) AS d FROM sc JOIN dw ON grupo = u GROUP BY rep) SELECT count(d) AS replicas, round(quantile_cont(d, 0.025), 5) AS baixo, round(quantile_cont(d, 0.975), 5) AS alto FROM m")
+@query(f"{SC}, {_drawn('grupo', 'medias')}, m AS (SELECT rep, {MEAN.format(w='w')} AS d FROM sc JOIN dw ON grupo = u GROUP BY rep) SELECT (SELECT round({MEAN.format(w='1')}, 5) FROM sc) AS diferenca, count(d) AS replicas, round(quantile_cont(d, 0.025), 5) AS baixo, round(quantile_cont(d, 0.975), 5) AS alto FROM m")
 def bootstrap_mean_diff(spark, d):
-    s = scored(spark, d)
-    both = s.select("grupo", "y", "completude").join(evaluate.draws(s, "grupo", REPLICATES, "medias"), "grupo")
-    mean = lambda v: F.sum(F.when(F.col("y") == v, F.col("w") * F.col("completude"))) / F.sum(F.when(F.col("y") == v, F.col("w")))
-    reps = both.groupBy("rep").agg((mean(1) - mean(0)).alias("d"))
-    return reps.agg(F.count("d").alias("replicas"), F.round(F.percentile("d", 0.025), 5).alias("baixo"), F.round(F.percentile("d", 0.975), 5).alias("alto"))
+    return evaluate.mean_difference(scored(spark, d), "grupo", "completude", REPLICATES, "medias")
+
+
+STRATA_METRICS = ["roc_auc", "pr_auc", "pr_relativa", "brier", "oe"]
+
 
+def _strata(stratum: str) -> str:
+    """Several models in each stratum and in all: counts, suppression, estimates, intervals, and O/E relative to all."""
+    src = f"""sm AS (SELECT grupo, y, unnest([{{'m': 'base', 'p': p}}, {{'m': 'quadrado', 'p': p * p}}]) AS v, {stratum} AS e FROM sc),
+sx AS (SELECT grupo, y, v.m AS modelo, v.p AS p, unnest(['todos', e]) AS estrato FROM sm),
+sy AS (SELECT * FROM sx WHERE estrato IS NOT NULL),
+sf AS (SELECT estrato, modelo, count(*) AS n, sum(y)::BIGINT AS positivos, round(avg(y), 6) AS prevalencia, count(*) < {LEAST_ROWS} OR sum(y) < {LEAST_CLASS} OR sum(1 - y) < {LEAST_CLASS} AS suprimido FROM sy GROUP BY ALL),
+sz AS (SELECT sy.* FROM sy JOIN sf USING (estrato, modelo) WHERE NOT suprimido)"""
+    metrics = ", ".join(f"'{m}'" for m in STRATA_METRICS)
+    return f"""{SC}, {src}, {_drawn('grupo', 'estratos', 'sz', 'estrato, modelo', STRATUM_REPLICATES)}, iv AS ({_interval(STRATA_METRICS, 'estrato, modelo')}),
+al AS (SELECT sf.*, unnest([{metrics}]) AS metrica FROM sf), av AS (SELECT al.*, estimativa, replicas, baixo, alto FROM al LEFT JOIN iv USING (estrato, modelo, metrica))
+SELECT av.*, CASE WHEN metrica = 'oe' THEN round(estimativa / (SELECT t.estimativa FROM av t WHERE t.estrato = 'todos' AND t.modelo = av.modelo AND t.metrica = 'oe'), 5) END AS relativo_ao_total FROM av"""
 
-@query(f"{SC}, {_draws('grupo', 'estratos')}, {_weighted('grupo', 'faixa')} {_interval(['roc_auc', 'pr_auc', 'oe'], 'faixa')}")
+
+def _stratum_table(rows, stratum):
+    both = F.explode(F.array(*(F.struct(F.lit(m).alias("modelo"), c.alias("p")) for m, c in (("base", F.col("p")), ("quadrado", F.col("p") * F.col("p"))))))
+    drawn = evaluate.draw_weights(F.col("grupo"), "estratos", STRATUM_REPLICATES)
+    rows = rows.select("grupo", "y", "p", stratum.alias("e"), drawn.alias("w")).select("grupo", "y", "w", "e", both.alias("m")).select("grupo", "y", "w", "m.*", F.explode(F.array(F.lit("todos"), F.col("e"))).alias("estrato")).where("estrato is not null")
+    return evaluate.stratum_table(rows, "grupo", STRATA_METRICS, STRATUM_REPLICATES, "estratos", LEAST_ROWS, LEAST_CLASS, "w")
+
+
+@query(_strata("faixa"))
 def stratum_ci(spark, d):
-    s = scored(spark, d)
-    return evaluate.interval(evaluate.weighted(s, evaluate.draws(s, "grupo", REPLICATES, "estratos"), "grupo", ["faixa"]), ["roc_auc", "pr_auc", "oe"], ["faixa"])
+    return _stratum_table(scored(spark, d), F.col("faixa"))
+
+
+PARTS = "split_part(estrato, '|', {0})"
+
+
+@query(f"SELECT * EXCLUDE (estrato), CASE WHEN estrato = 'todos' THEN 'todos' ELSE {PARTS.format(1)} END AS padrao, CASE WHEN estrato = 'todos' THEN 'todas' ELSE {PARTS.format(2)} END AS ampla FROM ({_strata(f'padrao || chr(124) || {SQL_COARSE}')})")
+def pattern_by_age(spark, d):
+    out = _stratum_table(scored(spark, d), codes.label(F.col("padrao"), codes.coarse_band(F.col("faixa"))))
+    whole = F.col("estrato") == "todos"
+    return out.withColumn("padrao", F.when(whole, "todos").otherwise(codes.label_part(F.col("estrato"), 0))).withColumn("ampla", F.when(whole, "todas").otherwise(codes.label_part(F.col("estrato"), 1))).drop("estrato")

@@ -9,8 +9,8 @@ import uuid
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from riskloom.operators import evaluate, models, rules
-from riskloom.plans.cohort import MASTER, master
+from riskloom.operators import blocks, evaluate, models, profile
+from riskloom.plans.cohort import MASTER, YEARS_SEALED, YEARS_SHARED, master
 from riskloom.sources import io
 from riskloom.sources.episodes import SQL_EPISODES, SQL_SCORED, episodes, read, scored
 
@@ -30,18 +30,28 @@ def query(sql: str | None = None):
 
 
 def folder(spark, name: str) -> str:
-    """A new path in the shared folder of the session, or in a temporary one where none is set."""
+    """A new path in the shared folder of the session, or in a temporary one where none is set and the master is local."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not top:
         own = tempfile.TemporaryDirectory(prefix="riskloom-")
         atexit.register(own.cleanup)
         top = f"file://{own.name}"
+        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df, name: str):
+    """Write a table that several jobs read, and read it back."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _parts(spark, d):
     h = F.conv(F.substring(F.md5("grupo"), 1, 4), 16, 10).cast("int") % 10
-    rows = scored(spark, d).withColumn("h", h).withColumn("valida", F.col("h") == 8).drop("p")
+    rows = stored(scored(spark, d).withColumn("h", h).withColumn("valida", F.col("h") == 8).drop("p"), "parts")
     return rows.where("h < 9"), rows.where("h = 9")
 
 
@@ -86,30 +96,57 @@ def calibrated_scores(spark, d):
     return iso.select("id", "y", "p", "sigmoide", F.col("p_cal").alias("isotonica"))
 
 
-@query()
-def calibration_slope(spark, d):
-    s = scored(spark, d)
-    curve = evaluate.calibration_errors(evaluate.reliability(s, evaluate.quantile_edges(s, 10)))
-    facts = s.agg(F.count("*").alias("n"), F.avg("y").alias("prevalencia"), (F.sum("y") / F.sum("p")).alias("oe"), evaluate.brier().alias("brier"))
-    return facts.crossJoin(curve).withColumn("inclinacao", F.lit(models.calibration_slope(s)))  # one row each
+GRID = {f"lr c={c:g} l1={l1:g} {w or 'sem_peso'}": {"name": "lr", "c": c, "l1": l1, **({"weight": "peso"} if w else {})} for c in (0.1, 1.0, 10.0) for l1 in (0.0, 0.5) for w in (None, "peso")}
+GRID |= {f"gbt rate={r:g} depth={k}": {"name": "gbt", "rate": r, "depth": k} for r in (0.05, 0.1) for k in (3, 6)}
 
 
 @query()
 def grid_search(spark, d):
-    return models.search(*_parts(spark, d), [{"name": "lr", "c": c} for c in (0.1, 1.0)], NUMERIC, CATEGORICAL)
+    train, test = _parts(spark, d)
+    return models.search(models.scored_sets(models.balanced(train), test, GRID, NUMERIC, CATEGORICAL))
+
+
+SETS = {"P": {}, "so_idade_sexo": {"numeric": ["idade"], "categorical": ["sexo"]}, "P_menos_completude": {"numeric": ["idade"]}, "P_mais_padrao": {"categorical": [*CATEGORICAL, "padrao"]}}
+
+
+def _ablated(spark, d):
+    train, test = _parts(spark, d)
+    return stored(models.scored_sets(train, test, {k: {"name": "lr", **v} for k, v in SETS.items()}, NUMERIC, CATEGORICAL), "ablation")
 
 
 @query()
 def ablation(spark, d):
-    sets = [{"name": "tree", "categorical": c} for c in (CATEGORICAL, CATEGORICAL[:1])]
-    return models.search(*_parts(spark, d), sets, NUMERIC, CATEGORICAL)
+    return models.against(models.search(_ablated(spark, d)), "P", ["pr_auc", "roc_auc"])
+
+
+@query()
+def ablation_by_year(spark, d):
+    """Metrics of two sets of columns by year, with the paired interval of their difference."""
+    rows = _ablated(spark, d).where("candidato in ('P', 'P_mais_padrao')")
+    wide = rows.groupBy("id", "grupo", "ano", "y").pivot("candidato", ["P_mais_padrao", "P"]).agg(F.first("p")).select("id", "grupo", "ano", "y", F.col("P_mais_padrao").alias("p"), F.col("P").alias("q"))
+    pair = evaluate.bootstrap_difference(wide, "grupo", F.col("q"), ["roc_auc"], 300, "ablacao", ["ano"])
+    each = evaluate.metrics(rows, 0.5, ["ano", "candidato"]).groupBy("ano").pivot("candidato", ["P", "P_mais_padrao"]).agg(F.first("roc_auc"))
+    facts = wide.groupBy("ano").agg(F.count("*").alias("n"), F.sum("y").alias("positivos"))
+    return facts.join(each, "ano").join(pair.drop("metrica"), "ano", "left")
 
 
 @query()
 def class_weight_compare(spark, d):
+    """Calibrated scores of fits with and without class weights; the best of each family by Brier score is marked."""
     train, test = _parts(spark, d)
-    train = train.withColumn("peso", F.when(F.col("y") == 1, 4.0).otherwise(1.0))
-    return models.search(train, test, [{"name": "tree"}, {"name": "tree", "weight": "peso"}], NUMERIC, CATEGORICAL)
+    sets = {f"{f} {w}": {"name": f, **({"weight": "peso"} if w == "peso" else {})} for f in ("lr", "tree") for w in ("sem_peso", "peso")}
+    rows = blocks.halves(stored(models.scored_sets(models.balanced(train), test, sets, NUMERIC, CATEGORICAL), "weights"), ["candidato", "y"], "id")
+    out = None
+    for name in sets:
+        one = rows.where(F.col("candidato") == name)
+        cal = models.sigmoid_calibration(one.where("metade = 'calibracao'").select("id", "y", "p"), one.where("metade = 'medida'").select("candidato", "id", "y", "p"))
+        cal = cal.select("candidato", "y", F.round("p_cal", 9).alias("p"))
+        out = cal if out is None else out.unionByName(cal)
+    table = evaluate.metrics(out, 0.5, ["candidato"]).select("candidato", "brier", "pr_auc", "roc_auc")
+    errors = evaluate.calibration_errors(evaluate.reliability(out, [i / 10 for i in range(1, 10)], ["candidato"]), ["candidato"]).select("candidato", "ece")
+    table = table.join(errors, "candidato").withColumn("familia", F.split("candidato", " ")[0])
+    best = profile.best_per(table, ["familia"], F.col("brier"), F.col("candidato")).select("candidato", F.lit(True).alias("melhor"))
+    return table.join(best, "candidato", "left").na.fill(False, ["melhor"])
 
 
 @query()
@@ -118,9 +155,16 @@ def kmeans_groups(spark, d):
     return models.kmeans(v, 10, "v").select("vec_id", "label", "cluster")
 
 
+@query()
+def cluster_quality(spark, d):
+    rows, _ = models.cluster_features(scored(spark, d), NUMERIC, CATEGORICAL)
+    return models.silhouettes(rows.select("id", "weighted"), (2, 3, 4), "weighted")
+
+
 @query()
 def cluster_profile(spark, d):
-    rows = models.kmeans(models.cluster_features(scored(spark, d), NUMERIC, CATEGORICAL), 4, "weighted")
+    rows, _ = models.cluster_features(scored(spark, d), NUMERIC, CATEGORICAL)
+    rows = models.kmeans(rows, 4, "weighted")
     v = models.cramers_v(rows, "cluster", CATEGORICAL).select("variavel", F.lit("v_cramer").alias("medida"), F.col("v_cramer").alias("valor"))
     return v.unionByName(models.eta_squared(rows, "cluster", NUMERIC).select("variavel", F.lit("eta2").alias("medida"), F.col("eta2").alias("valor")))
 
@@ -137,6 +181,11 @@ def association(spark, d):
     return models.cramers_v(scored(spark, d), "y", CATEGORICAL)
 
 
+@query(f"WITH {SQL_SCORED}, o AS (SELECT *, avg(idade) OVER () AS m FROM sc WHERE idade IS NOT NULL), g AS (SELECT y, count(*) AS n, avg(idade) AS a, any_value(m) AS m FROM o GROUP BY y) SELECT 'idade' AS variavel, round((SELECT sum(n * (a - m) * (a - m)) FROM g) / (SELECT sum((idade - m) * (idade - m)) FROM o), 5) AS eta2")
+def variance_between(spark, d):
+    return models.eta_squared(scored(spark, d), "y", ["idade"])
+
+
 @query(f"{MASTER} SELECT particao, count(*) AS n FROM mp WHERE particao IN ('train_ref', 'val_ref') GROUP BY particao")
 def blocks_roundtrip(spark, d):
     path = folder(spark, "blocks")
@@ -144,16 +193,36 @@ def blocks_roundtrip(spark, d):
     return io.read_blocks(spark, path).groupBy("particao").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SQL_EPISODES}, k AS (SELECT id_registro FROM ep WHERE evolucao IN ('1', '2'))
-SELECT 'linhas' AS verificacao, count(*) AS observado, count(*) > 0 AS ok FROM k UNION ALL SELECT 'chave_nula', 0, true UNION ALL SELECT 'chave_repetida', count(*) - count(DISTINCT id_registro), count(*) = count(DISTINCT id_registro) FROM k
-UNION ALL SELECT 'violacoes', 0, true UNION ALL SELECT 'fora_do_dominio', 0, true""")
+@query(f"{MASTER} SELECT 'partition' AS tabela, particao, count(*) AS n, count(DISTINCT grupo) AS grupos FROM mp GROUP BY particao UNION ALL SELECT 'model', particao, count(*), count(DISTINCT grupo) FROM mp WHERE particao <> 'exploracao' GROUP BY particao")
+def supervised_build(spark, d):
+    """The whole build: features, groups, target, quarantine, partition, two written tables with manifests, read back and checked."""
+    rows = io.free_targets(io.require(scored(spark, d), ["id", "grupo", "y", "ano", "regiao"]), ["particao"])
+    ok, _ = blocks.quarantine(rows, "grupo", ["ano", "y", "regiao"])
+    parts = stored(blocks.master_partition(ok, "grupo", YEARS_SHARED, YEARS_SEALED), "build")
+    out = None
+    for name, table in (("partition", parts.select("id", "grupo", "ano", "regiao", "y", "particao")), ("model", parts.where("particao <> 'exploracao'"))):
+        path = folder(spark, name)
+        table.write.option("compression", "zstd").parquet(path)
+        io.manifest(table, name, blocks.SALT, "particao").write.json(f"{path}-manifest")
+        held = io.read_checked(spark, path, f"{path}-manifest")
+        io.failing(io.published_checks(held, "id", held["y"].isNull(), (0, 1), "y"))
+        facts = held.groupBy("particao").agg(F.count("*").alias("n"), F.count_distinct("grupo").alias("grupos")).select(F.lit(name).alias("tabela"), "particao", "n", "grupos")
+        out = facts if out is None else out.unionByName(facts)
+    return out
+
+
+@query(f"""WITH {SQL_EPISODES}, k AS (SELECT *, evolucao NOT IN ('1', '2') AS v, hospital IS NULL OR hospital <> '1' AS bad FROM ep)
+SELECT 'linhas' AS verificacao, count(*) AS observado, count(*) > 0 AS ok FROM k UNION ALL SELECT 'chave_nula', count(*) FILTER (id_registro IS NULL), count(*) FILTER (id_registro IS NULL) = 0 FROM k UNION ALL SELECT 'chave_repetida', count(*) - count(DISTINCT id_registro), count(*) = count(DISTINCT id_registro) FROM k
+UNION ALL SELECT 'violacoes', count(*) FILTER (bad), count(*) FILTER (bad) = 0 FROM k UNION ALL SELECT 'fora_do_dominio', count(*) FILTER (v), count(*) FILTER (v) = 0 FROM k""")
 def validate_published(spark, d):
-    masks = rules.masks()
-    e = episodes(spark, d).where(~masks["evolucao"])
-    return io.published_checks(e, "id_registro", masks["evolucao"], ("1", "2"), "evolucao")
+    """Checks of a table that breaks two of them."""
+    bad = F.coalesce(F.col("hospital") != "1", F.lit(True))
+    return io.published_checks(episodes(spark, d), "id_registro", bad, ("1", "2"), "evolucao")
 
 
-@query(f"WITH {SQL_EPISODES} SELECT 'episodes' AS nome, count(*) AS linhas, 38 AS colunas FROM ep")
+@query(f"{MASTER}, b AS (SELECT particao, count(*) AS n FROM mp GROUP BY particao) SELECT 'partition' AS nome, '1' AS semente, (SELECT count(*) FROM mp) AS linhas, 6 AS colunas, 'id:string,grupo:string,ano:int,regiao:string,y:int,particao:string' AS tipos, string_agg(particao || ':' || n, ',' ORDER BY particao) AS blocos FROM b")
 def profile_manifest(spark, d):
-    m = io.manifest(episodes(spark, d), "episodes", "1")
-    return m.select("nome", "linhas", "colunas")
+    table = master(spark, d).select("id", "grupo", "ano", "regiao", "y", "particao")
+    m = io.manifest(table, "partition", "1", "particao")
+    told = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a], x[b].cast("string"))), ",")
+    return m.select("nome", "semente", "linhas", "colunas", told("tipos", "coluna", "tipo").alias("tipos"), told("blocos", "bloco", "n").alias("blocos"))

@@ -14,11 +14,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _code(i: int):
-    """Codes '1', '2', '9' and null by remainders of the part key."""
+SECONDARY = [SYMPTOMS[i] for i in (2, 4, 5, 6, 7, 8, 9)]
+ANSWERS = SYMPTOMS + CONDITIONS
+
+
+def _code(i: int, symptom: bool = False):
+    """Codes '1', '2', '9' and null by remainders of the part key; some records have blank symptoms or no denied condition."""
     p = PRIMES[i % len(PRIMES)]
     pk = F.col("pk")
-    return F.when(pk % (p + 2) == 0, F.lit(None)).when(pk % (p + 3) == 1, "9").when((pk + i) % 2 == 0, "2").otherwise("1")
+    blank, no = (pk % 11 == 4, "2") if symptom else (F.lit(False), F.when(pk % 7 == 3, "1").otherwise("2"))
+    return F.when(blank | (pk % (p + 2) == 0), F.lit(None)).when(pk % (p + 3) == 1, "9").when((pk + i) % 2 == 0, no).otherwise("1")
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.when(evolucao == "2", 1).otherwise(0)
     return rows.select(
         rid.alias("id_registro"),
-        F.when(k % 97 == 0, "").otherwise(k.cast("string")).alias("nu_notific"),
+        F.when(k % 97 == 0, "").when(k % 103 == 0, "NaN").otherwise(k.cast("string")).alias("nu_notific"),
         F.when(k % 41 == 0, F.lit(None)).otherwise(F.col("day").cast("string")).alias("dt_sin_pri"),
         F.when(k % 29 == 0, F.lit(None)).when(k % 113 == 0, "xx").otherwise(F.date_add("day", (k % 75 - 5 + n % 2).cast("int")).cast("string")).alias("dt_interna"),
         F.when(k % 20 == 0, "2").when(k % 23 == 0, F.lit(None)).when(n == 3, "1.0").otherwise("1").alias("hospital"),
@@ -47,7 +52,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "regiao",
         F.when(F.col("pk") % 7 == 0, F.lit(None)).when(F.col("pk") % 5 == 0, "2").when(F.col("pk") % 5 == 1, "9").otherwise("1").alias("fator_risc"),
         *(_code(i).alias(c) for i, c in enumerate(CONDITIONS)),
-        *(_code(i + 3).alias(c) for i, c in enumerate(SYMPTOMS)),
+        *(_code(i + 3, True).alias(c) for i, c in enumerate(SYMPTOMS)),
         y.cast("byte").alias("y_true"),
         F.round(F.lit(0.7) * u + F.lit(0.25) * y, 3).alias("y_prob"),
     )
@@ -62,18 +67,25 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = codes.age_years(F.col("nu_idade_n"), F.col("tp_idade"))
     return e.withColumn("dia", day).where(F.col("dia").isNotNull()).select(
         F.col("id_registro").alias("id"), codes.group_id(F.col("nu_notific"), F.col("id_registro")).alias("grupo"), F.col("y_true").cast("int").alias("y"), F.col("y_prob").alias("p"),
-        F.year("dia").alias("ano"), F.col("regiao"), codes.age_band(age).alias("faixa"), F.col("cs_sexo").alias("sexo"), codes.completeness([F.col(s) for s in SYMPTOMS]).alias("completude"), age.alias("idade"))
+        F.year("dia").alias("ano"), F.col("regiao"), codes.age_band(age).alias("faixa"), F.col("cs_sexo").alias("sexo"), codes.completeness([F.col(s) for s in ANSWERS]).alias("completude"), age.alias("idade"),
+        codes.fill_pattern([F.col(s) for s in SECONDARY], [F.col(c) for c in CONDITIONS]).alias("padrao"))
 
 
-def _sql_code(i: int) -> str:
+def _sql_code(i: int, symptom: bool = False) -> str:
     p = PRIMES[i % len(PRIMES)]
-    return f"CASE WHEN pk % {p + 2} = 0 THEN NULL WHEN pk % {p + 3} = 1 THEN '9' WHEN (pk + {i}) % 2 = 0 THEN '2' ELSE '1' END"
+    blank, no = ("pk % 11 = 4 OR ", "'2'") if symptom else ("", "CASE WHEN pk % 7 = 3 THEN '1' ELSE '2' END")
+    return f"CASE WHEN {blank}pk % {p + 2} = 0 THEN NULL WHEN pk % {p + 3} = 1 THEN '9' WHEN (pk + {i}) % 2 = 0 THEN {no} ELSE '1' END"
+
+
+SQL_GIVEN = " + ".join(f"coalesce({s} IN ('1', '2'), false)::INTEGER" for s in ANSWERS)
+SQL_COMPLETE = f"round(100.0::DOUBLE * ({SQL_GIVEN}) / {len(ANSWERS)}, 6)"
+SQL_PATTERN = f"CASE WHEN {' + '.join(f'({s} IS NULL)::INTEGER' for s in SECONDARY)} >= 6 THEN 'sintomas_em_branco' WHEN NOT ({' OR '.join(f'coalesce({c} = {chr(39)}2{chr(39)}, false)' for c in CONDITIONS)}) THEN 'comorbidades_sem_nao' ELSE 'sim_e_nao' END"
 
 
 SQL_EPISODES = f"""
 ep0 AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS pk, min(l_quantity) AS q, min(l_returnflag) AS rf FROM lineitem GROUP BY ALL),
 ep AS (
-  SELECT (k * 8 + n)::VARCHAR AS id_registro, CASE WHEN k % 97 = 0 THEN '' ELSE k::VARCHAR END AS nu_notific,
+  SELECT (k * 8 + n)::VARCHAR AS id_registro, CASE WHEN k % 97 = 0 THEN '' WHEN k % 103 = 0 THEN 'NaN' ELSE k::VARCHAR END AS nu_notific,
     CASE WHEN k % 41 = 0 THEN NULL ELSE o_orderdate::DATE::VARCHAR END AS dt_sin_pri,
     CASE WHEN k % 29 = 0 THEN NULL WHEN k % 113 = 0 THEN 'xx' ELSE (o_orderdate::DATE + (k % 75 - 5 + n % 2)::INTEGER)::VARCHAR END AS dt_interna,
     CASE WHEN k % 20 = 0 THEN '2' WHEN k % 23 = 0 THEN NULL WHEN n = 3 THEN '1.0' ELSE '1' END AS hospital,
@@ -82,7 +94,7 @@ ep AS (
     CASE rf WHEN 'A' THEN 'M' WHEN 'R' THEN 'F' ELSE 'I' END AS cs_sexo, n_name AS sg_uf, r_name AS regiao,
     CASE WHEN pk % 7 = 0 THEN NULL WHEN pk % 5 = 0 THEN '2' WHEN pk % 5 = 1 THEN '9' ELSE '1' END AS fator_risc,
     {', '.join(f'{_sql_code(i)} AS {c}' for i, c in enumerate(CONDITIONS))},
-    {', '.join(f'{_sql_code(i + 3)} AS {c}' for i, c in enumerate(SYMPTOMS))},
+    {', '.join(f'{_sql_code(i + 3, True)} AS {c}' for i, c in enumerate(SYMPTOMS))},
     CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 0 END AS y_true,
     round(0.7::DOUBLE * (('0x' || md5((k * 8 + n)::VARCHAR)[1:8])::BIGINT::DOUBLE / 4294967296.0::DOUBLE) + 0.25::DOUBLE * (CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 0 END), 3) AS y_prob
   FROM ep0 JOIN orders ON o_orderkey = k JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"""
@@ -92,7 +104,7 @@ SQL_AGE = """CASE WHEN a < 0 OR a > 120 THEN NULL ELSE a END"""
 SQL_SCORED = f"""{SQL_EPISODES},
 sc0 AS (SELECT *, {SQL_DATE.format('dt_interna')} AS dia,
     CASE tp_idade WHEN '1' THEN nu_idade_n::DOUBLE / 365.25::DOUBLE WHEN '2' THEN nu_idade_n::DOUBLE / 12::DOUBLE ELSE nu_idade_n::DOUBLE END AS a FROM ep WHERE evolucao IN ('1', '2')),
-sc AS (SELECT id_registro AS id, CASE WHEN nu_notific = '' THEN 'sem_notific:' || id_registro ELSE nu_notific END AS grupo, y_true AS y, y_prob AS p, year(dia) AS ano, regiao,
-    CASE WHEN a < 2 THEN '00-01' WHEN a < 12 THEN '02-11' WHEN a < 18 THEN '12-17' WHEN a < 40 THEN '18-39' WHEN a < 60 THEN '40-59' WHEN a < 80 THEN '60-79' ELSE '80+' END AS faixa,
-    cs_sexo AS sexo, round(100.0::DOUBLE * ({' + '.join(f"(coalesce({s} IN ('1', '2'), false))::INTEGER" for s in SYMPTOMS)}) / {len(SYMPTOMS)}, 6) AS completude, a AS idade
+sc AS (SELECT id_registro AS id, CASE WHEN nu_notific IN ('', 'NaN') THEN 'sem_notific:' || id_registro ELSE nu_notific END AS grupo, y_true AS y, y_prob AS p, year(dia) AS ano, regiao,
+    CASE WHEN a < 1 THEN '<1' WHEN a < 5 THEN '1-4' WHEN a < 12 THEN '5-11' WHEN a < 18 THEN '12-17' WHEN a < 40 THEN '18-39' WHEN a < 60 THEN '40-59' WHEN a < 80 THEN '60-79' ELSE '80+' END AS faixa,
+    cs_sexo AS sexo, {SQL_COMPLETE} AS completude, a AS idade, {SQL_PATTERN} AS padrao
   FROM sc0 WHERE dia IS NOT NULL)"""

@@ -25,6 +25,24 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def free_targets(df: DataFrame, derived: list[str]) -> DataFrame:
+    """Derived columns must not collide with columns that are there, nor with each other."""
+    if bad := sorted({c for c in derived if c in df.columns or derived.count(c) > 1}):
+        raise ValueError(f"columns would collide: {bad}")
+    return df
+
+
+def needed_columns(features: dict[str, list[str]], audit: list[str]) -> list[str]:
+    """Physical columns behind features and audit columns, each once, in order."""
+    return list(dict.fromkeys([c for sources in features.values() for c in sources] + audit))
+
+
+def profile(df: DataFrame, sample: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows and columns, types by column, some rows)."""
+    types = df.sparkSession.createDataFrame([(i + 1, c, t) for i, (c, t) in enumerate(df.dtypes)], "ordem int, coluna string, tipo string")
+    return df.agg(F.count("*").alias("linhas"), F.lit(len(df.columns)).alias("colunas")), types, df.limit(sample)
+
+
 def presence(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     rows = [(g, c, c in df.columns) for g, cs in groups.items() for c in cs]
     return df.sparkSession.createDataFrame(rows, "grupo string, coluna string, existe boolean")
@@ -38,6 +56,12 @@ def guard(columns: list[str], forbidden: list[str], numeric: list[str], categori
         raise ValueError("numeric and categorical columns must part the features")
 
 
+def time_risk(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns known only after the admission, when they become known, and whether the table has them."""
+    rows = [(c, moment, c in df.columns) for c, moment in columns.items()]
+    return df.sparkSession.createDataFrame(rows, "coluna string, momento string, presente boolean")
+
+
 def write_blocks(df: DataFrame, path: str, block: str = "particao", overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").partitionBy(block).parquet(path)
 
@@ -68,9 +92,22 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("linhas"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("impressao"), F.sum(F.shiftright(h, 20)).alias("soma"))
 
 
-def manifest(df: DataFrame, name: str, seed: str) -> DataFrame:
+def manifest(df: DataFrame, name: str, seed: str, block: str | None = None) -> DataFrame:
+    """One row: size, types and fingerprint of a table, and the rows of each block."""
     types = F.array(*(F.struct(F.lit(c).alias("coluna"), F.lit(t).alias("tipo")) for c, t in df.dtypes))
-    return fingerprint(df).select(F.lit(name).alias("nome"), F.lit(seed).alias("semente"), "linhas", F.lit(len(df.columns)).alias("colunas"), types.alias("tipos"), "impressao")
+    out = fingerprint(df).select(F.lit(name).alias("nome"), F.lit(seed).alias("semente"), "linhas", F.lit(len(df.columns)).alias("colunas"), types.alias("tipos"), "impressao", "soma")
+    if not block:
+        return out
+    counts = df.groupBy(block).agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col(block).alias("bloco"), "n"))).alias("blocos"))
+    return out.crossJoin(F.broadcast(counts))  # one row each
+
+
+def read_checked(spark: SparkSession, path: str, manifest_path: str) -> DataFrame:
+    """A table whose contents still have the fingerprint of its manifest, a JSON row."""
+    df, known = spark.read.parquet(path), spark.read.json(manifest_path).select("linhas", "impressao", "soma").first()
+    if tuple(fingerprint(df).first()) != tuple(known):
+        raise ValueError(f"{path} is not the table of its manifest")
+    return df
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = False, overwrite: bool = False) -> None:
@@ -88,8 +125,26 @@ def one_to_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     return left.join(right, on, how)
 
 
-def many_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    return left.join(right.dropDuplicates(on), on, "left")
+def first_rows(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """One row of each key, the first in a stated order."""
+    columns = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order, *columns)).alias("_r"))
+    return rows.select(*keys, "_r.*")
+
+
+def many_to_one(left: DataFrame, right: DataFrame, on: list[str], *order, needed: list[str] = ()) -> DataFrame:
+    """Left join to the first right row of each key; columns that every left row needs may not be null."""
+    out = left.join(first_rows(right, on, *order), on, "left")
+    if needed and not out.where(" or ".join(f"{c} is null" for c in needed)).isEmpty():
+        raise ValueError(f"rows without {list(needed)}")
+    return out
+
+
+def failing(checks: DataFrame) -> DataFrame:
+    """The checks themselves; an error that names those that do not hold."""
+    if failed := [r["verificacao"] for r in checks.where("not ok").collect()]:
+        raise ValueError(f"failed: {failed}")
+    return checks
 
 
 def published_checks(df: DataFrame, key: str, violations, domain: tuple, target: str) -> DataFrame:
@@ -104,8 +159,6 @@ def publish(df: DataFrame, staging: str, path: str, check) -> DataFrame:
     """Write aside, check what is read back, then write the published path."""
     df.write.mode("overwrite").parquet(staging)
     held = df.sparkSession.read.parquet(staging)
-    failed = [r["verificacao"] for r in check(held).where("not ok").collect()]
-    if failed:
-        raise ValueError(f"failed: {failed}")
+    failing(check(held))
     held.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
