@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, fresh_path, small_slices
 
-KEPT_WORDS = 300_000
+KEPT_WORDS = 60_000  # of a generation; those of the one before are still known
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, place long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
 
@@ -62,10 +62,19 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.whole = Tokenizer.from_file(vocabulary_path)
+        self.whole, self.before = Tokenizer.from_file(vocabulary_path), {}
         self.tokenize = self.whole.model.tokenize
 
+    def bound(self) -> None:
+        """Let go of the words that have not been met for a generation."""
+        if len(self) > KEPT_WORDS:
+            self.before = dict(self)
+            self.clear()
+
     def __missing__(self, word: bytes) -> bytes:
+        if ids := self.before.get(word):
+            self[word] = ids
+            return ids
         if word.isalpha():
             found = self.tokenize(word.decode("ascii"))
         elif b"<|" not in word and len(bare := word.rstrip(MARKS)) < len(word) and bare[-1:].isalpha():
@@ -90,8 +99,7 @@ def _encode(vocabulary_path: str, end_id: int):
         known = kept["known"]
         end, part, place = np.int32(end_id).tobytes(), TaskContext.get().partitionId(), 0
         for batch in small_slices(batches, 128):
-            if len(known) > KEPT_WORDS:
-                known.clear()
+            known.bound()
             parts = [b"".join(map(known.__getitem__, words_of(t))) + end for t in batch.column("text").to_pylist()]
             sizes = np.array([len(p) // 4 for p in parts], np.int64)
             ends = np.cumsum(sizes)

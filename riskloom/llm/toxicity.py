@@ -57,7 +57,7 @@ class Cells(dict):
         self.only = only
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         parts = [word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
         cells = (zlib.crc32(x) % CELLS for x in parts)
