@@ -18,8 +18,9 @@ than ``SHARE`` of the item's windows stay whole is not found.
 Windows that are placeholders only say nothing and are left out. Items with fewer tokens
 than a window are compared as one window of their own length.
 
-Only built-in functions run. Benchmark windows are broadcast after their count is checked;
-beyond ``BROADCAST_ROWS`` the join shuffles.
+Only built-in functions run. Benchmark windows, and the names of the texts whose alignments are
+checked, are broadcast after their count is checked;
+beyond ``BROADCAST_ROWS`` and ``WANTED_ROWS`` the joins shuffle.
 
 Defined cases: null or blank texts have no tokens and no leaks; null ids match as any id
 does; an item or document given twice counts once; an empty benchmark or table gives an
@@ -39,6 +40,7 @@ from .common import documents, stored, table
 WINDOW = 8
 SHARE = 0.5
 BROADCAST_ROWS = 400_000  # windows of about 40 bytes
+WANTED_ROWS = 1_000_000  # texts with alignments to check, 16 bytes each
 TOKEN = r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[.!?\n]"
 
 # Units that become placeholders after a number
@@ -179,6 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
     # slots: a value of the item meets one value of the document, along the one shift or inside the windows of a band
     wanted = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("dk")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= WANTED_ROWS else wanted
     same_doc = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("dk"))
     near = stored(tokens_of(rows.join(wanted, same_doc, "left_semi").dropDuplicates(["doc_id", "text_key"]), "doc_id", "text_key"), "op4-near")
     near = near.select(F.col("doc_id").alias("d"), F.col("text_key").alias("dk"), F.col("t").alias("dt"))
