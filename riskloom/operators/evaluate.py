@@ -6,6 +6,8 @@ in two steps, by bucket of the score's logit and then inside it, so that no sing
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -223,29 +225,34 @@ def calibration_summary(df: DataFrame, keys: list[str], bins: int = 10) -> DataF
 
 # --- bootstrap
 
-# The distribution of Poisson(1) up to 0, 1, ... 6, in units of 2 ** -16, as four hexadecimal digits
-POISSON = ("5e2d", "bc5b", "eb71", "fb23", "ff10", "ffd9", "fffb")
+PRIME, ROOT = 2**31 - 1, 48271  # a multiplicative generator: weights of a unit come from its seed times powers of ROOT
+# the least values for one draw, two draws, ...: the distribution of Poisson(1) times PRIME
+POISSON = [round(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
 
 
-def draw_weights(unit: Column, seed: str, replicates: int) -> Column:
-    """How often a unit is drawn in each replicate: Poisson(1) from hashes of unit and replicate, so no draws are shuffled."""
-    blocks = F.sequence(F.lit(0), F.lit((replicates + 7) // 8 - 1))
-    of = lambda h, j: sum(((F.substring(h, 4 * j + 1, 4) >= t).cast("int") for t in POISSON), F.lit(0))
-    eight = F.flatten(F.transform(F.transform(blocks, lambda b: F.md5(F.concat_ws("|", F.lit(seed), b.cast("string"), unit))), lambda h: F.array(*(of(h, j) for j in range(8)))))
-    return F.slice(eight, 1, replicates)
+def multipliers(replicates: int) -> list[int]:
+    return [pow(ROOT, r + 1, PRIME) for r in range(replicates)]
 
 
-def drawn_levels(df: DataFrame, unit: str, replicates: int, seed: str, keys: list[str] = (), weights: str | None = None) -> DataFrame:
-    """``keys, rep, p, pos, neg`` of each replicate; rows of one unit, key and score are summed before they are weighted.
+def drawn(df: DataFrame, unit: str, replicates: int, seed: str) -> DataFrame:
+    """Rows with ``rep, w``: each as often as its unit is drawn in some replicate, with its weight there.
 
-    weights: a column with the unit's weights, where rows have been multiplied since they were worked out.
+    Weights are Poisson(1) from one hash of the unit, so no draws are shuffled.
     """
-    if weights:
-        rows = df.select(*keys, "p", F.col("y").alias("pos"), (1 - F.col("y")).alias("neg"), F.col(weights).alias("_w"))
-    else:
-        rows = df.groupBy(*keys, unit, "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg")).select(*keys, "p", "pos", "neg", draw_weights(F.col(unit), seed, replicates).alias("_w"))
-    each = rows.select(*keys, "p", "pos", "neg", F.posexplode("_w").alias("rep", "w")).where("w > 0")
-    return each.groupBy(*keys, "rep", "p").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
+    own = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(unit))), 1, 8), 16, 10).cast("long") % (PRIME - 1) + 1
+    each = df.withColumn("_s", own).select("*", F.posexplode(F.lit(multipliers(replicates)).cast("array<bigint>")).alias("rep", "_m")).withColumn("_x", F.col("_s") * F.col("_m") % PRIME)
+    each = each.where(F.col("_x") >= POISSON[0])
+    return each.withColumn("w", sum(((F.col("_x") >= t).cast("int") for t in POISSON[1:]), F.lit(1))).drop("_s", "_m", "_x")
+
+
+def drawn_levels(df: DataFrame, unit: str, replicates: int, seed: str, keys: list[str] = ()) -> DataFrame:
+    """``keys, rep, p, pos, neg`` of each replicate; rows of one unit, key and score are summed before they are weighted."""
+    per = df.groupBy(*keys, unit, "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    return weighted_levels(drawn(per, unit, replicates, seed), keys)
+
+
+def weighted_levels(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
+    return rows.groupBy(*keys, "rep", "p").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
 
 
 def replicate_metrics(lv: DataFrame, keys: list[str]) -> DataFrame:
@@ -255,13 +262,18 @@ def replicate_metrics(lv: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("pr_relativa", F.round(F.col("pr_auc") * F.col("n") / F.col("positivos"), 6)).drop("n", "positivos")
 
 
-def bootstrap(df: DataFrame, unit: str, metrics_: list[str], replicates: int, seed: str, keys: list[str] = (), alpha: float = 0.05, weights: str | None = None) -> DataFrame:
+def bootstrap(df: DataFrame, unit: str, metrics_: list[str], replicates: int, seed: str, keys: list[str] = (), alpha: float = 0.05) -> DataFrame:
     """``metrica, estimativa, replicas, baixo, alto`` by key: the estimate on all rows, and percentiles of the valid replicates."""
-    reps = replicate_metrics(drawn_levels(df, unit, replicates, seed, keys, weights), [*keys, "rep"])
+    return intervals(df, drawn_levels(df, unit, replicates, seed, keys), metrics_, keys, alpha)
+
+
+def intervals(df: DataFrame, lv: DataFrame, metrics_: list[str], keys: list[str] = (), alpha: float = 0.05) -> DataFrame:
+    """The same from the levels of replicates."""
+    reps = replicate_metrics(lv, [*keys, "rep"])
     whole = replicate_metrics(levels(df, keys), list(keys)) if keys else replicate_metrics(levels(df.withColumn("_all", F.lit(1)), ["_all"]), ["_all"]).drop("_all")
     est = whole.unpivot(list(keys), metrics_, "metrica", "estimativa")
     long = reps.unpivot([*keys, "rep"], metrics_, "metrica", "v")
-    ends = long.groupBy(*keys, "metrica").agg(F.count("v").alias("replicas"), F.round(F.percentile("v", alpha / 2), 5).alias("baixo"), F.round(F.percentile("v", 1 - alpha / 2), 5).alias("alto"))
+    ends = long.groupBy(*keys, "metrica").agg(F.count("v").alias("replicas"), F.round(F.percentile("v", alpha / 2) + 1e-9, 5).alias("baixo"), F.round(F.percentile("v", 1 - alpha / 2) + 1e-9, 5).alias("alto"))
     return est.join(ends, [*keys, "metrica"], "left")
 
 
@@ -276,7 +288,7 @@ def bootstrap_difference(df: DataFrame, unit: str, p_b: Column, metrics_: list[s
     k = [*keys, "metrica"]
     d = reps_a.join(reps_b, ["_all", *keys, "rep", "metrica"]).select(*k, F.round(F.col("a") - F.col("b"), 9).alias("d"))
     low, high = F.avg((F.col("d") <= 0).cast("int")), F.avg((F.col("d") >= 0).cast("int"))
-    ends = d.groupBy(*k).agg(F.count("d").alias("replicas"), F.round(F.percentile("d", alpha / 2), 5).alias("baixo"), F.round(F.percentile("d", 1 - alpha / 2), 5).alias("alto"), F.round(F.least(F.lit(1.0), 2 * F.least(low, high)), 5).alias("p_valor"))
+    ends = d.groupBy(*k).agg(F.count("d").alias("replicas"), F.round(F.percentile("d", alpha / 2) + 1e-9, 5).alias("baixo"), F.round(F.percentile("d", 1 - alpha / 2) + 1e-9, 5).alias("alto"), F.round(F.least(F.lit(1.0), 2 * F.least(low, high)), 5).alias("p_valor"))
     est = one.join(two, ["_all", *k]).select(*k, F.round(F.col("a") - F.col("b"), 6).alias("diferenca"))
     return est.join(ends, k, "left")
 
@@ -284,28 +296,33 @@ def bootstrap_difference(df: DataFrame, unit: str, p_b: Column, metrics_: list[s
 def mean_difference(df: DataFrame, unit: str, value: str, replicates: int, seed: str, alpha: float = 0.05) -> DataFrame:
     """Mean of a value among positives less that among negatives, with its interval over draws of units."""
     per = df.groupBy(unit, "y").agg(F.count(value).alias("n"), F.sum(value).alias("s"))
-    each = per.select("y", "n", "s", F.posexplode(draw_weights(F.col(unit), seed, replicates)).alias("rep", "w"))
+    each = drawn(per, unit, replicates, seed)
 
     def gap(w: Column) -> Column:
         mean = lambda v: F.try_divide(F.sum(F.when(F.col("y") == v, w * F.col("s"))), F.sum(F.when(F.col("y") == v, w * F.col("n"))))
         return mean(1) - mean(0)
 
     reps = each.groupBy("rep").agg(gap(F.col("w")).alias("d"))
-    ends = reps.agg(F.count("d").alias("replicas"), F.round(F.percentile("d", alpha / 2), 5).alias("baixo"), F.round(F.percentile("d", 1 - alpha / 2), 5).alias("alto"))
+    ends = reps.agg(F.count("d").alias("replicas"), F.round(F.percentile("d", alpha / 2) + 1e-9, 5).alias("baixo"), F.round(F.percentile("d", 1 - alpha / 2) + 1e-9, 5).alias("alto"))
     return per.agg(F.round(gap(F.lit(1)), 5).alias("diferenca")).crossJoin(ends)  # one row each
 
 
-def stratum_table(df: DataFrame, unit: str, metrics_: list[str], replicates: int, seed: str, least: int, least_class: int, weights: str | None = None) -> DataFrame:
-    """Metrics of each model in each stratum (columns ``estrato, modelo``), with intervals and O/E relative to all.
+def stratum_table(df: DataFrame, unit: str, strata: Column, metrics_: list[str], replicates: int, seed: str, least: int, least_class: int) -> DataFrame:
+    """Metrics of each model in each stratum, with intervals and O/E relative to all (``todos``).
 
-    Strata with few rows, or few of a class, keep their counts only.
+    df: ``y, unit`` and an array ``scores`` of (modelo, p). Strata with few rows, or few of a class, keep their counts only.
     """
     keys = ["estrato", "modelo"]
-    facts = per_level(levels(df, keys), keys).select(*keys, "n", "positivos", "prevalencia")
+    each = lambda rows: rows.select("*", F.inline("scores")).select("*", F.explode(F.array(F.lit(ALL), "_stratum")).alias("estrato")).where("estrato is not null")
+    base = df.withColumn("_stratum", strata)
+    rows = each(base)
+    facts = per_level(levels(rows, keys), keys).select(*keys, "n", "positivos", "prevalencia")
     few = (F.col("n") < least) | (F.col("positivos") < least_class) | (F.col("n") - F.col("positivos") < least_class)
     facts = facts.withColumn("suprimido", few)
-    told = df.join(F.broadcast(facts.where("not suprimido").select(*keys)), keys)  # a row for each stratum and model
-    boot = bootstrap(told, unit, metrics_, replicates, seed, keys, weights=weights)
+    told = F.broadcast(facts.where("not suprimido").select(*keys))  # a row for each stratum and model
+    # rows are drawn before they are multiplied by strata and models
+    lv = each(drawn(base, unit, replicates, seed)).join(told, keys).withColumn("pos", F.col("y")).withColumn("neg", 1 - F.col("y"))
+    boot = intervals(rows.join(told, keys), weighted_levels(lv, keys), metrics_, keys)
     out = facts.withColumn("metrica", F.explode(F.array(*map(F.lit, metrics_)))).join(boot, [*keys, "metrica"], "left")
     total = boot.where("estrato = 'todos' and metrica = 'oe'").select("modelo", F.col("estimativa").alias("_t"))
     ratio = F.when(F.col("metrica") == "oe", F.round(F.try_divide(F.col("estimativa"), F.col("_t")), 5))

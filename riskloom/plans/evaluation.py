@@ -368,13 +368,14 @@ FIVE = [*THREE, "oe", "pr_relativa"]
 def _drawn(unit: str, seed: str, src: str = "sc", keys: str = "", replicates: int = REPLICATES) -> str:
     """Metrics of all rows (em) and of replicates (bm) of a table, by keys: weights are Poisson(1) from hashes."""
     by, on = (f"{keys}, ", keys) if keys else ("", "")
-    digits = " + ".join(f"(h >= '{t}')::INTEGER" for t in evaluate.POISSON)
+    weight = " + ".join(f"(x >= {t})::INTEGER" for t in evaluate.POISSON)
     level = lambda lv, k: f"""SELECT *, sum(pos) OVER (PARTITION BY {k} ORDER BY p DESC) AS tp, sum(neg) OVER (PARTITION BY {k} ORDER BY p DESC) AS fp, sum(pos) OVER (PARTITION BY {k}) AS np, sum(neg) OVER (PARTITION BY {k}) AS nn FROM {lv}"""
     facts = lambda k: f"""{k}, {AUC} AS roc_auc, {AP} AS pr_auc, round(round({AP}, 6) * sum(pos + neg) / sum(pos), 6) AS pr_relativa, round(sum(pos * (1 - p) * (1 - p) + neg * p * p) / sum(pos + neg), 6) AS brier, round(sum(pos) / nullif(sum((pos + neg) * p), 0), 6) AS oe"""
     return f"""un AS (SELECT DISTINCT {unit} AS u FROM {src}),
-mh AS (SELECT u, b, md5('{seed}|' || b || '|' || u) AS m FROM un, range({(replicates + 7) // 8}) t(b)),
-dh AS (SELECT u, 8 * b + j AS rep, m[4 * j + 1 : 4 * j + 4] AS h FROM mh, range(8) t(j)),
-dw AS (SELECT u, rep, {digits} AS w FROM dh WHERE h >= '{evaluate.POISSON[0]}' AND rep < {replicates}),
+mu AS (SELECT unnest({evaluate.multipliers(replicates)}) AS m, unnest(range({replicates})) AS rep),
+ms AS (SELECT u, ('0x' || md5('{seed}|' || u)[1:8])::BIGINT % {evaluate.PRIME - 1} + 1 AS s FROM un),
+dx AS (SELECT u, mu.rep, s * m::BIGINT % {evaluate.PRIME} AS x FROM ms, mu),
+dw AS (SELECT u, rep, {weight} AS w FROM dx WHERE x >= {evaluate.POISSON[0]}),
 bl AS (SELECT {by}rep, p, sum(y * w)::BIGINT AS pos, sum((1 - y) * w)::BIGINT AS neg FROM {src} JOIN dw ON {unit} = u GROUP BY {by}rep, p),
 br AS ({level('bl', by + 'rep')}),
 bm AS (SELECT {facts(by + 'rep')} FROM br GROUP BY {by}rep HAVING max(np) > 0 AND max(nn) > 0),
@@ -386,7 +387,7 @@ em AS (SELECT {facts(by + 'whole')} FROM er GROUP BY {by}whole HAVING max(np) >
 def _interval(metrics, keys: str = "") -> str:
     by, on = (f"{keys}, ", f"USING ({keys})") if keys else ("", "ON true")
     group = f" GROUP BY {keys}" if keys else ""
-    return " UNION ALL ".join(f"SELECT {by}'{m}' AS metrica, {m} AS estimativa, replicas, baixo, alto FROM em LEFT JOIN (SELECT {by}count({m}) AS replicas, round(quantile_cont({m}, 0.025), 5) AS baixo, round(quantile_cont({m}, 0.975), 5) AS alto FROM bm{group}) {on}" for m in metrics)
+    return " UNION ALL ".join(f"SELECT {by}'{m}' AS metrica, {m} AS estimativa, replicas, baixo, alto FROM em LEFT JOIN (SELECT {by}count({m}) AS replicas, round(quantile_cont({m}, 0.025) + 1e-9, 5) AS baixo, round(quantile_cont({m}, 0.975) + 1e-9, 5) AS alto FROM bm{group}) {on}" for m in metrics)
 
 
 @query(f"{SC}, {_drawn('id', 'linhas')} {_interval(THREE)}")
@@ -402,7 +403,7 @@ def bootstrap_groups(spark, d):
 PAIR = f"{SC}, s2 AS (SELECT grupo, y, p, 'a' AS m FROM sc UNION ALL SELECT grupo, y, p * p, 'b' FROM sc), {_drawn('grupo', 'pares', 's2', 'm')}, df AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metrica, round(a.{m} - b.{m}, 9) AS d FROM bm a JOIN bm b USING (rep) WHERE a.m = 'a' AND b.m = 'b'" for m in THREE) + "), de AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metrica, round(a.{m} - b.{m}, 6) AS diferenca FROM em a, em b WHERE a.m = 'a' AND b.m = 'b'" for m in THREE) + ")"
 
 
-@query(f"{PAIR} SELECT metrica, any_value(diferenca) AS diferenca, count(d) AS replicas, round(quantile_cont(d, 0.025), 5) AS baixo, round(quantile_cont(d, 0.975), 5) AS alto, round(least(1, 2 * least(avg((d <= 0)::INTEGER), avg((d >= 0)::INTEGER))), 5) AS p_valor FROM df JOIN de USING (metrica) GROUP BY metrica")
+@query(f"{PAIR} SELECT metrica, any_value(diferenca) AS diferenca, count(d) AS replicas, round(quantile_cont(d, 0.025) + 1e-9, 5) AS baixo, round(quantile_cont(d, 0.975) + 1e-9, 5) AS alto, round(least(1, 2 * least(avg((d <= 0)::INTEGER), avg((d >= 0)::INTEGER))), 5) AS p_valor FROM df JOIN de USING (metrica) GROUP BY metrica")
 def bootstrap_paired(spark, d):
     return evaluate.bootstrap_difference(scored(spark, d), "grupo", F.col("p") * F.col("p"), THREE, REPLICATES, "pares")
 
@@ -410,7 +411,7 @@ def bootstrap_paired(spark, d):
 MEAN = "sum(CASE WHEN y = 1 THEN {w} * completude END) / sum(CASE WHEN y = 1 THEN {w} END) - sum(CASE WHEN y = 0 THEN {w} * completude END) / sum(CASE WHEN y = 0 THEN {w} END)"
 
 
-@query(f"{SC}, {_drawn('grupo', 'medias')}, m AS (SELECT rep, {MEAN.format(w='w')} AS d FROM sc JOIN dw ON grupo = u GROUP BY rep) SELECT (SELECT round({MEAN.format(w='1')}, 5) FROM sc) AS diferenca, count(d) AS replicas, round(quantile_cont(d, 0.025), 5) AS baixo, round(quantile_cont(d, 0.975), 5) AS alto FROM m")
+@query(f"{SC}, {_drawn('grupo', 'medias')}, m AS (SELECT rep, {MEAN.format(w='w')} AS d FROM sc JOIN dw ON grupo = u GROUP BY rep) SELECT (SELECT round({MEAN.format(w='1')}, 5) FROM sc) AS diferenca, count(d) AS replicas, round(quantile_cont(d, 0.025) + 1e-9, 5) AS baixo, round(quantile_cont(d, 0.975) + 1e-9, 5) AS alto FROM m")
 def bootstrap_mean_diff(spark, d):
     return evaluate.mean_difference(scored(spark, d), "grupo", "completude", REPLICATES, "medias")
 
@@ -432,10 +433,9 @@ SELECT av.*, CASE WHEN metrica = 'oe' THEN round(estimativa / (SELECT t.estimati
 
 
 def _stratum_table(rows, stratum):
-    both = F.explode(F.array(*(F.struct(F.lit(m).alias("modelo"), c.alias("p")) for m, c in (("base", F.col("p")), ("quadrado", F.col("p") * F.col("p"))))))
-    drawn = evaluate.draw_weights(F.col("grupo"), "estratos", STRATUM_REPLICATES)
-    rows = rows.select("grupo", "y", "p", stratum.alias("e"), drawn.alias("w")).select("grupo", "y", "w", "e", both.alias("m")).select("grupo", "y", "w", "m.*", F.explode(F.array(F.lit("todos"), F.col("e"))).alias("estrato")).where("estrato is not null")
-    return evaluate.stratum_table(rows, "grupo", STRATA_METRICS, STRATUM_REPLICATES, "estratos", LEAST_ROWS, LEAST_CLASS, "w")
+    scores = F.array(*(F.struct(F.lit(m).alias("modelo"), c.alias("p")) for m, c in (("base", F.col("p")), ("quadrado", F.col("p") * F.col("p")))))
+    rows = rows.select("grupo", "y", stratum.alias("e"), scores.alias("scores"))
+    return evaluate.stratum_table(rows, "grupo", F.col("e"), STRATA_METRICS, STRATUM_REPLICATES, "estratos", LEAST_ROWS, LEAST_CLASS)
 
 
 @query(_strata("faixa"))
