@@ -1,6 +1,6 @@
 """The registered queries of the text operators and their SQL."""
 
-from . import decontaminate, mixing, ngram_join, quality_rules, repeats, secrets, site_quality, token_orc, toxicity, warc_zip
+from . import decontaminate, mixing, ngram_join, quality_rules, repeats, secrets, site_quality, token_orc, toxicity, url_filter, warc_zip, whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_quality_classifier": site_quality.op10_quality_classifier,
+    "op12_url_filter": url_filter.op12_url_filter,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 SQL = {
@@ -21,4 +23,5 @@ SQL = {
     "op4_decontamination": decontaminate.SQL,
     "op7_secret_scan": secrets.SQL,
     "op8_mixing": mixing.SQL,
+    "op12_url_filter": url_filter.SQL,
 }
