@@ -1,6 +1,6 @@
 """The registered queries of the text operators and their SQL."""
 
-from . import decontaminate, mixing, ngram_join, quality_rules, repeats, secrets, site_quality, token_orc, toxicity, url_filter, warc_zip, whitening
+from . import decontaminate, mixing, ngram_join, prefix_trie, quality_rules, repeats, secrets, site_quality, token_orc, toxicity, url_filter, warc_zip, whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_quality_classifier": site_quality.op10_quality_classifier,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_url_filter": url_filter.op12_url_filter,
     "op13_whitening": whitening.op13_whitening,
 }
