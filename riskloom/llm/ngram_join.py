@@ -22,9 +22,10 @@ compared with the pivot it meets most often; signatures whose members that bring
 done. Members of the others meet in tasks, a bounded block at a time, where their parity
 sketches and sizes bound how far they are apart: each set names its nearest one of
 another component, these are compared, and only pairs that are still apart and that no bound
-rules out follow. Every link between different sets is decided on the shingles themselves. Sets
-are equal when size and two 64-bit sums of shingle hashes are; one of the sums is a set's name, and names are
-counted, so that two sets never share one (a second seed replaces the first if they do).
+rules out follow. Every link between different sets is decided on the shingles' words themselves. Words are hashed
+by XXH3-128, whose halves give two independent 64-bit hashes of each shingle. Sets are equal when
+their sizes and the sums of both kinds of hashes are, 128 bits in all; one of the sums is a set's name, and names are
+counted, so that sets told apart by the other never share one (a second seed replaces the first if they do).
 
 Defined cases: a null or blank text has no shingles and no links; fewer words than the
 shingle length make one shingle; rows with a null id are returned with a null component and
@@ -71,59 +72,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.r_[U(1), np.full(n, base, U)])
-
-
-STEP = 0x9E3779B97F4A7C15
-LETTERS = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], U)
-GAPS = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 PLACES = [U(xxhash.xxh64_intdigest(bytes([j])) | 1) for j in range(64)]
 
 
-class WordHashes:
-    """64-bit hashes of the words of byte strings, from prefix sums."""
-
-    def __init__(self):
-        self.up, self.down = powers(STEP, GROUP), powers(pow(STEP, -1, 2**64), GROUP)
-
-    def of(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(place, hash) of each word."""
-        if len(raw) >= len(self.up):
-            self.up, self.down = powers(STEP, 2 * len(raw)), powers(pow(STEP, -1, 2**64), 2 * len(raw))
-        data = np.frombuffer(raw, np.uint8)
-        edge = np.flatnonzero(np.diff(np.r_[True, GAPS[data], True]))
-        sums = np.zeros(len(data) + 1, U)
-        np.cumsum(LETTERS[data] * self.up[: len(data)], out=sums[1:])
-        start, end = edge[::2], edge[1::2]
-        return start, mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(U))
-
-    def of_texts(self, texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """(first text, word hashes of each text) of some texts in a row; long texts are read in parts."""
-        held, first, size = [], 0, 0
-        for i, text in enumerate(texts):
-            raw = (text or "").encode("utf-8", "surrogatepass").lower()
-            if held and size + len(raw) > GROUP:
-                yield first, self._each(held)
-                held, first, size = [], i, 0
-            held.append(raw)
-            size += len(raw)
-        if held:
-            yield first, self._each(held)
-
-    def _each(self, held: list[bytes]) -> list[np.ndarray]:
-        if len(held) == 1:
-            raw, at, parts = held[0], 0, []
-            while at < len(raw):
-                gap = GAP.search(raw, at + GROUP)
-                stop = gap.start() if gap else len(raw)
-                parts.append(self.of(raw[at:stop])[1])
-                at = stop
-            return [np.concatenate(parts) if parts else np.empty(0, U)]
-        place, h = self.of(b"\n".join(held))
-        ends = np.cumsum([len(r) + 1 for r in held])
-        return np.split(h, np.searchsorted(place, ends[:-1]))
+def word_hashes(raw: bytes) -> np.ndarray:
+    """Two independent 64-bit hashes of each word, the halves of XXH3-128; a long text is read in parts."""
+    at, parts = 0, []
+    while at < len(raw):
+        gap = GAP.search(raw, at + GROUP) if len(raw) - at > GROUP else None
+        stop = gap.start() if gap else len(raw)
+        parts.append(b"".join(map(xxhash.xxh3_128_digest, raw[at:stop].split())))
+        at = stop
+    return np.frombuffer(b"".join(parts), U).reshape(-1, 2)
+
+
+def hashed_texts(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first text, word hashes of each text) of some texts in a row, GROUP bytes or one text."""
+    held, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass").lower()
+        if held and size + len(raw) > GROUP:
+            yield first, held
+            held, first, size = [], i, 0
+        held.append(word_hashes(raw))
+        size += len(raw)
+    if held:
+        yield first, held
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -273,10 +248,10 @@ def names(sets: list[np.ndarray], seed: int) -> np.ndarray:
     return (sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)
 
 
-def grouped_sets(batch: pa.RecordBatch, k: int, hashes: WordHashes) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Some rows at a time with their shingle sets."""
-    for first, words in hashes.of_texts(batch.column("text").to_pylist()):
-        yield batch.slice(first, len(words)), [shingle_hashes(w, k) for w in words]
+def grouped_sets(batch: pa.RecordBatch, k: int, halves: int = 1) -> Iterator[tuple[pa.RecordBatch, list[list[np.ndarray]]]]:
+    """Some rows at a time with their shingle sets, from the first half of the words' hashes, or from each of two."""
+    for first, words in hashed_texts(batch.column("text").to_pylist()):
+        yield batch.slice(first, len(words)), [[shingle_hashes(w[:, i], k) for w in words] for i in range(halves)]
 
 
 def _nodes(k: int, seed: int):
@@ -290,10 +265,10 @@ def _nodes(k: int, seed: int):
         return pa.RecordBatch.from_arrays(columns, schema=NODE)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, chunk, held = WordHashes(), set(), [], 0
+        seen, chunk, held = set(), [], 0
         for batch in small_slices(batches):
-            for rows, sets in grouped_sets(batch, k, hashes):
-                one, two = names(sets, seed), names(sets, ~seed & 0xFFFF)
+            for rows, (sets, others) in grouped_sets(batch, k, 2):
+                one, two = names(sets, seed), names(others, seed)
                 for h, name in zip(sets, one.tolist(), strict=True):
                     if len(h) and name not in seen:  # equal sets count once
                         seen.add(name)
@@ -312,9 +287,9 @@ def _nodes(k: int, seed: int):
 
 def _signatures(k: int, t: int, schemes: list[Scheme], hot, seed: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, known = WordHashes(), set(), hot.value
+        seen, known = set(), hot.value
         for batch in small_slices(batches):
-            for rows, sets in grouped_sets(batch, k, hashes):
+            for rows, (sets,) in grouped_sets(batch, k):
                 new = []  # equal sets have the same signatures
                 for doc, h, name in zip(rows.column("doc_id").to_pylist(), sets, names(sets, seed).tolist(), strict=True):
                     if doc is not None and len(h) and name not in seen:
