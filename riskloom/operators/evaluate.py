@@ -6,12 +6,14 @@ in two steps, by bucket of the score's logit and then inside it, so that no sing
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.operators import resample
+from riskloom.operators.resample import POISSON, PRIME, multipliers  # noqa: F401  fixed by the queries' SQL
+from riskloom.sources import io
+
 FINE = 32  # buckets a unit of the logit: rare outcomes crowd near 0, where equal widths would not part them
 ALL = "todos"
 
@@ -225,38 +227,9 @@ def calibration_summary(df: DataFrame, keys: list[str], bins: int = 10) -> DataF
 
 # --- bootstrap
 
-PRIME, ROOT = 2**31 - 1, 48271  # a multiplicative generator: weights of a unit come from its seed times powers of ROOT
-# the least values for one draw, two draws, ...: the distribution of Poisson(1) times PRIME
-POISSON = [round(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
-
-
-def multipliers(replicates: int) -> list[int]:
-    return [pow(ROOT, r + 1, PRIME) for r in range(replicates)]
-
-
-def drawn(df: DataFrame, unit: str, replicates: int, seed: str) -> DataFrame:
-    """Rows with ``rep, w``: each as often as its unit is drawn in some replicate, with its weight there.
-
-    Weights are Poisson(1) from one hash of the unit, so no draws are shuffled.
-    """
-    own = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(unit))), 1, 8), 16, 10).cast("long") % (PRIME - 1) + 1
-    each = df.withColumn("_s", own).select("*", F.posexplode(F.lit(multipliers(replicates)).cast("array<bigint>")).alias("rep", "_m")).withColumn("_x", F.col("_s") * F.col("_m") % PRIME)
-    each = each.where(F.col("_x") >= POISSON[0])
-    return each.withColumn("w", sum(((F.col("_x") >= t).cast("int") for t in POISSON[1:]), F.lit(1))).drop("_s", "_m", "_x")
-
-
-def drawn_levels(df: DataFrame, unit: str, replicates: int, seed: str, keys: list[str] = ()) -> DataFrame:
-    """``keys, rep, p, pos, neg`` of each replicate; rows of one unit, key and score are summed before they are weighted."""
-    per = df.groupBy(*keys, unit, "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
-    return weighted_levels(drawn(per, unit, replicates, seed), keys)
-
-
-def weighted_levels(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
-    return rows.groupBy(*keys, "rep", "p").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
-
-
-def replicate_metrics(lv: DataFrame, keys: list[str]) -> DataFrame:
-    """The metrics of each key of weighted levels; those of one class only are left out."""
+def whole_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The metrics of all rows of each key that has both classes."""
+    lv = levels(df, keys)
     b = per_level(lv, keys).select(*keys, "n", "positivos", "brier", "oe")
     out = discrimination(lv, keys).join(b, keys).where("roc_auc is not null and pr_auc is not null")
     return out.withColumn("pr_relativa", F.round(F.col("pr_auc") * F.col("n") / F.col("positivos"), 6)).drop("n", "positivos")
@@ -264,13 +237,9 @@ def replicate_metrics(lv: DataFrame, keys: list[str]) -> DataFrame:
 
 def bootstrap(df: DataFrame, unit: str, metrics_: list[str], replicates: int, seed: str, keys: list[str] = (), alpha: float = 0.05) -> DataFrame:
     """``metrica, estimativa, replicas, baixo, alto`` by key: the estimate on all rows, and percentiles of the valid replicates."""
-    return intervals(df, drawn_levels(df, unit, replicates, seed, keys), metrics_, keys, alpha)
-
-
-def intervals(df: DataFrame, lv: DataFrame, metrics_: list[str], keys: list[str] = (), alpha: float = 0.05) -> DataFrame:
-    """The same from the levels of replicates."""
-    reps = replicate_metrics(lv, [*keys, "rep"])
-    whole = replicate_metrics(levels(df, keys), list(keys)) if keys else replicate_metrics(levels(df.withColumn("_all", F.lit(1)), ["_all"]), ["_all"]).drop("_all")
+    df = io.stored(df.select(*keys, unit, "y", "p"), "bootstrap")
+    reps = resample.replicate_metrics(df, unit, replicates, seed, keys)
+    whole = whole_metrics(df, keys) if keys else whole_metrics(df.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
     est = whole.unpivot(list(keys), metrics_, "metrica", "estimativa")
     long = reps.unpivot([*keys, "rep"], metrics_, "metrica", "v")
     ends = long.groupBy(*keys, "metrica").agg(F.count("v").alias("replicas"), F.round(F.percentile("v", alpha / 2) + 1e-9, 5).alias("baixo"), F.round(F.percentile("v", 1 - alpha / 2) + 1e-9, 5).alias("alto"))
@@ -279,32 +248,31 @@ def intervals(df: DataFrame, lv: DataFrame, metrics_: list[str], keys: list[str]
 
 def bootstrap_difference(df: DataFrame, unit: str, p_b: Column, metrics_: list[str], replicates: int, seed: str, keys: list[str] = (), alpha: float = 0.05) -> DataFrame:
     """Estimate, interval and two-sided p of the difference between p and another score over the same draws."""
-    def of(d: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        d = d.withColumn("_all", F.lit(1))
-        reps = replicate_metrics(drawn_levels(d, unit, replicates, seed, ["_all", *keys]), ["_all", *keys, "rep"])
-        return (x.unpivot(k, metrics_, "metrica", name) for x, k in ((replicate_metrics(levels(d, ["_all", *keys]), ["_all", *keys]), ["_all", *keys]), (reps, ["_all", *keys, "rep"])))
+    of = [*keys, "_score"]
+    scores = F.inline(F.array(F.struct(F.lit("a").alias("_score"), F.col("p").alias("p")), F.struct(F.lit("b").alias("_score"), p_b.alias("p"))))
+    rows = io.stored(df.select(*keys, unit, "y", scores), "pairs")
+
+    def gap(found: DataFrame, ids: list[str], digits: int, name: str) -> DataFrame:
+        long = found.unpivot([*ids, "_score"], metrics_, "metrica", "v").groupBy(*ids, "metrica").agg(F.max(F.when(F.col("_score") == "a", F.col("v"))).alias("a"), F.max(F.when(F.col("_score") == "b", F.col("v"))).alias("b"))
+        return long.where("a is not null and b is not null").select(*ids, "metrica", F.round(F.col("a") - F.col("b"), digits).alias(name))
 
-    (one, reps_a), (two, reps_b) = of(df, "a"), of(df.withColumn("p", p_b), "b")
     k = [*keys, "metrica"]
-    d = reps_a.join(reps_b, ["_all", *keys, "rep", "metrica"]).select(*k, F.round(F.col("a") - F.col("b"), 9).alias("d"))
+    d = gap(resample.replicate_metrics(rows, unit, replicates, seed, of), [*keys, "rep"], 9, "d")
     low, high = F.avg((F.col("d") <= 0).cast("int")), F.avg((F.col("d") >= 0).cast("int"))
     ends = d.groupBy(*k).agg(F.count("d").alias("replicas"), F.round(F.percentile("d", alpha / 2) + 1e-9, 5).alias("baixo"), F.round(F.percentile("d", 1 - alpha / 2) + 1e-9, 5).alias("alto"), F.round(F.least(F.lit(1.0), 2 * F.least(low, high)), 5).alias("p_valor"))
-    est = one.join(two, ["_all", *k]).select(*k, F.round(F.col("a") - F.col("b"), 6).alias("diferenca"))
-    return est.join(ends, k, "left")
+    return gap(whole_metrics(rows, of), list(keys), 6, "diferenca").join(ends, k, "left")
 
 
 def mean_difference(df: DataFrame, unit: str, value: str, replicates: int, seed: str, alpha: float = 0.05) -> DataFrame:
     """Mean of a value among positives less that among negatives, with its interval over draws of units."""
-    per = df.groupBy(unit, "y").agg(F.count(value).alias("n"), F.sum(value).alias("s"))
-    each = drawn(per, unit, replicates, seed)
-
-    def gap(w: Column) -> Column:
-        mean = lambda v: F.try_divide(F.sum(F.when(F.col("y") == v, w * F.col("s"))), F.sum(F.when(F.col("y") == v, w * F.col("n"))))
-        return mean(1) - mean(0)
-
-    reps = each.groupBy("rep").agg(gap(F.col("w")).alias("d"))
+    of = lambda v, c: F.when(F.col("y") == v, c)
+    sums = [c for v in (1, 0) for c in (of(v, F.col(value)), of(v, F.when(F.col(value).isNotNull(), 1)))]
+    rows = io.stored(df.select(unit, "y", value), "means")
+    mean = lambda s, n: F.try_divide(F.col(s), F.col(n))
+    gap = mean("v0", "v1") - mean("v2", "v3")
+    reps = resample.weighted_sums(rows, unit, sums, replicates, seed).select(gap.alias("d"))
     ends = reps.agg(F.count("d").alias("replicas"), F.round(F.percentile("d", alpha / 2) + 1e-9, 5).alias("baixo"), F.round(F.percentile("d", 1 - alpha / 2) + 1e-9, 5).alias("alto"))
-    return per.agg(F.round(gap(F.lit(1)), 5).alias("diferenca")).crossJoin(ends)  # one row each
+    return rows.agg(*(F.sum(c).alias(f"v{i}") for i, c in enumerate(sums))).select(F.round(gap, 5).alias("diferenca")).crossJoin(ends)  # one row each
 
 
 def stratum_table(df: DataFrame, unit: str, strata: Column, metrics_: list[str], replicates: int, seed: str, least: int, least_class: int) -> DataFrame:
@@ -313,16 +281,12 @@ def stratum_table(df: DataFrame, unit: str, strata: Column, metrics_: list[str],
     df: ``y, unit`` and an array ``scores`` of (modelo, p). Strata with few rows, or few of a class, keep their counts only.
     """
     keys = ["estrato", "modelo"]
-    each = lambda rows: rows.select("*", F.inline("scores")).select("*", F.explode(F.array(F.lit(ALL), "_stratum")).alias("estrato")).where("estrato is not null")
-    base = df.withColumn("_stratum", strata)
-    rows = each(base)
+    rows = df.withColumn("_stratum", strata).select(unit, "y", F.inline("scores"), "_stratum").select(unit, "y", "modelo", "p", F.explode(F.array(F.lit(ALL), "_stratum")).alias("estrato")).where("estrato is not null")
+    rows = io.stored(rows, "strata")
     facts = per_level(levels(rows, keys), keys).select(*keys, "n", "positivos", "prevalencia")
     few = (F.col("n") < least) | (F.col("positivos") < least_class) | (F.col("n") - F.col("positivos") < least_class)
-    facts = facts.withColumn("suprimido", few)
-    told = F.broadcast(facts.where("not suprimido").select(*keys))  # a row for each stratum and model
-    # rows are drawn before they are multiplied by strata and models
-    lv = each(drawn(base, unit, replicates, seed)).join(told, keys).withColumn("pos", F.col("y")).withColumn("neg", 1 - F.col("y"))
-    boot = intervals(rows.join(told, keys), weighted_levels(lv, keys), metrics_, keys)
+    facts = io.stored(facts.withColumn("suprimido", few), "strata-facts")  # a row for each stratum and model
+    boot = bootstrap(rows.join(facts.where("not suprimido").select(*keys), keys), unit, metrics_, replicates, seed, keys)
     out = facts.withColumn("metrica", F.explode(F.array(*map(F.lit, metrics_)))).join(boot, [*keys, "metrica"], "left")
     total = boot.where("estrato = 'todos' and metrica = 'oe'").select("modelo", F.col("estimativa").alias("_t"))
     ratio = F.when(F.col("metrica") == "oe", F.round(F.try_divide(F.col("estimativa"), F.col("_t")), 5))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -13,6 +9,7 @@ from riskloom.operators import blocks, evaluate, models, profile
 from riskloom.plans.cohort import MASTER, YEARS_SEALED, YEARS_SHARED, master
 from riskloom.sources import io
 from riskloom.sources.episodes import SQL_EPISODES, SQL_SCORED, episodes, read, scored
+from riskloom.sources.io import folder, stored
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -29,26 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-def folder(spark, name: str) -> str:
-    """A new path in the shared folder of the session, or in a temporary one where none is set and the master is local."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not top:
-        own = tempfile.TemporaryDirectory(prefix="riskloom-")
-        atexit.register(own.cleanup)
-        top = f"file://{own.name}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df, name: str):
-    """Write a table that several jobs read, and read it back."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _parts(spark, d):
     h = F.conv(F.substring(F.md5("grupo"), 1, 4), 16, 10).cast("int") % 10
     rows = stored(scored(spark, d).withColumn("h", h).withColumn("valida", F.col("h") == 8).drop("p"), "parts")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,26 @@ OPEN_BLOCKS = ("train_ref", "val_ref")
 SEALED_BLOCKS = ("test_ref", "test_pandemic")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of the session, or in a temporary one where none is set and the master is local."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not top:
+        own = tempfile.TemporaryDirectory(prefix="riskloom-")
+        atexit.register(own.cleanup)
+        top = f"file://{own.name}"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several jobs read, and read it back."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where=None) -> DataFrame:
     """Columns and rows of a Parquet table; both reach the scan."""
     df = spark.read.parquet(path)

@@ -113,14 +113,6 @@ def test_choice_of_a_cut_that_nothing_meets_is_an_error(spark):
         evaluate.choose(swept, "f1", least_precision=0.9).collect()
 
 
-def test_weights_of_draws_are_poisson(spark):
-    rows = evaluate.drawn(spark.range(300).select(F.col("id").cast("string").alias("id")), "id", 1000, "s").select(F.col("id").cast("int"), "rep", "w").collect()
-    w = np.zeros((300, 1000))
-    for i, rep, n in rows:
-        w[i, rep] = n
-    assert w.shape == (300, 1000) and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
-
-
 def test_bootstrap_interval_is_that_of_numpy(spark):
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, 400)
