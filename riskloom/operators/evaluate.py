@@ -84,7 +84,7 @@ def per_level(lv: DataFrame, keys: list[str] = (), threshold: float = 0.5) -> Da
 
 def metrics(df: DataFrame, threshold: float, keys: list[str] = (), least: int = 0, least_class: int = 0) -> DataFrame:
     """The full row of metrics; keys with fewer than ``least`` rows, or ``least_class`` of a class, keep n and prevalence only."""
-    lv = levels(df, keys)
+    lv = io.stored(levels(df, keys), "levels")
     facts = rates(per_level(lv, keys, threshold))
     both = facts.join(discrimination(lv, keys), list(keys)) if keys else facts.crossJoin(discrimination(lv))  # one row each
     both = both.withColumn("pr_relativa", F.round(F.try_divide(F.col("pr_auc"), F.col("prevalencia")), 4))
@@ -163,11 +163,15 @@ def quantile_edges(lv: DataFrame, bins: int, keys: list[str] = ()) -> DataFrame:
 
 
 def reliability(df: DataFrame, edges: DataFrame | list[float], keys: list[str] = ()) -> DataFrame:
+    return level_reliability(levels(df, keys), edges, keys)
+
+
+def level_reliability(lv: DataFrame, edges: DataFrame | list[float], keys: list[str] = ()) -> DataFrame:
     n = F.sum(F.col("pos") + F.col("neg"))
-    per = with_edges(levels(df, keys), edges, keys).groupBy(*keys, "faixa_p").agg(n.alias("n"), F.round(F.sum(F.col("p") * (F.col("pos") + F.col("neg"))) / n + 1e-9, 6).alias("media_p"), F.round(F.sum("pos") / n, 6).alias("observado"))
+    per = with_edges(lv, edges, keys).groupBy(*keys, "faixa_p").agg(n.alias("n"), F.round(F.sum(F.col("p") * (F.col("pos") + F.col("neg"))) / n + 1e-9, 6).alias("media_p"), F.round(F.sum("pos") / n, 6).alias("observado"))
     if keys or not isinstance(edges, list):
         return per
-    every = df.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("faixa_p"))
+    every = lv.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("faixa_p"))
     return every.join(per, "faixa_p", "left").na.fill(0, ["n"])
 
 
@@ -186,41 +190,39 @@ def brier_parts(df: DataFrame, edges: DataFrame | list[float], keys: list[str] =
     return both.groupBy(*keys).agg(F.round(F.sum(F.col("n") * (F.col("mp") - F.col("my")) ** 2) / F.sum("n"), 6).alias("confiabilidade"), F.round(F.sum(F.col("n") * (F.col("my") - F.col("base")) ** 2) / F.sum("n"), 6).alias("resolucao"), F.round(F.max(F.col("base") * (1 - F.col("base"))), 6).alias("incerteza"))
 
 
+STEPS_A_TABLE = 4  # Newton steps between two written states
+FEW_KEYS = 100_000  # states that are broadcast; beyond it the join shuffles
+
+
 def slopes(lv: DataFrame, keys: list[str] = (), steps: int = 12, eps: float = 1e-6) -> DataFrame:
     """``inclinacao``: slope of an unpenalised logistic model of the outcome on the logit of the score, for each key; null for one class.
 
-    Newton steps on sums over levels: each reads one row a key.
+    Newton steps for all keys at once: each joins the levels, which the caller has stored, to the state of the step before and
+    sums them by key. The state is a table that the driver never sees.
     """
     q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("p")))
-    rows = lv.select(*keys, F.log(q / (1 - q)).alias("x"), "pos", (F.col("pos") + F.col("neg")).alias("n"))
-    now = {tuple(r[k] for k in keys): (0.0, 1.0) for r in lv.groupBy(*keys).agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where("a > 0 and b > 0").collect()}
-    types = dict(lv.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "a double, b double"])
-    for _ in range(steps):
-        state = lv.sparkSession.createDataFrame([(*k, *v) for k, v in now.items()], schema)
-        both = rows.join(F.broadcast(state), list(keys)) if keys else rows.crossJoin(F.broadcast(state))  # a row for each key
+    own = [*keys, "_k"]
+    rows = lv.select(*keys, F.lit(1).alias("_k"), F.log(q / (1 - q)).alias("x"), "pos", (F.col("pos") + F.col("neg")).alias("n"))
+    state = rows.groupBy(*own).agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n")).where("_p > 0 and _p < _n").select(*own, F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    state = io.stored(state, "slopes")
+    few = state.count() <= FEW_KEYS
+    for i in range(steps):
         m = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
         w, gap = F.col("n") * m * (1 - m), F.col("pos") - F.col("n") * m
-        sums = both.groupBy(*keys).agg(F.sum(gap).alias("g0"), F.sum(gap * F.col("x")).alias("g1"), F.sum(w).alias("h0"), F.sum(w * F.col("x")).alias("h1"), F.sum(w * F.col("x") ** 2).alias("h2")).collect()
-        move = 0.0
-        for r in sums:
-            det = r["h0"] * r["h2"] - r["h1"] ** 2
-            if det <= 0:
-                continue
-            da, db = (r["h2"] * r["g0"] - r["h1"] * r["g1"]) / det, (r["h0"] * r["g1"] - r["h1"] * r["g0"]) / det
-            k = tuple(r[x] for x in keys)
-            now[k] = (now[k][0] + da, now[k][1] + db)
-            move = max(move, abs(da), abs(db))
-        if move < 1e-10:
-            break
-    out = [(*k, round(v[1], 5)) for k, v in now.items()]
-    return lv.sparkSession.createDataFrame(out, ", ".join([*(f"{k} {types[k]}" for k in keys), "inclinacao double"]))
+        both = rows.join(F.broadcast(state) if few else state, own)
+        sums = both.groupBy(*own, "a", "b").agg(F.sum(gap).alias("g0"), F.sum(gap * F.col("x")).alias("g1"), F.sum(w).alias("h0"), F.sum(w * F.col("x")).alias("h1"), F.sum(w * F.col("x") ** 2).alias("h2"))
+        det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
+        moved = lambda now, step: F.when(det > 0, F.col(now) + step / det).otherwise(F.col(now)).alias(now)
+        state = sums.select(*own, moved("a", F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")), moved("b", F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")))
+        if i % STEPS_A_TABLE == STEPS_A_TABLE - 1:
+            state = io.stored(state, "slopes")
+    return state.select(*keys, F.round("b", 5).alias("inclinacao"))
 
 
 def calibration_summary(df: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
-    """n, prevalence, O/E, slope, ECE and MCE on quantile bins and Brier score of each key."""
-    lv = levels(df, keys)
-    errors = calibration_errors(reliability(df, quantile_edges(lv, bins, keys), keys), keys)
+    """n, prevalence, O/E, slope, ECE and MCE on quantile bins and Brier score of each key, all from levels stored once."""
+    lv = io.stored(levels(df, keys), "levels")
+    errors = calibration_errors(level_reliability(lv, quantile_edges(lv, bins, keys), keys), keys)
     facts = per_level(lv, keys).select(*keys, "n", "positivos", "prevalencia", "oe", "brier")
     return facts.join(errors, keys).join(slopes(lv, keys), keys, "left")
 

@@ -1,0 +1,15 @@
+"""Gradient boosting by histograms, grown leaf by leaf.
+
+Features become small bins once: numbers by quantiles of a bounded, seeded sample, categories by their rank, missing
+values a bin of their own. The binned rows are written once, in parts that stay where they are. A tree grows from the
+sums of gradients and hessians by leaf, feature and bin: tasks sum their rows' histograms, Spark adds them up, and the
+driver, which sees only sums (leaves x features x bins), splits the leaf with the best gain until LEAVES are there or no
+gain is left. A split sends missing values to the side that gains more; a category column is split by the order of its
+gradient ratios. Only the smaller child's histogram is summed anew, the other is its parent's less that.
+
+Leaf by leaf growth asks for one pass a split. To spare passes each pass takes histograms for every split that will be
+needed next: the children of all leaves that could still be among the best (their gains are known bounds of nothing, so
+this changes no result, only the order in which sums are taken).
+"""
+
+from __future__ import annotations

@@ -27,7 +27,7 @@ PRIME, ROOT = 2**31 - 1, 48271  # a multiplicative generator: weights of a unit
 # the least values for one draw, two draws, ...: the distribution of Poisson(1) times PRIME
 POISSON = [round(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
 DENSE = 4  # thresholds that are compared in every cell; the rest where the last of these is reached
-ROWS = 512  # of a matrix of weights
+ROWS = 128  # of a matrix of weights
 HOT_LEVELS = 256  # levels with more than this part of all rows are summed before the shuffle, this many at most
 SUMS = ("area", "ap", "np", "nn", "erro", "soma_p")
 
@@ -42,17 +42,19 @@ def unit_seed(unit: str, seed: str) -> Column:
 
 def weights(seeds: np.ndarray, powers: np.ndarray) -> np.ndarray:
     """Weights of units (rows) in replicates (columns)."""
-    p = np.uint64(PRIME)
+    p, high = np.uint64(PRIME), np.uint64(31)
     x = seeds.astype(np.uint64)[:, None] * powers[None, :]
-    for _ in range(2):  # the remainder by a Mersenne prime
-        x = (x & p) + (x >> np.uint64(31))
-    x = np.where(x >= p, x - p, x).astype(np.uint32)
-    w = (x >= POISSON[0]).astype(np.float64)
+    low = x & p
+    x >>= high
+    x += low  # below 2 * PRIME: a remainder by a Mersenne prime, but for one subtraction
+    np.subtract(x, p, out=x, where=x >= p)
+    x = x.astype(np.uint32)
+    w = (x >= POISSON[0]).view(np.uint8)
     for t in POISSON[1:DENSE]:
         w += x >= t
-    more = np.nonzero(x >= POISSON[DENSE])
-    w[more] = np.searchsorted(POISSON, x[more], side="right")
-    return w
+    more = np.flatnonzero(x >= POISSON[DENSE])
+    w.ravel()[more] = np.searchsorted(POISSON, x.ravel()[more], side="right")
+    return w.astype(np.float64)
 
 
 def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -87,7 +89,7 @@ def _level_arrays(replicates: int):
     return run
 
 
-def _matrices(batch: pa.RecordBatch, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _matrices(batch: pa.RecordBatch, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of positives and of negatives of each row: from seeds, or the arrays of a hot level."""
     s, y = batch.column("s"), batch.column("y").to_numpy(zero_copy_only=False)
     light = s.is_valid().to_numpy(zero_copy_only=False)

@@ -63,7 +63,8 @@ def overlap(sets: DataFrame, names=RULES) -> DataFrame:
 def waterfall(sets: DataFrame, names=RULES, used=None) -> DataFrame:
     """Rows that each rule, in order, is the first to exclude, and what remains after it."""
     used = used or names
-    first = F.coalesce(*(F.when(F.shiftright("bits", i) % 2 == 1, i + 1) for i, r in enumerate(names) if r in used))
+    # never null: else the join below would push "ordem is not null", and with it all masks, into the rows once for each rule
+    first = F.coalesce(*(F.when(F.shiftright("bits", i) % 2 == 1, i + 1) for i, r in enumerate(names) if r in used), F.lit(0))
     gone = sets.groupBy(first.alias("ordem")).agg(F.sum("n").alias("excluidos"))
     every = sets.sparkSession.createDataFrame([(i + 1, r) for i, r in enumerate(names) if r in used], "ordem int, regra string")
     total = sets.agg(F.sum("n").alias("total"))

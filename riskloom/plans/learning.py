@@ -175,14 +175,14 @@ def supervised_build(spark, d):
     """The whole build: features, groups, target, quarantine, partition, two written tables with manifests, read back and checked."""
     rows = io.free_targets(io.require(scored(spark, d), ["id", "grupo", "y", "ano", "regiao"]), ["particao"])
     ok, _ = blocks.quarantine(rows, "grupo", ["ano", "y", "regiao"])
-    parts = stored(blocks.master_partition(ok, "grupo", YEARS_SHARED, YEARS_SEALED), "build")
+    at = folder(spark, "build")
+    blocks.master_partition(ok, "grupo", YEARS_SHARED, YEARS_SEALED).write.parquet(at)
     out = None
-    for name, table in (("partition", parts.select("id", "grupo", "ano", "regiao", "y", "particao")), ("model", parts.where("particao <> 'exploracao'"))):
+    for name, part in (("partition", lambda t: t.select("id", "grupo", "ano", "regiao", "y", "particao")), ("model", lambda t: t.where("particao <> 'exploracao'"))):
         path = folder(spark, name)
-        table.write.option("compression", "zstd").parquet(path)
-        io.manifest(table, name, blocks.SALT, "particao").write.json(f"{path}-manifest")
+        io.publish_observed(spark, lambda s, part=part: part(s.read.parquet(at)), path, "id", F.col("y").isNull(), (0, 1), "y")
+        io.manifest(part(spark.read.parquet(at)), name, blocks.SALT, "particao").write.json(f"{path}-manifest")
         held = io.read_checked(spark, path, f"{path}-manifest")
-        io.failing(io.published_checks(held, "id", held["y"].isNull(), (0, 1), "y"))
         facts = held.groupBy("particao").agg(F.count("*").alias("n"), F.count_distinct("grupo").alias("grupos")).select(F.lit(name).alias("tabela"), "particao", "n", "grupos")
         out = facts if out is None else out.unionByName(facts)
     return out

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN_BLOCKS = ("train_ref", "val_ref")
@@ -97,7 +98,8 @@ def read_blocks(spark: SparkSession, path: str, blocks: tuple[str, ...] = OPEN_B
     if unknown := [b for b in blocks if b not in OPEN_BLOCKS + SEALED_BLOCKS]:
         raise ValueError(f"unknown: {unknown}")
     df = spark.read.parquet(path)
-    there = {r[0] for r in df.select(block).distinct().collect()}
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = {f.getPath().getName().partition("=")[2] for f in top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)}  # a folder a block
     if absent := [b for b in blocks if b not in there]:
         raise ValueError(f"absent: {absent}")
     return df.where(F.col(block).isin(*blocks))
@@ -179,10 +181,56 @@ def published_checks(df: DataFrame, key: str, violations, domain: tuple, target:
     return long.withColumn("ok", F.when(F.col("verificacao") == "linhas", F.col("observado") > 0).otherwise(F.coalesce("observado", F.lit(0)) == 0))
 
 
+def _commit(spark: SparkSession, staging: str, path: str) -> None:
+    """Give a written folder its published name; an error if the name is taken."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, path))
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(new) or not fs.rename(old, new):
+        raise FileExistsError(path)
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def publish(df: DataFrame, staging: str, path: str, check) -> DataFrame:
-    """Write aside, check what is read back, then write the published path."""
-    df.write.mode("overwrite").parquet(staging)
-    held = df.sparkSession.read.parquet(staging)
-    failing(check(held))
-    held.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write aside, check what is read back, then rename it to the published path; a failing check leaves neither."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("compression", "zstd").parquet(staging)
+    try:
+        failing(check(spark.read.parquet(staging)))
+        _commit(spark, staging, path)
+    except Exception:
+        _discard(spark, staging)
+        raise
+    return spark.read.parquet(path)
+
+
+def publish_observed(spark: SparkSession, build, path: str, key: str, violations, domain: tuple, target: str) -> tuple[DataFrame, DataFrame]:
+    """Write a table and check it in the same pass: ``(table, checks)``, the checks those of ``published_checks``.
+
+    ``build`` makes the table in the session that it is given, one of its own: a session that has observed a query can
+    no longer be sent with the closures that some of Spark's models hold. Rows are dealt by key, so that a repeated one stands beside the first; sums that Spark observes while it writes tell
+    the rest. The folder gets its published name by a rename once all checks hold; else an error names those that fail
+    and no folder is left. Tasks that run again could be observed twice, so the rows seen must be the rows written.
+    """
+    df = build(spark.newSession())
+    again = F.row_number().over(W.partitionBy(key).orderBy(key)) > 1
+    bad_target = ~F.coalesce(F.col(target).isin(*domain), F.lit(False))
+    seen = Observation()
+    flags = {"chave_nula": F.col(key).isNull(), "chave_repetida": F.col(key).isNotNull() & F.col("_again"), "violacoes": F.coalesce(violations, F.lit(False)), "fora_do_dominio": bad_target}
+    rows = df.withColumn("_again", again).observe(seen, F.count(F.lit(1)).alias("linhas"), *(F.count_if(c).alias(name) for name, c in flags.items())).drop("_again")
+    staging = f"{path}.{uuid.uuid4().hex}"
+    try:
+        rows.write.option("compression", "zstd").parquet(staging)
+        found = {c: seen.get[c] for c in ("linhas", *flags)}
+        if (written := spark.read.parquet(staging).count()) != found["linhas"]:  # from the files' footers
+            raise ValueError(f"{written} rows written, {found['linhas']} seen")
+        checks = spark.createDataFrame([(c, n, n > 0 if c == "linhas" else n == 0) for c, n in found.items()], "verificacao string, observado long, ok boolean")
+        failing(checks)
+        _commit(spark, staging, path)
+    except Exception:
+        _discard(spark, staging)
+        raise
+    return spark.read.parquet(path), checks

@@ -35,7 +35,7 @@ def test_weights_are_poisson_and_those_of_plain_integers():
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.2
 
 
-@pytest.mark.parametrize("digits,rows_at_once,hot_levels", [(6, 512, 256), (1, 7, 256), (1, 16, 3)])
+@pytest.mark.parametrize("digits,rows_at_once,hot_levels", [(6, 128, 256), (1, 7, 256), (1, 16, 3)])
 def test_replicates_equal_plain_numpy(spark, monkeypatch, digits, rows_at_once, hot_levels):
     """Continuous scores; few scores in small slices; levels summed before the shuffle, ranges that cut a key."""
     monkeypatch.setattr(resample, "ROWS", rows_at_once)
