@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from riskloom.operators import blocks, evaluate, models, profile
+from riskloom.operators import blocks, boosting, evaluate, models, profile
 from riskloom.plans.cohort import MASTER, YEARS_SEALED, YEARS_SHARED, master
 from riskloom.sources import io
 from riskloom.sources.episodes import SQL_EPISODES, SQL_SCORED, episodes, read, scored
@@ -44,7 +44,9 @@ def lr_scores(spark, d):
 
 @query()
 def gbt_scores(spark, d):
-    return _scores(spark, d, "gbt")
+    """Boosting as in the studied project: rounds end by the validation rows."""
+    train, test = _parts(spark, d)
+    return boosting.score({"gbt": boosting.fit(train, NUMERIC, CATEGORICAL, valid="valida")}, test).select("id", "y", "p")
 
 
 @query()
@@ -74,37 +76,59 @@ def calibrated_scores(spark, d):
 
 
 GRID = {f"lr c={c:g} l1={l1:g} {w or 'sem_peso'}": {"name": "lr", "c": c, "l1": l1, **({"weight": "peso"} if w else {})} for c in (0.1, 1.0, 10.0) for l1 in (0.0, 0.5) for w in (None, "peso")}
-GRID |= {f"gbt rate={r:g} depth={k}": {"name": "gbt", "rate": r, "depth": k} for r in (0.05, 0.1) for k in (3, 6)}
+BOOSTS = {f"gbt rate={r:g} leaves={n} least={m} l2={l2:g} {'peso' if w else 'sem_peso'}": boosting.Settings(r, 500, n, m, l2, w) for r, n, m, l2, w in
+          ((0.05, 63, 100, 0.1, False), (0.1, 63, 100, 0.1, False), (0.05, 31, 100, 0.1, False), (0.05, 127, 100, 0.1, False), (0.05, 63, 20, 0.1, False), (0.05, 63, 100, 0.0, False), (0.05, 63, 100, 1.0, False), (0.05, 63, 100, 0.1, True))}
 
 
 @query()
 def grid_search(spark, d):
+    """Logistic models by penalty, mix and weight, and boosting around its settings, one at a time; all boosts share their passes."""
     train, test = _parts(spark, d)
-    return models.search(models.scored_sets(models.balanced(train), test, GRID, NUMERIC, CATEGORICAL))
+    rows = models.scored_sets(models.balanced(train), test, GRID, NUMERIC, CATEGORICAL)
+    boosts = boosting.score(boosting.fit_many(train, BOOSTS, NUMERIC, CATEGORICAL, valid="valida"), test)
+    return models.search(rows.unionByName(boosts.select(*rows.columns)))
 
 
-SETS = {"P": {}, "so_idade_sexo": {"numeric": ["idade"], "categorical": ["sexo"]}, "P_menos_completude": {"numeric": ["idade"]}, "P_mais_padrao": {"categorical": [*CATEGORICAL, "padrao"]}}
+REFERENCE, WHOLE = "P", [*NUMERIC, *CATEGORICAL]
+SETS = {"P": WHOLE, "so_idade_sexo": ["idade", "sexo"], "P_menos_completude": [c for c in WHOLE if c != "completude"], "P_mais_padrao": [*WHOLE, "padrao"]}
+ABLATION_REPLICATES, ABLATION_METRICS = 300, ["roc_auc", "pr_auc", "brier"]
 
 
 def _ablated(spark, d):
+    """Test rows scored by each family on each set of columns: ``familia, conjunto`` and ``p`` added."""
     train, test = _parts(spark, d)
-    return stored(models.scored_sets(train, test, {k: {"name": "lr", **v} for k, v in SETS.items()}, NUMERIC, CATEGORICAL), "ablation")
+    of = lambda cs, among: [c for c in cs if c in among]
+    lr = {k: {"name": "lr", "numeric": of(cs, NUMERIC), "categorical": of(cs, [*CATEGORICAL, "padrao"])} for k, cs in SETS.items()}
+    linear = models.scored_sets(train, test, lr, NUMERIC, CATEGORICAL).withColumn("familia", F.lit("lr"))
+    boosts = boosting.fit_many(train, {k: boosting.Settings(only=tuple(cs)) for k, cs in SETS.items()}, NUMERIC, [*CATEGORICAL, "padrao"], valid="valida")
+    trees = boosting.score(boosts, test).withColumn("familia", F.lit("gbt"))
+    return stored(linear.unionByName(trees.select(*linear.columns)).withColumnRenamed("candidato", "conjunto"), "ablation")
+
+
+def _against_reference(rows, keys):
+    """Rows of each set but the reference, with the reference's score of the same row: ``p`` and ``q``."""
+    other = rows.where(F.col("conjunto") == REFERENCE).select("familia", "id", F.col("p").alias("q"))
+    return rows.where(F.col("conjunto") != REFERENCE).join(other, ["familia", "id"]).select("familia", "conjunto", "id", "grupo", *keys, "y", "p", "q")
 
 
 @query()
 def ablation(spark, d):
-    return models.against(models.search(_ablated(spark, d)), "P", ["pr_auc", "roc_auc"])
+    """Metrics of each family on each set, and their differences from the reference set with paired intervals."""
+    rows = _ablated(spark, d)
+    keys = ["familia", "conjunto"]
+    table = evaluate.metrics(rows, 0.5, keys).select(*keys, "n", *ABLATION_METRICS)
+    pair = evaluate.bootstrap_difference(_against_reference(rows, []), "grupo", F.col("q"), ABLATION_METRICS, ABLATION_REPLICATES, "ablacao", keys)
+    return table.unpivot([*keys, "n"], ABLATION_METRICS, "metrica", "valor").join(pair, [*keys, "metrica"], "left")
 
 
 @query()
 def ablation_by_year(spark, d):
-    """Metrics of two sets of columns by year, with the paired interval of their difference."""
-    rows = _ablated(spark, d).where("candidato in ('P', 'P_mais_padrao')")
-    wide = rows.groupBy("id", "grupo", "ano", "y").pivot("candidato", ["P_mais_padrao", "P"]).agg(F.first("p")).select("id", "grupo", "ano", "y", F.col("P_mais_padrao").alias("p"), F.col("P").alias("q"))
-    pair = evaluate.bootstrap_difference(wide, "grupo", F.col("q"), ["roc_auc"], 300, "ablacao", ["ano"])
-    each = evaluate.metrics(rows, 0.5, ["ano", "candidato"]).groupBy("ano").pivot("candidato", ["P", "P_mais_padrao"]).agg(F.first("roc_auc"))
-    facts = wide.groupBy("ano").agg(F.count("*").alias("n"), F.sum("y").alias("positivos"))
-    return facts.join(each, "ano").join(pair.drop("metrica"), "ano", "left")
+    """The same by year: each family, set, year and metric, with the paired interval of its difference from the reference set."""
+    rows = _ablated(spark, d)
+    keys = ["familia", "conjunto", "ano"]
+    table = evaluate.metrics(rows, 0.5, keys).select(*keys, "n", "positivos", *ABLATION_METRICS)
+    pair = evaluate.bootstrap_difference(_against_reference(rows, ["ano"]), "grupo", F.col("q"), ABLATION_METRICS, ABLATION_REPLICATES, "ablacao", keys)
+    return table.unpivot([*keys, "n", "positivos"], ABLATION_METRICS, "metrica", "valor").join(pair, [*keys, "metrica"], "left")
 
 
 @query()
