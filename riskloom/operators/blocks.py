@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.sources import io
+
 BLOCKS = (("train_ref", 0.70), ("val_ref", 0.15), ("test_ref", 0.15))
 SALT = "blocos-1"
 MIN_GROUPS = 5
@@ -34,18 +36,45 @@ def ranked(rows: DataFrame, stratum: list[str], item: str, salt: str) -> DataFra
     return joined.withColumn("pos", F.col("_before") + place).drop("_h", "_b", "_before")
 
 
-def block_of(pos: Column, size: Column, blocks=BLOCKS) -> Column:
-    """Blocks by cumulated fractions; each later block keeps one group at least."""
-    out, n = None, len(blocks)
-    for i, (name, cum) in enumerate(zip([b for b, _ in blocks], accumulate(f for _, f in blocks), strict=True)):
-        if i == n - 1:
-            return out.otherwise(name)
-        cut = F.greatest(F.lit(i + 1), F.least(F.floor(size * F.lit(cum)), size - (n - 1 - i)))
-        out = F.when(pos <= cut, name) if out is None else out.when(pos <= cut, name)
+PLACED_ROWS = 200_000  # counts of hash prefixes that are broadcast; beyond it the join shuffles
+
+
+def placed(rows: DataFrame, stratum: list[str], item: str, salt: str, cuts: Column, facts: DataFrame | None = None) -> DataFrame:
+    """Add ``faixa``: how many cut positions lie before the row's rank by salted hash in its stratum, and the stratum's size ``tam``.
+
+    cuts: an array of positions, an expression of ``tam`` and of the columns of ``facts``, a row for each stratum. Counts
+    of hash prefixes tell where each cut falls: rows of all other prefixes are placed where they are, and only those of
+    a prefix that a cut divides are ranked.
+    """
+    keyed = rows.withColumn("_h", salted(salt, F.col(item).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = keyed.groupBy(*stratum, "_b").agg(F.count("*").alias("_n"))
+    inside = W.partitionBy(*stratum)
+    places = sizes.withColumn("_upto", F.sum("_n").over(inside.orderBy("_b"))).withColumn("tam", F.sum("_n").over(inside))
+    same = lambda l, r, cs: [F.col(f"{l}.{c}").eqNullSafe(F.col(f"{r}.{c}")) for c in cs]
+    if facts is not None:
+        places = places.alias("p").join(facts.alias("f"), same("p", "f", stratum)).select("p.*", *(f"f.{c}" for c in facts.columns if c not in stratum))
+    before = F.col("_upto") - F.col("_n")
+    index = lambda pos: F.size(F.filter("_cuts", lambda c: c < pos))
+    places = places.withColumn("_cuts", cuts).select(*stratum, "_b", "tam", before.alias("_before"), "_cuts", index(before + 1).alias("_low"), index(F.col("_upto")).alias("_high"))
+    places = io.stored(places, "places")
+    few = places.count() <= PLACED_ROWS
+    joined = keyed.alias("l").join((F.broadcast(places) if few else places).alias("r"), same("l", "r", [*stratum, "_b"])).select("l.*", *(f"r.{c}" for c in ("tam", "_before", "_cuts", "_low", "_high")))
+    whole = joined.where("_low = _high").select(*rows.columns, "tam", F.col("_low").alias("faixa"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy(*stratum, "_b").orderBy("_h", item))
+    split = joined.where("_low <> _high").withColumn("faixa", index(place)).select(*rows.columns, "tam", "faixa")
+    return whole.unionByName(split)
+
+
+def block_cuts(size: Column, blocks=BLOCKS) -> Column:
+    """Last positions of all blocks but one, by cumulated fractions; each later block keeps one group at least."""
+    n = len(blocks)
+    cums = list(accumulate(f for _, f in blocks))[:-1]
+    return F.array(*(F.greatest(F.lit(i + 1), F.least(F.floor(size * F.lit(cum)), size - (n - 1 - i))).cast("long") for i, cum in enumerate(cums)))
 
 
 def hash_blocks(groups: DataFrame, stratum: list[str], group: str = "grupo", salt: str = SALT, blocks=BLOCKS) -> DataFrame:
-    return ranked(groups, stratum, group, salt).withColumn("bloco", block_of(F.col("pos"), F.col("tam"), blocks)).drop("pos", "tam")
+    names = F.array(*(F.lit(b) for b, _ in blocks))
+    return placed(groups, stratum, group, salt, block_cuts(F.col("tam"), blocks)).withColumn("bloco", F.element_at(names, F.col("faixa") + 1)).drop("faixa", "tam")
 
 
 def spanning(rows: DataFrame, group: str, keys: list[str]) -> DataFrame:
@@ -129,8 +158,8 @@ def shared_groups(rows: DataFrame, one: str, two: str, block: str = "particao",
 
 
 def halves(rows: DataFrame, stratum: list[str], item: str, salt: str = "metades-1") -> DataFrame:
-    ranks = ranked(rows, stratum, item, salt)
-    return ranks.withColumn("metade", F.when(2 * F.col("pos") <= F.col("tam"), "calibracao").otherwise("medida")).drop("pos", "tam")
+    cut = F.array(F.floor(F.col("tam") / 2).cast("long"))
+    return placed(rows, stratum, item, salt, cut).withColumn("metade", F.when(F.col("faixa") == 0, "calibracao").otherwise("medida")).drop("faixa", "tam")
 
 
 def quotas(rows: DataFrame, stratum: list[str], total: int) -> DataFrame:
@@ -146,12 +175,15 @@ def quotas(rows: DataFrame, stratum: list[str], total: int) -> DataFrame:
 
 
 def quota_sample(rows: DataFrame, stratum: list[str], item: str, total: int, salt: str = "cotas-1") -> DataFrame:
+    """The first rows of each stratum by salted hash, as many as its quota; the rest never leaves its task."""
     q = quotas(rows, stratum, total).drop("n")
-    return ranked(rows, stratum, item, salt).join(q, stratum).where("pos <= cota").drop("pos", "tam", "cota")
+    return placed(rows, stratum, item, salt, F.array(F.col("cota").cast("long")), q).where("faixa = 0").drop("faixa", "tam")
 
 
 def random_subsample(rows: DataFrame, item: str, n: int, salt: str = "amostra-1") -> DataFrame:
-    return rows.orderBy(salted(salt, F.col(item).cast("string")), item).limit(n)
+    """The first n rows by salted hash."""
+    everything = rows.withColumn("_s", F.lit(1))
+    return placed(everything, ["_s"], item, salt, F.array(F.lit(n).cast("long"))).where("faixa = 0").drop("faixa", "tam", "_s")
 
 
 def drift(rows: DataFrame, sample: DataFrame, y: str = "y", tolerance: float = 0.002) -> DataFrame:

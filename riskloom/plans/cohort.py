@@ -250,8 +250,7 @@ def strat_quota_sample(spark, d):
 
 @query("SELECT doc_id, quality FROM labels ORDER BY md5('amostra-1|' || doc_id), doc_id LIMIT 200")
 def random_subsample(spark, d):
-    rows = read(spark, d, "labels").select("doc_id", "quality").withColumn("t", F.col("doc_id").cast("string"))
-    return rows.orderBy(blocks.salted("amostra-1", F.col("t")), "doc_id").limit(200).drop("t")
+    return blocks.random_subsample(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", 200)
 
 
 @query(f"{QUOTA}, a AS (SELECT (SELECT avg(y) FROM sc) AS o, (SELECT avg(y) FROM qs) AS s) SELECT round(o, 9) AS original, round(s, 9) AS amostra, abs(o - s) <= 0.002 AS ok FROM a")

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import evaluate
+from riskloom.operators import blocks, evaluate
 from riskloom.plans import registry
 from riskloom.sources import io
 
@@ -62,3 +62,19 @@ def test_publish_observed_agrees_with_the_checks_read_back(spark, tmp_path):
     with pytest.raises(ValueError) as error:
         observed(spark, rows, kind, tmp_path / "t")
     assert all((name in str(error.value)) == (n > 0) for name, n in want.items() if name != "linhas")
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_cuts_place_rows_as_ranks_do(spark, monkeypatch, few):
+    """Only rows of a prefix that a cut divides are ranked, and all get the place that a full ranking gives."""
+    monkeypatch.setattr(blocks, "PLACED_ROWS", few)
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("i"), F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 3).alias("s"))
+    ranks = {r["i"]: (r["pos"], r["tam"]) for r in blocks.ranked(rows, ["s"], "i", "x").collect()}
+    cuts = F.array(F.floor(F.col("tam") / 3).cast("long"), F.floor(F.col("tam") / 2).cast("long"))
+    got = {r["i"]: (r["faixa"], r["tam"]) for r in blocks.placed(rows, ["s"], "i", "x", cuts).collect()}
+    assert got == {i: ((pos > tam // 3) + (pos > tam // 2), tam) for i, (pos, tam) in ranks.items()}
+    per = {r["s"]: r["n"] for r in blocks.quota_sample(rows, ["s"], "i", 40).groupBy("s").agg(F.count("*").alias("n")).collect()}
+    assert sum(per.values()) == 40 and len(per) == 4
+    one = {r["i"] for r in blocks.random_subsample(rows, "i", 25).collect()}
+    everything = blocks.ranked(rows.withColumn("a", F.lit(1)), ["a"], "i", "amostra-1")
+    assert one == {r["i"] for r in everything.where("pos <= 25").collect()}
