@@ -162,6 +162,31 @@ def quantile_edges(lv: DataFrame, bins: int, keys: list[str] = ()) -> DataFrame:
     return edges.select(*keys, F.when(F.size("e") > 2, F.slice("e", 2, F.size("e") - 2)).otherwise(F.array().cast("array<double>")).alias("inner"))
 
 
+SKETCH = 4096  # of a KLL sketch: ranks err by about 0.1 % of the rows
+
+
+def score_sketches(df: DataFrame, keys: list[str] = (), size: int = SKETCH) -> DataFrame:
+    """``keys, n, esboco``: a mergeable quantile sketch of the scores of each key."""
+    return df.where(F.col("p").isNotNull() & F.col("y").isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col("p").cast("double"), F.lit(size)).alias("esboco"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Sketches of coarser keys from stored ones."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("esboco").alias("esboco"))
+
+
+def sketch_edges(sketches: DataFrame, bins: int, keys: list[str] = ()) -> DataFrame:
+    """``inner`` edges of each key at the sketch's quantiles; an edge's rank errs as the sketch does."""
+    at = F.array(*(F.lit(i / bins) for i in range(1, bins)))
+    return sketches.where("n > 0").select(*keys, F.array_sort(F.array_distinct(F.kll_sketch_get_quantile_double("esboco", at))).alias("inner"))
+
+
+def row_reliability(df: DataFrame, edges: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """The reliability curve summed from rows: scores that are all different need no levels."""
+    rows = df.where(F.col("p").isNotNull() & F.col("y").isNotNull()).select(*keys, "p", F.col("y").cast("long").alias("pos"), (1 - F.col("y")).cast("long").alias("neg"))
+    return level_reliability(rows, edges, keys)
+
+
 def reliability(df: DataFrame, edges: DataFrame | list[float], keys: list[str] = ()) -> DataFrame:
     return level_reliability(levels(df, keys), edges, keys)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -11,10 +15,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.functions import tails
 from riskloom.functions.codes import MISSING
 from riskloom.operators import evaluate
+from riskloom.sources import io
 
 SEED = 7
 
@@ -167,3 +174,38 @@ def eta_squared(df: DataFrame, cluster: str, numeric: list[str]) -> DataFrame:
     long = df.select(cluster, *(F.col(c).cast("double").alias(c) for c in numeric)).unpivot([cluster], numeric, "variavel", "v").where("v is not null")
     per = long.groupBy("variavel", cluster).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") ** 2).alias("q"))
     return per.groupBy("variavel").agg(F.round(F.try_divide(F.sum(F.col("s") ** 2 / F.col("n")) - F.sum("s") ** 2 / F.sum("n"), F.sum("q") - F.sum("s") ** 2 / F.sum("n")), 5).alias("eta2"))
+
+
+def association_tests(df: DataFrame, group: str, categorical: list[str], numeric: list[str]) -> DataFrame:
+    """``variavel, teste, estatistica, gl1, gl2, efeito`` of each column against a grouping, all columns in one pass.
+
+    Categories, null one of them: chi-square and Cramer's V. Numbers, null left out: F of the analysis of variance and
+    eta squared. Null where a column or the grouping has one value.
+    """
+    of = [F.struct(F.lit(c).alias("variavel"), F.lit("qui2").alias("teste"), F.col(c).cast("string").alias("v"), F.lit(None).cast("double").alias("x")) for c in categorical]
+    of += [F.struct(F.lit(c).alias("variavel"), F.lit("f").alias("teste"), F.lit(None).cast("string").alias("v"), F.col(c).cast("double").alias("x")) for c in numeric]
+    long = df.select(F.col(group).alias("g"), F.explode(F.array(*of)).alias("r")).select("g", "r.*").where("teste = 'qui2' or x is not null")
+    cells = long.groupBy("variavel", "teste", "g", "v").agg(F.count("*").alias("o"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    cells = io.stored(cells, "cells")  # columns x groups x values
+    over = lambda *k: W.partitionBy("variavel", "teste", *k)
+    chi = cells.where("teste = 'qui2'").withColumns({"r": F.sum("o").over(over("g")), "c": F.sum("o").over(over("v")), "n": F.sum("o").over(over())})
+    chi = chi.groupBy("variavel", "teste").agg((F.sum(F.col("o").cast("double") * F.col("o") * F.col("n") / (F.col("r") * F.col("c"))) - F.max("n")).alias("x2"), F.max("n").alias("n"), F.count_distinct(F.struct("v")).alias("kv"), F.count_distinct(F.struct("g")).alias("kg"))
+    least = F.least("kv", "kg") - 1
+    chi = chi.select("variavel", "teste", F.when(least > 0, F.round("x2", 4)).alias("estatistica"), ((F.col("kv") - 1) * (F.col("kg") - 1)).alias("gl1"), F.lit(None).cast("long").alias("gl2"), F.when(least > 0, F.round(F.sqrt(F.col("x2") / (F.col("n") * least)), 5)).alias("efeito"))
+    f = cells.where("teste = 'f'").groupBy("variavel", "teste").agg(F.sum("o").alias("n"), F.count("*").alias("k"), (F.sum(F.col("s") * F.col("s") / F.col("o")) - F.sum("s") * F.sum("s") / F.sum("o")).alias("b"), (F.sum("q") - F.sum(F.col("s") * F.col("s") / F.col("o"))).alias("w"))
+    ratio = F.try_divide(F.col("b") / F.nullif(F.col("k") - 1, F.lit(0)), F.col("w") / F.nullif(F.col("n") - F.col("k"), F.lit(0)))
+    f = f.select("variavel", "teste", F.round(ratio, 4).alias("estatistica"), (F.col("k") - 1).alias("gl1"), (F.col("n") - F.col("k")).alias("gl2"), F.round(F.try_divide(F.col("b"), F.col("b") + F.col("w")), 5).alias("efeito"))
+    return chi.unionByName(f)
+
+
+def p_values(tests: DataFrame) -> DataFrame:
+    """Add ``p_valor`` to ``association_tests``, a row a column: the upper tail of the test's distribution."""
+    def tail(statistic: pd.Series, one: pd.Series, two: pd.Series) -> pd.Series:
+        found = [None if pd.isna(x) or not a or a <= 0 else tails.chi2_tail(x, a) if pd.isna(b) else tails.f_tail(x, a, b) for x, a, b in zip(statistic, one, two, strict=True)]
+        return pd.Series(found, dtype="float64")
+
+    return tests.withColumn("p_valor", F.pandas_udf(tail, "double")("estatistica", "gl1", "gl2"))
+
+
+for _m in (tails, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_m)  # executors need no copy of the package

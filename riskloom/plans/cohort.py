@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import codes
 from riskloom.operators import blocks, profile, rules
+from riskloom.sources import io
 from riskloom.sources.episodes import ANSWERS, CONDITIONS, SECONDARY, SQL_AGE, SQL_COMPLETE, SQL_DATE, SQL_EPISODES, SQL_PATTERN, SQL_SCORED, SYMPTOMS, episodes, read, scored
 
 QUERIES: dict = {}
@@ -193,6 +194,14 @@ def master(spark, d):
     return blocks.master_partition(_shared(spark, d), "grupo", YEARS_SHARED, YEARS_SEALED)
 
 
+@query()
+def cardinality_sketch_by_year(spark, d):
+    """Distinct values of columns by year and of all years, from one table of stored sketches."""
+    sketches = io.stored(profile.cardinality_sketches(scored(spark, d).withColumn("ano", F.col("ano").cast("string")), ["id", "grupo", "regiao", "faixa", "idade"], ["ano"]), "cardinality")
+    whole = profile.united_cardinality(sketches).withColumn("ano", F.lit("todos"))
+    return profile.united_cardinality(sketches, ["ano"]).unionByName(whole)
+
+
 @query(f"{MASTER} SELECT id, particao FROM mp")
 def master_partition(spark, d):
     return master(spark, d).select("id", "particao")

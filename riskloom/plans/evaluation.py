@@ -170,6 +170,16 @@ def reliability_quantile(spark, d):
     return evaluate.reliability(df, evaluate.quantile_edges(evaluate.levels(df), 10))
 
 
+@query()
+def reliability_sketch_by_year(spark, d):
+    """Reliability on quantile bins of each year and of all years, the latter from the years' sketches; ranks err by the sketch's bound."""
+    df = io.stored(scored(spark, d).select(F.col("ano").cast("string").alias("ano"), "y", "p"), "sketched")
+    per = io.stored(evaluate.score_sketches(df, ["ano"]), "sketches")
+    whole = evaluate.merged_sketches(per.withColumn("ano", F.lit(evaluate.ALL)), ["ano"])
+    rows = df.unionByName(df.withColumn("ano", F.lit(evaluate.ALL)))
+    return evaluate.row_reliability(rows, evaluate.sketch_edges(per.unionByName(whole), 10, ["ano"]), ["ano"])
+
+
 ERRORS = "round(sum(n * abs(media_p - observado)) / sum(n), 5) AS ece, round(max(abs(media_p - observado)), 5) AS mce"
 
 

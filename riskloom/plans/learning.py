@@ -187,6 +187,24 @@ def variance_between(spark, d):
     return models.eta_squared(scored(spark, d), "y", ["idade"])
 
 
+@query(f"""WITH {SQL_SCORED}, l AS ({LONG}), o AS (SELECT variavel, g, v, count(*) AS o FROM l GROUP BY ALL),
+e AS (SELECT *, sum(o) OVER (PARTITION BY variavel, g) AS r, sum(o) OVER (PARTITION BY variavel, v) AS c, sum(o) OVER (PARTITION BY variavel) AS n FROM o),
+x AS (SELECT variavel, sum(o::DOUBLE * o * n / (r * c)) - max(n) AS q, max(n) AS n, count(DISTINCT v) AS kv, count(DISTINCT g) AS kg FROM e GROUP BY variavel),
+m AS ({" UNION ALL ".join(f"SELECT '{c}' AS variavel, y AS g, {c}::DOUBLE AS x FROM sc WHERE {c} IS NOT NULL" for c in NUMERIC)}),
+p AS (SELECT variavel, g, count(*) AS n, avg(x) AS a, sum(x) AS s, sum(x * x) AS q FROM m GROUP BY ALL),
+f AS (SELECT variavel, sum(n)::BIGINT AS n, count(*) AS k, sum(s * s / n) - sum(s) * sum(s) / sum(n) AS b, sum(q) - sum(s * s / n) AS w FROM p GROUP BY variavel)
+SELECT variavel, 'qui2' AS teste, round(q, 4) AS estatistica, (kv - 1) * (kg - 1) AS gl1, NULL::BIGINT AS gl2, round(sqrt(q / (n * (least(kv, kg) - 1))), 5) AS efeito FROM x
+UNION ALL SELECT variavel, 'f', round((b / (k - 1)) / (w / (n - k)), 4), k - 1, n - k, round(b / (b + w), 5) FROM f""")
+def association_tests(spark, d):
+    """Chi-square and F tests of all columns against the outcome."""
+    return models.association_tests(scored(spark, d), "y", CATEGORICAL, NUMERIC)
+
+
+@query()
+def association_p_values(spark, d):
+    return models.p_values(models.association_tests(scored(spark, d), "y", CATEGORICAL, NUMERIC))
+
+
 @query(f"{MASTER} SELECT particao, count(*) AS n FROM mp WHERE particao IN ('train_ref', 'val_ref') GROUP BY particao")
 def blocks_roundtrip(spark, d):
     path = folder(spark, "blocks")
