@@ -305,6 +305,7 @@ class _Grower:
 
 def fit_many(df: DataFrame, settings: dict[str, Settings], numeric: list[str], categorical: list[str], y: str = "y", valid: str | None = None) -> dict[str, Model]:
     """A model for each setting. Rows without an outcome are left out; valid: a boolean column of rows that only measure the loss."""
+    io.guard([*numeric, *categorical], [y, "p"], numeric, categorical)
     mark = F.coalesce(F.col(valid), F.lit(False)) if valid else F.lit(False)
     rows = df.where(F.col(y).isNotNull()).select(*(F.col(c).cast("double").alias(c) for c in numeric), *(F.col(c).cast("string").alias(c) for c in categorical), F.col(y).cast("int").alias("y"), mark.alias("valid"))
     rows = io.stored(rows, "boost-rows")

@@ -24,6 +24,7 @@ from riskloom.operators import evaluate
 from riskloom.sources import io
 
 SEED = 7
+OUTCOME = ("y", "p")  # no feature of any fit, beside what leaks
 
 
 def usable(df: DataFrame, columns: list[str], strict: bool = True) -> list[str]:
@@ -60,6 +61,7 @@ def estimator(name: str, rows: int, c: float = 1.0, l1: float = 0.0, weight: str
 
 def fit(df: DataFrame, name: str, numeric: list[str], categorical: list[str], strict: bool = True, **options) -> PipelineModel:
     numeric, categorical = usable(df, numeric, strict), usable(df, categorical, strict)
+    io.guard([*numeric, *categorical], OUTCOME, numeric, categorical)
     rows = df.na.fill(MISSING, categorical)
     stages = preprocessor(numeric, categorical, one_hot=name == "lr")
     return Pipeline(stages=[*stages, estimator(name, df.count(), **options)]).fit(rows)

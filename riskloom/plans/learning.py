@@ -215,7 +215,8 @@ def blocks_roundtrip(spark, d):
 @query(f"{MASTER} SELECT 'partition' AS tabela, particao, count(*) AS n, count(DISTINCT grupo) AS grupos FROM mp GROUP BY particao UNION ALL SELECT 'model', particao, count(*), count(DISTINCT grupo) FROM mp WHERE particao <> 'exploracao' GROUP BY particao")
 def supervised_build(spark, d):
     """The whole build: features, groups, target, quarantine, partition, two written tables with manifests, read back and checked."""
-    rows = io.free_targets(io.require(scored(spark, d), ["id", "grupo", "y", "ano", "regiao"]), ["particao"])
+    io.guard([*NUMERIC, *CATEGORICAL], models.OUTCOME, NUMERIC, CATEGORICAL)
+    rows = io.free_targets(io.require(scored(spark, d), ["id", "grupo", "y", "ano", "regiao", *NUMERIC, *CATEGORICAL]), ["particao"])
     ok, _ = blocks.quarantine(rows, "grupo", ["ano", "y", "regiao"])
     at = folder(spark, "build")
     blocks.master_partition(ok, "grupo", YEARS_SHARED, YEARS_SEALED).write.parquet(at)

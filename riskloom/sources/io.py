@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 OPEN_BLOCKS = ("train_ref", "val_ref")
 SEALED_BLOCKS = ("test_ref", "test_pandemic")
+# Columns known only after the outcome
+LEAKING = ("evolucao", "dt_evoluca", "dt_encerra", "uti", "utilizouvni", "suport_ven", "antiviral", "antivirais", "classificacao_final", "cluster", "cluster_rotulo")
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -73,10 +75,14 @@ def presence(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "grupo string, coluna string, existe boolean")
 
 
+class LeakageError(ValueError):
+    """A feature that is known only after the outcome."""
+
+
 def guard(columns: list[str], forbidden: list[str], numeric: list[str], categorical: list[str]) -> None:
     """Features are complete, disjoint and free of columns known only after the outcome."""
-    if bad := sorted(set(columns) & set(forbidden)):
-        raise ValueError(f"leaking columns: {bad}")
+    if bad := sorted(set(columns) & {*forbidden, *LEAKING}):
+        raise LeakageError(f"leaking columns: {bad}")
     if set(numeric) & set(categorical) or set(numeric) | set(categorical) != set(columns):
         raise ValueError("numeric and categorical columns must part the features")
 
