@@ -222,6 +222,28 @@ def test_shares_mean_the_same_at_every_length():
     assert quality_rules.counts(one)[share] == quality_rules.counts(one * 100)[share] == 0.5
 
 
+def brute_path(forest, x, tree, at=0, depth=0):
+    feature, cut, left, right, length = (a[at] for a in tree)
+    return length if feature < 0 else brute_path(forest, x, tree, left if x[feature] < cut else right, depth + 1)
+
+
+def test_forest_scores_are_mean_paths_and_the_forest_itself_rejects(spark):
+    """One forest on all its statistics: scores equal walks of its trees, and bad rows it has not seen are rejected by it."""
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.text_counts(docs).join(labels.select("doc_id", "quality"), "doc_id").where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words").toPandas()
+    x, good, seen = quality_rules.statistics(rows), (rows.quality == 1).to_numpy(), (rows.doc_id % 2 == 0).to_numpy()
+    forest = quality_rules.IsolationForest(x[seen])
+    assert all({f for f in t[0] if f >= 0} <= set(range(4)) for t in forest.trees) and {f for t in forest.trees for f in t[0] if f >= 0} == set(range(4))
+    score = forest.score(x)
+    for i in range(0, len(x), 25):
+        mean = np.mean([brute_path(forest, x[i], t) for t in forest.trees])
+        assert score[i] == pytest.approx(2 ** (-mean / float(quality_rules.expected_path(forest.rows))))
+    limit = quality_rules.threshold(score[seen], good[seen], 1)
+    assert (score > limit)[~seen & ~good].mean() >= 0.9 and (score > limit)[~seen & good].mean() <= 0.02
+
+
 @pytest.mark.parametrize("labelled", [0, 1, 2, 7])
 def test_forest_of_few_rows(spark, labelled):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}.{j}" for j in range(20))) for i in range(9)], "doc_id long, text string")
