@@ -1,9 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A logistic model of the presence of hashed words and word beginnings is trained in numpy from confirmed toxic rows (P)
-and rows whose label is not looked at (U): with the class prior p, the risk is
+and unlabelled ones (U), any documents not held out, whose labels, if they have some, are not looked at: with the class
+prior p, the share of toxic rows among the labels that may be read, the risk is
 p E_P[loss(+)] + max(0, E_U[loss(-)] - p E_P[loss(-)]), and where the second part falls below
-zero its gradient is turned round. Fitting reads at most ``MOST_P`` and ``MOST_U`` labelled
+zero its gradient is turned round. Fitting reads at most ``MOST_P`` and ``MOST_U``
 documents in a seeded order, never those held out; the cut is set on the same rows. Words are counted and
 chosen on the executors; the driver gets the chosen words of the fitting rows only, in the order of their ids, so
 a model does not depend on how the tables are partitioned. All rows are scored inside tasks, from their whole texts only.
@@ -98,8 +99,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     prior = counts.get(True, 0) / max(1, sum(counts.values()))
     order = F.md5(F.concat(F.lit("pu"), F.col("doc_id").cast("string")))
     p = known.where("positive").orderBy(order, "doc_id").limit(MOST_P).withColumn("in_u", F.lit(False))
-    u = known.orderBy(order, "doc_id").limit(MOST_U).withColumn("in_u", F.lit(True))
-    picked = p.unionByName(u).groupBy("doc_id", "positive").agg(F.max("in_u").alias("in_u"))
+    every = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
+    u = every.orderBy(order, "doc_id").limit(MOST_U).select("doc_id", F.lit(False).alias("positive"), F.lit(True).alias("in_u"))
+    picked = p.unionByName(u).groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("in_u").alias("in_u"))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # MOST_P + MOST_U ids at most
     one = rows.groupBy("doc_id", "positive", "in_u").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
     return one.select("doc_id", "positive", "in_u", "t.text"), prior
@@ -135,20 +137,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return np.array(chosen, np.int64), weights, bias
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, float]:
+    """(risk of P as positive, rest, gradient by weights, by bias); rest: U as negative less the part of P in it.
+
+    The gradient is that of the sum of both parts, or, where the rest is below zero, of the rest turned round.
+    """
+    sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
+    first = -prior * np.log(np.maximum(sp, 1e-7)).mean()
+    rest = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
+    gu = xu.T @ su / len(su) - prior * (xp.T @ sp) / len(sp), su.mean() - prior * sp.mean()
+    if rest < 0:
+        return float(first), float(rest), -gu[0], -gu[1]
+    return float(first), float(rest), gu[0] - prior * (xp.T @ (1 - sp)) / len(sp), gu[1] - prior * (1 - sp).mean()
+
+
 def fit(x: np.ndarray, positive: np.ndarray, in_u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """(weights, bias) for rows of chosen cells."""
     rng = np.random.default_rng(SEED)
     w, b = np.zeros(x.shape[1], np.float32), np.float32(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     all_p, all_u = np.flatnonzero(positive), np.flatnonzero(in_u)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
         xp, xu = x[rng.choice(all_p, 256)], x[rng.choice(all_u, 512)]
-        sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
-        rest = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
-        gu = xu.T @ su / len(su) - prior * (xp.T @ sp) / len(sp), su.mean() - prior * sp.mean()
-        gp = -prior * (xp.T @ (1 - sp)) / len(sp), -prior * (1 - sp).mean()
-        g, gb = (gp[0] + gu[0], gp[1] + gu[1]) if rest >= 0 else (-gu[0], -gu[1])
+        _, _, g, gb = risk(w, b, xp, xu, prior)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix, fix2 = 1 - 0.9**step, 1 - 0.999**step
