@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -36,6 +37,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+    """Write a table in buckets of a key, each sorted by it, and read it back: what follows by that key needs no shuffle.
+
+    The files lie in the shared folder; the name stands in the session's catalog.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = folder(spark, name)
+    table = f"{name}_{path.rpartition('-')[2]}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where=None) -> DataFrame:
     """Columns and rows of a Parquet table; both reach the scan."""
     df = spark.read.parquet(path)
@@ -134,6 +148,64 @@ def manifest(df: DataFrame, name: str, seed: str, block: str | None = None) -> D
     return out.crossJoin(F.broadcast(counts))  # one row each
 
 
+def _block_files(spark: SparkSession, path: str, block: str) -> dict[str, str]:
+    """Of each block's folder, a digest of its files' names, sizes and times; no file is opened."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {}
+    for f in fs.listStatus(top):
+        kind, _, value = f.getPath().getName().partition("=")
+        if kind == block:
+            files = sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(f.getPath()))
+            found[value] = hashlib.sha256(repr(files).encode()).hexdigest()
+    return found
+
+
+def _block_prints(spark: SparkSession, path: str, block: str, files: dict[str, str]) -> DataFrame:
+    """``bloco, linhas, impressao, soma, arquivos`` of the blocks named in files."""
+    names = spark.createDataFrame(sorted(files.items()), "bloco string, arquivos string")
+    df = spark.read.parquet(path)
+    h = F.xxhash64(*sorted(df.columns))
+    own = df.where(F.col(block).cast("string").isin(*files)) if files else df.limit(0)
+    per = own.groupBy(F.col(block).cast("string").alias("bloco")).agg(F.count("*").alias("linhas"), F.bit_xor(h).alias("impressao"), F.sum(F.shiftright(h, 20)).alias("soma"))
+    return names.join(per, "bloco", "left").select("bloco", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("linhas", "impressao", "soma")), "arquivos")
+
+
+def block_manifest(spark: SparkSession, path: str, block: str = "particao") -> DataFrame:
+    """A row for each block of a table partitioned by it: rows, fingerprint and its files' state."""
+    return _block_prints(spark, path, block, _block_files(spark, path, block))
+
+
+def combined_manifest(blocks: DataFrame) -> DataFrame:
+    """The table's fingerprint from its blocks', equal to ``fingerprint`` of the whole."""
+    return blocks.agg(F.coalesce(F.sum("linhas"), F.lit(0)).alias("linhas"), F.coalesce(F.bit_xor("impressao"), F.lit(0)).alias("impressao"), F.sum("soma").alias("soma"))
+
+
+def changed_blocks(spark: SparkSession, path: str, known: DataFrame, block: str = "particao") -> dict[str, str]:
+    """Blocks that came, went or whose contents changed since a manifest: block to ``novo``, ``ausente`` or ``alterado``.
+
+    Only blocks whose files changed are read; one written anew with the same rows is not named.
+    """
+    old = {r["bloco"]: r for r in known.collect()}  # a row a block
+    now = _block_files(spark, path, block)
+    out = {b: "novo" for b in now if b not in old} | {b: "ausente" for b in old if b not in now}
+    touched = {b: f for b, f in now.items() if b in old and f != old[b]["arquivos"]}
+    if touched:
+        for r in _block_prints(spark, path, block, touched).collect():
+            if any(r[c] != old[r["bloco"]][c] for c in ("linhas", "impressao", "soma")):
+                out[r["bloco"]] = "alterado"
+    return out
+
+
+def refreshed_manifest(spark: SparkSession, path: str, known: DataFrame, block: str = "particao") -> DataFrame:
+    """The manifest of now: blocks whose files are those of the known one keep its rows, the others are read."""
+    now = _block_files(spark, path, block)
+    same = spark.createDataFrame(sorted(now.items()), "bloco string, arquivos string")
+    kept = known.join(F.broadcast(same), ["bloco", "arquivos"], "left_semi").select("bloco", "linhas", "impressao", "soma", "arquivos")  # a row a block
+    names = {r["bloco"] for r in kept.select("bloco").collect()}
+    return kept.unionByName(_block_prints(spark, path, block, {b: f for b, f in now.items() if b not in names}))
+
+
 def read_checked(spark: SparkSession, path: str, manifest_path: str) -> DataFrame:
     """A table whose contents still have the fingerprint of its manifest, a JSON row."""
     df, known = spark.read.parquet(path), spark.read.json(manifest_path).select("linhas", "impressao", "soma").first()
