@@ -155,8 +155,13 @@ def feature_table(spark, d):
     return scored(spark, d).select("id", "y", F.round("p", 3).alias("p"), "ano", "regiao", "faixa", "sexo", F.round("idade", 6).alias("idade"), "completude")
 
 
+def _laid(spark, d):
+    """Scored episodes, written once in buckets of their group: what goes by group reads them without a shuffle."""
+    return io.stored_by(scored(spark, d), "grupo", "cohort")
+
+
 def _shared(spark, d):
-    return blocks.quarantine(scored(spark, d), "grupo", ["ano", "y", "regiao"])[0]
+    return blocks.quarantine(_laid(spark, d), "grupo", ["ano", "y", "regiao"])[0]
 
 
 GROUPS = f"""WITH {SQL_SCORED},
@@ -173,7 +178,7 @@ mp AS (SELECT ok.*, CASE WHEN ano IN ({IN_SEALED}) THEN 'test_pandemic' WHEN ano
 
 @query(f"{GROUPS} SELECT 'coerentes' AS parte, count(*) AS linhas, count(DISTINCT grupo) AS grupos FROM ok UNION ALL SELECT 'quarentena', count(*), count(DISTINCT grupo) FROM sc WHERE grupo IN (SELECT grupo FROM bad)")
 def quarantine_split(spark, d):
-    ok, bad = blocks.quarantine(scored(spark, d), "grupo", ["ano", "y", "regiao"])
+    ok, bad = blocks.quarantine(_laid(spark, d), "grupo", ["ano", "y", "regiao"])
     facts = lambda df, name: df.agg(F.lit(name).alias("parte"), F.count("*").alias("linhas"), F.count_distinct("grupo").alias("grupos"))
     return facts(ok, "coerentes").unionByName(facts(bad, "quarentena"))
 
@@ -226,14 +231,14 @@ def block_set_difference(spark, d):
 
 @query(f"{GROUPS} SELECT DISTINCT a.grupo FROM sc a JOIN sc b USING (grupo) WHERE a.ano = 1995 AND b.ano = 1996")
 def groups_in_both_years(spark, d):
-    return blocks.shared_groups(scored(spark, d), 1995, 1996, "ano")
+    return blocks.shared_groups(_laid(spark, d), 1995, 1996, "ano")
 
 
 @query(f"""{GROUPS}, sz AS (SELECT count(DISTINCT grupo) AS g FROM sc GROUP BY ano, y, regiao) SELECT 'grupo_nulo' AS verificacao, count(*) FILTER (grupo IS NULL) AS observado, count(*) FILTER (grupo IS NULL) = 0 AS ok FROM sc
 UNION ALL SELECT 'estrato_nulo', count(*) FILTER (ano IS NULL OR y IS NULL OR regiao IS NULL), count(*) FILTER (ano IS NULL OR y IS NULL OR regiao IS NULL) = 0 FROM sc
 UNION ALL SELECT 'grupo_em_estratos', count(*), count(*) = 0 FROM bad UNION ALL SELECT 'estrato_pequeno', count(*) FILTER (g < 5), count(*) FILTER (g < 5) = 0 FROM sz""")
 def stratum_validation(spark, d):
-    return blocks.check_strata(scored(spark, d), "grupo", ["ano", "y", "regiao"])
+    return blocks.check_strata(_laid(spark, d), "grupo", ["ano", "y", "regiao"])
 
 
 @query(f"{MASTER} SELECT grupo, count(DISTINCT particao) AS blocos FROM mp GROUP BY grupo HAVING count(DISTINCT particao) > 1")
