@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, fresh_path, small_slices
 
-KEPT_WORDS = 60_000  # of a generation; those of the one before are still known
+KEPT_WORDS = 200_000  # of a generation; those of the one before are still known
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, place long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
 
