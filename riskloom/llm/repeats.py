@@ -8,15 +8,16 @@ part, the bytes from the trigger on. Distinct phrases are the dictionary, their
 1. Parse. Phrases are kept as hashes: of the core, the trigger's gram, and of the hull, all bytes
    that its windows cover. A core that occurs once rules its windows out; a hull that occurs twice
    marks all of them, and stands once for all its places in what follows.
-2. Order. Phrases with one core are sorted by their right parts (the suffix array of the parse, with the lengths of common
-   prefixes) and by their left parts read backwards (the suffix array of the dictionary). A window that reaches ``a`` bytes to the
+2. Order. Equal windows have one core, so order is needed among the phrases of a core only, and the suffix arrays of the whole
+   dictionary and parse are never built: phrases with one core are sorted by their right parts and by their left parts read
+   backwards, with the lengths of common prefixes. A window that reaches ``a`` bytes to the
    left of its trigger is told by the class of left parts that agree on ``a`` bytes and the class of right parts that agree on
    ``LENGTH - a``: windows are equal if both classes are. This compares bytes, in numpy, for all phrases of some cores at once.
 3. Cores that more than ``MANY`` open phrases share are first cut into strips: windows that reach about equally far to the left.
    A strip has a longer core and a shorter hull, goes through step 1 again, and then to step 2 or into
    narrower strips; strips of one window are settled by step 1. So no task gets an unbounded group.
 
-Step 1 tells strings apart by 64 bits of the core and 128 bits of the hull, step 2 by their bytes. No step sends a text twice or pairs texts.
+Step 1 tells hulls apart by XXH3-128 of their bytes, step 2 windows by their bytes; cores with equal hashes only meet for nothing. No step sends a text twice or pairs texts.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` keep all; equal rows are
 copies of each other; ids may be null or repeat (rows are told apart by id and text); long texts are parsed in pieces that overlap, so memory does not
@@ -115,12 +116,15 @@ def _phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, key = (batch.column(c).to_numpy() for c in ("doc", "key"))
         for part in pieces(batch.column("text").to_pylist()):
-            data, ends = np.frombuffer(b"".join(p[2] for p in part), np.uint8), np.cumsum([0, *(len(p[2]) for p in part)])
-            one, two = Hashes(data, 1), Hashes(data, 2)
+            raw = b"".join(p[2] for p in part)
+            data, ends = np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(p[2]) for p in part)])
+            one = Hashes(data, 1)
             piece, at, low, high = phrases(data, ends, one)
             if not len(piece):
                 continue
-            core, hull, hull2 = one.of(at, at + GRAM), one.of(low, high + LENGTH), two.of(low, high + LENGTH)
+            core = one.of(at, at + GRAM)
+            digests = b"".join([xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(low.tolist(), (high + LENGTH).tolist(), strict=True)])
+            hull, hull2 = (np.ascontiguousarray(x) for x in np.frombuffer(digests, U).reshape(-1, 2).T)
             row = np.array([p[0] for p in part])[piece]
             shift = np.array([p[1] for p in part])[piece] - ends[piece]
             # equal phrases of one buffer: one stands for all, the windows of all repeat
