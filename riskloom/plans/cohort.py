@@ -157,7 +157,7 @@ def feature_table(spark, d):
 
 def _laid(spark, d):
     """Scored episodes, written once in buckets of their group: what goes by group reads them without a shuffle."""
-    return io.stored_by(scored(spark, d), "grupo", "cohort")
+    return io.stored_by(scored(spark, d).select("id", "grupo", "ano", "y", "regiao"), "grupo", "cohort")
 
 
 def _shared(spark, d):
