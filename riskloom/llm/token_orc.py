@@ -17,11 +17,10 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, small_slices
+from .common import documents, fresh_path, sized_slices
 
 KEPT_WORDS = 200_000  # of a generation; those of the one before are still known
+SLICE_BYTES = 32 << 20  # texts encoded together: far fewer ids than Arrow's list offsets can count
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, place long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
 
@@ -89,16 +89,18 @@ class WordIds(dict):
         return ids
 
 
+@lru_cache(maxsize=1)
+def kept_words(vocabulary_path: str) -> WordIds:
+    """What a worker keeps of one vocabulary from task to task."""
+    return WordIds(vocabulary_path)
+
+
 def _encode(vocabulary_path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        # a worker keeps the tokenizer and words of one vocabulary from task to task
-        kept = sys.modules.setdefault(f"kept words of {vocabulary_path}", types.ModuleType("kept")).__dict__
-        if "known" not in kept:
-            kept["known"] = WordIds(vocabulary_path)
-        known = kept["known"]
+        known = kept_words(vocabulary_path)
         end, part, place = np.int32(end_id).tobytes(), TaskContext.get().partitionId(), 0
-        for batch in small_slices(batches, 128):
+        for batch in sized_slices(batches, "text", 128, SLICE_BYTES):
             known.bound()
             parts = [b"".join(map(known.__getitem__, words_of(t))) + end for t in batch.column("text").to_pylist()]
             sizes = np.array([len(p) // 4 for p in parts], np.int64)
