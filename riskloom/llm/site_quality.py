@@ -1,6 +1,6 @@
 """Quality by hierarchical empirical Bayes: the text's evidence with posteriors of host and path.
 
-A logistic model of text counts gives each document a probability. Hosts, and paths inside
+A logistic model of text counts, with steps at the sample's quantiles, gives each document a probability. Hosts, and paths inside
 them, pool the probabilities of their documents: a host's posterior shrinks to the global
 mean with a strength fitted to the spread between hosts, a path's to its host's with one
 fitted to the spread between paths. A document's own probability is left out of the
@@ -23,19 +23,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored, table
+from .common import documents, join_by_load, stored, table
 from .quality_rules import SAMPLE, SHAPES, labelled_sample, text_counts
 
 STEPS, RIDGE = 30, 1e-2
+SHARES = (0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98)
 LIMIT = 0.5
 
 
-def design(x: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """Counts, their squares and steps at fixed places."""
+def knots(x: np.ndarray) -> list[np.ndarray]:
+    """Places of each column's steps: the sample's quantiles."""
+    return [np.unique(np.quantile(c, SHARES)) if len(c) else np.zeros(0) for c in np.clip(x, 0, 50).T]
+
+
+def design(x: np.ndarray, n_words: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """Counts, their roots and steps at the places given."""
     size = np.log1p(n_words)[:, None]
     x = np.clip(x, 0, 50)
-    steps = [(x[:, [i]] > c).astype(float) for i, cuts in ((1, (0.02, 0.05, 0.1)), (2, (0.1, 0.3)), (3, (0.1, 0.2, 0.4)), (4, (0.2, 0.4, 0.6))) for c in cuts]
-    return np.column_stack([np.ones(len(x)), size, x, np.sqrt(x), *steps])
+    return np.column_stack([np.ones(len(x)), size, x, np.sqrt(x), *(x[:, [i]] > cuts for i, cuts in enumerate(places))])
 
 
 def fit_evidence(x: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -70,11 +75,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     sites = docs.select("doc_id", host.alias("host"), path.alias("path"), "text")
     counted = stored(text_counts(sites, "host", "path"), "op10-counts")
     sample = labelled_sample(counted, labels, "quality").toPandas()
-    w = fit_evidence(design(sample[list(SHAPES)].to_numpy(float).reshape(-1, len(SHAPES)), sample["n_words"].to_numpy(float)), (sample["quality"] == 1).to_numpy(float)) if len(sample) else None
+    shapes = sample[list(SHAPES)].to_numpy(float).reshape(-1, len(SHAPES))
+    places = knots(shapes)
+    w = fit_evidence(design(shapes, sample["n_words"].to_numpy(float), places), (sample["quality"] == 1).to_numpy(float)) if len(sample) else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = design(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in SHAPES]), batch.column("n_words").to_numpy())
+            x = design(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in SHAPES]), batch.column("n_words").to_numpy(), places)
             z = np.zeros(len(x)) if w is None or not w.any() else np.clip(x @ w, -12, 12)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "host", "path", "p"])
 
@@ -87,10 +94,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     mean = float(np.clip((everything[1] or 0.5) / (everything[0] or 1), 1e-4, 1 - 1e-4))
     k_host = strength(hosts, "host_n", "host_sum", mean)
     hosts = hosts.withColumnRenamed("host", "h")
-    nested = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    nested = join_by_load(paths, hosts, F.col("host").eqNullSafe(F.col("h")), "host_n", everything[0] or 0).drop("h")
     k_path = strength(nested, "path_n", "path_sum", (F.col("host_sum") + k_host * mean) / (F.col("host_n") + k_host))
     sums = nested.withColumnsRenamed({"host": "h", "path": "q"})
-    met = rows.join(sums, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    met = join_by_load(rows, sums, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "path_n", everything[0] or 0)
     own = F.col("p")
     at_host = (F.col("host_sum") - own + k_host * mean) / (F.col("host_n") - 1 + k_host)
     at_path = (F.col("path_sum") - own + k_path * F.col("host_posterior")) / (F.col("path_n") - 1 + k_path)
