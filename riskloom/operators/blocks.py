@@ -36,11 +36,12 @@ def ranked(rows: DataFrame, stratum: list[str], item: str, salt: str) -> DataFra
     return joined.withColumn("pos", F.col("_before") + place).drop("_h", "_b", "_before")
 
 
+OWN = ("_faixa", "_tam")  # names of place and size where rows may have columns of the usual ones
 PLACED_ROWS = 200_000  # counts of hash prefixes that are broadcast; beyond it the join shuffles
 
 
-def placed(rows: DataFrame, stratum: list[str], item: str, salt: str, cuts: Column, facts: DataFrame | None = None) -> DataFrame:
-    """Add ``faixa``: how many cut positions lie before the row's rank by salted hash in its stratum, and the stratum's size ``tam``.
+def placed(rows: DataFrame, stratum: list[str], item: str, salt: str, cuts: Column, facts: DataFrame | None = None, place: str = "faixa", size: str = "tam") -> DataFrame:
+    """Add ``place``: how many cut positions lie before the row's rank by salted hash in its stratum, and the stratum's ``size``.
 
     cuts: an array of positions, an expression of ``tam`` and of the columns of ``facts``, a row for each stratum. Counts
     of hash prefixes tell where each cut falls: rows of all other prefixes are placed where they are, and only those of
@@ -58,10 +59,10 @@ def placed(rows: DataFrame, stratum: list[str], item: str, salt: str, cuts: Colu
     places = places.withColumn("_cuts", cuts).select(*stratum, "_b", "tam", before.alias("_before"), "_cuts", index(before + 1).alias("_low"), index(F.col("_upto")).alias("_high"))
     places = io.stored(places, "places")
     few = places.count() <= PLACED_ROWS
-    joined = keyed.alias("l").join((F.broadcast(places) if few else places).alias("r"), same("l", "r", [*stratum, "_b"])).select("l.*", *(f"r.{c}" for c in ("tam", "_before", "_cuts", "_low", "_high")))
-    whole = joined.where("_low = _high").select(*rows.columns, "tam", F.col("_low").alias("faixa"))
-    place = F.col("_before") + F.row_number().over(W.partitionBy(*stratum, "_b").orderBy("_h", item))
-    split = joined.where("_low <> _high").withColumn("faixa", index(place)).select(*rows.columns, "tam", "faixa")
+    joined = keyed.alias("l").join((F.broadcast(places) if few else places).alias("r"), same("l", "r", [*stratum, "_b"])).select("l.*", F.col("r.tam").alias("_size"), *(f"r.{c}" for c in ("_before", "_cuts", "_low", "_high")))
+    whole = joined.where("_low = _high").select(*rows.columns, F.col("_size").alias(size), F.col("_low").alias(place))
+    rank = F.col("_before") + F.row_number().over(W.partitionBy(*stratum, "_b").orderBy("_h", item))
+    split = joined.where("_low <> _high").withColumn("_place", index(rank)).select(*rows.columns, F.col("_size").alias(size), F.col("_place").alias(place))
     return whole.unionByName(split)
 
 
@@ -74,7 +75,8 @@ def block_cuts(size: Column, blocks=BLOCKS) -> Column:
 
 def hash_blocks(groups: DataFrame, stratum: list[str], group: str = "grupo", salt: str = SALT, blocks=BLOCKS) -> DataFrame:
     names = F.array(*(F.lit(b) for b, _ in blocks))
-    return placed(groups, stratum, group, salt, block_cuts(F.col("tam"), blocks)).withColumn("bloco", F.element_at(names, F.col("faixa") + 1)).drop("faixa", "tam")
+    at = placed(groups, stratum, group, salt, block_cuts(F.col("tam"), blocks), None, *OWN)
+    return at.withColumn("bloco", F.element_at(names, F.col(OWN[0]) + 1)).drop(*OWN)
 
 
 def spanning(rows: DataFrame, group: str, keys: list[str]) -> DataFrame:
@@ -159,7 +161,8 @@ def shared_groups(rows: DataFrame, one: str, two: str, block: str = "particao",
 
 def halves(rows: DataFrame, stratum: list[str], item: str, salt: str = "metades-1") -> DataFrame:
     cut = F.array(F.floor(F.col("tam") / 2).cast("long"))
-    return placed(rows, stratum, item, salt, cut).withColumn("metade", F.when(F.col("faixa") == 0, "calibracao").otherwise("medida")).drop("faixa", "tam")
+    at = placed(rows, stratum, item, salt, cut, None, *OWN)
+    return at.withColumn("metade", F.when(F.col(OWN[0]) == 0, "calibracao").otherwise("medida")).drop(*OWN)
 
 
 def quotas(rows: DataFrame, stratum: list[str], total: int) -> DataFrame:
@@ -177,13 +180,13 @@ def quotas(rows: DataFrame, stratum: list[str], total: int) -> DataFrame:
 def quota_sample(rows: DataFrame, stratum: list[str], item: str, total: int, salt: str = "cotas-1") -> DataFrame:
     """The first rows of each stratum by salted hash, as many as its quota; the rest never leaves its task."""
     q = quotas(rows, stratum, total).drop("n")
-    return placed(rows, stratum, item, salt, F.array(F.col("cota").cast("long")), q).where("faixa = 0").drop("faixa", "tam")
+    return placed(rows, stratum, item, salt, F.array(F.col("cota").cast("long")), q, *OWN).where(F.col(OWN[0]) == 0).drop(*OWN)
 
 
 def random_subsample(rows: DataFrame, item: str, n: int, salt: str = "amostra-1") -> DataFrame:
     """The first n rows by salted hash."""
     everything = rows.withColumn("_s", F.lit(1))
-    return placed(everything, ["_s"], item, salt, F.array(F.lit(n).cast("long"))).where("faixa = 0").drop("faixa", "tam", "_s")
+    return placed(everything, ["_s"], item, salt, F.array(F.lit(n).cast("long")), None, *OWN).where(F.col(OWN[0]) == 0).drop(*OWN, "_s")
 
 
 def drift(rows: DataFrame, sample: DataFrame, y: str = "y", tolerance: float = 0.002) -> DataFrame:

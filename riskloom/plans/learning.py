@@ -136,7 +136,8 @@ def class_weight_compare(spark, d):
     """Calibrated scores of fits with and without class weights; the best of each family by Brier score is marked."""
     train, test = _parts(spark, d)
     sets = {f"{f} {w}": {"name": f, **({"weight": "peso"} if w == "peso" else {})} for f in ("lr", "tree") for w in ("sem_peso", "peso")}
-    rows = blocks.halves(stored(models.scored_sets(models.balanced(train), test, sets, NUMERIC, CATEGORICAL), "weights"), ["candidato", "y"], "id")
+    scores = models.scored_sets(models.balanced(train), test, sets, NUMERIC, CATEGORICAL).select("candidato", "id", "y", "p")
+    rows = stored(blocks.halves(stored(scores, "weights"), ["candidato", "y"], "id"), "halves")
     out = None
     for name in sets:
         one = rows.where(F.col("candidato") == name)

@@ -78,3 +78,16 @@ def test_cuts_place_rows_as_ranks_do(spark, monkeypatch, few):
     one = {r["i"] for r in blocks.random_subsample(rows, "i", 25).collect()}
     everything = blocks.ranked(rows.withColumn("a", F.lit(1)), ["a"], "i", "amostra-1")
     assert one == {r["i"] for r in everything.where("pos <= 25").collect()}
+
+
+def test_halves_of_rows_with_columns_of_the_same_names(spark):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("i"), F.lit("a").alias("faixa"), F.lit(7).alias("tam"), F.lit(1).alias("s"))
+    got = blocks.halves(rows, ["s"], "i")
+    assert got.columns == [*rows.columns, "metade"] and got.where("faixa = 'a' and tam = 7").groupBy("metade").count().select("count").collect() == [(20,), (20,)]
+    assert blocks.quota_sample(rows, ["s"], "i", 8).columns == blocks.random_subsample(rows, "i", 8).columns == rows.columns
+
+
+def test_class_weights_are_compared(spark):
+    rows = registry.QUERIES["class_weight_compare"](spark, SMALL).collect()
+    assert {r["candidato"] for r in rows} == {f"{f} {w}" for f in ("lr", "tree") for w in ("sem_peso", "peso")}
+    assert sum(r["melhor"] for r in rows) == 2 and all(r["brier"] is not None and r["ece"] is not None for r in rows)
