@@ -128,8 +128,8 @@ def balanced(df: DataFrame, y: str = "y") -> DataFrame:
     return df.crossJoin(F.broadcast(n)).withColumn("peso", weight.cast("double")).drop("_n", "_p")  # one row
 
 
-def cluster_features(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, dict[str, float]]:
-    """Rows with ``weighted`` features, and the weights by column.
+def cluster_features(df: DataFrame, numeric: list[str], categorical: list[str], alike: bool = False) -> tuple[DataFrame, dict[str, float]]:
+    """Rows with ``weighted`` features, and the weights by column; alike: a row for all with the same features, ``peso`` how many.
 
     The one-hot block of a column weighs 1 / sqrt(its categories); numbers, centred and scaled, weigh
     the square root of the mean variance of the weighted blocks.
@@ -145,23 +145,28 @@ def cluster_features(df: DataFrame, numeric: list[str], categorical: list[str])
               StringIndexer(inputCols=categorical, outputCols=i, handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=i, outputCols=h, dropLast=False), VectorAssembler(inputCols=["_scaled", *h], outputCol="features")]
     fitted = Pipeline(stages=stages).fit(filled)
     w = [weights[c] for c in numeric] + [weights[c] for c, size in zip(categorical, fitted.stages[4].categorySizes, strict=True) for _ in range(size)]
-    return ElementwiseProduct(scalingVec=Vectors.dense(w), inputCol="features", outputCol="weighted").transform(fitted.transform(filled)), weights
+    if alike:
+        filled = io.stored(filled.groupBy(*numeric, *categorical).agg(F.count("*").cast("double").alias("peso")), "alike")
+    out = ElementwiseProduct(scalingVec=Vectors.dense(w), inputCol="features", outputCol="weighted").transform(fitted.transform(filled))
+    return (io.stored(out.select(*numeric, *categorical, "peso", "weighted"), "clustered") if alike else out), weights
 
 
-def kmeans(df: DataFrame, k: int, column: str) -> DataFrame:
-    return KMeans(k=k, seed=SEED, featuresCol=column, predictionCol="cluster", maxIter=15).fit(df).transform(df)
+def kmeans(df: DataFrame, k: int, column: str, weight: str | None = None) -> DataFrame:
+    own = {"weightCol": weight} if weight else {}
+    return KMeans(k=k, seed=SEED, featuresCol=column, predictionCol="cluster", maxIter=15, **own).fit(df).transform(df)
 
 
-def silhouettes(df: DataFrame, ks: tuple[int, ...], column: str) -> DataFrame:
-    """Silhouette of each number of clusters."""
-    rows = [(k, float(ClusteringEvaluator(featuresCol=column, predictionCol="cluster").evaluate(kmeans(df, k, column)))) for k in ks]
+def silhouettes(df: DataFrame, ks: tuple[int, ...], column: str, weight: str | None = None) -> DataFrame:
+    """Silhouette of each number of clusters; weight: a column of how many rows a row stands for."""
+    rows = [(k, float(ClusteringEvaluator(featuresCol=column, predictionCol="cluster", **({"weightCol": weight} if weight else {})).evaluate(kmeans(df, k, column, weight)))) for k in ks]
     return df.sparkSession.createDataFrame(rows, "k int, silhueta double")
 
 
-def cramers_v(df: DataFrame, cluster: str, categorical: list[str]) -> DataFrame:
-    """Chi-square and Cramer's V of each categorical column against the clusters."""
-    long = df.select(cluster, *categorical).unpivot([cluster], categorical, "variavel", "valor")
-    cells = long.groupBy("variavel", cluster, "valor").agg(F.count("*").alias("o"))
+def cramers_v(df: DataFrame, cluster: str, categorical: list[str], weight: str | None = None) -> DataFrame:
+    """Chi-square and Cramer's V of each categorical column against the clusters; weight: how many rows a row stands for."""
+    w = (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")
+    long = df.select(cluster, *categorical, w).unpivot([cluster, "_w"], categorical, "variavel", "valor")
+    cells = io.stored(long.groupBy("variavel", cluster, "valor").agg(F.sum("_w").alias("o")), "cells")  # columns x clusters x values; doubles, as products pass 64 bits
     rows = cells.groupBy("variavel", cluster).agg(F.sum("o").alias("r"))
     cols = cells.groupBy("variavel", "valor").agg(F.sum("o").alias("c"))
     n = cells.groupBy("variavel").agg(F.sum("o").alias("n"), F.count_distinct("valor").alias("kv"), F.count_distinct(cluster).alias("kc"))
@@ -171,10 +176,11 @@ def cramers_v(df: DataFrame, cluster: str, categorical: list[str]) -> DataFrame:
     return chi.select("variavel", F.round("qui2", 4).alias("qui2"), F.round(F.sqrt(F.try_divide(F.col("qui2"), F.col("n") * (F.col("k") - 1))), 5).alias("v_cramer"))
 
 
-def eta_squared(df: DataFrame, cluster: str, numeric: list[str]) -> DataFrame:
-    """Share of each numeric column's variance between clusters."""
-    long = df.select(cluster, *(F.col(c).cast("double").alias(c) for c in numeric)).unpivot([cluster], numeric, "variavel", "v").where("v is not null")
-    per = long.groupBy("variavel", cluster).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") ** 2).alias("q"))
+def eta_squared(df: DataFrame, cluster: str, numeric: list[str], weight: str | None = None) -> DataFrame:
+    """Share of each numeric column's variance between clusters; weight: how many rows a row stands for."""
+    w = (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")
+    long = df.select(cluster, *(F.col(c).cast("double").alias(c) for c in numeric), w).unpivot([cluster, "_w"], numeric, "variavel", "v").where("v is not null")
+    per = long.groupBy("variavel", cluster).agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("v")).alias("s"), F.sum(F.col("_w") * F.col("v") ** 2).alias("q"))
     return per.groupBy("variavel").agg(F.round(F.try_divide(F.sum(F.col("s") ** 2 / F.col("n")) - F.sum("s") ** 2 / F.sum("n"), F.sum("q") - F.sum("s") ** 2 / F.sum("n")), 5).alias("eta2"))
 
 

@@ -157,18 +157,22 @@ def kmeans_groups(spark, d):
     return models.kmeans(v, 10, "v").select("vec_id", "label", "cluster")
 
 
+def _clustered(spark, d):
+    """Distinct features and how many rows have them, from scored rows written once."""
+    rows = stored(scored(spark, d).select(*NUMERIC, *CATEGORICAL), "features")
+    return models.cluster_features(rows, NUMERIC, CATEGORICAL, alike=True)[0]
+
+
 @query()
 def cluster_quality(spark, d):
-    rows, _ = models.cluster_features(scored(spark, d), NUMERIC, CATEGORICAL)
-    return models.silhouettes(rows.select("id", "weighted"), (2, 3, 4), "weighted")
+    return models.silhouettes(_clustered(spark, d), (2, 3, 4), "weighted", "peso")
 
 
 @query()
 def cluster_profile(spark, d):
-    rows, _ = models.cluster_features(scored(spark, d), NUMERIC, CATEGORICAL)
-    rows = models.kmeans(rows, 4, "weighted")
-    v = models.cramers_v(rows, "cluster", CATEGORICAL).select("variavel", F.lit("v_cramer").alias("medida"), F.col("v_cramer").alias("valor"))
-    return v.unionByName(models.eta_squared(rows, "cluster", NUMERIC).select("variavel", F.lit("eta2").alias("medida"), F.col("eta2").alias("valor")))
+    found = stored(models.kmeans(_clustered(spark, d), 4, "weighted", "peso").select(*NUMERIC, *CATEGORICAL, "cluster", "peso"), "clusters")
+    v = models.cramers_v(found, "cluster", CATEGORICAL, "peso").select("variavel", F.lit("v_cramer").alias("medida"), F.col("v_cramer").alias("valor"))
+    return v.unionByName(models.eta_squared(found, "cluster", NUMERIC, "peso").select("variavel", F.lit("eta2").alias("medida"), F.col("eta2").alias("valor")))
 
 
 # Cramer's V and eta squared over a given grouping, which SQL can express

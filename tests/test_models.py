@@ -65,3 +65,26 @@ def test_every_fit_is_guarded(spark):
                 fit(n, k)
     with pytest.raises(io.LeakageError):
         io.guard(["x", "evolucao"], [], ["x"], ["evolucao"])
+
+
+def test_cells_of_many_rows_do_not_overflow(spark):
+    """Counts whose products pass 64 bits, by weights that stand for rows."""
+    rows = [("x", 0, 4e9), ("x", 1, 1e9), ("z", 0, 1e9), ("z", 1, 4e9)]
+    df = spark.createDataFrame(rows, "k string, g int, w double")
+    row = models.cramers_v(df, "g", ["k"], "w").first()
+    assert row["v_cramer"] == 0.6 and row["qui2"] == 3.6e9
+    few = spark.createDataFrame([(k, g) for k, g, w in rows for _ in range(int(w / 1e9))], "k string, g int")
+    assert models.cramers_v(few, "g", ["k"]).first()["v_cramer"] == 0.6
+
+
+def test_rows_alike_stand_for_all(spark):
+    rows = spark.range(600).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 % 3).cast("string").alias("k"))
+    one, _ = models.cluster_features(rows, ["a"], ["k"])
+    alike, _ = models.cluster_features(rows, ["a"], ["k"], alike=True)
+    assert alike.count() == 7 and alike.agg(F.sum("peso")).first()[0] == 600
+    of = lambda df: {(r["a"], r["k"], tuple(r["weighted"].toArray().round(12))) for r in df.collect()}
+    assert of(one) == of(alike)
+    found = models.kmeans(alike, 3, "weighted", "peso")
+    whole = one.join(found.select("a", "k", "cluster"), ["a", "k"])
+    assert models.eta_squared(found, "cluster", ["a"], "peso").first() == models.eta_squared(whole, "cluster", ["a"]).first()
+    assert models.cramers_v(found, "cluster", ["k"], "peso").first() == models.cramers_v(whole, "cluster", ["k"]).first()
