@@ -25,11 +25,13 @@ def stripped(c: Column) -> Column:
 def code(c: Column) -> Column:
     """Text without margins and a trailing ``.0``; words for nothing become null."""
     bare = F.regexp_replace(stripped(c), r"\.0$", "")
-    return F.when(~F.lower(bare).isin(*NULL_WORDS), bare)
+    digit = (F.octet_length(c) == 1) & c.between("0", "9")  # most codes: nothing to strip
+    return F.when(digit, c).when(~F.lower(bare).isin(*NULL_WORDS), bare)
 
 
 def iso_date(c: Column) -> Column:
-    return F.to_date(F.try_to_timestamp(stripped(c), F.lit("yyyy-M-d")))
+    plain = c.rlike(r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\z")  # most dates: no format is needed
+    return F.when(plain, c.try_cast("date")).otherwise(F.to_date(F.try_to_timestamp(stripped(c), F.lit("yyyy-M-d"))))
 
 
 def tolerant_date(c: Column) -> Column:
@@ -38,7 +40,7 @@ def tolerant_date(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    return stripped(c).try_cast("double")
+    return F.coalesce(c.try_cast("double"), stripped(c).try_cast("double"))
 
 
 def age_years(value: Column, unit: Column) -> Column:
@@ -84,7 +86,8 @@ def group_id(number_: Column, record: Column) -> Column:
     """The notification number without white space, else the record's own id; an error when both say nothing."""
     bare, own = F.regexp_replace(number_, r"(?U)\s+", ""), stripped(record)
     says = lambda c: F.coalesce(~F.lower(c).isin(*NULL_WORDS), F.lit(False))
-    return F.when(says(bare), bare).when(says(own), F.concat(F.lit("sem_notific:"), own)).otherwise(F.raise_error(F.lit("neither notification number nor record id")).cast("string"))
+    plain = number_.try_cast("long").cast("string") == number_  # most numbers: no white space
+    return F.when(plain, number_).when(says(bare), bare).when(says(own), F.concat(F.lit("sem_notific:"), own)).otherwise(F.raise_error(F.lit("neither notification number nor record id")).cast("string"))
 
 
 def target(c: Column, positive: tuple[str, ...], negative: tuple[str, ...]) -> Column:
@@ -97,11 +100,11 @@ def period(year: Column, sealed: tuple[int, ...], shared: tuple[int, ...]) -> Co
 
 
 def answered(c: Column) -> Column:
-    return F.coalesce(stripped(c).isin("1", "2"), F.lit(False)).cast("int")
+    return F.coalesce(c.isin("1", "2") | stripped(c).isin("1", "2"), F.lit(False)).cast("int")
 
 
 def _blank(c: Column) -> Column:
-    return (F.coalesce(stripped(c), F.lit("")) == "").cast("int")
+    return F.when(c.isin("1", "2", "9"), 0).otherwise((F.coalesce(stripped(c), F.lit("")) == "").cast("int"))
 
 
 def completeness(columns: list[Column]) -> Column:
@@ -115,7 +118,7 @@ def any_answer(columns: list[Column]) -> Column:
 
 def fill_pattern(secondary: list[Column], conditions: list[Column]) -> Column:
     """How a record was filled: secondary symptoms left blank, conditions without a single no, or both answers."""
-    denied = reduce(Column.__or__, (F.coalesce(stripped(c) == "2", F.lit(False)) for c in conditions))
+    denied = reduce(Column.__or__, (F.coalesce((c == "2") | (stripped(c) == "2"), F.lit(False)) for c in conditions))
     blank = reduce(Column.__add__, map(_blank, secondary))
     return F.when(blank >= BLANK_LIMIT, PATTERNS[2]).when(~denied, PATTERNS[0]).otherwise(PATTERNS[1])
 

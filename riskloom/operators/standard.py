@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.evaluate import levels, quantile_edges
+from riskloom.sources import io
 
 
 def age_standardised(df: DataFrame, stratum: str, band: str = "faixa", y: str = "y", old=("60-79", "80+")) -> DataFrame:
@@ -18,15 +19,19 @@ def age_standardised(df: DataFrame, stratum: str, band: str = "faixa", y: str =
 
 def means_by_outcome(df: DataFrame, value: str, band: str = "faixa", y: str = "y") -> DataFrame:
     """Mean of a value by outcome for each band and for all."""
-    out = df.groupingSets([[F.col(band)], []], F.col(band)).agg(F.grouping(band).alias("g"), F.count("*").alias("n"), F.round(F.avg(F.when(F.col(y) == 1, F.col(value))), 5).alias("media_1"), F.round(F.avg(F.when(F.col(y) == 0, F.col(value))), 5).alias("media_0"))
-    return out.select(F.when(F.col("g") == 1, "todos").otherwise(F.col(band)).alias(band), "n", "media_1", "media_0")
+    of = lambda v: F.when(F.col(y) == v, F.col(value))
+    per = df.groupBy(band).agg(F.count("*").alias("n"), *(c for v in (1, 0) for c in (F.sum(of(v)).alias(f"s{v}"), F.count(of(v)).alias(f"n{v}"))))  # rows are read once, then bands
+    mean = lambda v: F.round(F.try_divide(F.sum(f"s{v}"), F.sum(f"n{v}")), 5).alias(f"media_{v}")
+    out = per.groupingSets([[F.col(band)], []], F.col(band)).agg(F.grouping(band).alias("g"), F.sum("n").alias("n"), mean(1), mean(0))
+    return out.select(F.when(F.col("g") == 1, "todos").otherwise(F.col(band)).alias(band), F.coalesce("n", F.lit(0)).alias("n"), "media_1", "media_0")
 
 
 def terciles(df: DataFrame, value: str) -> DataFrame:
     """Least and largest value and size of each tercile; equal edges are one, ties stay together."""
-    edges = quantile_edges(levels(df.select(F.col(value).cast("double").alias("p"), F.lit(0).alias("y"))), 3)
-    place = F.size(F.filter("inner", lambda e: F.col(value) > e))
-    return df.select(value).crossJoin(F.broadcast(edges)).where(F.col(value).isNotNull()).groupBy((place + 1).cast("int").alias("tercil")).agg(F.min(value).alias("minimo"), F.max(value).alias("maximo"), F.count("*").alias("n"))
+    lv = io.stored(levels(df.select(F.col(value).cast("double").alias("p"), F.lit(0).alias("y"))), "levels")
+    place = F.size(F.filter("inner", lambda e: F.col("p") > e))
+    kind = df.schema[value].dataType
+    return lv.crossJoin(F.broadcast(quantile_edges(lv, 3))).groupBy((place + 1).cast("int").alias("tercil")).agg(F.min("p").cast(kind).alias("minimo"), F.max("p").cast(kind).alias("maximo"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
 
 
 def error_classes(df: DataFrame, threshold: float) -> DataFrame:

@@ -334,7 +334,7 @@ def calibration_points_by_model(spark, d):
 @query(f"{SC} SELECT id, y, p, ano::INTEGER AS ano, regiao, faixa, sexo FROM sc")
 def predictions_with_audit(spark, d):
     """Predictions and audit columns, one to one by record."""
-    s = scored(spark, d)
+    s = io.stored_by(scored(spark, d).select("id", "y", "p", "ano", "regiao", "faixa", "sexo"), "id", "predictions")  # the checks and the join by id shuffle no rows
     return io.one_to_one(s.select("id", "y", "p"), s.select("id", "ano", "regiao", "faixa", "sexo"), ["id"])
 
 
@@ -353,7 +353,8 @@ def first_line_of_order(spark, d):
 
 @query(f"{SC}, {SQL_MODELS} SELECT id, " + ", ".join(f"round(max(p) FILTER (modelo = '{m}'), 6) AS {m}" for m in MODELS) + " FROM mo GROUP BY id")
 def scores_wide(spark, d):
-    return models(spark, d).groupBy("id").pivot("modelo", MODELS).agg(F.round(F.first("p"), 6))
+    of = lambda m: F.round(F.max(F.when(F.col("modelo") == m, F.col("p"))), 6).alias(m)
+    return models(spark, d).groupBy("id").agg(*map(of, MODELS))  # one row an id is held, not one a model
 
 
 @query(f"{SC}, r AS (SELECT faixa, avg(y) AS taxa FROM sc GROUP BY faixa), s AS (SELECT regiao, faixa, count(*) AS n, sum(y) AS obs FROM sc GROUP BY ALL), j AS (SELECT regiao, sum(n)::BIGINT AS n, sum(obs)::BIGINT AS observados, round(sum(n * taxa), 6) AS esperados, round(100 * coalesce(sum(n) FILTER (faixa IN ('60-79', '80+')), 0) / sum(n), 6) AS pct_60 FROM s JOIN r USING (faixa) GROUP BY regiao) SELECT *, round(observados / n, 6) AS bruta, round(observados / nullif(esperados, 0), 4) AS padronizada FROM j")

@@ -10,6 +10,9 @@ SYMPTOMS = [f"s{i}" for i in range(1, 12)]
 PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41)
 
 
+METHOD_BYTES = 8000  # the JVM compiles no longer methods: whole stages of the many codes would be interpreted for each row
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,12 +30,14 @@ def _code(i: int, symptom: bool = False):
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
-    lines = lines.agg(F.min("l_partkey").alias("pk"), F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("rf"))
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey"), F.to_date("o_orderdate").alias("day"), "o_orderpriority")
-    place = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    place = place.select("c_custkey", F.col("n_name").alias("sg_uf"), F.col("r_name").alias("regiao"))
-    rows = lines.join(orders, "k").join(place, F.col("o_custkey") == F.col("c_custkey"))
+    """Lines travel once, by order, before repeated keys meet; orders bring their customer's nation, whose names come last."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(METHOD_BYTES))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("pk"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("rf"))
+    lines = lines.repartition("k").groupBy("k", "n").agg(F.min("pk").alias("pk"), F.min("q").alias("q"), F.min("rf").alias("rf"))
+    place = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("sg_uf"), F.col("r_name").alias("regiao"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority")
+    orders = orders.join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+    rows = lines.join(orders, "k").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))  # a row a nation
     k, n = F.col("k"), F.col("n")
     rid = (k * 8 + n).cast("string")
     evolucao = F.when(F.col("o_orderpriority") == "1-URGENT", "2").when(F.col("o_orderpriority") == "5-LOW", "9").otherwise("1")

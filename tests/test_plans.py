@@ -91,3 +91,30 @@ def test_class_weights_are_compared(spark):
     rows = registry.QUERIES["class_weight_compare"](spark, SMALL).collect()
     assert {r["candidato"] for r in rows} == {f"{f} {w}" for f in ("lr", "tree") for w in ("sem_peso", "peso")}
     assert sum(r["melhor"] for r in rows) == 2 and all(r["brier"] is not None and r["ece"] is not None for r in rows)
+
+
+def test_lines_travel_once(spark):
+    """Repeated keys and the join to orders share the shuffle of lines by order."""
+    from riskloom.sources import episodes as ep
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ep.episodes(spark, SMALL).select("id_registro")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange hashpartitioning\(k#", plan)) == 2  # lines and orders
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_terciles_read_the_source_once(spark):
+    assert "l_orderkey" not in plan_of(registry.QUERIES["completeness_terciles"](spark, SMALL))
+    assert "l_orderkey" not in plan_of(registry.QUERIES["predictions_with_audit"](spark, SMALL))
+
+
+def test_plain_dates_are_read_as_the_format_reads_them(spark):
+    from riskloom.functions import codes
+
+    texts = ["1995-01-02", "1995-1-2", " 1995-01-02 ", "1995-02-30", "0000-01-01", "1995-01-1T", "1995-01-02T", "12345-1-11", "x", None, "1995-13-01", "1995-01-02\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    old = F.to_date(F.try_to_timestamp(codes.stripped(F.col("c")), F.lit("yyyy-M-d")))
+    assert df.where(~codes.iso_date(F.col("c")).eqNullSafe(old)).count() == 0
