@@ -1,7 +1,8 @@
 """Gradient boosting on histograms, grown leaf by leaf, for several settings in the same passes.
 
-Columns become bins once: numbers by quantiles, categories by name, missing and unknown values a bin of their own. The
-binned rows are written once and stay where they are. Each pass sends the trees of the moment to the tasks; a task walks
+Columns become bins once: numbers by quantiles, categories by name, missing and unknown values a bin of their own. Rows
+with the same bins and outcome have the same gradients in every tree, so they are one row with their number; these
+are written once and stay where they are. Each pass sends the trees of the moment to the tasks; a task walks
 its rows to their leaves, sums gradients, hessians and counts by leaf, column and bin, and Spark adds these histograms
 up. Gradients are integers (SCALE), so sums do not depend on tasks. The driver sees sums alone: leaves x columns x bins.
 
@@ -141,19 +142,19 @@ def bin_columns(df: DataFrame, numeric: list[str], categorical: list[str]) -> Co
     return Columns(edges, names)
 
 
-def _to_bins(columns: Columns, models: int):
+def _to_bins(columns: Columns):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = columns.bins(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), batch.column("y"), batch.column("valid"), pa.array([[0.0] * models] * len(bins), pa.list_(pa.float64()))], ["bins", "y", "valid", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), batch.column("y"), batch.column("valid")], ["bins", "y", "valid"])
 
     return run
 
 
-def _read(batch: pa.RecordBatch, width: int, models: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _read(batch: pa.RecordBatch, width: int, models: int) -> tuple[np.ndarray, ...]:
     bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
     raw = batch.column("raw").flatten().to_numpy().reshape(-1, models)
-    return bins, batch.column("y").to_numpy(), batch.column("valid").to_numpy(zero_copy_only=False), raw
+    return bins, batch.column("y").to_numpy(), batch.column("valid").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(), raw
 
 
 def _sums(width: int, asked: list[tuple]):
@@ -166,7 +167,7 @@ def _sums(width: int, asked: list[tuple]):
         loss = np.zeros((len(asked), 2))
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
-                bins, y, valid, raw = _read(whole.slice(at, ROWS), width, len(asked))
+                bins, y, valid, n, raw = _read(whole.slice(at, ROWS), width, len(asked))
                 for m, a in enumerate(asked):
                     if a is None:
                         continue
@@ -176,15 +177,16 @@ def _sums(width: int, asked: list[tuple]):
                         score += t.predict(bins)
                     if tree.left[0] < 0 and valid.any():
                         own = np.logaddexp(0, np.where(y[valid] == 1, -score[valid], score[valid]))
-                        loss[m] += np.rint(own * SCALE).sum(), len(own)
+                        loss[m] += (np.rint(own * SCALE) * n[valid]).sum(), n[valid].sum()
                     slot = np.array(slots)[tree.leaf_of(bins)]
                     rows = np.flatnonzero((slot >= 0) & ~valid)
                     p, w = 1 / (1 + np.exp(-score[rows])), np.array(weight)[y[rows]]
-                    g, h = np.rint(w * (p - y[rows]) * SCALE), np.rint(w * p * (1 - p) * SCALE)
+                    many = n[rows].astype(np.float64)
+                    g, h = np.rint(w * (p - y[rows]) * SCALE) * many, np.rint(w * p * (1 - p) * SCALE) * many
                     size = held[m].shape[0] * BINS
                     for c in range(width):
                         key = slot[rows] * BINS + bins[rows, c]
-                        for i, v in enumerate((g, h, None)):
+                        for i, v in enumerate((g, h, many)):
                             held[m][:, c, :, i] += np.bincount(key, v, size).reshape(-1, BINS)
         out = [np.empty((0, 7), np.int64)]
         for m, sums in enumerate(held):
@@ -201,9 +203,9 @@ def _sums(width: int, asked: list[tuple]):
 def _added(width: int, trees: list[list[Tree]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins, _, _, raw = _read(batch, width, len(trees))
+            bins, _, _, _, raw = _read(batch, width, len(trees))
             raw = raw + np.column_stack([sum((t.predict(bins) for t in own), np.zeros(len(bins))) for own in trees])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(raw), pa.list_(pa.float64()))], ["bins", "y", "valid", "raw"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(list(raw), pa.list_(pa.float64()))], ["bins", "y", "valid", "n", "raw"])
 
     return run
 
@@ -320,7 +322,8 @@ def fit_many(df: DataFrame, settings: dict[str, Settings], numeric: list[str], c
         growers.append(_Grower(s, kinds, math.log(a / b) if a and b else 0.0, weight))
         growers[-1].done = not (a and b)
     width = len(columns.names)
-    state = io.stored(rows.mapInArrow(_to_bins(columns, len(growers)), "bins binary, y int, valid boolean, raw array<double>"), "boost")
+    alike = rows.mapInArrow(_to_bins(columns), "bins binary, y int, valid boolean").groupBy("bins", "y", "valid").agg(F.count("*").alias("n"))
+    state = io.stored(alike.withColumn("raw", F.array_repeat(F.lit(0.0), len(growers))), "boost")
     while any(not g.done for g in growers):
         if max(len(g.trees) - g.written for g in growers) >= REFRESH:
             state = io.stored(state.mapInArrow(_added(width, [g.trees[g.written:] if not g.done else [] for g in growers]), state.schema.simpleString()[7:-1].replace(":", " ")), "boost")

@@ -110,3 +110,16 @@ def test_odd_tables(spark):
     new = spark.createDataFrame([(None, float("nan"), "unseen"), (1e300, -1e300, None)], "x double, z double, k string")
     fitted = boosting.fit(df, ["x", "z"], ["k"], Settings(0.1, 2, 4, 5))
     assert boosting.score({"m": fitted}, new).count() == 2
+
+
+def test_rows_alike_are_one_with_their_number(spark, monkeypatch):
+    """What the passes read does not grow with repeated rows, and the trees are those of all rows."""
+    df, _ = frame(spark, 300, 8)
+    sizes, stored = [], boosting.io.stored
+    monkeypatch.setattr(boosting.io, "stored", lambda t, name: (out := stored(t, name), sizes.append((name, out.count())))[0])
+    s = Settings(0.2, 3, 6, 40)
+    one = boosting.fit(df.select("x", "k", "y"), ["x"], ["k"], s)
+    many = boosting.fit(df.select("x", "k", "y").crossJoin(spark.range(5)), ["x"], ["k"], Settings(0.2, 3, 6, 200, 0.5))
+    assert len({n for name, n in sizes if name == "boost"}) == 1 and max(n for name, n in sizes if name == "boost") <= 13 * 6 * 2
+    assert [t.column for t in one.trees] == [t.column for t in many.trees] and len(one.trees) == 3
+    assert all(np.allclose(a.value, b.value) for a, b in zip(one.trees, many.trees))
