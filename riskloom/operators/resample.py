@@ -5,7 +5,7 @@ unit's seed in place of the unit, into ranges of the score. Two passes over the
 weights, a few rows by all replicates: the first sums weights by range, so that windows over ranges give each one
 what lies above it; the second runs down the scores and adds up, for all replicates together, what the metrics
 need. Levels that hold many rows are summed to two arrays of replicates in the tasks that read them, before any
-shuffle, so no level is one task. What leaves a task is a row for each range, key and replicate.
+shuffle, so no level is one task and their rows are neither dealt nor weighed twice. What leaves a task is a row for each range, key and replicate.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,10 @@ PRIME, ROOT = 2**31 - 1, 48271  # a multiplicative generator: weights of a unit
 POISSON = [round(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
 DENSE = 4  # thresholds that are compared in every cell; the rest where the last of these is reached
 ROWS = 128  # of a matrix of weights
-HOT_LEVELS = 256  # levels with more than this part of all rows are summed before the shuffle, this many at most
+HOT_LEVELS = 32768  # levels with more than this part of all rows are summed before the shuffle, this many at most
+HELD = 2**25  # sums that a task holds at most, of four bytes; many replicates make for fewer hot levels
+SORTED = 2**20  # rows that a task sorts at a time, so that those of a level lie together
+FIT = 31  # rows whose weights, 8 at most, add up to a byte
 SUMS = ("area", "ap", "np", "nn", "erro", "soma_p")
 
 
@@ -42,19 +46,23 @@ def unit_seed(unit: str, seed: str) -> Column:
 
 def weights(seeds: np.ndarray, powers: np.ndarray) -> np.ndarray:
     """Weights of units (rows) in replicates (columns)."""
-    p, high = np.uint64(PRIME), np.uint64(31)
-    x = seeds.astype(np.uint64)[:, None] * powers[None, :]
-    low = x & p
-    x >>= high
-    x += low  # below 2 * PRIME: a remainder by a Mersenne prime, but for one subtraction
-    np.subtract(x, p, out=x, where=x >= p)
-    x = x.astype(np.uint32)
+    return _small_weights(seeds, powers).astype(np.float64)
+
+
+def _small_weights(seeds: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """The same in bytes."""
+    p = np.uint32(PRIME)
+    wide = seeds.astype(np.uint64)[:, None] * powers[None, :]
+    x = wide.astype(np.uint32) & p
+    wide >>= np.uint64(31)
+    x += wide.astype(np.uint32)  # below 2 * PRIME: a remainder by a Mersenne prime, but for one subtraction
+    np.minimum(x, x - p, out=x)  # which wraps around where nothing is to be subtracted
     w = (x >= POISSON[0]).view(np.uint8)
     for t in POISSON[1:DENSE]:
         w += x >= t
     more = np.flatnonzero(x >= POISSON[DENSE])
     w.ravel()[more] = np.searchsorted(POISSON, x.ravel()[more], side="right")
-    return w.astype(np.float64)
+    return w
 
 
 def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -70,25 +78,65 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+def _gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _level_arrays(replicates: int):
-    """Rows of hot levels to a row for each level that a task meets: ``kid, p, pos, neg``."""
+    """Rows of hot levels, as they lie, to a row for each level that a task meets: ``kid, p`` and the weights' sums in bytes."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held = np.array(multipliers(replicates), np.uint64), {}
-        for batch in _slices(batches):
-            kid, p, s, y = (batch.column(i).to_numpy() for i in range(4))
-            order = np.lexsort((p, kid))
-            w = weights(s[order], powers)
-            for a, z in _runs(kid[order], p[order]):
-                yes = (y[order[a:z]] == 1).astype(np.float64)
-                both = np.vstack([yes, 1 - yes]) @ w[a:z]
-                at = (int(kid[order[a]]), float(p[order[a]]))
-                held[at] = held[at] + both if at in held else both
-        for (kid, p), both in held.items():
-            yield pa.RecordBatch.from_pydict({"kid": [kid], "p": [p], "pos": [both[0]], "neg": [both[1]]})
+        for table in _gathered(batches, SORTED):
+            kid, p, s, y = (table.column(i).to_numpy() for i in range(4))
+            yes = (y == 1).astype(np.int8)
+            order = np.lexsort((yes, p, kid))
+            kid, p, s, yes = kid[order], p[order], s[order], yes[order]
+            for at in range(0, len(s), ROWS):
+                here = slice(at, at + ROWS)
+                w = _small_weights(s[here], powers)
+                for a, z in _runs(kid[here], p[here], yes[here]):
+                    level = held.setdefault((int(kid[at + a]), float(p[at + a])), np.zeros((2, replicates), np.uint32))
+                    for i in range(a, z, FIT):
+                        level[1 - yes[at + a]] += np.add.reduce(w[i : min(z, i + FIT)], axis=0, dtype=np.uint8)
+        yield from _levels(held.items(), lambda x: x.tobytes(), pa.binary())
 
     return run
 
 
+def _levels(levels: Iterable[tuple], told, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    levels = iter(levels)
+    while part := list(islice(levels, ROWS)):
+        columns = [pa.array([told(both[i]) for _, both in part], kind) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in part], pa.int64()), pa.array([p for (_, p), _ in part], pa.float64()), *columns], ["kid", "p", "pos", "neg"])
+
+
+def _added_levels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the tasks' rows of each level; they come sorted by level."""
+    def each() -> Iterator[tuple]:
+        now, both = None, None
+        for batch in batches:
+            for kid, p, pos, neg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.vstack([np.frombuffer(pos, np.uint32), np.frombuffer(neg, np.uint32)]).astype(np.float64)
+                if (kid, p) != now:
+                    if now:
+                        yield now, both
+                    now, both = (kid, p), own
+                else:
+                    both += own
+        if now:
+            yield now, both
+
+    yield from _levels(each(), lambda x: x, pa.list_(pa.float64()))
+
+
 def _matrices(batch: pa.RecordBatch, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of positives and of negatives of each row: from seeds, or the arrays of a hot level."""
     s, y = batch.column("s"), batch.column("y").to_numpy(zero_copy_only=False)
@@ -195,10 +243,11 @@ def replicate_metrics(df: DataFrame, unit: str, replicates: int, seed: str, keys
     rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(kid.alias("kid"), *keys, F.col(p).cast("double").alias("p"), unit_seed(unit, seed).alias("s"), F.col(y).cast("int").alias("y"))
     rows = io.stored(rows, "draws")
     counts = rows.groupBy("kid", "p").agg(F.count("*").alias("n"))
-    least = rows.count() // HOT_LEVELS
+    least = rows.count() // max(1, min(HOT_LEVELS, HELD // (2 * replicates)))
     hot = io.stored(counts.where(F.col("n") > max(least, ROWS)).select("kid", "p"), "hot-levels")  # HOT_LEVELS rows at most
     light = rows.join(F.broadcast(hot), ["kid", "p"], "left_anti").select("kid", "p", "s", "y", F.lit(None).cast("array<double>").alias("pos"), F.lit(None).cast("array<double>").alias("neg"))
-    heavy = rows.join(F.broadcast(hot), ["kid", "p"], "left_semi").select("kid", "p", "s", "y").mapInArrow(_level_arrays(replicates), f"kid long, p double, {ARRAYS}")
+    heavy = rows.join(F.broadcast(hot), ["kid", "p"], "left_semi").select("kid", "p", "s", "y").coalesce(parts).mapInArrow(_level_arrays(replicates), "kid long, p double, pos binary, neg binary")
+    heavy = heavy.repartition(parts, "kid", "p").sortWithinPartitions("kid", "p").mapInArrow(_added_levels, f"kid long, p double, {ARRAYS}")
     heavy = heavy.select("kid", "p", F.lit(None).cast("long").alias("s"), F.lit(None).cast("int").alias("y"), "pos", "neg")
     falling = ["kid", F.desc("p")]
     dealt = light.unionByName(heavy).repartitionByRange(parts, *falling).sortWithinPartitions(*falling)

@@ -72,3 +72,12 @@ def test_mean_difference_of_all_replicates(spark):
     d = [(w[y == 1, r] @ v[y == 1]) / w[y == 1, r].sum() - (w[y == 0, r] @ v[y == 0]) / w[y == 0, r].sum() for r in range(200)]
     assert row["diferenca"] == pytest.approx(v[y == 1].mean() - v[y == 0].mean(), abs=1e-5) and row["replicas"] == 200
     assert row["baixo"] == pytest.approx(np.quantile(d, 0.025), abs=1e-5) and row["alto"] == pytest.approx(np.quantile(d, 0.975), abs=1e-5)
+
+
+def test_rows_of_usual_levels_are_not_dealt(spark, monkeypatch):
+    """Of rounded scores the ranges hold a row a level, however many rows there are."""
+    sizes, stored = {}, resample.io.stored
+    monkeypatch.setattr(resample.io, "stored", lambda t, name: (out := stored(t, name), sizes.update({name: out.count()}))[0])
+    df = spark.range(60000).select(F.col("id").cast("string").alias("u"), (F.col("id") % 3 % 2).cast("int").alias("y"), (F.col("id") % 200 / 200).alias("p"), (F.col("id") % 2).alias("k"))
+    got = resample.replicate_metrics(df, "u", 30, "t", ["k"])
+    assert sizes["ranges"] == 200 and got.count() == 60
