@@ -262,9 +262,13 @@ def whole_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("pr_relativa", F.round(F.col("pr_auc") * F.col("n") / F.col("positivos"), 6)).drop("n", "positivos")
 
 
-def bootstrap(df: DataFrame, unit: str, metrics_: list[str], replicates: int, seed: str, keys: list[str] = (), alpha: float = 0.05) -> DataFrame:
-    """``metrica, estimativa, replicas, baixo, alto`` by key: the estimate on all rows, and percentiles of the valid replicates."""
-    df = io.stored(df.select(*keys, unit, "y", "p"), "bootstrap")
+def bootstrap(df: DataFrame, unit: str, metrics_: list[str], replicates: int, seed: str, keys: list[str] = (), alpha: float = 0.05, written: bool = False) -> DataFrame:
+    """``metrica, estimativa, replicas, baixo, alto`` by key: the estimate on all rows, and percentiles of the valid replicates.
+
+    written: the rows are cheap to read again, so they are not written.
+    """
+    df = df.select(*keys, unit, "y", "p")
+    df = df if written else io.stored(df, "bootstrap")
     reps = resample.replicate_metrics(df, unit, replicates, seed, keys)
     whole = whole_metrics(df, keys) if keys else whole_metrics(df.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
     est = whole.unpivot(list(keys), metrics_, "metrica", "estimativa")
@@ -313,7 +317,7 @@ def stratum_table(df: DataFrame, unit: str, strata: Column, metrics_: list[str],
     facts = per_level(levels(rows, keys), keys).select(*keys, "n", "positivos", "prevalencia")
     few = (F.col("n") < least) | (F.col("positivos") < least_class) | (F.col("n") - F.col("positivos") < least_class)
     facts = io.stored(facts.withColumn("suprimido", few), "strata-facts")  # a row for each stratum and model
-    boot = bootstrap(rows.join(facts.where("not suprimido").select(*keys), keys), unit, metrics_, replicates, seed, keys)
+    boot = io.stored(bootstrap(rows.join(F.broadcast(facts.where("not suprimido").select(*keys)), keys), unit, metrics_, replicates, seed, keys, written=True), "strata-intervals")  # a row for each stratum, model and metric
     out = facts.withColumn("metrica", F.explode(F.array(*map(F.lit, metrics_)))).join(boot, [*keys, "metrica"], "left")
     total = boot.where("estrato = 'todos' and metrica = 'oe'").select("modelo", F.col("estimativa").alias("_t"))
     ratio = F.when(F.col("metrica") == "oe", F.round(F.try_divide(F.col("estimativa"), F.col("_t")), 5))

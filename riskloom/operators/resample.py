@@ -103,7 +103,9 @@ def _level_arrays(replicates: int):
                 here = slice(at, at + ROWS)
                 w = _small_weights(s[here], powers)
                 for a, z in _runs(kid[here], p[here], yes[here]):
-                    level = held.setdefault((int(kid[at + a]), float(p[at + a])), np.zeros((2, replicates), np.uint32))
+                    key = (int(kid[at + a]), float(p[at + a]))
+                    if (level := held.get(key)) is None:
+                        level = held[key] = np.zeros((2, replicates), np.uint32)
                     for i in range(a, z, FIT):
                         level[1 - yes[at + a]] += np.add.reduce(w[i : min(z, i + FIT)], axis=0, dtype=np.uint8)
         yield from _levels(held.items(), lambda x: x.tobytes(), pa.binary())
@@ -247,7 +249,7 @@ def replicate_metrics(df: DataFrame, unit: str, replicates: int, seed: str, keys
     hot = io.stored(counts.where(F.col("n") > max(least, ROWS)).select("kid", "p"), "hot-levels")  # HOT_LEVELS rows at most
     light = rows.join(F.broadcast(hot), ["kid", "p"], "left_anti").select("kid", "p", "s", "y", F.lit(None).cast("array<double>").alias("pos"), F.lit(None).cast("array<double>").alias("neg"))
     heavy = rows.join(F.broadcast(hot), ["kid", "p"], "left_semi").select("kid", "p", "s", "y").coalesce(parts).mapInArrow(_level_arrays(replicates), "kid long, p double, pos binary, neg binary")
-    heavy = heavy.repartition(parts, "kid", "p").sortWithinPartitions("kid", "p").mapInArrow(_added_levels, f"kid long, p double, {ARRAYS}")
+    heavy = io.stored(heavy.repartition(parts, "kid", "p").sortWithinPartitions("kid", "p").mapInArrow(_added_levels, f"kid long, p double, {ARRAYS}"), "level-sums")  # finding ranges would weigh again
     heavy = heavy.select("kid", "p", F.lit(None).cast("long").alias("s"), F.lit(None).cast("int").alias("y"), "pos", "neg")
     falling = ["kid", F.desc("p")]
     dealt = light.unionByName(heavy).repartitionByRange(parts, *falling).sortWithinPartitions(*falling)
