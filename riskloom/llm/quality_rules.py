@@ -2,8 +2,9 @@
 
 Every whole text is counted once. One forest is grown in numpy on all of FOREST, statistics of words and symbols, by
 splits that are random in the statistic and in the place, from a bounded seeded sample of labelled rows (``SAMPLE``)
-that pass the base rules; a text's score is 2 ** (-mean path length / expected length). Labels set the threshold only:
-the score that parts the sample's good and bad rows best and rejects at most ``LOSS`` of the good ones. Trees see
+that pass the base rules, of which the method shows each tree a few; a text's score is 2 ** (-mean path length / expected
+length). Labels set the threshold only: the score that parts the good and bad rows best, of all labelled rows that pass
+the base rules, and rejects at most ``LOSS`` of the good ones. Trees see
 LEAF_ROWS rows each: few, so that bad texts, which are alike, do not hide one another. What the base rules judge, length
 and repeats, is left to them.
 The sample is taken and sorted by id and counts, so the forest does not depend on how
@@ -26,14 +27,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, small_slices, stored, table
 
-SAMPLE = 8192  # labelled rows at most that the forest and its threshold are fitted on
+SAMPLE = 8192  # labelled rows at most that the forest is grown from: its trees see TREES x LEAF_ROWS rows in all
 TREES, LEAF_ROWS, SEED = 200, 32, 9
 FOREST = ("long_words", "symbol_share", "symbols_a_word", "distinct_share")
 LOSS = 0.002  # share of good sample rows that the threshold may reject
+CELLS = 1024  # of scores, in which running sums are taken
 WINDOW = 5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 GAPS = re.compile(r"[\x20\x09-\x0D]")
@@ -168,6 +171,29 @@ def threshold(score: np.ndarray, good: np.ndarray, lose: int) -> float:
     return float(score[order][at] + score[order][at + 1]) / 2 if at + 1 < len(order) else -1.0
 
 
+def labelled_threshold(scored: DataFrame, labels: DataFrame, label: str, loss: float) -> float:
+    """The same cut over all labelled rows: running sums by score, which the driver never sees but for the best."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
+    good = F.col("_label") == 1
+    rows = scored.where(~F.col("base_failed")).join(known, "doc_id")
+    per = stored(rows.groupBy("score").agg(F.count_if(~good).alias("bad"), F.count_if(good).alias("good")), "op9-scores")
+    n_bad, n_good = per.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    if not n_bad or not n_good:
+        return 2.0
+    cell = F.floor(F.col("score") * CELLS)
+    cells = per.groupBy(cell.alias("cell")).agg(F.sum("bad").alias("_bad"), F.sum("good").alias("_good"))
+    over = W.orderBy(F.desc("cell"))  # CELLS rows at most
+    above = cells.select("cell", (F.sum("_bad").over(over) - F.col("_bad")).alias("_bad"), (F.sum("_good").over(over) - F.col("_good")).alias("_good"))
+    inside = W.partitionBy("cell").orderBy(F.desc("score"))
+    run = per.withColumn("cell", cell).join(F.broadcast(above), "cell").select("score", (F.col("_bad") + F.sum("bad").over(inside)).alias("bad"), (F.col("_good") + F.sum("good").over(inside)).alias("lost"))
+    gain = F.col("bad") / n_bad - F.col("lost") / n_good
+    best = run.where(F.col("lost") <= math.ceil(loss * n_good)).select("score", gain.alias("gain")).orderBy(F.desc("gain"), F.desc("score")).first()
+    if best is None or best["gain"] <= 0:
+        return 2.0
+    below = per.where(F.col("score") < best["score"]).agg(F.max("score")).first()[0]
+    return -1.0 if below is None else (best["score"] + below) / 2
+
+
 def statistics(counted: pd.DataFrame | pa.RecordBatch) -> np.ndarray:
     """The columns of FOREST."""
     of = lambda c: np.asarray(counted[c], float)
@@ -179,18 +205,16 @@ def judge(counted: DataFrame, labels: DataFrame, loss: float = LOSS) -> DataFram
     sample = labelled_sample(counted, labels, "quality").toPandas()
     base = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
     open_ = sample[~((sample["n_words"] < 10) | (100 * sample["n_repeat_words"] > 20 * sample["n_words"]))]
-    x, good = statistics(open_).reshape(-1, len(FOREST)), (open_["quality"] == 1).to_numpy(bool)
-    forest = IsolationForest(x)
-    limit = threshold(forest.score(x), good, math.ceil(loss * good.sum()))
+    forest = IsolationForest(statistics(open_).reshape(-1, len(FOREST)))
     counted = counted.select("doc_id", *COUNTS, *SHAPES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = forest.score(statistics(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(score > limit)], names=[*batch.schema.names, "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(statistics(batch)))], names=[*batch.schema.names, "score"])
 
-    out = counted.mapInArrow(run, f"doc_id long, {SCHEMA}, score double, rejected boolean").withColumn("base_failed", base)
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected"))
+    out = stored(counted.mapInArrow(run, f"doc_id long, {SCHEMA}, score double").withColumn("base_failed", base), "op9-scored")
+    limit = labelled_threshold(out, labels, "quality", loss)
+    return out.withColumn("rejected", F.col("score") > limit).withColumn("kept", ~F.col("base_failed") & ~F.col("rejected"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
