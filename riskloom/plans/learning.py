@@ -222,6 +222,7 @@ def supervised_build(spark, d):
     """The whole build: features, groups, target, quarantine, partition, two written tables with manifests, read back and checked."""
     io.guard([*NUMERIC, *CATEGORICAL], models.OUTCOME, NUMERIC, CATEGORICAL)
     rows = io.free_targets(io.require(scored(spark, d), ["id", "grupo", "y", "ano", "regiao", *NUMERIC, *CATEGORICAL]), ["particao"])
+    rows = io.stored_by(rows, "grupo", "built")  # read several times, always by group
     ok, _ = blocks.quarantine(rows, "grupo", ["ano", "y", "regiao"])
     at = folder(spark, "build")
     blocks.master_partition(ok, "grupo", YEARS_SHARED, YEARS_SEALED).write.parquet(at)

@@ -118,3 +118,10 @@ def test_plain_dates_are_read_as_the_format_reads_them(spark):
     df = spark.createDataFrame([(t,) for t in texts], "c string")
     old = F.to_date(F.try_to_timestamp(codes.stripped(F.col("c")), F.lit("yyyy-M-d")))
     assert df.where(~codes.iso_date(F.col("c")).eqNullSafe(old)).count() == 0
+
+
+def test_the_build_lays_its_rows_out_once(spark, monkeypatch):
+    seen, laid = [], io.stored_by
+    monkeypatch.setattr(io, "stored_by", lambda df, key, name, *more: (seen.append((name, key)), laid(df, key, name, *more))[1])
+    assert registry.QUERIES["supervised_build"](spark, SMALL).count() > 0
+    assert seen == [("built", "grupo")]
