@@ -41,12 +41,19 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A text comes as often as its words are taken, rounded to whole texts; one without words stays once."""
-    keyed = docs.select(*COLUMNS, F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS)).alias("row"))
+    """A text comes as often as its words are taken, rounded to whole texts; one without words stays once.
+
+    Texts stay where they are, but for those at a source's edge: their uses are told from sizes and joined to them.
+    """
+    sized = docs.select(*COLUMNS, F.array("source").alias("sources"), mixing.word_count().alias("size"))
+    held = mixing.loads(sized, "sources")
+    whole, edge = mixing.parted(sized, "sources", {name: int(a) for name, _, a in mixing.aims(held)}, held)
     uses = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    uses = mixing.mix_sources(keyed, "row").groupBy("row", F.coalesce("doc_id", F.lit(-1)).alias("id")).agg(F.sum(uses).alias("uses")).where("uses > 0")
-    rows = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(uses, ["row", "id"]).dropDuplicates(["row", "id"])  # equal rows are one row with the uses of all
-    return rows.withColumn("use", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int")))).select(*COLUMNS)
+    keyed = edge.withColumn("row", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS))).withColumn("id", F.coalesce("doc_id", F.lit(-1)))
+    told = mixing.dealt(keyed.drop("text", "lang", "n_chars")).groupBy("row", "id").agg(F.sum(uses).alias("uses"))
+    rows = keyed.join(told, ["row", "id"]).dropDuplicates(["row", "id"])  # equal rows are one row with the uses of all
+    rows = whole.withColumn("uses", uses).select(*COLUMNS, "uses").unionByName(rows.select(*COLUMNS, "uses"))
+    return rows.select(*COLUMNS, F.explode(F.when(F.col("uses") > 0, F.sequence(F.lit(1), F.col("uses").cast("int")))).alias("use")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

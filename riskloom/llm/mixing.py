@@ -95,44 +95,76 @@ def word_count(column: str = "text"):
     return F.coalesce(F.regexp_count(column, F.lit(f"[^{WORD_GAP}]+")), F.lit(0)).cast("long")
 
 
-def mix(sized: DataFrame, pattern: str, quotas: dict, seed: str = SEED) -> DataFrame:
-    """Add ``taken``: words of each row in the mix.
+def _bucket(seed: str):
+    return F.substring(_key(seed), 1, 3)
+
+
+def _key(seed: str):
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
 
-    sized: ``doc_id, size`` and an array column of the sources a row counts for; quotas: words by source.
+def loads(sized: DataFrame, pattern: str, seed: str = SEED) -> DataFrame:
+    """Words by pattern and bucket of the seeded order, written once: 4096 rows a pattern at most."""
+    return stored(sized.groupBy(F.col(pattern).alias("_mix_p"), _bucket(seed).alias("_mix_bucket")).agg(F.sum("size").alias("_mix_words")), "mix-loads")
+
+
+def parted(sized: DataFrame, pattern: str, quotas: dict, held: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``taken`` where their bucket is in or out as a whole, and the rows of the bucket at each pattern's edge, for ``dealt``.
+
+    Rows meet one row for each pattern, by broadcast, and are not moved. held: their ``loads``.
     """
     spark = sized.sparkSession
-    sums = sized.groupBy(pattern).agg(F.sum("size").alias("words")).collect()
+    sums = held.groupBy("_mix_p").agg(F.sum("_mix_words").alias("words")).collect()
     names = list(quotas)
-    members = [(tuple(names.index(m) for m in r[pattern] if m in quotas), r["words"]) for r in sums]
+    members = [(tuple(names.index(m) for m in r["_mix_p"] if m in quotas), r["words"]) for r in sums]
     flow = route(members, [int(quotas[m]) for m in names])
     kind = dict(sized.dtypes)[pattern]
-    plan = [(r[pattern], f // r["words"] if r["words"] else 0, f % r["words"] if r["words"] else 0) for r, f in zip(sums, flow, strict=True)]
+    plan = [(r["_mix_p"], f // r["words"] if r["words"] else 0, f % r["words"] if r["words"] else 0) for r, f in zip(sums, flow, strict=True)]
     plan = F.broadcast(spark.createDataFrame(plan, f"_mix_p {kind}, _mix_uses long, _mix_rest long"))  # a row for each pattern
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sized.drop("taken").join(plan, F.col(pattern).eqNullSafe(F.col("_mix_p"))).withColumn("_mix_key", key).withColumn("_mix_bucket", F.substring("_mix_key", 1, 3))
     # whole buckets of the seeded order are in or out; only the one at the edge is ordered
-    sums = rows.groupBy("_mix_p", "_mix_bucket").agg(F.sum("size").alias("_mix_words"))
-    before = F.sum("_mix_words").over(W.partitionBy("_mix_p").orderBy("_mix_bucket")) - F.col("_mix_words")
-    rows = rows.join(sums.withColumn("_mix_before", before), ["_mix_p", "_mix_bucket"])
-    before, after, rest = F.col("_mix_before"), F.col("_mix_before") + F.col("_mix_words"), F.col("_mix_rest")
-    edge = (before < rest) & (after > rest)
-    order = W.partitionBy("_mix_p", "_mix_bucket").orderBy("_mix_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    used = F.greatest(F.lit(0), F.least("size", rest - before - F.coalesce(F.sum("size").over(order), F.lit(0))))
-    inner = rows.where(~edge).withColumn("_mix_extra", F.when(after <= rest, F.col("size")).otherwise(0))
-    rows = inner.unionByName(rows.where(edge).withColumn("_mix_extra", used)).withColumn("taken", F.col("_mix_uses") * F.col("size") + F.col("_mix_extra"))
+    after = F.sum("_mix_words").over(W.partitionBy("_mix_p").orderBy("_mix_bucket"))
+    edge = held.withColumn("_mix_after", after).join(plan, "_mix_p").where("_mix_after > _mix_rest").groupBy("_mix_p").agg(F.min(F.struct("_mix_bucket", (F.col("_mix_after") - F.col("_mix_words")).alias("before"))).alias("e"))
+    cuts = plan.join(edge, "_mix_p", "left").select("*", F.coalesce("e.before", F.lit(0)).alias("_mix_before"), F.coalesce("e._mix_bucket", F.lit("")).alias("_mix_edge")).drop("e")
+    rows = sized.drop("taken").join(F.broadcast(cuts), F.col(pattern).eqNullSafe(F.col("_mix_p")))
+    extra = F.when(_bucket(seed) < F.col("_mix_edge"), F.col("size")).otherwise(0)
+    whole = rows.where(_bucket(seed) != F.col("_mix_edge")).withColumn("taken", F.col("_mix_uses") * F.col("size") + extra)
+    return whole.drop(*(c for c in whole.columns if c.startswith("_mix_"))), rows.where(_bucket(seed) == F.col("_mix_edge"))
+
+
+def dealt(edge: DataFrame, seed: str = SEED) -> DataFrame:
+    """Add ``taken`` to rows at an edge: in the seeded order, until the pattern's words are reached."""
+    order = W.partitionBy("_mix_p").orderBy(_key(seed), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    used = F.greatest(F.lit(0), F.least("size", F.col("_mix_rest") - F.col("_mix_before") - F.coalesce(F.sum("size").over(order), F.lit(0))))
+    rows = edge.withColumn("taken", F.col("_mix_uses") * F.col("size") + used)
     return rows.drop(*(c for c in rows.columns if c.startswith("_mix_")))
 
 
+def mix(sized: DataFrame, pattern: str, quotas: dict, seed: str = SEED, held: DataFrame | None = None) -> DataFrame:
+    """Add ``taken``: words of each row in the mix.
+
+    sized: ``doc_id, size`` and an array column of the sources a row counts for; quotas: words by source; held: the rows' ``loads``.
+    """
+    whole, edge = parted(sized, pattern, quotas, loads(sized, pattern, seed) if held is None else held, seed)
+    return whole.unionByName(dealt(edge, seed))
+
+
+def aims(held: DataFrame) -> list[tuple[str | None, int, float]]:
+    """(source, its words, its target) under the fixed weights, from loads by single sources."""
+    sums = held.groupBy("_mix_p").agg(F.sum("_mix_words").alias("words")).collect()
+    sums = sorted(((r["_mix_p"][0], r["words"]) for r in sums), key=lambda x: (x[0] is None, x[0] or ""))
+    sizes = [w for _, w in sums]
+    found = targets(sizes, [WEIGHTS[i % 3] for i in range(len(sums))], TOTAL * sum(sizes))
+    return [(name, w, a) for (name, w), a in zip(sums, found, strict=True)]
+
+
 def mix_sources(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` and the columns named, under the fixed weights of the sources."""
     spark = docs.sparkSession
     sized = stored(docs.select("doc_id", *keep, F.array("source").alias("sources"), word_count().alias("size")), "op8-sizes")
-    sums = sized.groupBy("sources").agg(F.sum("size").alias("words")).collect()
-    sums = sorted(((r["sources"][0], r["words"]) for r in sums), key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = [w for _, w in sums]
-    aims = targets(sizes, [WEIGHTS[i % 3] for i in range(len(sums))], TOTAL * sum(sizes))
-    out = mix(sized, "sources", {name: int(a) for (name, _), a in zip(sums, aims, strict=True)})
-    facts = F.broadcast(spark.createDataFrame([([n], w, a) for (n, w), a in zip(sums, aims, strict=True)], "sources array<string>, source_size long, target double"))
+    held = loads(sized, "sources")
+    told = aims(held)
+    out = mix(sized, "sources", {name: int(a) for name, _, a in told}, held=held)
+    facts = F.broadcast(spark.createDataFrame([([n], w, a) for n, w, a in told], "sources array<string>, source_size long, target double"))
     return out.join(facts, "sources").select("doc_id", *keep, "size", "source_size", "target", "taken")
 
 

@@ -89,3 +89,16 @@ def test_the_whole_run_applies_the_stages_in_order(spark):
         docs = stage(spark, docs, SMALL)
     key = ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sorted(map(tuple, docs.select(key).collect())) == sorted(map(tuple, corpus_pipeline.run(spark, SMALL).select(key).collect()))
+
+
+def test_mixture_moves_no_text_but_at_edges(spark):
+    """Texts meet one row a source by broadcast; only a bucket in 4096 is ordered: disk of the pipeline."""
+    docs = spark.createDataFrame([(i, f"w{i} " * (1 + i % 7), "en", "ab"[i % 2], 3) for i in range(500)], "doc_id long, text string, lang string, source string, n_chars long")
+    sized = docs.select(*corpus_pipeline.COLUMNS, F.array("source").alias("sources"), mixing.word_count().alias("size"))
+    held = mixing.loads(sized, "sources")
+    whole, edge = mixing.parted(sized, "sources", {"a": 700, "b": 300}, held)
+    moved = [line for line in whole._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line or "SortMergeJoin" in line]
+    assert not any("text" in line for line in moved) and "BroadcastHashJoin" in whole._jdf.queryExecution().executedPlan().toString()
+    assert whole.count() + edge.count() == 500 and 0 < edge.count() < 5
+    rows = whole.unionByName(mixing.dealt(edge)).collect()
+    assert sum(r["taken"] for r in rows if r["source"] == "a") == 700 and sum(r["taken"] for r in rows if r["source"] == "b") == 300
