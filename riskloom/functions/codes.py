@@ -79,7 +79,7 @@ def sex(c: Column) -> Column:
 
 def fill_when_parent_denies(c: Column, parent: Column) -> Column:
     """A blank answer below a question that was answered no becomes no."""
-    return F.when(code(c).isNull() & F.coalesce(code(parent) == "2", F.lit(False)), "2").otherwise(c)
+    return F.when(F.coalesce(code(parent) == "2", F.lit(False)) & code(c).isNull(), "2").otherwise(c)  # the parent first: few deny
 
 
 def group_id(number_: Column, record: Column) -> Column:
