@@ -60,11 +60,24 @@ def estimator(name: str, rows: int, c: float = 1.0, l1: float = 0.0, weight: str
 
 
 def fit(df: DataFrame, name: str, numeric: list[str], categorical: list[str], strict: bool = True, **options) -> PipelineModel:
+    """The fitted stages and model. A linear model reads a row for all rows alike, with their number as its weight, which
+    has the same optimum; trees sample rows, so they read all of them, with features written once."""
     numeric, categorical = usable(df, numeric, strict), usable(df, categorical, strict)
     io.guard([*numeric, *categorical], OUTCOME, numeric, categorical)
     rows = df.na.fill(MISSING, categorical)
-    stages = preprocessor(numeric, categorical, one_hot=name == "lr")
-    return Pipeline(stages=[*stages, estimator(name, df.count(), **options)]).fit(rows)
+    last = estimator(name, df.count(), **options)
+    before = Pipeline(stages=preprocessor(numeric, categorical, one_hot=name == "lr")).fit(rows)
+    if name == "lr":
+        weight = options.get("weight")
+        number = F.sum(weight) if weight else F.count("*")
+        alike = io.stored(rows.groupBy(*numeric, *categorical, "y").agg(number.cast("double").alias("_alike")), "alike")
+        found = last.setWeightCol("_alike").fit(before.transform(alike))
+    else:
+        more = [c for c in (options.get("weight"), "valida" if name == "gbt" else None) if c]
+        made = before.transform(rows).select("y", "features", *more)
+        kept = io.stored(made, "fit-features")
+        found = last.fit(kept.withMetadata("features", made.schema["features"].metadata))
+    return PipelineModel(stages=[*before.stages, found])
 
 
 def score(model: PipelineModel, df: DataFrame, categorical: list[str]) -> DataFrame:
@@ -76,19 +89,25 @@ def prior(train: DataFrame, df: DataFrame) -> DataFrame:
     return df.withColumn("p", F.lit(train.agg(F.avg("y")).first()[0]))
 
 
-def sigmoid_calibration(held: DataFrame, df: DataFrame, p: str = "p") -> DataFrame:
-    """Platt scaling of the logit with soft targets: two weighted copies of each row."""
-    n1, n0 = held.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+def score_levels(held: DataFrame, p: str = "p", weight: str | None = None) -> DataFrame:
+    """``p, y, _n``: each score and outcome with its number of rows, written once; weight: a column of such numbers."""
+    return io.stored(held.groupBy(p, "y").agg((F.sum(weight) if weight else F.count("*")).cast("double").alias("_n")), "score-levels")
+
+
+def sigmoid_calibration(held: DataFrame, df: DataFrame, p: str = "p", weight: str | None = None) -> DataFrame:
+    """Platt scaling of the logit with soft targets: two weighted copies of each level of the score."""
+    held = score_levels(held, p, weight)
+    n1, n0 = held.agg(F.sum(F.col("y") * F.col("_n")), F.sum((1 - F.col("y")) * F.col("_n"))).first()
     t = F.when(F.col("y") == 1, (n1 + 1) / (n1 + 2)).otherwise(1 / (n0 + 2))
     margin = lambda d: VectorAssembler(inputCols=["m"], outputCol="f").transform(d.withColumn("m", logit(p)))
-    soft = margin(held).select("f", F.explode(F.array(F.struct(F.lit(1.0).alias("l"), t.alias("w")), F.struct(F.lit(0.0).alias("l"), (1 - t).alias("w")))).alias("s")).select("f", "s.*")
-    model = LogisticRegression(featuresCol="f", labelCol="l", weightCol="w", standardization=False).fit(soft)
+    copies = F.array(F.struct(F.lit(1.0).alias("l"), (t * F.col("_n")).alias("w")), F.struct(F.lit(0.0).alias("l"), ((1 - t) * F.col("_n")).alias("w")))
+    model = LogisticRegression(featuresCol="f", labelCol="l", weightCol="w", standardization=False).fit(margin(held).select("f", F.explode(copies).alias("s")).select("f", "s.*"))
     return model.transform(margin(df)).withColumn("p_cal", vector_to_array("probability")[1]).drop("m", "f", "rawPrediction", "probability", "prediction")
 
 
-def isotonic_calibration(held: DataFrame, df: DataFrame, p: str = "p") -> DataFrame:
+def isotonic_calibration(held: DataFrame, df: DataFrame, p: str = "p", weight: str | None = None) -> DataFrame:
     vec = lambda d: VectorAssembler(inputCols=[p], outputCol="f").transform(d)
-    model = IsotonicRegression(featuresCol="f", labelCol="y", predictionCol="p_cal").fit(vec(held))
+    model = IsotonicRegression(featuresCol="f", labelCol="y", weightCol="_n", predictionCol="p_cal").fit(vec(score_levels(held, p, weight)))
     return model.transform(vec(df)).drop("f")
 
 

@@ -26,9 +26,11 @@ def query(sql: str | None = None):
     return add
 
 
-def _parts(spark, d):
+def _parts(spark, d, *more):
+    """Rows to fit on and to test, written once with the columns that fits read and those named."""
     h = F.conv(F.substring(F.md5("grupo"), 1, 4), 16, 10).cast("int") % 10
-    rows = stored(scored(spark, d).withColumn("h", h).withColumn("valida", F.col("h") == 8).drop("p"), "parts")
+    rows = scored(spark, d).withColumn("h", h).withColumn("valida", F.col("h") == 8)
+    rows = stored(rows.select("id", "grupo", "y", *NUMERIC, *CATEGORICAL, *more, "h", "valida"), "parts")
     return rows.where("h < 9"), rows.where("h = 9")
 
 
@@ -70,8 +72,8 @@ def prior_baseline(spark, d):
 @query()
 def calibrated_scores(spark, d):
     s = scored(spark, d).withColumn("h", F.conv(F.substring(F.md5("grupo"), 1, 2), 16, 10).cast("int") % 2)
-    held, rest = s.where("h = 0"), s.where("h = 1")
-    iso = models.isotonic_calibration(held, models.sigmoid_calibration(held, rest).select("id", "y", "p", F.col("p_cal").alias("sigmoide")))
+    held, rest = models.score_levels(s.where("h = 0")), s.where("h = 1")
+    iso = models.isotonic_calibration(held, models.sigmoid_calibration(held, rest, weight="_n").select("id", "y", "p", F.col("p_cal").alias("sigmoide")), weight="_n")
     return iso.select("id", "y", "p", "sigmoide", F.col("p_cal").alias("isotonica"))
 
 
@@ -96,7 +98,7 @@ ABLATION_REPLICATES, ABLATION_METRICS = 300, ["roc_auc", "pr_auc", "brier"]
 
 def _ablated(spark, d):
     """Test rows scored by each family on each set of columns: ``familia, conjunto`` and ``p`` added."""
-    train, test = _parts(spark, d)
+    train, test = _parts(spark, d, "ano", "padrao")
     of = lambda cs, among: [c for c in cs if c in among]
     lr = {k: {"name": "lr", "numeric": of(cs, NUMERIC), "categorical": of(cs, [*CATEGORICAL, "padrao"])} for k, cs in SETS.items()}
     linear = models.scored_sets(train, test, lr, NUMERIC, CATEGORICAL).withColumn("familia", F.lit("lr"))
