@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,11 +44,18 @@ def number(c: Column) -> Column:
     return F.coalesce(c.try_cast("double"), stripped(c).try_cast("double"))
 
 
+def years_of(v: Column, u: Column) -> Column:
+    """Years from a number and a unit that are columns already; ``lifetime`` bounds them."""
+    return F.when(u == "1", v / 365.25).when(u == "2", v / 12).when(u == "3", v)
+
+
+def lifetime(years: Column) -> Column:
+    return F.when(years.between(0, 120), years)
+
+
 def age_years(value: Column, unit: Column) -> Column:
     """Years from a value in days (unit 1), months (2) or years (3); outside 0 to 120 null."""
-    v, u = number(value), code(unit)
-    years = F.when(u == "1", v / 365.25).when(u == "2", v / 12).when(u == "3", v)
-    return F.when(years.between(0, 120), years)
+    return lifetime(years_of(number(value), code(unit)))
 
 
 def age_band(years: Column) -> Column:
@@ -99,8 +107,12 @@ def period(year: Column, sealed: tuple[int, ...], shared: tuple[int, ...]) -> Co
     return F.when(year.isNull(), "ano_ausente").when(year.isin(*sealed), "pandemico").when(year.isin(*shared), "compartilhado").otherwise("exploracao")
 
 
+def _single(c: Column) -> Column:
+    return F.octet_length(c) == 1  # most answers: no margins to strip
+
+
 def answered(c: Column) -> Column:
-    return F.coalesce(c.isin("1", "2") | stripped(c).isin("1", "2"), F.lit(False)).cast("int")
+    return F.coalesce(F.when(_single(c), c.isin("1", "2")).otherwise(stripped(c).isin("1", "2")), F.lit(False)).cast("int")
 
 
 def _blank(c: Column) -> Column:
@@ -108,8 +120,9 @@ def _blank(c: Column) -> Column:
 
 
 def completeness(columns: list[Column]) -> Column:
-    """Percent of columns answered yes or no."""
-    return F.round(F.lit(100.0) * reduce(Column.__add__, map(answered, columns)) / len(columns), 6)
+    """Percent of columns answered yes or no, rounded as Spark rounds doubles; there is a value for each number of answers."""
+    percent = lambda n: float(Decimal(repr(100.0 * n / len(columns))).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    return F.get(F.array(*(F.lit(percent(n)) for n in range(len(columns) + 1))), reduce(Column.__add__, map(answered, columns)))
 
 
 def any_answer(columns: list[Column]) -> Column:
@@ -118,7 +131,7 @@ def any_answer(columns: list[Column]) -> Column:
 
 def fill_pattern(secondary: list[Column], conditions: list[Column]) -> Column:
     """How a record was filled: secondary symptoms left blank, conditions without a single no, or both answers."""
-    denied = reduce(Column.__or__, (F.coalesce((c == "2") | (stripped(c) == "2"), F.lit(False)) for c in conditions))
+    denied = reduce(Column.__or__, (F.coalesce(F.when(_single(c), c == "2").otherwise(stripped(c) == "2"), F.lit(False)) for c in conditions))
     blank = reduce(Column.__add__, map(_blank, secondary))
     return F.when(blank >= BLANK_LIMIT, PATTERNS[2]).when(~denied, PATTERNS[0]).otherwise(PATTERNS[1])
 

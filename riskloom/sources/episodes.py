@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONDITIONS = [f"c{i}" for i in range(1, 14)]
@@ -29,51 +29,75 @@ def _code(i: int, symptom: bool = False):
     return F.when(blank | (pk % (p + 2) == 0), F.lit(None)).when(pk % (p + 3) == 1, "9").when((pk + i) % 2 == 0, no).otherwise("1")
 
 
-def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines travel once, by order, before repeated keys meet; orders bring their customer's nation, whose names come last."""
+FLAG_A, FLAG_R = 1, 3
+
+
+def _flag(c: Column) -> Column:
+    """The order of flags around A and R as a number: the least of numbers is that of the least flag, and needs no sort."""
+    return F.when(c < "A", 0).when(c == "A", FLAG_A).when(c < "R", 2).when(c == "R", FLAG_R).when(c > "R", 4)
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their order's facts, from which the columns of episodes are told.
+
+    Lines travel once, by order, before repeated keys meet; orders bring their customer's nation, whose names come last.
+    Lines are dealt to all shuffle partitions, which Spark would merge into a few large tasks by their bytes, little
+    as these say of the columns' work; within a task lines are neither sorted nor joined by sorting.
+    """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(METHOD_BYTES))
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("pk"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("rf"))
-    lines = lines.repartition("k").groupBy("k", "n").agg(F.min("pk").alias("pk"), F.min("q").alias("q"), F.min("rf").alias("rf"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("pk"), F.col("l_quantity").alias("q"), _flag(F.col("l_returnflag")).alias("rf"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = lines.repartition(parts, "k").groupBy("k", "n").agg(F.min("pk").alias("pk"), F.min("q").alias("q"), F.min("rf").alias("rf"))
     place = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("sg_uf"), F.col("r_name").alias("regiao"))
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority")
     orders = orders.join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
-    rows = lines.join(orders, "k").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))  # a row a nation
+    return lines.join(orders.hint("shuffle_hash"), "k").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))  # a row a nation
+
+
+def _columns() -> dict[str, Column]:
+    """The columns of episodes by name."""
     k, n = F.col("k"), F.col("n")
     rid = (k * 8 + n).cast("string")
     evolucao = F.when(F.col("o_orderpriority") == "1-URGENT", "2").when(F.col("o_orderpriority") == "5-LOW", "9").otherwise("1")
     u = F.conv(F.substring(F.md5(rid), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     y = F.when(evolucao == "2", 1).otherwise(0)
-    return rows.select(
-        rid.alias("id_registro"),
-        F.when(k % 97 == 0, "").when(k % 103 == 0, "NaN").otherwise(k.cast("string")).alias("nu_notific"),
-        F.when(k % 41 == 0, F.lit(None)).otherwise(F.col("day").cast("string")).alias("dt_sin_pri"),
-        F.when(k % 29 == 0, F.lit(None)).when(k % 113 == 0, "xx").otherwise(F.date_add("day", (k % 75 - 5 + n % 2).cast("int")).cast("string")).alias("dt_interna"),
-        F.when(k % 20 == 0, "2").when(k % 23 == 0, F.lit(None)).when(n == 3, "1.0").otherwise("1").alias("hospital"),
-        evolucao.alias("evolucao"),
-        (F.col("q") * 2).cast("int").cast("string").alias("nu_idade_n"),
-        F.when(F.col("pk") % 10 == 0, "1").when(F.col("pk") % 10 == 1, "2").otherwise("3").alias("tp_idade"),
-        F.when(F.col("rf") == "A", "M").when(F.col("rf") == "R", "F").otherwise("I").alias("cs_sexo"),
-        "sg_uf",
-        "regiao",
-        F.when(F.col("pk") % 7 == 0, F.lit(None)).when(F.col("pk") % 5 == 0, "2").when(F.col("pk") % 5 == 1, "9").otherwise("1").alias("fator_risc"),
-        *(_code(i).alias(c) for i, c in enumerate(CONDITIONS)),
-        *(_code(i + 3, True).alias(c) for i, c in enumerate(SYMPTOMS)),
-        y.cast("byte").alias("y_true"),
-        F.round(F.lit(0.7) * u + F.lit(0.25) * y, 3).alias("y_prob"),
-    )
+    return {
+        "id_registro": rid,
+        "nu_notific": F.when(k % 97 == 0, "").when(k % 103 == 0, "NaN").otherwise(k.cast("string")),
+        "dt_sin_pri": F.when(k % 41 == 0, F.lit(None)).otherwise(F.col("day").cast("string")),
+        "dt_interna": F.when(k % 29 == 0, F.lit(None)).when(k % 113 == 0, "xx").otherwise(F.date_add("day", (k % 75 - 5 + n % 2).cast("int")).cast("string")),
+        "hospital": F.when(k % 20 == 0, "2").when(k % 23 == 0, F.lit(None)).when(n == 3, "1.0").otherwise("1"),
+        "evolucao": evolucao,
+        "nu_idade_n": (F.col("q") * 2).cast("int").cast("string"),
+        "tp_idade": F.when(F.col("pk") % 10 == 0, "1").when(F.col("pk") % 10 == 1, "2").otherwise("3"),
+        "cs_sexo": F.when(F.col("rf") == FLAG_A, "M").when(F.col("rf") == FLAG_R, "F").otherwise("I"),
+        "sg_uf": F.col("sg_uf"),
+        "regiao": F.col("regiao"),
+        "fator_risc": F.when(F.col("pk") % 7 == 0, F.lit(None)).when(F.col("pk") % 5 == 0, "2").when(F.col("pk") % 5 == 1, "9").otherwise("1"),
+        **{c: _code(i) for i, c in enumerate(CONDITIONS)},
+        **{c: _code(i + 3, True) for i, c in enumerate(SYMPTOMS)},
+        "y_true": y.cast("byte"),
+        "y_prob": F.round(F.lit(0.7) * u + F.lit(0.25) * y, 3),
+    }
+
+
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(spark, sf_dir).select(*(c.alias(name) for name, c in _columns().items()))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes with a known outcome and a valid admission date: id, group, y, p, year, region, band, sex."""
     from riskloom.functions import codes
 
-    e = episodes(spark, sf_dir).where(F.col("evolucao").isin("1", "2"))
-    day = codes.iso_date(F.col("dt_interna"))
-    age = codes.age_years(F.col("nu_idade_n"), F.col("tp_idade"))
-    return e.withColumn("dia", day).where(F.col("dia").isNotNull()).select(
-        F.col("id_registro").alias("id"), codes.group_id(F.col("nu_notific"), F.col("id_registro")).alias("grupo"), F.col("y_true").cast("int").alias("y"), F.col("y_prob").alias("p"),
-        F.year("dia").alias("ano"), F.col("regiao"), codes.age_band(age).alias("faixa"), F.col("cs_sexo").alias("sexo"), codes.completeness([F.col(s) for s in ANSWERS]).alias("completude"), age.alias("idade"),
-        codes.fill_pattern([F.col(s) for s in SECONDARY], [F.col(c) for c in CONDITIONS]).alias("padrao"))
+    of = _columns()
+    some = lambda names: [of[c] for c in names]
+    # answers are told in the first step, which is the last that has them: their many texts are copied for no row
+    told = _joined(spark, sf_dir).where(of["evolucao"].isin("1", "2")).select(
+        of["id_registro"].alias("id"), of["nu_notific"].alias("nu_notific"), of["dt_interna"].alias("dt_interna"), of["y_true"].cast("int").alias("y"), of["y_prob"].alias("p"), "regiao", of["cs_sexo"].alias("sexo"),
+        codes.completeness(some(ANSWERS)).alias("completude"), codes.fill_pattern(some(SECONDARY), some(CONDITIONS)).alias("padrao"), codes.number(of["nu_idade_n"]).alias("valor"), codes.code(of["tp_idade"]).alias("unidade"))
+    dated = told.withColumn("dia", codes.iso_date(F.col("dt_interna"))).where(F.col("dia").isNotNull())
+    aged = dated.withColumn("anos", codes.years_of(F.col("valor"), F.col("unidade"))).withColumn("idade", codes.lifetime(F.col("anos")))  # in steps, so that each is told once
+    return aged.select("id", codes.group_id(F.col("nu_notific"), F.col("id")).alias("grupo"), "y", "p", F.year("dia").alias("ano"), "regiao", codes.age_band(F.col("idade")).alias("faixa"), "sexo", "completude", "idade", "padrao")
 
 
 def _sql_code(i: int, symptom: bool = False) -> str:
