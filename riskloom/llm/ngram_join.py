@@ -454,23 +454,24 @@ def _near(t: int, nearest: bool):
     return run
 
 
-def near_pairs(open_: DataFrame, t: int, nearest: bool) -> DataFrame:
-    """Distinct candidate pairs ``a < b`` of members of open buckets. open_: ``bucket, s, part, n, sketch``.
+def near_pairs(open_: DataFrame, facts: DataFrame, t: int, nearest: bool) -> DataFrame:
+    """Distinct candidate pairs ``a < b`` of members of open buckets. open_: ``bucket, s, part``; facts: ``s, n, sketch``.
 
-    Of each bucket the members outside its largest component (left) meet all members, in blocks.
+    Of each bucket the members outside its largest component (left) meet all members, in blocks. Members are dealt as
+    numbers in one pass; their sketches travel only to the blocks.
     """
     parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = open_.groupBy("bucket", "part").agg(F.count("*").alias("c"))
     most = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("few"))
-    rows = open_.join(most, "bucket").withColumn("left", F.col("part") != F.col("main"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     place = lambda c: F.pmod(F.xxhash64("s", F.lit(7)), F.greatest(blocks(c), F.lit(1))).cast("int")
+    rows = open_.join(most, "bucket").select("bucket", "s", "part", (F.col("part") != F.col("main")).alias("out"), "few", "all", place("few").alias("x0"), place("all").alias("y0"))
     # block x of the left members meets block y of all members
-    own = F.when(F.col("left"), F.transform(F.sequence(F.lit(0), blocks("all") - 1), lambda y: F.struct(place("few").alias("x"), y.alias("y"))))
-    met = F.transform(F.sequence(F.lit(0), F.greatest(blocks("few"), F.lit(1)) - 1), lambda x: F.struct(x.alias("x"), place("all").alias("y")))
-    lefts = rows.where("left").select("bucket", "s", "part", "n", "sketch", F.lit(True).alias("left"), F.inline(own))
-    rest = rows.select("bucket", "s", "part", "n", "sketch", "left", place("few").alias("own"), place("all").alias("y0"), F.inline(met)).where("not left or x <> own").drop("own", "y0").withColumn("left", F.lit(False))
-    blocked = lefts.unionByName(rest).repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "s")
+    own = F.when(F.col("out"), F.transform(F.sequence(F.lit(0), blocks("all") - 1), lambda y: F.struct(F.col("x0").alias("x"), y.alias("y"), F.lit(True).alias("left")))).otherwise(F.array())
+    met = F.transform(F.sequence(F.lit(0), F.greatest(blocks("few"), F.lit(1)) - 1), lambda x: F.struct(x.alias("x"), F.col("y0").alias("y"), F.lit(False).alias("left")))
+    met = F.filter(met, lambda m: ~F.col("out") | (m["x"] != F.col("x0")))
+    dealt = rows.select("bucket", "s", "part", F.inline(F.concat(own, met)))
+    blocked = dealt.join(facts.select("s", "n", "sketch"), "s").repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "s")
     return blocked.select("bucket", "x", "y", "s", "part", "n", "left", "sketch").mapInArrow(_near(t, nearest), "a long, b long").distinct()
 
 
@@ -481,7 +482,7 @@ def named_sets(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, Da
         both = scratch.put("nodes", docs.mapInArrow(_nodes(k, seed), NODES))
         nodes = both.where("n >= 0")
         known = nodes.where("doc_id is not null and n > 0")
-        classes = scratch.put("classes", known.groupBy("fa", "n", "fb").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.min("sketch").alias("sketch")).select(F.col("fa").alias("s"), "n", "fb", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("row"), "sketch"))
+        classes = scratch.put("classes", known.groupBy("fa", "n", "fb").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.min("sketch").alias("sketch"), F.count("*").alias("held")).select(F.col("fa").alias("s"), "n", "fb", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("row"), "sketch", "held"))
         if classes.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
             return nodes, both.where("n < 0"), classes, seed
         scratch.drop("nodes", "classes")
@@ -518,9 +519,10 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
 
     wanted = scratch.put("wanted", buckets.select("s").distinct())
     facts = classes.join(wanted, "s", "left_semi")
-    keys = facts.select("s", F.col("rep").alias("doc_id"), "row")
-    texts = (F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys).join(docs, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("s", "text")
-    texts = scratch.put("texts", texts)
+    keys = facts.select("s", F.col("rep").alias("doc_id"), "row", "held")
+    found = (F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys).join(docs, ["doc_id", "row"])
+    again = found.where("held > 1").dropDuplicates(["doc_id", "row"])  # a set that one row holds has its text once
+    texts = scratch.put("texts", found.where("held = 1").select("s", "text").unionByName(again.select("s", "text")))
     links = scratch.put("star-links", compare(best, texts, k, t).where("linked").select("a", "b"))
 
     def opened(links: DataFrame, name: str) -> DataFrame:
@@ -528,14 +530,14 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
         part = components(links, f"op1-{name}").select(F.col("node").alias("s"), F.col("component").alias("part"))
         rows = buckets.select("bucket", "s").join(part, "s", "left").withColumn("part", F.coalesce("part", "s"))
         split = rows.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-        return scratch.put(name, rows.join(split, "bucket", "left_semi").join(facts.select("s", "n", "sketch"), "s"))
+        return scratch.put(name, rows.join(split, "bucket", "left_semi").select("bucket", "s", "part"))
 
     first = opened(links, "open")
-    nearest = scratch.put("nearest", near_pairs(first, t, True).join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    nearest = scratch.put("nearest", near_pairs(first, facts, t, True).join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = scratch.put("more-links", compare(nearest, texts, k, t).where("linked").select("a", "b"))
     scratch.drop("open")
     links = links.unionByName(more)
-    rest = near_pairs(opened(links, "left"), t, False)
+    rest = near_pairs(opened(links, "left"), facts, t, False)
     seen = nearest.unionByName(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     rest = scratch.put("rest", rest.join(seen, ["a", "b"], "left_anti"))
     links = links.unionByName(compare(rest, texts, k, t).where("linked").select("a", "b"))
