@@ -284,8 +284,10 @@ MODELS = ["base", "idade", "quadrado"]
 SQL_MODELS = "mo AS (SELECT 'base' AS modelo, id, y, p FROM sc UNION ALL SELECT 'idade', id, y, coalesce(least(1, greatest(0, idade / 120)), 0) FROM sc UNION ALL SELECT 'quadrado', id, y, p * p FROM sc)"
 
 
-def models(spark, d, *more):
+def models(spark, d, *more, by=None):
+    """A row for each scored episode and model; by: a column by which episodes are dealt to all partitions first."""
     s = scored(spark, d)
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), by) if by else s
     age = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("idade") / 120)), F.lit(0.0))
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("modelo"), c.alias("p")) for m, c in (("base", F.col("p")), ("idade", age), ("quadrado", F.col("p") * F.col("p"))))))
     return s.select("id", "y", *more, each.alias("m")).select("m.modelo", "id", "y", *more, "m.p")  # one scan for all models
@@ -354,7 +356,7 @@ def first_line_of_order(spark, d):
 @query(f"{SC}, {SQL_MODELS} SELECT id, " + ", ".join(f"round(max(p) FILTER (modelo = '{m}'), 6) AS {m}" for m in MODELS) + " FROM mo GROUP BY id")
 def scores_wide(spark, d):
     of = lambda m: F.round(F.max(F.when(F.col("modelo") == m, F.col("p"))), 6).alias(m)
-    return models(spark, d).groupBy("id").agg(*map(of, MODELS))  # one row an id is held, not one a model
+    return models(spark, d, by="id").groupBy("id").agg(*map(of, MODELS))  # episodes travel, not their models; one row an id is held
 
 
 @query(f"{SC}, r AS (SELECT faixa, avg(y) AS taxa FROM sc GROUP BY faixa), s AS (SELECT regiao, faixa, count(*) AS n, sum(y) AS obs FROM sc GROUP BY ALL), j AS (SELECT regiao, sum(n)::BIGINT AS n, sum(obs)::BIGINT AS observados, round(sum(n * taxa), 6) AS esperados, round(100 * coalesce(sum(n) FILTER (faixa IN ('60-79', '80+')), 0) / sum(n), 6) AS pct_60 FROM s JOIN r USING (faixa) GROUP BY regiao) SELECT *, round(observados / n, 6) AS bruta, round(observados / nullif(esperados, 0), 4) AS padronizada FROM j")

@@ -41,3 +41,11 @@ def test_answers_with_margins_and_shares(spark):
         assert r["p"] == (0.0, 33.333333, 66.666667, 100.0)[given]
     shares = spark.range(1).select(*(F.round(F.lit(100.0) * F.lit(n) / 24, 6).alias(f"r{n}") for n in range(25)), *(codes.completeness([F.lit("1" if i < n else None) for i in range(24)]).alias(f"c{n}") for n in range(25))).first()
     assert all(shares[f"r{n}"] == shares[f"c{n}"] for n in range(25))
+
+
+def test_scores_wide_deals_episodes_once_to_all_partitions(spark):
+    from riskloom.plans import registry
+
+    plan = plan_of(registry.QUERIES["scores_wide"](spark, SMALL))
+    top = plan[: plan.index("ShuffledHashJoin")]
+    assert top.count("Exchange") == 1 and "REPARTITION_BY_NUM" in top and top.index("Generate") < top.index("Exchange")
