@@ -22,9 +22,26 @@ from riskloom.llm.common import documents, stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+PAGE = 32768  # bits of a map, as Spark's bitmap functions hold them
+MAP_BITS = 16  # for each id
+MOST_PAGES = 16384  # 64 MB; with more ids than fit, more rows are joined
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose id is not in gone; rows without an id stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose id is not in gone; rows without an id stay.
+
+    Rows whose id has no bit in a map of those that go stay where they are; only those that go and a few that have
+    a bit by chance, a sixteenth, are shuffled to the ids themselves.
+    """
+    ids = stored(gone.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "pipeline-gone")
+    pages = max(1, min(MOST_PAGES, ids.count() * MAP_BITS // PAGE + 1))
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(pages * PAGE))
+    page, place = F.floor(bit / PAGE).cast("int"), (bit % PAGE).cast("int")
+    maps = ids.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(place).alias("map"))
+    byte = F.conv(F.hex(F.substring("map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    told = docs.select(*COLUMNS).withColumn("page", page).join(F.broadcast(maps), "page", "left")
+    told = told.withColumn("met", F.col("doc_id").isNotNull() & F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False)))
+    return told.where("not met").select(*COLUMNS).unionByName(told.where("met").join(ids, "doc_id", "left_anti").select(*COLUMNS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -378,15 +378,44 @@ def _compare(k: int, t: int):
     return run
 
 
-def compare(pairs: DataFrame, texts: DataFrame, k: int, t: int) -> DataFrame:
-    """``a, b, linked`` of pairs of names: each text travels to the name that its pairs repeat, in parts of bounded size."""
+def beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a table by name ``s``, dealt to the name that pairs repeat (b), which comes first, in parts of bounded size."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wide = pairs.groupBy("b").agg(F.count("*").alias("c"))
     dealt = pairs.join(wide, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / BESIDE)).cast("int").alias("part"))
     rows = dealt.select("b", "part", F.col("a").alias("s"), F.lit(1).alias("turn")).unionByName(dealt.select("b", "part").distinct().select("b", "part", F.col("b").alias("s"), F.lit(0).alias("turn")))
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    rows = rows.join(texts, "s").repartition(parts, "b", "part").sortWithinPartitions("b", "part", "turn")
-    return rows.select("b", "part", "s", "text").mapInArrow(_compare(k, t), "a long, b long, linked boolean")
+    rows = rows.join(table.select("s", *columns), "s").repartition(parts, "b", "part").sortWithinPartitions("b", "part", "turn")
+    return rows.select("b", "part", "s", *columns)
+
+
+def compare(pairs: DataFrame, texts: DataFrame, k: int, t: int) -> DataFrame:
+    """``a, b, linked`` of pairs of names."""
+    return beside(pairs, texts, "text").mapInArrow(_compare(k, t), "a long, b long, linked boolean")
+
+
+def _possible(t: int):
+    """Of rows sorted by b and part, the pairs with the set that b names that size and sketch allow to be linked."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, size = None, 0, 0
+        for batch in batches:
+            rows = []
+            for b, part, s, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("b", "part", "s", "n", "sketch")), strict=True):
+                bits = int.from_bytes(sketch)
+                if (b, part) != at:
+                    at, own, size = (b, part), bits, n
+                elif max((bits ^ own).bit_count(), abs(n - size)) <= (both := n + size) - 2 * -(-t * both // (100 + t)):
+                    rows.append((s, b))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def possible(pairs: DataFrame, facts: DataFrame, t: int) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and sketches do not rule a link out: the texts of the others need not travel."""
+    return beside(pairs, facts, "n", "sketch").mapInArrow(_possible(t), "a long, b long")
 
 
 def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -410,7 +439,7 @@ def _near(t: int, nearest: bool):
             far = bits_apart(bits[own], bits)
             both = n[own][:, None] + n[None, :]
             room = both - 2 * -(-t * both // (100 + t))
-            ok = (far <= room) & (part[own][:, None] != part[None, :]) & (~left[None, :] | (name[own][:, None] < name[None, :]) | nearest)
+            ok = (far <= room) & (np.abs(n[own][:, None] - n[None, :]) <= room) & (part[own][:, None] != part[None, :]) & (~left[None, :] | (name[own][:, None] < name[None, :]) | nearest)
             if nearest:
                 best = np.where(ok, far, 1 << 30).argmin(1)
                 keep = ok[np.arange(len(own)), best]
@@ -523,7 +552,8 @@ def similarity_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     found = (F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys).join(docs, ["doc_id", "row"])
     again = found.where("held > 1").dropDuplicates(["doc_id", "row"])  # a set that one row holds has its text once
     texts = scratch.put("texts", found.where("held = 1").select("s", "text").unionByName(again.select("s", "text")))
-    links = scratch.put("star-links", compare(best, texts, k, t).where("linked").select("a", "b"))
+    near = scratch.put("possible", possible(best, classes, t))
+    links = scratch.put("star-links", compare(near, texts, k, t).where("linked").select("a", "b"))
 
     def opened(links: DataFrame, name: str) -> DataFrame:
         """Members of buckets that hold several components, with their components."""

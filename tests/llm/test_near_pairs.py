@@ -33,3 +33,21 @@ def test_copies_of_a_row_and_of_a_text_link(spark):
     rows = [(1, one), (1, one), (2, near), (3, near), (4, "other words that nothing shares at all here"), (None, one)]
     got = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (None, None)], key=str)
+
+
+def test_pairs_that_sketches_rule_out_bring_no_texts(spark):
+    """Of sets of 10 shingles, linked ones differ in 2 at most: so may their sketches."""
+    sketch = lambda bits: sum(1 << b for b in bits).to_bytes(ngram_join.BITS // 8)
+    facts = spark.createDataFrame([(s, 10, bytearray(sketch(range(s)))) for s in (0, 1, 2, 3, 40)], "s long, n long, sketch binary")
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (40, 0), (3, 1), (40, 3)], "a long, b long")
+    assert sorted(map(tuple, ngram_join.possible(pairs, facts, 80).collect())) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_pairs_that_sizes_rule_out_bring_no_texts(spark):
+    """Long sets fill their sketches, which then say little; sizes that are too far apart still rule a link out."""
+    full = bytearray(ngram_join.BITS // 8)
+    facts = spark.createDataFrame([(1, 4000, full), (2, 3200, full), (3, 3199, full), (4, 5000, full)], "s long, n long, sketch binary")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1), (4, 3)], "a long, b long")
+    assert sorted(map(tuple, ngram_join.possible(pairs, facts, 80).collect())) == [(2, 1), (4, 1)]
+    open_ = spark.createDataFrame([(9, s, s) for s in (1, 2, 3, 4)], "bucket long, s long, part long")
+    assert {tuple(r) for r in ngram_join.near_pairs(open_, facts, 80, False).collect()} == {(1, 2), (2, 3), (1, 4)}

@@ -102,3 +102,20 @@ def test_mixture_moves_no_text_but_at_edges(spark):
     assert whole.count() + edge.count() == 500 and 0 < edge.count() < 5
     rows = whole.unionByName(mixing.dealt(edge)).collect()
     assert sum(r["taken"] for r in rows if r["source"] == "a") == 700 and sum(r["taken"] for r in rows if r["source"] == "b") == 300
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Only rows that have a bit in the map of ids that go are joined to them; no id is let go by its bit."""
+    ids = [None, 0, -1, -5, 2**62, *range(1, 4000)]
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "a", 1) for i in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [-5, 2**62, *range(3, 4000, 7), *range(10**6, 10**6 + 50)]
+    gone = spark.createDataFrame([(i,) for i in [*out, *out, None]], "doc_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corpus_pipeline.without(docs, gone)
+        stay, joined = got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftAnti")
+        assert stay.count("Join LeftOuter") == 1 and "rightHint=(strategy=broadcast)" in stay
+        met = [line for line in joined.splitlines() if "Filter" in line and "getbit" in line.lower() or "bit_get" in line.lower()]
+        assert met and sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got.collect()) == sorted((i is not None, i or 0) for i in ids if i not in set(out))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
