@@ -132,6 +132,7 @@ def refined(a: np.ndarray, x: np.ndarray, steps: int = 30) -> tuple[np.ndarray,
         if size < 1e-18 or (size >= best / 2 and size < 1e-14):
             break
         best = min(best, size)
+    x = x + x @ (one - x.T @ x) / 2  # a cluster's vectors come from double precision and are orthogonal to that only
     x /= np.sqrt((x * x).sum(axis=0))
     e = np.diag(x.T @ (a @ x))
     order = np.argsort(-e, kind="stable")

@@ -79,3 +79,11 @@ def test_equal_rows_large_entries_and_empty_tables(spark):
     assert len(huge) == 4 and huge.deviation.isna().all()
     assert whitening.whiten(spark.createDataFrame([], kind)).count() == 0
     assert whitening.whiten(spark.createDataFrame([(1, None), (2, [])], kind)).count() == 0
+
+
+def test_vectors_of_a_large_cluster_are_orthogonal():
+    rng = np.random.default_rng(5)
+    q = np.linalg.qr(rng.normal(size=(120, 120)))[0]
+    a = (q * np.r_[5.0, np.zeros(119)]) @ q.T
+    x = whitening.refined((a + a.T) / 2, np.linalg.eigh(((a + a.T) / 2).astype(np.float32))[1])[1]
+    assert np.abs(x.T @ x - np.eye(120)).max() < 1e-17
