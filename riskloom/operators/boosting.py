@@ -2,14 +2,19 @@
 
 Columns become bins once: numbers by quantiles, categories by name, missing and unknown values a bin of their own. Rows
 with the same bins and outcome have the same gradients in every tree, so they are one row with their number; these
-are written once and stay where they are. Each pass sends the trees of the moment to the tasks; a task walks
-its rows to their leaves, sums gradients, hessians and counts by leaf, column and bin, and Spark adds these histograms
-up. Gradients are integers (SCALE), so sums do not depend on tasks. The driver sees sums alone: leaves x columns x bins.
+are written once. Gradients are integers (SCALE), so sums do not depend on tasks.
+
+Where these distinct rows are few (HELD cells at most), which bins see to however many rows there are, they are broadcast
+and each setting is fitted in a task of its own, without a job for every step. Where they are more they stay where
+they are, and the same trees come from passes: each sends the trees of the moment to the tasks; a task walks its rows to
+their leaves, sums gradients, hessians and counts by leaf, column and bin, and Spark adds these histograms up. The
+driver sees sums alone: leaves x columns x bins.
 
 The leaf with the best gain is split until there are ``leaves`` or no gain is left. Missing values go to the side that
-gains more; categories are split in the order of their gradient ratios. A pass sums the smaller child of every leaf
-that can still be split before the tree is full, so a tree takes about as many passes as it is deep; the other child is
-the parent less the smaller one. Settings that are fitted together share every pass and all histograms' rows.
+gains more; categories are split in the order of their gradient ratios. Of a split the smaller child is summed; the other
+is the parent less the smaller one. A pass sums the smaller child of every leaf
+that can still be split before the tree is full, so a tree takes about as many passes as it is deep. Settings that
+are fitted together share every pass and all histograms' rows.
 
 The loss of rows that ``valid`` marks is summed with the roots' histograms. A model ends when PATIENCE rounds have not
 lowered it, and keeps the rounds up to the lowest loss; without such rows it takes all rounds.
@@ -18,6 +23,7 @@ lowered it, and keeps the rounds up to the lowest loss; without such rows it tak
 from __future__ import annotations
 
 import math
+import pickle
 import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -39,6 +45,9 @@ PATIENCE = 20
 TOLERANCE = 1e-7
 REFRESH = 20  # trees after which the sums of trees are written anew
 ROWS = 65536
+SCORED = 2**18  # rows that a task scores at a time, those alike once
+HELD = 2**24  # cells (distinct rows x columns) up to which a task holds them all; beyond, passes read them where they lie
+HELD_ROWS = 2**28  # rows that these stand for at most, as a task adds in doubles, exact below 2**53
 
 
 @dataclass(frozen=True)
@@ -52,14 +61,18 @@ class Settings:
     only: tuple[str, ...] | None = None  # the columns that may be split
 
 
+NOWHERE = np.zeros(BINS, bool)  # of a leaf
+
+
 @dataclass
 class Tree:
-    """Nodes in arrays; ``goes[node, bin]`` tells whether a bin of the node's column goes left. A leaf has no left node."""
+    """Nodes in arrays; ``goes[node, bin]`` tells whether a bin of the node's column goes left. A leaf has no left node.
+    A tree that grows has a list of rows of ``goes``, a finished one their bits."""
 
     column: list = field(default_factory=lambda: [0])
     left: list = field(default_factory=lambda: [-1])
     right: list = field(default_factory=lambda: [-1])
-    goes: list = field(default_factory=lambda: [np.zeros(BINS, bool)])
+    goes: list | np.ndarray = field(default_factory=lambda: [NOWHERE])
     value: list = field(default_factory=lambda: [0.0])
 
     def split(self, node: int, column: int, goes: np.ndarray) -> tuple[int, int]:
@@ -69,15 +82,20 @@ class Tree:
             self.column.append(0)
             self.left.append(-1)
             self.right.append(-1)
-            self.goes.append(np.zeros(BINS, bool))
+            self.goes.append(NOWHERE)
             self.value.append(0.0)
         return a, a + 1
 
     def copy(self) -> Tree:
         return Tree(list(self.column), list(self.left), list(self.right), list(self.goes), list(self.value))
 
+    def finish(self) -> Tree:
+        self.goes = np.packbits(np.array(self.goes), axis=1)
+        return self
+
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        column, left, right, goes = np.array(self.column), np.array(self.left), np.array(self.right), np.array(self.goes)
+        column, left, right = np.array(self.column), np.array(self.left), np.array(self.right)
+        goes = np.array(self.goes) if isinstance(self.goes, list) else np.unpackbits(self.goes, axis=1).view(bool)
         node = np.zeros(len(bins), np.int64)
         rows = np.arange(len(bins))
         while len(rows := rows[left[node[rows]] >= 0]):
@@ -284,13 +302,16 @@ class _Grower:
                 self.known[i] = hists[k]
         self._grow()
 
+    def _small(self, leaf: int) -> np.ndarray | None:
+        """Sums of the smaller child of a leaf, None where they have to be asked for."""
+        return self.known.pop(leaf, None)
+
     def _grow(self) -> None:
         """Split as far as is known; a full tree, or one without gain, gets its values."""
         while len(self.open) < self.s.leaves and (best := min((i for i, (_, b) in self.open.items() if b), key=lambda i: (-self.open[i][1].gain, i), default=None)) is not None:
-            if best not in self.known:
+            if (small := self._small(best)) is None:
                 return
             hist, split = self.open.pop(best)
-            small = self.known.pop(best)
             a, b = self.tree.split(best, split.column, split.goes)
             if 2 * split.left_n > hist[0, :, 2].sum():
                 a, b = b, a
@@ -301,10 +322,67 @@ class _Grower:
         if len(self.open) == 1:
             self.done = True  # no split gains: further trees would not either
             return
-        self.trees.append(self.tree)
+        self.trees.append(self.tree.finish())
         self._plant()
 
 
+class _HeldGrower(_Grower):
+    """One model that holds all distinct rows, each leaf's row numbers with them, and asks nobody. Rows of the fit come first."""
+
+    def __init__(self, settings: Settings, kinds: list[bool | None], base: float, weight: tuple[float, float], rows: tuple[np.ndarray, ...]):
+        self.bins, self.y, self.n, self.fitted = rows
+        self.keys = self.bins + np.arange(self.bins.shape[1], dtype=np.int32) * BINS
+        self.score = np.full(len(self.y), base)
+        super().__init__(settings, kinds, base, weight)
+
+    def _plant(self) -> None:
+        if self.trees:
+            for i in self.open:
+                self.score[self.rows[i]] += self.trees[-1].value[i]
+        super()._plant()
+        self.rows = {0: np.arange(len(self.y))}
+
+    def _sums(self, rows: np.ndarray) -> np.ndarray:
+        rows, width = rows[: np.searchsorted(rows, self.fitted)], self.bins.shape[1]
+        keys = self.keys[rows].ravel()
+        return np.stack([np.bincount(keys, np.repeat(v[rows], width), width * BINS) for v in self.values], axis=-1).astype(np.int64).reshape(width, BINS, 3)
+
+    def _small(self, leaf: int) -> np.ndarray:
+        hist, split = self.open[leaf]
+        rows, a = self.rows.pop(leaf), len(self.tree.left)
+        left = split.goes[self.bins[rows, split.column]]
+        self.rows[a], self.rows[a + 1] = rows[left], rows[~left]
+        return self._sums(self.rows[a if 2 * split.left_n <= hist[0, :, 2].sum() else a + 1])
+
+    def run(self) -> None:
+        fit, rest = slice(self.fitted), slice(self.fitted, None)
+        many, y, w = self.n[fit].astype(np.float64), self.y[fit], np.array(self.weight)[self.y[fit]]
+        count = int(self.n[rest].sum())
+        while not self.done:
+            p = 1 / (1 + np.exp(-self.score[fit]))
+            self.values = np.rint(w * (p - y) * SCALE) * many, np.rint(w * p * (1 - p) * SCALE) * many, many
+            own = np.logaddexp(0, np.where(self.y[rest] == 1, -self.score[rest], self.score[rest]))
+            loss = float(int((np.rint(own * SCALE) * self.n[rest]).sum())) / SCALE / count if count else None
+            self.asked = [0]
+            self.told(self._sums(self.rows[0])[None], loss)
+
+
+def _held(width: int, told: list[tuple]):
+    """The trees and losses of the model ``m`` of a task, which gets all distinct rows; told: of each model its settings, kinds, base and weight."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        m = table.column("m")[0].as_py()
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, width)
+        y, n, valid = (table.column(c).to_numpy() for c in ("y", "n", "valid"))
+        order = np.argsort(valid, kind="stable")
+        grower = _HeldGrower(*told[m], (bins[order], y[order], n[order], int((~valid).sum())))
+        grower.run()
+        found = pickle.dumps(([(t.column, t.left, t.right, t.goes, t.value) for t in grower.trees], grower.losses))  # no classes, which are a task's own
+        yield pa.RecordBatch.from_arrays([pa.array([m], pa.int64()), pa.array([found], pa.binary())], ["m", "found"])
+
+    return run
+
+
 def fit_many(df: DataFrame, settings: dict[str, Settings], numeric: list[str], categorical: list[str], y: str = "y", valid: str | None = None) -> dict[str, Model]:
     """A model for each setting. Rows without an outcome are left out; valid: a boolean column of rows that only measure the loss."""
     io.guard([*numeric, *categorical], [y, "p"], numeric, categorical)
@@ -322,7 +400,27 @@ def fit_many(df: DataFrame, settings: dict[str, Settings], numeric: list[str], c
         growers.append(_Grower(s, kinds, math.log(a / b) if a and b else 0.0, weight))
         growers[-1].done = not (a and b)
     width = len(columns.names)
-    alike = rows.mapInArrow(_to_bins(columns), "bins binary, y int, valid boolean").groupBy("bins", "y", "valid").agg(F.count("*").alias("n"))
+    alike = io.stored(rows.mapInArrow(_to_bins(columns), "bins binary, y int, valid boolean").groupBy("bins", "y", "valid").agg(F.count("*").alias("n")), "boost")
+    cells, number = alike.agg(width * F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if cells <= HELD and number <= HELD_ROWS:
+        _fit_held(alike, growers, width)
+    else:
+        _fit_passes(alike, growers, width)
+    return {name: Model(columns, g.base, g.trees, g.losses) for name, g in zip(settings, growers, strict=True)}
+
+
+def _fit_held(alike: DataFrame, growers: list[_Grower], width: int) -> None:
+    """A task for each model: the numbers of models, a partition each, meet all distinct rows by broadcast."""
+    live = [g for g in growers if not g.done]
+    if not live:
+        return
+    each = alike.sparkSession.range(0, len(live), 1, len(live)).withColumnRenamed("id", "m").crossJoin(F.broadcast(alike))
+    for m, found in each.mapInArrow(_held(width, [(g.s, g.kinds, g.base, g.weight) for g in live]), "m long, found binary").collect():  # a row a model
+        trees, live[m].losses = pickle.loads(found)
+        live[m].trees, live[m].done = [Tree(*t) for t in trees], True
+
+
+def _fit_passes(alike: DataFrame, growers: list[_Grower], width: int) -> None:
     state = io.stored(alike.withColumn("raw", F.array_repeat(F.lit(0.0), len(growers))), "boost")
     while any(not g.done for g in growers):
         if max(len(g.trees) - g.written for g in growers) >= REFRESH:
@@ -341,7 +439,6 @@ def fit_many(df: DataFrame, settings: dict[str, Settings], numeric: list[str], c
                 told = own[own[:, 1] < 0]
                 count = int(told[:, 6].sum())
                 g.told(hists, float(told[:, 4].sum()) / SCALE / count if count else None)
-    return {name: Model(columns, g.base, g.trees, g.losses) for name, g in zip(settings, growers, strict=True)}
 
 
 def fit(df: DataFrame, numeric: list[str], categorical: list[str], settings: Settings | None = None, y: str = "y", valid: str | None = None) -> Model:
@@ -352,20 +449,36 @@ def score(models: dict[str, Model], df: DataFrame, name: str = "candidato", p: s
     """The rows with the score of each model, a row for each: ``name`` and ``p`` added; all models share one reading."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    held = df.sparkSession.sparkContext.broadcast(models)
+    held = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))  # which sends the classes too, as broadcasts do not
     columns = next(iter(models.values())).columns
     kept = df.columns
-    ready = df.select(*kept, *(F.col(c).cast("double").alias(f"_in_{c}") for c in columns.numeric), *(F.col(c).cast("string").alias(f"_in_{c}") for c in columns.categorical))
+    inputs = df.select(*kept, *(F.col(c).cast("double").alias(f"_in_{c}") for c in columns.numeric), *(F.col(c).cast("string").alias(f"_in_{c}") for c in columns.categorical))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slabs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= SCORED:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if n:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = pickle.loads(held.value)
+        for batch in slabs(batches):
             own = pa.RecordBatch.from_arrays(batch.columns[len(kept):], columns.names)
-            bins = columns.bins(own)
-            for key, model in held.value.items():
+            bins, back = np.unique(columns.bins(own), axis=0, return_inverse=True)
+            back = back.ravel()
+            for key, model in ready.items():
                 raw = model.base + sum((t.predict(bins) for t in model.trees), np.zeros(len(bins)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([key] * len(bins), pa.string()), pa.array(np.round(1 / (1 + np.exp(-raw)), 9))], [*kept, name, p])
+                p_of = np.round(1 / (1 + np.exp(-raw)), 9)[back]
+                for at in range(0, len(back), ROWS):
+                    part = batch.slice(at, ROWS)
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array([key] * len(part), pa.string()), pa.array(p_of[at : at + ROWS])], [*kept, name, p])
 
-    return ready.mapInArrow(run, StructType([*df.schema.fields, StructField(name, StringType()), StructField(p, DoubleType())]))
+    return inputs.mapInArrow(run, StructType([*df.schema.fields, StructField(name, StringType()), StructField(p, DoubleType())]))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -123,3 +128,65 @@ def test_rows_alike_are_one_with_their_number(spark, monkeypatch):
     assert len({n for name, n in sizes if name == "boost"}) == 1 and max(n for name, n in sizes if name == "boost") <= 13 * 6 * 2
     assert [t.column for t in one.trees] == [t.column for t in many.trees] and len(one.trees) == 3
     assert all(np.allclose(a.value, b.value) for a, b in zip(one.trees, many.trees))
+
+
+def fitted(df, settings, monkeypatch, held):
+    monkeypatch.setattr(boosting, "HELD", held)
+    return boosting.fit_many(df, settings, ["x", "z"], ["k"], valid="valid")
+
+
+@pytest.mark.parametrize("refresh", [2, 20])
+def test_held_rows_and_passes_give_the_same_trees(spark, monkeypatch, refresh):
+    monkeypatch.setattr(boosting, "PATIENCE", 4)
+    monkeypatch.setattr(boosting, "REFRESH", refresh)
+    df, _ = frame(spark, 900, 11)
+    settings = {"a": Settings(0.3, 9, 8, 20), "b": Settings(0.1, 5, 12, 10, 0.0, True), "c": Settings(0.3, 4, 6, 20, only=("x", "k")), "none": Settings(least=5000)}
+    a, b = (fitted(df, settings, monkeypatch, held) for held in (boosting.HELD, 0))
+    for name in settings:
+        assert [(t.column, t.left, t.goes.tolist()) for t in a[name].trees] == [(t.column, t.left, t.goes.tolist()) for t in b[name].trees]
+        assert all(x.value == pytest.approx(y.value, abs=1e-12) for x, y in zip(a[name].trees, b[name].trees))
+        assert a[name].losses == pytest.approx(b[name].losses, abs=1e-7) and a[name].base == b[name].base
+    assert len(a["a"].trees) > 3 and a["none"].trees == []
+    p, q = (boosting.score(m, df).orderBy("id", "candidato").toPandas().p.to_numpy() for m in (a, b))
+    assert len(p) == 900 * 4 and p == pytest.approx(q, abs=1e-8)
+
+
+def test_jobs_of_a_fit_do_not_grow_with_its_rounds(spark):
+    df, _ = frame(spark, 500, 4)
+    counts = []
+    for rounds in (2, 30):
+        spark.sparkContext.setJobGroup(f"rounds-{rounds}", "")
+        model = boosting.fit(df, ["x", "z"], ["k"], Settings(0.1, rounds, 12, 10))
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+        assert len(model.trees) == rounds
+    spark.sparkContext.setJobGroup(None, None)
+    assert counts[0] == counts[1] > 0
+
+
+def test_scores_of_many_batches(spark, monkeypatch):
+    """Rows are gathered and those alike are scored once; each gets its own score back."""
+    df, _ = frame(spark, 700, 2, 2)
+    model = boosting.fit(df, ["x", "z"], ["k"], Settings(0.2, 5, 8, 20))
+    whole = {r["id"]: r["p"] for r in boosting.score({"m": model}, df).collect()}
+    monkeypatch.setattr(boosting, "SCORED", 100)
+    monkeypatch.setattr(boosting, "ROWS", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        parts = boosting.score({"m": model}, df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(parts) == 700 and {r["id"]: r["p"] for r in parts} == whole and len(set(whole.values())) > 10
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    (tmp_path / "fit.py").write_text(f"""import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+from riskloom.operators import boosting
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+df = spark.range(400).selectExpr("double(id % 20) x", "string(id % 3) k", "int(id % 20 > 8) y")
+print("scored", boosting.score({{"m": boosting.fit(df, ["x"], ["k"], boosting.Settings(0.3, 3, 4, 10))}}, df).select("p").distinct().count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "fit.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "scored 2" in done.stdout, done.stderr[-2000:]
