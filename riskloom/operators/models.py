@@ -63,23 +63,35 @@ def fit(df: DataFrame, name: str, numeric: list[str], categorical: list[str], st
     """The fitted stages and model. A linear model reads a row for all rows alike, with their number as its weight, which
     has the same optimum; trees sample rows, so they read all of them, with features written once."""
     numeric, categorical = usable(df, numeric, strict), usable(df, categorical, strict)
+    if name == "lr":
+        before, alike, n = linear_rows(df, numeric, categorical, {options.get("weight")})
+        return PipelineModel(stages=[*before.stages, fit_linear(alike, n, **options)])
     io.guard([*numeric, *categorical], OUTCOME, numeric, categorical)
     rows = df.na.fill(MISSING, categorical)
-    last = estimator(name, df.count(), **options)
-    before = Pipeline(stages=preprocessor(numeric, categorical, one_hot=name == "lr")).fit(rows)
-    if name == "lr":
-        weight = options.get("weight")
-        number = F.sum(weight) if weight else F.count("*")
-        alike = io.stored(rows.groupBy(*numeric, *categorical, "y").agg(number.cast("double").alias("_alike")), "alike")
-        found = last.setWeightCol("_alike").fit(before.transform(alike))
-    else:
-        more = [c for c in (options.get("weight"), "valida" if name == "gbt" else None) if c]
-        made = before.transform(rows).select("y", "features", *more)
-        kept = io.stored(made, "fit-features")
-        found = last.fit(kept.withMetadata("features", made.schema["features"].metadata))
+    before = Pipeline(stages=preprocessor(numeric, categorical, one_hot=False)).fit(rows)
+    more = [c for c in (options.get("weight"), "valida" if name == "gbt" else None) if c]
+    made = before.transform(rows).select("y", "features", *more)
+    kept = io.stored(made, "fit-features")
+    found = estimator(name, df.count(), **options).fit(kept.withMetadata("features", made.schema["features"].metadata))
     return PipelineModel(stages=[*before.stages, found])
 
 
+def linear_rows(df: DataFrame, numeric: list[str], categorical: list[str], weights: set[str | None]) -> tuple[PipelineModel, DataFrame, int]:
+    """What linear fits on the same columns share: the fitted stages before them, the features of a row for all rows
+    alike with their number (``_alike``) and sums of the weights (``_alike_`` and the weight), and how many rows there are."""
+    io.guard([*numeric, *categorical], OUTCOME, numeric, categorical)
+    rows = df.na.fill(MISSING, categorical)
+    before = Pipeline(stages=preprocessor(numeric, categorical)).fit(rows)
+    sums = [F.sum(w).cast("double").alias(f"_alike_{w}") for w in sorted(w for w in weights if w)]
+    alike = io.stored(rows.groupBy(*numeric, *categorical, "y").agg(F.count("*").cast("double").alias("_alike"), *sums), "alike")
+    n = alike.agg(F.coalesce(F.sum("_alike"), F.lit(0.0))).first()[0]
+    return before, before.transform(alike), int(n)
+
+
+def fit_linear(alike: DataFrame, n: int, weight: str | None = None, **options):
+    return estimator("lr", n, weight=f"_alike_{weight}" if weight else "_alike", **options).fit(alike)
+
+
 def score(model: PipelineModel, df: DataFrame, categorical: list[str]) -> DataFrame:
     out = model.transform(df.na.fill(MISSING, categorical))
     return out.withColumn("p", F.round(vector_to_array("probability")[1], 9))
@@ -117,12 +129,26 @@ def logit(p: str, eps: float = 1e-6):
 
 
 def scored_sets(train: DataFrame, valid: DataFrame, candidates: dict[str, dict], numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Validation rows with the score of each candidate: ``candidato`` and ``p`` added."""
-    out = None
+    """Validation rows with the score of each candidate: ``candidato`` and ``p`` added. Linear candidates on the same
+    columns share what comes before their fits and one reading of the validation rows."""
+    parts, linear = [], {}
     for name, options in candidates.items():
         o = dict(options)
-        n, c = o.pop("numeric", numeric), o.pop("categorical", categorical)
-        rows = score(fit(train, o.pop("name"), n, c, **o), valid, c).select(F.lit(name).alias("candidato"), *valid.columns, "p")
+        kind, n, c = o.pop("name"), o.pop("numeric", numeric), o.pop("categorical", categorical)
+        if kind == "lr":
+            linear.setdefault((tuple(n), tuple(c)), {})[name] = o
+        else:
+            parts.append(score(fit(train, kind, n, c, **o), valid, c).select(F.lit(name).alias("candidato"), *valid.columns, "p"))
+    for (n, c), own in linear.items():
+        n, c = usable(train, list(n)), usable(train, list(c))
+        before, alike, many = linear_rows(train, n, c, {o.get("weight") for o in own.values()})
+        rows, told = before.transform(valid.na.fill(MISSING, c)), []
+        for i, (name, o) in enumerate(own.items()):
+            rows = fit_linear(alike, many, **o).setProbabilityCol(f"_p{i}").setRawPredictionCol("").setPredictionCol("").transform(rows)
+            told.append(F.struct(F.lit(name).alias("candidato"), F.round(vector_to_array(f"_p{i}")[1], 9).alias("p")))
+        parts.append(rows.select(*valid.columns, F.inline(F.array(*told))).select("candidato", *valid.columns, "p"))
+    out = None
+    for rows in parts:
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -143,3 +143,21 @@ def test_the_parent_answer_is_asked_first():
 
     told = str(codes.fill_when_parent_denies(F.col("own"), F.col("parent")))
     assert told.index("parent") < told.index("own")
+
+
+def test_linear_candidates_share_their_rows_and_one_reading(spark, monkeypatch):
+    """The rows are prepared once for each set of columns; scores are those of fits one by one."""
+    df = table(spark, 300, 6).withColumn("id", F.monotonically_increasing_id())
+    seen, stored = [], io.stored
+    monkeypatch.setattr(io, "stored", lambda t, name: (seen.append(name), stored(t, name))[1])
+    sets = {f"{c:g} {l1:g} {w}": {"name": "lr", "c": c, "l1": l1, **({"weight": w} if w else {})} for c in (0.05, 1.0) for l1 in (0.0, 0.5) for w in (None, "w")}
+    sets["few"] = {"name": "lr", "numeric": ["x"], "categorical": []}
+    found = models.scored_sets(df, df, sets, ["x"], ["k"])
+    assert seen == ["alike", "alike"] and found.columns == ["candidato", *df.columns, "p"]
+    rows = {(r["candidato"], r["id"]): (r["k"], r["p"]) for r in found.collect()}
+    assert len(rows) == 300 * len(sets)
+    for name, o in sets.items():
+        o, c = dict(o), sets[name].get("categorical", ["k"])
+        o.pop("name"), o.pop("numeric", None), o.pop("categorical", None)
+        one = models.score(models.fit(df, "lr", ["x"], c, **o), df, c).select("id", "k", "p").collect()
+        assert all(rows[name, r["id"]][0] == r["k"] and rows[name, r["id"]][1] == pytest.approx(r["p"], abs=1e-6) for r in one)
