@@ -125,3 +125,23 @@ def test_the_build_lays_its_rows_out_once(spark, monkeypatch):
     monkeypatch.setattr(io, "stored_by", lambda df, key, name, *more: (seen.append((name, key)), laid(df, key, name, *more))[1])
     assert registry.QUERIES["supervised_build"](spark, SMALL).count() > 0
     assert seen == [("built", "grupo")]
+
+
+def test_ablation_by_year_fits_without_a_job_a_step(spark, monkeypatch):
+    """All families and sets by year are there, and no boost goes through passes of jobs; the ablation has the same differences over all years."""
+    from riskloom.operators import boosting
+    from riskloom.plans import learning
+
+    monkeypatch.setattr(boosting, "_fit_passes", lambda *_: pytest.fail("a job for each step"))
+    made, ablated = [], learning._ablated
+    monkeypatch.setattr(learning, "_ablated", lambda *a: made[0] if made else made.append(ablated(*a)) or made[0])
+    years = learning.ablation_by_year(spark, SMALL).toPandas()
+    whole = learning.ablation(spark, SMALL).toPandas()
+    keys = {(f, c, m) for f in ("lr", "gbt") for c in learning.SETS for m in learning.ABLATION_METRICS}
+    assert len(whole) == len(keys) and set(zip(whole.familia, whole.conjunto, whole.metrica)) == keys
+    rows = made[0].groupBy("familia", "conjunto", "ano").count().toPandas()
+    assert set(zip(years.familia, years.conjunto, years.ano)) == set(zip(rows.familia, rows.conjunto, rows.ano)) and len(years) == 3 * len(rows)
+    assert years.groupby(["familia", "conjunto", "metrica"]).n.sum().nunique() == 1 and set(whole.n) == {int(rows["count"].sum() / 8)}
+    ref = whole[whole.conjunto == "P"].set_index(["familia", "metrica"]).valor
+    for r in whole[whole.conjunto != "P"].itertuples():
+        assert r.diferenca == pytest.approx(r.valor - ref[r.familia, r.metrica], abs=2e-6) and 0 < r.replicas <= 300 and r.baixo <= r.alto
